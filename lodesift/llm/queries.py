@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodesift.llm import mixing, secrets, tokens
+from lodesift.llm import mixing, secrets, syntax, tokens
 from lodesift.session import spread
 from lodesift.sources.tables import table
 
@@ -22,6 +22,22 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     return secrets.redact(spread(secrets.source_texts(table(spark, d, "hook_inputs"), table(spark, d, "findings"))))
 
 
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.verdicts(syntax.written_files(table(spark, d, "hook_inputs"), table(spark, d, "ledger_entries")))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _judged(spark, d).where(~F.col("valid")).select("input_id")
+
+
+def p3_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return _judged(spark, d)
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.report(_judged(spark, d))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"), "doc_id", "text")
 
@@ -43,6 +59,9 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_redacted": p1_redacted,
+    "p3_found": p3_found,
+    "p3_verdicts": p3_verdicts,
+    "p3_report": p3_report,
     "p7_ids": p7_ids,
     "p8_mix": p8_mix,
     "p8_report": p8_report,
