@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodesift.llm import mixing, secrets, syntax, tokens
+from lodesift.llm import mixing, secrets, subjects, syntax, tokens
 from lodesift.session import spread
 from lodesift.sources.tables import table
 
@@ -56,6 +56,19 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.report(*_mix(spark, d)).select("source", "target_share", "share_reached", "max_repeats", "epochs", "n_docs", "n_tokens", F.round("planned").cast("long").alias("planned_tokens"), "docs_taken", "copies", "tokens_taken", "at_cap")
 
 
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return subjects.assign(docs, subjects.fit(docs, table(spark, d, "subject_labels"), table(spark, d, "subject_areas")))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).select("doc_id", "subject")
+
+
+def p9_composition(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.composition(_subjects(spark, d), table(spark, d, "documents"), table(spark, d, "subject_areas"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_redacted": p1_redacted,
@@ -65,5 +78,7 @@ QUERIES: dict[str, Query] = {
     "p7_ids": p7_ids,
     "p8_mix": p8_mix,
     "p8_report": p8_report,
+    "p9_found": p9_found,
+    "p9_composition": p9_composition,
 }
 ORACLE: dict[str, str] = {}
