@@ -23,7 +23,7 @@ CATEGORY_PARTS = (
     ("TAINT", "taint"),
     ("DESER", "deserialize"),
     ("REDIR", "redirect"),
-    ("NOSQL", "nosql"),
+    ("NOSQL", "injection"),
     ("XXE", "xxe"),
     ("CORS", "cors"),
     ("LOG", "logging"),

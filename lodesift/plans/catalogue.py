@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodesift.plans import problems, problems_sql
+from lodesift.plans import problems, problems_sql, scanner, scanner_sql
 
-QUERIES = {**problems.QUERIES}
-ORACLE = {**problems_sql.ORACLE}
+QUERIES = {**problems.QUERIES, **scanner.QUERIES}
+ORACLE = {**problems_sql.ORACLE, **scanner_sql.ORACLE}
