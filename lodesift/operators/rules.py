@@ -149,7 +149,10 @@ def _hits(rule: Rule) -> Column:
     found = F.filter(F.transform(ls, hit), lambda h: h.isNotNull())
     if rule.once:
         found = F.slice(found, 1, 1)
-    wanted = F.lit(True) if "*" in rule.languages else F.col("lang").isin(*rule.languages)
+    # a line that matches makes the content match too, so files without a match never get to their lines
+    wanted = F.col("content").rlike("(?m)" + "|".join(f"(?:{p})" for p, _ in rule.patterns))
+    if "*" not in rule.languages:
+        wanted = F.col("lang").isin(*rule.languages) & wanted
     if rule.path:
         wanted = wanted & F.col("path").rlike(rule.path)
     for p in rule.guards:
