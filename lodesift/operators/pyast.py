@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodesift.session import ship
+from lodesift.session import ship, spread
 
 SCHEMA = "line_number int, rule_id string, severity int, confidence string, cwe_id string, title string, matched_text string"
 # Calls that run text, and loaders of foreign objects.
@@ -80,4 +80,4 @@ def findings(files: DataFrame, key: str) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), *[pa.array(c, t) for c, t in zip(cols[1:], types, strict=True)]], [key, *names])
 
-    return files.where((F.col("lang") == "python") & F.col("content").isNotNull()).select(key, "content").mapInArrow(run, f"{key} {kind}, {SCHEMA}").withColumn("tags", F.array(F.lit("ast")))
+    return spread(files.where((F.col("lang") == "python") & F.col("content").isNotNull()).select(key, "content")).mapInArrow(run, f"{key} {kind}, {SCHEMA}").withColumn("tags", F.array(F.lit("ast")))

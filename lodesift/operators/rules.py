@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from lodesift.functions.paths import COMMENT_STARTS
 from lodesift.functions.scoring import severity_label
 from lodesift.functions.text import truncated
+from lodesift.session import spread
 
-#: Rules per array expression; more would make one generated method too long.
+#: Rules per array column; one expression over all of a large table would be too deep. The files are read once.
 BATCH = 24
 
 
@@ -173,34 +174,30 @@ def apply(files: DataFrame, rules: Sequence[Rule], key: str) -> DataFrame:
     owasp_category, confidence, tags``. Files without content have none; comment lines are skipped unless the rule wants
     them; extra columns are ignored.
     """
-    base = files.select(key, "path", "lang", "content").where(F.col("content").isNotNull()).withColumn("__ls", F.split("content", "\n", -1))
-    out = None
-    for at in range(0, len(rules), BATCH):
-        some = rules[at : at + BATCH]
-        tagged = F.flatten(F.array(*[_tagged(r, k) for k, r in enumerate(some)]))
-        rows = base.select(key, "path", "lang", F.explode(tagged).alias("x")).select(key, "path", "lang", "x.rule", "x.hit.*")
-
-        def value(of: Iterable[object], kind: str) -> Column:
-            return F.get(F.array(*[F.lit(x) for x in of]).cast(f"array<{kind}>"), F.col("rule"))
-
-        confidence = F.get(F.get(F.array(*[F.array(*[F.lit(c) for _, c in r.patterns]) for r in some]), F.col("rule")), F.col("ord"))
-        tags = F.get(F.array(*[F.array(*[F.lit(t) for t in r.tags]).cast("array<string>") for r in some]), F.col("rule"))
-        found = rows.select(
-            key,
-            "path",
-            "lang",
-            value((r.rule_id for r in some), "string").alias("rule_id"),
-            value((r.severity for r in some), "int").alias("severity"),
-            value((r.title or r.name for r in some), "string").alias("title"),
-            F.col("line_no").alias("line_number"),
-            truncated(F.col("text"), 120).alias("matched_text"),
-            value((r.suggestion for r in some), "string").alias("suggestion"),
-            value((r.cwe for r in some), "string").alias("cwe_id"),
-            value((r.owasp for r in some), "string").alias("owasp_category"),
-            confidence.alias("confidence"),
-            tags.alias("tags"),
-        ).withColumn("severity_label", severity_label(F.col("severity")))
-        out = found if out is None else out.unionByName(found)
-    if out is None:
+    if not rules:
         raise ValueError("no rules")
-    return out
+    base = spread(files.select(key, "path", "lang", "content").where(F.col("content").isNotNull())).withColumn("__ls", F.split("content", "\n", -1))
+    columns = {f"__h{at}": F.flatten(F.array(*[_tagged(r, at + k) for k, r in enumerate(rules[at : at + BATCH])])) for at in range(0, len(rules), BATCH)}
+    hits = base.withColumns(columns).select(key, "path", "lang", F.explode(F.concat(*columns)).alias("x"))
+    rows = hits.select(key, "path", "lang", "x.rule", "x.hit.*")
+
+    def value(of: Iterable[object], kind: str) -> Column:
+        return F.get(F.array(*[F.lit(x) for x in of]).cast(f"array<{kind}>"), F.col("rule"))
+
+    confidence = F.get(F.get(F.array(*[F.array(*[F.lit(c) for _, c in r.patterns]) for r in rules]), F.col("rule")), F.col("ord"))
+    tags = F.get(F.array(*[F.array(*[F.lit(t) for t in r.tags]).cast("array<string>") for r in rules]), F.col("rule"))
+    return rows.select(
+        key,
+        "path",
+        "lang",
+        value((r.rule_id for r in rules), "string").alias("rule_id"),
+        value((r.severity for r in rules), "int").alias("severity"),
+        value((r.title or r.name for r in rules), "string").alias("title"),
+        F.col("line_no").alias("line_number"),
+        truncated(F.col("text"), 120).alias("matched_text"),
+        value((r.suggestion for r in rules), "string").alias("suggestion"),
+        value((r.cwe for r in rules), "string").alias("cwe_id"),
+        value((r.owasp for r in rules), "string").alias("owasp_category"),
+        confidence.alias("confidence"),
+        tags.alias("tags"),
+    ).withColumn("severity_label", severity_label(F.col("severity")))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodesift.operators.catalogs import CORE, Catalog, Sink, Source
-from lodesift.session import ship
+from lodesift.session import ship, spread
 
 #: Decay for a call that is neither known nor a sanitizer.
 UNKNOWN_CALL = 0.8
@@ -289,7 +289,7 @@ def flows(files: DataFrame, key: str, catalog: Catalog = CORE) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [()] * 12
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), *[pa.array(c, t) for c, t in zip(cols[1:], types, strict=True)]], [key, *names])
 
-    return files.where(F.col("content").isNotNull() & F.col("lang").isNotNull()).select(key, "lang", "content").mapInArrow(run, f"{key} {kind}, {FLOW}")
+    return spread(files.where(F.col("content").isNotNull() & F.col("lang").isNotNull()).select(key, "lang", "content")).mapInArrow(run, f"{key} {kind}, {FLOW}")
 
 
 def function_scopes(files: DataFrame, key: str) -> DataFrame:
@@ -303,7 +303,7 @@ def function_scopes(files: DataFrame, key: str) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.string())], [key, "name", "start_line", "end_line", "body"])
 
-    found = files.where(F.col("content").isNotNull() & F.col("lang").isNotNull()).select(key, "lang", "content").mapInArrow(run, f"{key} {kind}, name string, start_line int, end_line int, body string")
+    found = spread(files.where(F.col("content").isNotNull() & F.col("lang").isNotNull()).select(key, "lang", "content")).mapInArrow(run, f"{key} {kind}, name string, start_line int, end_line int, body string")
     return found.withColumn("content_hash", F.substring(F.sha2(F.encode("body", "UTF-8"), 256), 1, 16)).drop("body")
 
 

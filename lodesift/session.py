@@ -55,9 +55,11 @@ def spread(df: DataFrame, at_least: int | None = None) -> DataFrame:
     """Repartition rows round-robin when the scan has fewer splits than the cluster has cores.
 
     For stages that spend far more CPU on a row than moving it costs. A table of few files is
-    otherwise worked on by a few tasks. Tables with enough splits are returned unchanged.
+    otherwise worked on by a few tasks. Tables with enough splits, and anything behind a shuffle, are returned unchanged.
     """
     want = at_least or df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():  # counting its partitions would run it
+        return df
     if df.rdd.getNumPartitions() >= want:
         return df
     return df.repartition(2 * want)
