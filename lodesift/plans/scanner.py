@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodesift.functions import paths
 from lodesift.functions.text import stripped
-from lodesift.operators import callgraph, fusion, hints, lines, pyast, rules, store, suppress, taint
+from lodesift.operators import callgraph, comments, fusion, graphbuild, hints, lines, pyast, rules, store, suppress, taint
 from lodesift.plans.rule_table import RULES
 from lodesift.sinks import outputs
 from lodesift.sources import events
@@ -173,11 +173,32 @@ def architecture_hints(spark: SparkSession, d: str) -> DataFrame:
     return hints.hints(_findings(spark, d)).where("kind = 'architecture'").drop("line_number")
 
 
+def comment_spans(spark: SparkSession, d: str) -> DataFrame:
+    return comments.spans(_files(spark, d), "input_id")
+
+
+def uncommented_findings(spark: SparkSession, d: str) -> DataFrame:
+    f = _files(spark, d)
+    return comments.outside(rules.apply(f, RULES, "input_id"), f, "input_id").select("input_id", "rule_id", "line_number", "matched_text")
+
+
+def built_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return graphbuild.nodes(_files(spark, d), "input_id").withColumn("calls", F.array_join("calls", ","))
+
+
+def built_signatures(spark: SparkSession, d: str) -> DataFrame:
+    return graphbuild.signatures(_files(spark, d), "input_id").withColumn("sink_calls", F.size("sink_calls"))
+
+
+def interproc_returns(spark: SparkSession, d: str) -> DataFrame:
+    return graphbuild.tainted_returns(_files(spark, d), "input_id")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         files, lines_explode, language_detect, path_filters, comment_lines, continuation_join, python_lines, rule_findings, rule_counts, dedup_findings, test_downgrade, block_decision, category_summary,
         findings_store, ledger_daily, reports, graph_edges, graph_stats, transitive_callers, impacted_callers, signature_changes, interproc_arguments, called_names, function_scopes, taint_flows,
-        python_tree, suppressions, architecture_hints,
+        python_tree, suppressions, architecture_hints, comment_spans, uncommented_findings, built_nodes, built_signatures, interproc_returns,
     )
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodesift.functions import paths
 from lodesift.functions.text import truncated
-from lodesift.operators import callgraph, catalogs, fusion, hints, lines, pyast, rules, store, suppress, taint
+from lodesift.operators import callgraph, catalogs, comments, fusion, graphbuild, hints, lines, pyast, rules, store, suppress, taint
 from lodesift.plans.rule_table import RULES
 from lodesift.sources import events
 
@@ -239,6 +239,41 @@ def test_hints(spark):
     assert got == [("architecture", 0, 2), ("finding", 1, 2), ("finding", 3, 2), ("flow", 2, 1)]
 
 
+CODE = """def get():
+    return request.args.get('q')
+
+def main():
+    v = get()
+    w = clean(v)
+    cur.execute("SELECT " + v)
+    n = int(v)
+    cur.execute("SELECT " + v)
+    helper(get)
+
+def helper(x):
+    os.system(request.args['c'])  # os.system(x)
+"""
+
+
+def test_built_graph(spark):
+    f = texts(spark, (1, "/a.py", "python", CODE), (2, "/c", "go", None))
+    n = graphbuild.nodes(f, "input_id").cache()
+    assert {(r.id, tuple(r.calls)) for r in n.collect()} == {("/a.py:get", ()), ("/a.py:helper", ()), ("/a.py:main", ("/a.py:get", "/a.py:helper"))}
+    s = {r.id: ([c.category for c in r.sink_calls], r.is_pure) for r in graphbuild.signatures(f, "input_id").collect()}
+    assert s == {"/a.py:get": ([], True), "/a.py:main": ([], True), "/a.py:helper": (["command_exec"], False)}
+    r = [(x.caller, x.callee, x.source_line, x.sink_line, x.sink_category) for x in graphbuild.tainted_returns(f, "input_id").collect()]
+    assert r == [("main", "get", 5, 7, "sql_query")]
+    other = graphbuild.nodes(texts(spark, (1, "/a.py", "python", CODE.replace("clean(v)", "other(v)"))), "input_id")
+    assert [x.id for x in graphbuild.changed(other, n).collect()] == ["/a.py:main"]
+
+
+def test_comments(spark):
+    f = texts(spark, (1, "/b.js", "javascript", "// eval(x)\nfoo('// no'); /* a\nb */ eval(y)"), (2, "/a.py", "python", "x = '# no' # yes\n\"\"\"# doc\"\"\""), (3, "/c", "go", None), (4, "/d", "*", "# x"))
+    assert {(r.input_id, r.start, r.end, r.start_line, r.end_line) for r in comments.spans(f, "input_id").collect()} == {(1, 0, 10, 1, 1), (1, 25, 34, 2, 3), (2, 11, 16, 1, 1)}
+    hits = spark.createDataFrame([(1, "A", 1, "eval(x)"), (1, "A", 3, "eval(y)"), (1, "B", 0, "q"), (9, "C", 1, "z"), (1, "D", 1, None)], "input_id long, rule_id string, line_number int, matched_text string")
+    assert {(r.rule_id, r.line_number) for r in comments.outside(hits, f, "input_id").collect()} == {("A", 3), ("B", 0), ("C", 1)}
+
+
 def test_stream(spark, tmp_path):
     from lodesift.streaming import scans
 
