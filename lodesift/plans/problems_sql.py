@@ -85,7 +85,26 @@ _ORPHAN_ENTRIES = """
 SELECT '{t}' AS source_table, strftime({at}, '%Y-%m') AS month, count(entry_id) AS n_refs, count(*) FILTER (WHERE entry_id IS NOT NULL AND entry_id NOT IN (SELECT entry_id FROM ledger_entries)) AS n_missing
 FROM {t} GROUP BY ALL"""
 
+def _listed(table: str, key: str, column: str, path: str) -> str:
+    return f"SELECT '{table}', {key}, '{path}', (p)::varchar FROM (SELECT {key}, unnest({column}) AS v, unnest(range(0, len({column}))) AS p FROM {table}) WHERE v IS NOT NULL"
+
+
+_NODE_COLUMNS = " UNION ALL ".join(
+    [
+        _listed("func_nodes", "node_seq", "calls", "calls"),
+        _listed("func_nodes", "node_seq", "called_by", "called_by"),
+        "SELECT 'func_nodes', node_seq, 'taint_sig', '0' FROM func_nodes WHERE taint_sig IS NOT NULL",
+        _listed("func_nodes", "node_seq", "taint_sig.sink_calls", "taint_sig.sink_calls"),
+        _listed("func_nodes", "node_seq", "taint_sig.sanitized_paths", "taint_sig.sanitized_paths"),
+        "SELECT 'func_nodes', node_seq, 'taint_sig.source_params', (e.key)::varchar FROM (SELECT node_seq, unnest(map_entries(taint_sig.source_params)) AS e FROM func_nodes) WHERE e.value IS NOT NULL",
+        "SELECT 'func_nodes', node_seq, 'taint_sig.tainted_params', k || '/' || p FROM (SELECT node_seq, (e.key)::varchar AS k, unnest(e.value) AS v, unnest(range(0, len(e.value))) AS p FROM (SELECT node_seq, unnest(map_entries(taint_sig.tainted_params)) AS e FROM func_nodes)) WHERE v IS NOT NULL",
+        "SELECT 'hook_inputs', input_id, 'tool_input', '0' FROM hook_inputs WHERE tool_input IS NOT NULL",
+        "SELECT 'hook_inputs', input_id, 'tool_response', '0' FROM hook_inputs WHERE tool_response IS NOT NULL",
+    ]
+)
+
 ORACLE = {
+    "p5_node_columns": f"SELECT * FROM ({_NODE_COLUMNS}) AS t(source_table, record_id, child_path, pos_path)",
     "p2_found": f"WITH {_FINDINGS} SELECT first_id, finding_id AS best_id FROM r WHERE place = 1 AND n_members > 1",
     "p4_found": f"WITH {_LEDGER} SELECT * FROM long",
     "p4_features": _features(),

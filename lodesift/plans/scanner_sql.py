@@ -172,6 +172,12 @@ SELECT key, rule_id, file_path, line_number, coalesce(s1, s2) AS severity, CASE
     "transitive_callers": f"WITH RECURSIVE {_REACH} SELECT * FROM near",
     "impacted_callers": f"""WITH RECURSIVE {_REACH}, sk AS (SELECT nid, unnest(taint_sig.sink_calls) AS c FROM x), ws AS (SELECT nid AS start, max({_SEV}) AS worst FROM sk GROUP BY 1)
 SELECT start, caller, distance, greatest(3, worst) AS severity FROM near JOIN ws USING (start)""",
+    "signature_changes": f"""WITH v AS (SELECT {_name('id')} AS nid, content_hash, coalesce(taint_sig.is_pure, false) || '/' || concat_ws('/', coalesce(cardinality(taint_sig.tainted_params), 0), coalesce(cardinality(taint_sig.tainted_returns), 0), coalesce(cardinality(taint_sig.source_params), 0), coalesce(len(taint_sig.sink_calls), 0), coalesce(len(taint_sig.sanitized_paths), 0)) AS sig,
+  row_number() OVER (PARTITION BY {_name('id')} ORDER BY last_scan_at DESC NULLS LAST, node_seq DESC) AS place FROM func_nodes)
+SELECT a.nid AS id, a.content_hash IS DISTINCT FROM b.content_hash AS content_changed, a.sig <> b.sig AS signature_changed FROM v a JOIN v b ON a.nid = b.nid AND a.place = 1 AND b.place = 2""",
+    "interproc_arguments": f"""WITH {_EDGES}, sk AS (SELECT nid, unnest(taint_sig.sink_calls) AS c, coalesce(taint_sig.sanitized_paths, []) AS clean FROM x),
+o AS (SELECT DISTINCT nid, c.category AS category, c.arg_from_param AS param FROM sk WHERE c.category IS NOT NULL AND NOT list_contains(list_transform(clean, lambda s: s.param_index || '/' || s.sink_category), c.arg_from_param || '/' || c.category))
+SELECT DISTINCT e.caller, e.callee, o.category, o.param FROM e JOIN o ON o.nid = e.callee WHERE e.caller IN (SELECT nid FROM x WHERE cardinality(taint_sig.tainted_params) > 0)""",
     "called_names": _called(),
     "architecture_hints": f"WITH {_CLEAN}, h AS (SELECT entry_id, file_path, {_category('rule_id')} AS category, count(*) AS n, max(severity) AS severity FROM c GROUP BY 1, 2, 3 HAVING count(*) >= 3) SELECT entry_id, file_path, 'architecture' AS kind, category, 5 - severity AS priority, n FROM h",
 }
