@@ -62,3 +62,55 @@ RULES = [
     _r("LOG-001", "SecretInLog", "medium", "*", "CWE-532", "A09:2021", (r"(?i)\b(?:log|logger|logging|console)\.\w+\s*\([^)]*\b(?:password|passwd|secret|api_key|token)\b", "medium")),
     _r("MISC-001", "TodoSecurity", "info", "*", "CWE-546", "", (r"(?i)\b(?:TODO|FIXME|HACK)\b.*\b(?:check|security|auth|saniti[sz]e|validate)\b", "low"), comments=True),
 ]
+
+_REQUEST_PHP = r"\$_(?:GET|POST|REQUEST|COOKIE)"
+_SHELL_PHP = r"\b(?:system|exec|passthru|shell_exec|popen|proc_open|pcntl_exec)\s*\(\s*\$(?:_GET|_POST|_REQUEST|_COOKIE|input|cmd|command|param|arg)"
+_QUERY_PHP = r"\b(?:mysqli_query|mysql_query|pg_query|pg_exec)\s*\("
+_HANDLER_GO = r"r\.(?:URL\.Query|FormValue|PostFormValue|Header\.Get|PathValue)\s*\(|mux\.Vars|chi\.URLParam|c\.(?:Param|Query|DefaultQuery|PostForm)"
+_SECURITY_WORDS = r"(?i)(token|key|secret|nonce|salt|password|session|otp|csrf|iv|encrypt|cipher|sign|hmac|auth|credential)"
+
+# Ids, severities, languages, weaknesses and patterns of the rules for single languages.
+RULES += [
+    _r("PHP-001", "TypeJuggling", "high", "php", "CWE-697", _A07, (r"(?:password|token|secret|hash|key|auth|session|nonce|csrf|otp|pin|code|digest|signature|mac|hmac)\s*(?:==|!=)\s*", "high"), line_none=[r"===|!=="]),
+    _r("PHP-002", "SSRF", "high", "php", "CWE-918", "A10:2021", (r"\bfile_get_contents\s*\(\s*\$", "medium"), (r"\bfopen\s*\(\s*\$", "medium"), (r"\bcurl_setopt\s*\([^,]+,\s*CURLOPT_URL\s*,\s*\$", "medium"), near=[{"pattern": _REQUEST_PHP, "before": 15, "after": 4}], line_none=[r"__DIR__|dirname|__FILE__|realpath"]),
+    _r("PHP-003", "FileInclusion", "critical", "php", "CWE-98", _A03, (r"\b(?:include|include_once|require|require_once)\s*\(?\s*\$(?:_GET|_POST|_REQUEST|_COOKIE|input|param|file|page|path|dir|template|module|lang|language)", "high"), (r"""\b(?:include|include_once|require|require_once)\s*\(?\s*["'][^"']*["']\s*\.\s*\$""", "medium")),
+    _r("PHP-004", "MailHeaderInjection", "high", "php", "CWE-93", _A03, (r"\bmail\s*\([^)]*\$_(?:GET|POST|REQUEST|COOKIE)", "high")),
+    _r("PHP-005", "CommandInjection", "critical", "php", "CWE-78", _A03, (_SHELL_PHP, "high"), (r"`[^`]*\$(?:_GET|_POST|_REQUEST|_COOKIE|input|cmd|command)", "high"), line_none=[r"escapeshellarg|escapeshellcmd"]),
+    _r("PHP-006", "RawSQLQuery", "critical", "php", "CWE-89", _A03, (_QUERY_PHP + r"""\s*\$\w+\s*,\s*(?:"[^"]*\$|'[^']*'\s*\.\s*\$)""", "high"), (_QUERY_PHP + r"""[^,]+,\s*"[^"]*"\s*\.\s*\$""", "high")),
+    _r("PHP-007", "InsecureSessionCookie", "medium", "php", "CWE-614", _A05, (r"(?i)session\.cookie_(?:httponly|secure)\s*=\s*(?:0|false|off)", "high"), (r"""\bini_set\s*\(\s*["']session\.cookie_(?:httponly|secure)["']\s*,\s*["']?(?:0|false)""", "high")),
+    _r("PHP-008", "SymfonyProcessInjection", "critical", "php", "CWE-78", _A03, (r"Process::fromShellCommandline\s*\(\s*\$", "high"), (r"new\s+Process\s*\(\s*\[?\s*\$", "medium")),
+    _r("PHP-009", "TwigRawFilter", "high", "php *", "CWE-79", _A03, (r"\{\{[^}]*\|\s*raw\b", "medium"), (r"\{%[-\s]*autoescape\s+false\s*[-\s]*%\}", "high"), (r"'autoescape'\s*=>\s*false", "high")),
+    _r("PHP-010", "LDAPInjection", "high", "php", "CWE-90", _A03, (r"""\bldap_search\s*\([^,]+,\s*[^,]+,\s*(?:\$|["'][^"']*["']\s*\.\s*\$)""", "medium"), guards_none=[r"ldap_escape\s*\("]),
+    _r("PHP-011", "WeakRandom", "medium", "php", "CWE-338", _A02, (r"\b(?:rand|mt_rand|array_rand|shuffle|str_shuffle)\s*\(", "medium"), near=[{"pattern": r"(?i)(?:token|password|secret|key|nonce|csrf|otp|salt|iv|session|reset|verify|auth)", "before": 5, "after": 5}], near_none=[{"pattern": r"\b(?:random_int|random_bytes|openssl_random_pseudo_bytes)\s*\(", "before": 5, "after": 5}]),
+    _r("PHP-012", "DisplayErrors", "medium", "php", "CWE-209", _A05, (r"""\bini_set\s*\(\s*["']display_errors["']\s*,\s*["']?(?:1|true|[oO]n)""", "high"), (r"(?i)^\s*display_errors\s*=\s*(?:1|on|true)", "high")),
+    _r("RB-001", "ERBUnescapedOutput", "high", "ruby", "CWE-79", _A03, (r"\braw\s*\(\s*(?:params|request|session|cookies|@\w+)", "high"), (r"(?:params|request|session|cookies|@\w+)\s*(?:\[.*\])?\s*\.html_safe", "high"), (r'"[^"]*#\{[^}]*\}[^"]*"\s*\.html_safe', "medium")),
+    _r("RB-002", "RubyCommandInjection", "critical", "ruby", "CWE-78", _A03, (r"""\b(?:system|exec)\s*\(\s*["'][^"']*#\{\s*(?:params|request|session|cookies)""", "high"), (r"\b(?:system|exec)\s*\(\s*(?:params|request|ARGV)", "high"), (r"`[^`]*#\{\s*(?:params|request|session|ARGV)", "high")),
+    _r("RB-003", "YAMLUnsafeLoad", "critical", "ruby", "CWE-502", _A08, (r"\bYAML\.load\s*\(", "high"), (r"\bYAML\.load_file\s*\(", "medium"), line_none=[r"\bYAML\.safe_load"]),
+    _r("RB-004", "ParamsInQuery", "critical", "ruby", "CWE-89", _A03, (r"""(?:execute|query|where|find_by_sql|select|from|order|group|having)\s*\(\s*["'].*#\{\s*params\s*\[""", "high")),
+    _r("RB-005", "KernelOpenPipe", "high", "ruby", "CWE-78", _A03, (r"\bopen\s*\(\s*(?:params|request|ARGV|gets|readline)", "high"), (r"""\bopen\s*\(\s*["']\|""", "high"), (r"\bURI\.open\s*\(\s*(?:params|request|ARGV|gets)", "high")),
+    _r("RB-006", "SendMethodInjection", "high", "ruby", "CWE-94", _A03, (r"\b(?:send|public_send|__send__)\s*\(\s*(?:params|request|session|cookies)\s*\[", "high")),
+    _r("RB-007", "RegexpInjection", "medium", "ruby", "CWE-1333", _A03, (r"\bRegexp\.(?:new|compile)\s*\(\s*(?:params|request|session|cookies|gets|readline)", "high")),
+    _r("RB-008", "InsecureSSL", "high", "ruby", "CWE-295", _A02, (r"verify_mode\s*=\s*OpenSSL::SSL::VERIFY_NONE", "high"), (r"verify_peer\s*[:=]\s*false", "high")),
+    _r("RB-009", "MarshalUnsafeLoad", "critical", "ruby", "CWE-502", _A08, (r"\bMarshal\.(?:load|restore)\s*\(", "high"), line_none=[r"\bMarshal\.(?:load|restore)\s*\(\s*(?:File\.read|IO\.read|File\.open)"]),
+    _r("RB-010", "MassAssignment", "high", "ruby", "CWE-915", _A08, (r"\.update_attributes?\s*\(\s*params", "high"), (r"\.(?:new|create)\s*\(\s*params\s*(?:\[|\))", "medium"), line_none=[r"\.permit\b"]),
+    _r("RB-011", "OpenRedirect", "high", "ruby", "CWE-601", _A01, (r"\bredirect_to\s+(?:params|request\.referer|URI\s*\()", "high"), (r"""\bredirect_to\s+["'][^"']*#\{\s*params""", "high")),
+    _r("JAVA-001", "JNDIInjection", "critical", "java", "CWE-74", _A03, (r'\.lookup\s*\(\s*"[^"]*"\s*\+', "high"), (r"\.lookup\s*\(\s*[a-zA-Z_]\w*", "medium"), guards=[r"(?:InitialContext|DirContext|LdapContext)"]),
+    _r("JAVA-002", "ELInjection", "critical", "java", "CWE-917", _A03, (r"""\.create(?:Value|Method)Expression\s*\(\s*[^"'\s)]""", "medium"), (r'\.createValueExpression\s*\([^)]*"[^"]*"\s*\+', "high")),
+    _r("JAVA-003", "SpELInjection", "critical", "java", "CWE-917", _A03, (r'\.parseExpression\s*\(\s*"[^"]*"\s*\+', "high"), (r"\.parseExpression\s*\(\s*[a-zA-Z_]\w*", "medium"), guards=[r"SpelExpressionParser"]),
+    _r("JAVA-004", "HQLInjection", "critical", "java", "CWE-89", _A03, (r'\.createQuery\s*\(\s*"[^"]*"\s*\+', "high"), (r"\.createQuery\s*\(\s*[a-zA-Z_]\w*\s*\+", "high"), guards_none=[r"CriteriaBuilder|CriteriaQuery"]),
+    _r("JAVA-005", "JDBCConnectionInjection", "high", "java", "CWE-89", _A03, (r'DriverManager\.getConnection\s*\(\s*"[^"]*"\s*\+', "high"), (r'\.getConnection\s*\(\s*"[^"]*"\s*\+', "medium")),
+    _r("JAVA-007", "InsecureTrustManager", "critical", "java", "CWE-295", _A02, (r"new\s+X509TrustManager\s*\(\s*\)\s*\{", "high"), (r"checkServerTrusted\s*\([^)]*\)\s*\{?\s*\}", "high")),
+    _r("JAVA-010", "HostnameNotVerified", "high", "java", "CWE-297", _A02, (r"ALLOW_ALL_HOSTNAME_VERIFIER|NoopHostnameVerifier", "high"), (r"verify\s*\([^)]*\)\s*\{\s*return\s+true", "high")),
+    _r("JAVA-011", "HardcodedJDBCCredentials", "high", "java", "CWE-798", _A07, (r'DriverManager\.getConnection\s*\(\s*"[^"]*"\s*,\s*"[^"]+"\s*,\s*"[^"]+"', "high")),
+    _r("GO-001", "GORMSQLInjection", "critical", "go", "CWE-89", _A03, (r"\b(?:db|tx|gdb|gorm)\s*\.\s*(?:Raw|Exec|Where)\s*\(\s*fmt\.Sprintf\s*\(", "high"), (r"""\b(?:db|tx|gdb|gorm)\s*\.\s*(?:Raw|Exec)\s*\(\s*(?:"[^"]*"\s*\+|[a-zA-Z_]\w*\s*\+)""", "high")),
+    _r("GO-002", "TemplateHTMLBypass", "high", "go", "CWE-79", _A03, (r"template\.(?:HTML|HTMLAttr|JS|CSS|URL)\s*\(", "medium"), line_none=["template\\.(?:HTML|HTMLAttr|JS|CSS|URL)\\s*\\(\\s*[\"`]"]),
+    _r("GO-003", "ListenAndServeNoTLS", "medium", "go", "CWE-319", _A02, (r"\bhttp\.ListenAndServe\s*\(", "medium"), guards_none=[r"\bhttp\.ListenAndServeTLS\b", r"\btls\.Config\b"]),
+    _r("GO-005", "FilepathTraversal", "high", "go", "CWE-22", _A01, (r"filepath\.Join\s*\(", "medium"), guards=[_HANDLER_GO], near_none=[{"pattern": r"filepath\.Clean\s*\(|strings\.HasPrefix\s*\(", "before": 5, "after": 5}]),
+    _r("GO-006", "MathRandCrypto", "high", "go", "CWE-338", _A02, (r"\brand\.(?:Read|Int|Intn|Int63|Int31|Float64|Float32|Uint32|Uint64|New|NewSource)\s*\(", "medium"), guards=['"math/rand"'], near=[{"pattern": _SECURITY_WORDS, "before": 5, "after": 5}]),
+    _r("GO-009", "UnvalidatedRedirect", "high", "go", "CWE-601", _A01, (r"http\.Redirect\s*\(\s*\w+\s*,\s*\w+\s*,\s*r\.(?:URL\.Query\(\)\.Get|FormValue|PostFormValue|Header\.Get)\s*\(", "high"), (r"c\.Redirect\s*\(\s*\d+\s*,\s*c\.(?:Query|Param|PostForm|DefaultQuery|GetHeader)\s*\(", "high")),
+    _r("GO-012", "PermissiveFileMode", "medium", "go", "CWE-732", _A01, (r"os\.Mkdir(?:All)?\s*\([^,]+,\s*0o?777\s*\)", "high"), (r"os\.(?:WriteFile|OpenFile)\s*\([^,]+,[^,]+,\s*0o?(?:777|766|776)\s*\)", "high")),
+    _r("GO-013", "TrustedProxyMisconfig", "medium", "go", "CWE-348", _A05, (r"\.SetTrustedProxies\s*\(\s*nil\s*\)", "high"), (r"\.ForwardedByClientIP\s*=\s*true", "medium")),
+    _r("PY-019", "DjangoRawSQL", "high", "python", "CWE-89", _A03, (r"""\.raw\s*\(\s*(?:f["']|["'][^"']*["']\s*%\s*[(\w]|["'][^"']*["']\s*\.format\s*\()""", "high"), (r"\.extra\s*\(\s*(?:where|select|tables)\s*=", "medium"), (r"""RawSQL\s*\(\s*(?:f["']|["'][^"']*["']\s*%)""", "high")),
+    _r("PY-006", "AssertSecurity", "high", "python", "CWE-617", "A04:2021", (r"\bassert\b\s+(?:password|token|secret|api_key|session|role|permission|credential)\b", "medium")),
+    _r("PY-015", "JWTNoVerification", "critical", "python", "CWE-347", _A02, (r"""jwt\.decode\s*\([^)]*(?:verify\s*=\s*False|options\s*=\s*\{[^}]*"verify_signature"\s*:\s*False)""", "high"), (r"""jwt\.decode\s*\([^)]*algorithms\s*=\s*\[?\s*["']none["']""", "high")),
+]

@@ -89,7 +89,7 @@ def test_rule_table_and_loader(tmp_path):
 
 
 def test_builtin_rules_fire(spark):
-    cases = {"PY-001": ("python", "subprocess.run(cmd, shell=True)"), "PY-004": ("python", "yaml.load(f)"), "CTR-003": ("dockerfile", "FROM a:latest"), "CRY-001": ("python", "hashlib.md5(x)"), "CRY-005": ("go", "InsecureSkipVerify: true"), "JWT-001": ("javascript", 'algorithms: ["none"]'), "INJ-001": ("php", '"SELECT x WHERE id = " . $id'), "TRV-001": ("javascript", 'fs.readFileSync("/data/" + x)')}
+    cases = {"PY-001": ("python", "subprocess.run(cmd, shell=True)"), "PY-004": ("python", "yaml.load(f)"), "CTR-003": ("dockerfile", "FROM a:latest"), "CRY-001": ("python", "hashlib.md5(x)"), "CRY-005": ("go", "InsecureSkipVerify: true"), "JWT-001": ("javascript", 'algorithms: ["none"]'), "INJ-001": ("php", '"SELECT x WHERE id = " . $id'), "TRV-001": ("javascript", 'fs.readFileSync("/data/" + x)'), "PHP-001": ("php", "if ($token == $x) {"), "PHP-003": ("php", "include($_GET['p']);"), "RB-002": ("ruby", "system(params[:c])"), "RB-009": ("ruby", "Marshal.load(x)"), "JAVA-007": ("java", "new X509TrustManager() {"), "GO-012": ("go", "os.MkdirAll(p, 0777)"), "GO-003": ("go", 'http.ListenAndServe(":80", nil)')}
     f = texts(spark, *[(i, "/x", lang, code) for i, (lang, code) in enumerate(cases.values())])
     got = {(r.input_id, r.rule_id) for r in rules.apply(f, RULES, "input_id").collect()}
     assert {(i, r) for i, r in enumerate(cases)} <= got
