@@ -26,13 +26,15 @@ def survivors(
     recency: str,
     trust: Sequence[Column],
     fields: dict[str, Column],
+    fill: bool = True,
 ) -> DataFrame:
     """The survivor of each group of two or more records.
 
     ``trust``: the policy's columns, the higher the better, compared one after the other; ties go to
     the newest ``recency``, then to the smallest ``record_id``. Text columns that should count
     downwards are passed as arrays of negated code points (see ``descending``). ``fields``: name and
-    value of the fields to fill; null means blank.
+    value of the fields to fill; null means blank. Without ``fill`` they only tell which are filled, and their values
+    aren't carried along.
 
     Result: the keys, ``first_id``, ``best_id``, ``n_members``, ``n_skyline``, ``n_layers``, the
     filled fields and ``filled_from`` (a map of field to the record it was taken from, without the
@@ -46,13 +48,11 @@ def survivors(
         F.col(record_id).alias("__id"),
         F.col(recency).alias("__at"),
         F.struct(*[c.alias(f"t{i}") for i, c in enumerate(trust)]).alias("__trust"),
-        F.struct(*[c.alias(n) for n, c in fields.items()]).alias("__f"),
+        sum((F.when(c.isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, c in enumerate(fields.values())), F.lit(0).cast("bigint")).alias("__mask"),
+        (F.struct(*[c.alias(n) for n, c in fields.items()]) if fill and fields else F.lit(True)).alias("__f"),
     ).where(F.forall(F.array(*[F.col(o).isNotNull() for o in own]), lambda x: x) & F.col("__id").isNotNull())
-    filled = [F.col("__f").getField(n).isNotNull() for n in names]
-    mask = sum((F.when(f, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, f in enumerate(filled)), F.lit(0).cast("bigint"))
     cells = (
-        rec.withColumn("__mask", mask)
-        .groupBy(*own, "__trust", "__mask")
+        rec.groupBy(*own, "__trust", "__mask")
         .agg(
             F.max_by(F.struct("__id", "__at", "__f"), F.struct(F.col("__at"), -F.col("__id"))).alias("__r"),
             F.min("__id").alias("__first"),
@@ -105,6 +105,16 @@ def survivors(
         "__s", F.array_sort(F.transform("__m", lambda m, i: F.struct(F.element_at("__l", i + 1).alias("layer"), i.alias("ord"), (-m["neg_id"]).alias("id"), m["f"].alias("f"))))
     )
     best = F.element_at("__s", 1)
+    kept = [
+        *[F.col(o).alias(k) for o, k in zip(own, keys, strict=True)],
+        F.col("first_id"),
+        best["id"].alias("best_id"),
+        F.col("n_members"),
+        F.size(F.filter("__l", lambda x: x == 1)).alias("n_skyline"),
+        F.array_max("__l").alias("n_layers"),
+    ]
+    if not fill or not fields:
+        return ranked.select(*kept)
 
     def source(i: int) -> Column:
         """The first record, by layer and policy, that fills field ``i``."""
@@ -112,19 +122,10 @@ def survivors(
 
     sources = [source(i) for i in range(len(names))]
     donors = F.map_filter(
-        F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[s["id"] for s in sources])) if names else F.create_map().cast("map<string,bigint>"),
+        F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[s["id"] for s in sources])),
         lambda k, v: v.isNotNull() & (v != F.element_at("__s", 1)["id"]),
     )
-    return ranked.select(
-        *[F.col(o).alias(k) for o, k in zip(own, keys, strict=True)],
-        "first_id",
-        best["id"].alias("best_id"),
-        "n_members",
-        F.size(F.filter("__l", lambda x: x == 1)).alias("n_skyline"),
-        F.array_max("__l").alias("n_layers"),
-        *[F.coalesce(best["f"].getField(n), s["f"].getField(n)).alias(n) for n, s in zip(names, sources, strict=True)],
-        donors.alias("filled_from"),
-    )
+    return ranked.select(*kept, *[F.coalesce(best["f"].getField(n), s["f"].getField(n)).alias(n) for n, s in zip(names, sources, strict=True)], donors.alias("filled_from"))
 
 
 def descending(c: Column) -> Column:

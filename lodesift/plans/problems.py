@@ -26,8 +26,8 @@ def _blank_as_null(c: Column) -> Column:
     return F.nullif(stripped(c), F.lit(""))
 
 
-def finding_survivors(findings: DataFrame) -> DataFrame:
-    """The surviving finding per issue (entry, file, line, CWE number), with its blank fields filled."""
+def finding_survivors(findings: DataFrame, fill: bool = True) -> DataFrame:
+    """The surviving finding per issue (entry, file, line, CWE number), with its blank fields filled if ``fill``."""
     rule = F.upper(stripped(F.col("rule_id")))
     sure = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in (("high", 3), ("medium", 2), ("low", 1)) for x in kv]), label(F.col("confidence"))), F.lit(0))
     cwe = cwe_number(F.col("cwe_id"))
@@ -51,11 +51,12 @@ def finding_survivors(findings: DataFrame) -> DataFrame:
             "confidence": F.nullif(label(F.col("confidence")), F.lit("")),
             "confidence_score": F.nanvl(F.col("confidence_score"), F.lit(None).cast("double")),
         },
+        fill,
     )
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return finding_survivors(table(spark, d, "findings")).select("first_id", "best_id")
+    return finding_survivors(table(spark, d, "findings"), fill=False).select("first_id", "best_id")
 
 
 def p2_survivors(spark: SparkSession, d: str) -> DataFrame:
