@@ -26,8 +26,8 @@ def merged(findings: DataFrame, scan: str = "entry_id", order: str = "finding_id
     """One finding per (scan, file, line, CWE): the winner by tier, severity, confidence and rule id, with all members' tags
     (its own first), and a tenth more confidence per further tier, at most 1.
 
-    Findings without CWE or line pass through. Ties beyond the rule id go to the lowest ``order``. The group's
-    winner is found by partial aggregation, so a hot group is reduced before it is shuffled; its tags are collected as a set.
+    Findings without CWE or line pass through. Ties beyond the rule id go to the lowest ``order``. One aggregation with
+    partial results: of a hot group each map task sends one winner and its distinct tag lists, which are few (tags name layers and topics).
     """
     f = scored(findings)
     alone = F.coalesce(F.col("cwe_id"), F.lit("")) == ""
@@ -35,18 +35,18 @@ def merged(findings: DataFrame, scan: str = "entry_id", order: str = "finding_id
     keys = [scan, "file_path", "line_number", "cwe_id"]
     rest = [c for c in f.columns if c not in keys]
     rank = F.struct("tier", F.coalesce("severity", F.lit(-1)), confidence_rank(F.col("confidence")), descending(F.col("rule_id")), -F.col(order))
-    tags = F.explode_outer(F.when(F.size("tags") > 0, F.col("tags")))
-    grouped = f.where(~alone)
-    winners = grouped.groupBy(*keys).agg(F.max_by(F.struct(*rest), rank).alias("__w"), F.collect_set("tier").alias("__t"), F.count(F.lit(1)).alias("n_merged"))
-    all_tags = grouped.select(*keys, tags.alias("__tag")).where("__tag IS NOT NULL").groupBy(*keys).agg(F.sort_array(F.collect_set("__tag")).alias("__all"))
-    same = [winners[k].eqNullSafe(all_tags[k]) for k in keys]
-    joined = winners.join(all_tags, same, "left").select(*[winners[k] for k in keys], "__w", "__t", "n_merged", "__all")
-    out = joined.select(
-        *keys,
-        *[F.col("__w")[c].alias(c) for c in rest if c not in ("tags", "confidence_score")],
-        F.array_distinct(F.concat(F.coalesce(F.col("__w")["tags"], F.array().cast("array<string>")), F.coalesce("__all", F.array().cast("array<string>")))).alias("tags"),
-        F.when(F.size("__t") > 1, boosted(F.col("__w")["confidence_score"], F.size("__t"))).otherwise(F.col("__w")["confidence_score"]).alias("confidence_score"),
-        "n_merged",
+    none = F.array().cast("array<string>")
+    out = (
+        f.where(~alone)
+        .groupBy(*keys)
+        .agg(F.max_by(F.struct(*rest), rank).alias("__w"), F.collect_set("tier").alias("__t"), F.count(F.lit(1)).alias("n_merged"), F.collect_set("tags").alias("__tags"))
+        .select(
+            *keys,
+            *[F.col("__w")[c].alias(c) for c in rest if c not in ("tags", "confidence_score")],
+            F.array_distinct(F.concat(F.coalesce(F.col("__w")["tags"], none), F.array_compact(F.array_sort(F.flatten("__tags"))))).alias("tags"),
+            F.when(F.size("__t") > 1, boosted(F.col("__w")["confidence_score"], F.size("__t"))).otherwise(F.col("__w")["confidence_score"]).alias("confidence_score"),
+            "n_merged",
+        )
     )
     passing = f.where(alone).withColumns({"tags": F.coalesce("tags", F.array().cast("array<string>")), "n_merged": F.lit(1).cast("bigint")})
     return out.unionByName(passing.select(*out.columns))
