@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lodesift.functions.text import BLANKS, label
 from lodesift.llm.grammars import LANGUAGES, parses
-from lodesift.session import ship
+from lodesift.session import ship, spread
 
 # Words and signs that speak for a language, for the ranking only.
 SIGNS: dict[str, tuple[str, ...]] = {
@@ -82,7 +82,7 @@ def verdicts(files: DataFrame, exhaustive: bool = False) -> DataFrame:
 
 def written_files(hook_inputs: DataFrame, ledger: DataFrame) -> DataFrame:
     """The files written whole, with the language the ledger names for their entry."""
-    writes = hook_inputs.where(F.col("tool_name") == "Write").select("input_id", "entry_id", F.col("cwd").alias("repo"), F.col("tool_input.content").alias("content")).where(F.col("content").isNotNull() & F.col("entry_id").isNotNull())
+    writes = spread(hook_inputs.where(F.col("tool_name") == "Write").select("input_id", "entry_id", F.col("cwd").alias("repo"), F.col("tool_input.content").alias("content")).where(F.col("content").isNotNull() & F.col("entry_id").isNotNull()))
     named = ledger.select("entry_id", label(F.col("lang")).alias("lang")).where(F.col("lang").isin(list(LANGUAGES)))
     return writes.join(named, "entry_id").select("input_id", "repo", "lang", "content")
 
