@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import json
+import sys
 import warnings
 from collections.abc import Callable
 
@@ -49,6 +50,8 @@ LANGUAGES = tuple(PARSERS)
 
 def parses(text: str, language: str) -> bool:
     """Whether ``text`` is a program of ``language``: line ends are read as LF, a byte order mark is skipped."""
+    if sys.getrecursionlimit() < 20_000:  # long chains of ``else if`` and the like
+        sys.setrecursionlimit(20_000)
     text = text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
     try:
         PARSERS[language](text)

@@ -11,6 +11,8 @@ lines (``secrets_training``), and shipped to the tasks (under 1 MB). The texts a
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
@@ -28,6 +30,7 @@ TRAINING_LINES = 8000
 
 # A line without any of these, in lower case, has no credential.
 TRIGGERS = ("pass", "pwd", "pw", "secret", "token", "key", "auth", "clave", "senha", "contrase", "kennwort", "credential", "bearer", "basic ", "login", "identified", "://", "private key", "session", "hdr", "header", "conn", "dsn", "broker", "target", "-u ", "-p", "eyj", "sk_", "ghp_", "akia", "xox", "hook")
+_TRIGGER = re.compile("|".join(map(re.escape, sorted(TRIGGERS, key=len, reverse=True))))
 
 
 
@@ -39,6 +42,27 @@ def model(lines: int = TRAINING_LINES, seed: int = 11) -> crf.Model:
     return crf.train([features(s, t[s[-1].end :]) for s, _, t in rows], [y for _, y, _ in rows], LABELS)
 
 
+#: Characters from which a line (of minified code, say) is labelled in parts that end between statements.
+LONG_LINE = 1 << 13
+_STATEMENT_END = re.compile(r"[;}]\s*(?=[a-z$_(!])")
+_ANY_END = re.compile(r"[;,}\s]")
+
+
+def _parts(text: str, start: int, end: int, blocks: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A long line in parts; none ends within a word or a key block."""
+    out = []
+    while end - start > LONG_LINE:
+        near = start + LONG_LINE
+        m = _STATEMENT_END.search(text, near, min(end, near + LONG_LINE)) or _ANY_END.search(text, near, end)
+        cut = m.end() if m else end
+        for a, b in blocks:
+            if a < cut < b:
+                cut = min(b, end)
+        out.append((start, cut))
+        start = cut
+    return [*out, (start, end)] if start < end else out
+
+
 def _lower(text: str) -> str:
     """Lower case of the same length, so that places stay."""
     low = text.lower()
@@ -62,6 +86,7 @@ def candidate_lines(text: str) -> list[tuple[int, int]]:
     blocks = [m.span() for m in PRIVATE_BLOCK.finditer(text)] if "private key" in low else []
     out: list[tuple[int, int]] = []
     at = -1
+    triggered: list[int] = []
     for s in sorted(starts):
         if s <= at:
             continue
@@ -74,7 +99,14 @@ def candidate_lines(text: str) -> list[tuple[int, int]]:
         at = end
         while end > s and text[end - 1] == "\r":
             end -= 1
-        out.append((s, end))
+        if end - s <= LONG_LINE:
+            out.append((s, end))
+            continue
+        triggered = triggered or sorted(m.start() for m in _TRIGGER.finditer(low))
+        for a, b in _parts(text, s, end, blocks):
+            i = bisect_right(triggered, a - 1)
+            if i < len(triggered) and triggered[i] < b:
+                out.append((a, b))
     return out
 
 
@@ -118,6 +150,9 @@ class Labeller:
                     self.learn([s])
                 out.extend((a + x, a + y) for x, y in self.known[s])
             found.append(out)
+        for s in block:
+            if len(s) > 2000:  # long lines hardly come again
+                self.known.pop(s, None)
         return found
 
 

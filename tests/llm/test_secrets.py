@@ -54,6 +54,25 @@ def test_held_out_accuracy(labeller):
     assert hit / given > 0.98 and hit / wanted > 0.96
 
 
+def test_long_lines(labeller):
+    """Minified code: parts are whole statements, and every value is found once at its place."""
+    import random
+
+    r = random.Random(9)
+    code = ["function f(a){return a+1};", "var x={a:1,b:[1,2,3]};", "t.push(e.call(n,i));", "if(q)z();"]
+    for _ in range(3):
+        values = [f"ghp_{r.getrandbits(100):032x}Zz9" for _ in range(40)]
+        parts = []
+        for v in values:
+            parts += [r.choice(code) for _ in range(r.randint(5, 60))] + [f'var token="{v}";']
+        line = "".join(parts)
+        assert len(line) > 2 * secrets.LONG_LINE
+        assert [line[a:b] for a, b in labeller.find(["x = 1\n" + line + "\ny"])[0] and [(a - 6, b - 6) for a, b in labeller.find(["x = 1\n" + line + "\ny"])[0]]] == values
+    key = "-----BEGIN PRIVATE KEY-----\\n" + "QUJD" * 4000 + "\\n-----END PRIVATE KEY-----"
+    text = "a=1;" * 2000 + 'k="' + key + '";' + "b=2;" * 3000
+    assert [text[a:b] for a, b in labeller.find([text])[0]] == [key]
+
+
 def test_viterbi_is_the_best_path():
     import itertools
 

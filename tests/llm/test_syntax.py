@@ -80,6 +80,8 @@ def test_cut_brackets_never_parse(lang):
 def test_long_and_odd_texts():
     assert parses("x = 1;\n" * 20_000, "javascript")
     assert not parses("(" * 5000, "javascript")
+    assert parses("if (a) b(); " + "else if (c) d(); " * 1500, "javascript")
+    assert parses("x = " + "a ? b : " * 1500 + "c", "javascript")
     assert not parses("[" * 200_000, "json")
     for lang in LANGUAGES:
         parses("\x00\ud7ff" + "é" * 100, lang)
