@@ -22,17 +22,13 @@ def scan(events: DataFrame, table: Sequence[rules.Rule], key: str = "tool_use_id
 
 
 def merge_batch(spark: SparkSession, table: Sequence[rules.Rule], folder: str, key: str = "tool_use_id") -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function; each batch writes its own version of the store, so a batch that runs again gives the same."""
+    """A ``foreachBatch`` function; each batch reads the version of the store before it and writes its own, so a batch that runs again replaces what it wrote."""
 
     def run(batch: DataFrame, number: int) -> None:
         events = batch.dropDuplicates([key])
         found = scan(events, table, key).withColumn("seen_at", F.current_timestamp())
         at = F.current_timestamp()
-        old = f"{folder}/store/{number - 1}"
-        try:
-            before = spark.read.parquet(old)
-        except Exception:  # the first batch has no store yet
-            before = spark.createDataFrame([], store.RECORD)
+        before = spark.read.parquet(f"{folder}/store/{number - 1}") if number else spark.createDataFrame([], store.RECORD)
         scanned = files(events, key=key).select(F.col("path").alias("file_path"))
         outputs.save_store(store.upsert(before, store.sightings(found, "seen_at"), scanned, at), f"{folder}/store/{number}")
         outputs.ledger_rows(fusion.decisions(found, key), at).write.mode("overwrite").json(f"{folder}/ledger/{number}")
