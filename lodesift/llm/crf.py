@@ -100,19 +100,21 @@ def train(seqs: Sequence[Sequence[Sequence[str]]], tags: Sequence[Sequence[str]]
     return Model(tuple(labels), vocabulary, emit.astype(np.float32), move.astype(np.float32), start.astype(np.float32))
 
 
-def viterbi(model: Model, seqs: Sequence[Sequence[Sequence[int]]], cells: int = 1 << 15) -> list[np.ndarray]:
-    """The most likely label numbers of each sequence of feature numbers; a batch has about ``cells`` positions."""
+def decode(model: Model, seqs: Sequence[np.ndarray], cells: int = 1 << 15) -> list[np.ndarray]:
+    """The most likely label numbers of each sequence of scores; a batch has about ``cells`` positions, or one longer sequence."""
     out: list[np.ndarray] = [np.zeros(0, dtype=np.int8)] * len(seqs)
     order = sorted((i for i in range(len(seqs)) if len(seqs[i])), key=lambda i: len(seqs[i]))
-    k, pad = len(model.labels), len(model.emit) - 1
+    k = len(model.labels)
     at = 0
     while at < len(order):
         size = max(1, cells // max(1, len(seqs[order[min(len(order) - 1, at + cells // max(1, len(seqs[order[at]])))]])))
         rows = order[at : at + size]
         at += size
-        x, n = _padded([seqs[i] for i in rows], pad)
-        e = model.emit[x].sum(axis=2)
-        m, width = x.shape[:2]
+        n = np.array([len(seqs[i]) for i in rows])
+        m, width = len(rows), int(n.max())
+        e = np.zeros((m, width, k), dtype=model.emit.dtype)
+        for r, i in enumerate(rows):
+            e[r, : n[r]] = seqs[i]
         score = model.start + e[:, 0]
         came = np.zeros((m, width, k), dtype=np.int8)
         last = score.copy()
@@ -130,3 +132,8 @@ def viterbi(model: Model, seqs: Sequence[Sequence[Sequence[int]]], cells: int =
                 y[t - 1] = came[r, t, y[t]]
             out[i] = y
     return out
+
+
+def viterbi(model: Model, seqs: Sequence[Sequence[Sequence[int]]], cells: int = 1 << 15) -> list[np.ndarray]:
+    """The most likely label numbers of each sequence of feature numbers."""
+    return decode(model, [np.stack([model.emit[list(f)].sum(axis=0) for f in s]) if len(s) else np.zeros((0, len(model.labels))) for s in seqs], cells)

@@ -1,9 +1,8 @@
 """Credentials written out in source text: exact places, and texts with only the values replaced.
 
-Lines that hold a word of a fixed list (what can name or introduce a credential) are split into
-lexical tokens; a linear-chain conditional random field with shape and context features labels them,
-and the Viterbi path's ``S`` tokens are the characters to redact. Key blocks over several lines are one token. Other
-lines have no context that could make a value a credential, and are labelled ``O`` without being split.
+Every statement (a line, with the lines it goes on over) is split into lexical tokens, a
+linear-chain conditional random field with shape and context features labels them, and the Viterbi path's ``S``
+tokens are the characters to redact. Key blocks over several lines are one token.
 
 The model is fitted once per session on the driver, on a documented, bounded number of generated
 lines (``secrets_training``), and shipped to the tasks (under 1 MB). The texts are read in one pass without a shuffle.
@@ -12,28 +11,22 @@ lines (``secrets_training``), and shipped to the tasks (under 1 MB). The texts a
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodesift.llm import crf, secrets_training
-from lodesift.llm.secrets_lexer import PRIVATE_BLOCK, Token, features, name_class, tokens
+from lodesift.llm.secrets_lexer import PRIVATE_BLOCK, Token, expanded, feature_keys, features, name_class, tokens
 from lodesift.session import ship
 
 LABELS = ("O", "K", "S")
 #: Generated lines the model is fitted to.
 TRAINING_LINES = 8000
 
-# A line without any of these, in lower case, has no credential.
-TRIGGERS = ("pass", "pwd", "pw", "secret", "token", "key", "auth", "clave", "senha", "contrase", "kennwort", "credential", "bearer", "basic ", "login", "identified", "://", "private key", "session", "hdr", "header", "conn", "dsn", "broker", "target", "-u ", "-p", "eyj", "sk_", "ghp_", "akia", "xox", "hook")
-_TRIGGER = re.compile("|".join(map(re.escape, sorted(TRIGGERS, key=len, reverse=True))))
-
-
-
 @lru_cache(maxsize=2)
 def model(lines: int = TRAINING_LINES, seed: int = 11) -> crf.Model:
     """The fitted model; the same parameters give the same weights."""
@@ -63,80 +56,163 @@ def _parts(text: str, start: int, end: int, blocks: list[tuple[int, int]]) -> li
     return [*out, (start, end)] if start < end else out
 
 
-def _lower(text: str) -> str:
-    """Lower case of the same length, so that places stay."""
-    low = text.lower()
-    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-
-
-def candidate_lines(text: str) -> list[tuple[int, int]]:
-    """The spans of the lines that hold a trigger; a key block joins the lines it spans. Line ends are left out."""
-    low = _lower(text)
-    starts: set[int] = set()
-    for w in TRIGGERS:
-        i = low.find(w)
-        while i >= 0:
-            starts.add(low.rfind("\n", 0, i) + 1)
-            end = low.find("\n", i)
-            if end < 0:
-                break
-            i = low.find(w, end)
-    if not starts:
-        return []
-    blocks = [m.span() for m in PRIVATE_BLOCK.finditer(text)] if "private key" in low else []
+#: Tokens that are labelled at a time; a longer statement is labelled whole.
+BATCH_TOKENS = 1 << 14
+#: Keys of features whose weights are remembered from one batch of tokens to the next.
+KEYS = 1 << 17
+
+_QUOTES = "\"'`"
+# A line that ends so is taken on by a literal (or a parenthesis) on the next.
+_ASSIGNS = re.compile(r"(?:[\w\])\"'`$]\s*(?:[:+.]|\?\?|\|\|)?=>?|[\w\"'-]\s*:)$")
+_OPENS = re.compile(r"(?:[=:,]|=>)\s*\($")
+_CONCATENATES = re.compile(r"[\"'`)]\s*(?:\+|\.{1,2}|<>|&)$")
+_LITERAL_START = re.compile(r"\(|[A-Za-z]{0,2}[\"'`]")
+_CONCATENATED = re.compile(r"(?:\+|\.{1,2}|<>|&)\s*[\"'`]")
+_LONE = re.compile(r"[A-Za-z]{0,2}(?:\"[^\"]*\"|'[^']*')\s*[);,]*$")
+_STRING = re.compile(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'")
+_KEY = re.compile(r"\s*(?:- )?[\"']?([\w.-]+)[\"']?\s*:(\s*[|>][+-]?\d?[+-]?)?$")
+_OPEN_TAG = re.compile(r"<([A-Za-z][\w.:-]*)>$")
+_NAMING = frozenset(("cred", "key", "carrier"))
+
+
+def _indent(line: str) -> int:
+    return len(line) - len(line.lstrip())
+
+
+def statements(text: str) -> list[tuple[int, int]]:
+    """The spans of the statements of a text: every line that isn't blank, with the lines it goes on over. Line ends are left out.
+
+    A line goes on where it ends with a backslash, with a sign before a literal on the next line, within the parentheses of
+    a call, or as a YAML key or an XML tag of a credential's name with the value below it; a key block joins the lines it spans.
+    """
+    blocks = [m.span() for m in PRIVATE_BLOCK.finditer(text)] if "PRIVATE KEY" in text else []
+    spans: list[tuple[int, int]] = []
+    at, n, k = 0, len(text), 0
+    while at < n:
+        end = text.find("\n", at)
+        end = n if end < 0 else end
+        while k < len(blocks) and blocks[k][0] < end:
+            if blocks[k][1] > end:
+                end = text.find("\n", blocks[k][1])
+                end = n if end < 0 else end
+            k += 1
+        stop = end
+        while stop > at and text[stop - 1] == "\r":
+            stop -= 1
+        spans.append((at, stop))
+        at = end + 1
     out: list[tuple[int, int]] = []
-    at = -1
-    triggered: list[int] = []
-    for s in sorted(starts):
-        if s <= at:
-            continue
-        end = text.find("\n", s)
-        end = len(text) if end < 0 else end
-        for a, b in blocks:
-            if a < end and b > end:
-                end = text.find("\n", b)
-                end = len(text) if end < 0 else end
-        at = end
-        while end > s and text[end - 1] == "\r":
-            end -= 1
-        if end - s <= LONG_LINE:
-            out.append((s, end))
+    start, depth, literal, block, tag = -1, 0, False, -1, ""
+    for i, (a, b) in enumerate(spans):
+        line = text[a:b]
+        s = line.strip()
+        if not s:
+            if start >= 0:
+                out.append((start, spans[i - 1][1]))
+                start = -1
             continue
-        triggered = triggered or sorted(m.start() for m in _TRIGGER.finditer(low))
-        for a, b in _parts(text, s, end, blocks):
-            i = bisect_right(triggered, a - 1)
-            if i < len(triggered) and triggered[i] < b:
-                out.append((a, b))
-    return out
+        if start < 0:
+            start, depth, literal, block, tag = a, 0, False, -1, ""
+        following = text[spans[i + 1][0] : spans[i + 1][1]] if i + 1 < len(spans) else ""
+        f = following.strip()
+        goes_on = False
+        if f:
+            last = s[-1]
+            if depth or "(" in s:
+                plain = _STRING.sub("", s)
+                depth = 0 if last in "{;" else max(0, depth + plain.count("(") - plain.count(")"))
+            literal = literal or "=" in s or ":" in s or "(" in s
+            if line.endswith("\\"):
+                goes_on = (len(line) - len(line.rstrip("\\"))) % 2 == 1
+            elif depth and last in "(,":
+                goes_on = True
+            elif last in "=>:(+.&":
+                goes_on = _LITERAL_START.match(f) is not None and (_ASSIGNS.search(s) or _OPENS.search(s) or _CONCATENATES.search(s)) is not None
+            elif last in _QUOTES:
+                goes_on = _CONCATENATED.match(f) is not None or (literal and f[0] in "\"'bfru" and _LONE.match(f) is not None)
+            if block >= 0:
+                goes_on = _indent(following) > block
+            elif not goes_on and last in ":|>+-" and _indent(following) > _indent(line):
+                m = _KEY.match(line.rstrip())
+                if m and name_class(m.group(1))[0] in _NAMING:
+                    goes_on = True if m.group(2) else " " not in f and f[-1] != ":"
+                    block = _indent(line) if m.group(2) else block
+            if not goes_on and tag:
+                goes_on = tag not in s
+            elif not goes_on and last == ">" and f[0] != "<":
+                m = _OPEN_TAG.search(s)
+                if m and name_class(m.group(1))[0] in _NAMING:
+                    goes_on, tag = True, f"</{m.group(1)}>"
+        if not goes_on:
+            out.append((start, b))
+            start = -1
+    return [part for a, b in out for part in _parts(text, a, b, blocks)]
 
 
 class Labeller:
-    """Finds the spans of credentials in lines; remembers what it found in recent ones."""
+    """Finds the spans of credentials in statements; remembers what it found in recent ones."""
 
     def __init__(self, fitted: crf.Model, remember: int = 50_000):
         self.fitted, self.remember = fitted, remember
         self.known: dict[str, tuple[tuple[int, int], ...]] = {}
+        self.numbers: dict[tuple, int] = {}
+        self.sums = np.zeros((1 << 10, len(LABELS)), dtype=fitted.emit.dtype)
 
     def learn(self, lines: Iterable[str]) -> None:
-        new = list({s for s in lines if s not in self.known})
+        new = set(lines)
         if len(self.known) + len(new) > self.remember:
             self.known = {}
-        vocabulary = self.fitted.vocabulary
-        kept: list[tuple[str, list[Token]]] = []
-        seqs = []
+        new = [s for s in new if s not in self.known]
+        waiting: list[tuple[str, list[Token]]] = []
+        n = 0
         for s in new:
             toks = tokens(s)
-            if len(toks) < 1:
+            if not toks:
                 self.known[s] = ()
                 continue
-            kept.append((s, toks))
-            seqs.append([[vocabulary[f] for f in fs if f in vocabulary] for fs in features(toks, s[toks[-1].end :])])
-        for (s, toks), path in zip(kept, crf.viterbi(self.fitted, seqs), strict=True):
-            self.known[s] = tuple((t.start, t.end) for t, y in zip(toks, path, strict=True) if y == 2)
+            waiting.append((s, toks))
+            n += len(toks)
+            if n >= BATCH_TOKENS:
+                self._label(waiting)
+                waiting, n = [], 0
+        self._label(waiting)
+
+    def _number(self, key: tuple) -> int:
+        """The row of ``sums`` with the weights of a key's features."""
+        k = self.numbers[key] = len(self.numbers)
+        if k == len(self.sums):
+            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
+        known = self.fitted.vocabulary
+        self.sums[k] = self.fitted.emit[[known[f] for f in expanded(key) if f in known]].sum(axis=0)
+        return k
+
+    def _label(self, lines: list[tuple[str, list[Token]]]) -> None:
+        if len(self.numbers) > KEYS:
+            self.numbers = {}
+        get = self.numbers.get
+        scores = np.zeros((sum(len(toks) for _, toks in lines), len(LABELS)), dtype=self.sums.dtype)
+        at, flat, starts = 0, [], []
+        for s, toks in lines:
+            for keys in feature_keys(toks, s[toks[-1].end :]):
+                starts.append(len(flat))
+                for key in keys:
+                    x = get(key)
+                    flat.append(self._number(key) if x is None else x)
+                if len(starts) == BATCH_TOKENS:
+                    scores[at : at + len(starts)] = np.add.reduceat(self.sums[flat], starts, axis=0)
+                    at, flat, starts = at + len(starts), [], []
+        if starts:
+            scores[at:] = np.add.reduceat(self.sums[flat], starts, axis=0)
+        at, seqs = 0, []
+        for _, toks in lines:
+            seqs.append(scores[at : at + len(toks)])
+            at += len(toks)
+        for (s, toks), path in zip(lines, crf.decode(self.fitted, seqs), strict=True):
+            self.known[s] = tuple((toks[i].start, toks[i].end) for i in (path == 2).nonzero()[0])
 
     def find(self, texts: Sequence[str | None]) -> list[list[tuple[int, int]]]:
         """The spans of each text, in code points from 0, in order; none for null and empty texts."""
-        spans = [candidate_lines(t) if t else [] for t in texts]
+        spans = [statements(t) if t else [] for t in texts]
         found: list[list[tuple[int, int]]] = []
         block: list[str] = []
         for t, ls in zip(texts, spans, strict=True):
@@ -151,7 +227,7 @@ class Labeller:
                 out.extend((a + x, a + y) for x, y in self.known[s])
             found.append(out)
         for s in block:
-            if len(s) > 2000:  # long lines hardly come again
+            if len(s) > LONG_LINE:  # long statements hardly come again
                 self.known.pop(s, None)
         return found
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -39,6 +40,7 @@ _DEFAULTED = re.compile(r"\$\{([A-Za-z_][\w.]*):[=-]?([^{}]*)\}$")
 _ASSIGNED = re.compile(r"(-{0,2}[A-Za-z_$@][\w.\-$]*)(=|:=|:)(?=\S)(?!//)(.+)$", re.S)
 _HEADER = re.compile(r"([A-Za-z][A-Za-z0-9-]*):$")
 _WORD = re.compile(r"\S+")
+_LINE_ENDS, _BLOCK_SIGNS = frozenset(("\n", "\r")), frozenset("|>")
 
 
 def _address(text: str, base: int, out: list[tuple[int, int, str]]) -> None:
@@ -144,11 +146,13 @@ def _lex(line: str, base: int, spans: list[tuple[int, int, str]]) -> None:
             spans.append((base + m.start(), base + m.end(), "tag"))
             value = True
         elif kind == "bare":
-            text = m.group()
+            text = line[m.start() : m.end()]
+            if line[m.end() : m.end() + 1] in _LINE_ENDS and (text == "\\" or (text[0] in "+-0123456789" and line[m.start() - 1 : m.start()] in _BLOCK_SIGNS)):
+                continue
             _inside(text, base + m.start(), "bare", spans, value)
             value = text.endswith((":", "="))
         elif kind:
-            _inside(m.group(kind), base + m.start(kind), "literal", spans)
+            _inside(line[m.start(kind) : m.end(kind)], base + m.start(kind), "literal", spans)
             value = line[m.end() : m.end() + 1] == ":"
 
 
@@ -183,12 +187,14 @@ DIGESTS = ("checksum", "hash", "digest", "integrity", "etag", "commit", "sha", "
 # Words before "pass" that leave it a password, not a ticket or a step.
 OWNERS = ("db", "database", "user", "admin", "root", "mail", "email", "smtp", "imap", "ftp", "sftp", "ssh", "app", "service", "svc", "account", "login", "api", "client", "server", "mysql", "pg", "postgres", "redis", "mq", "amqp", "ldap", "proxy", "wifi", "http", "basic", "test", "prod", "stage", "dev", "export", "legacy", "partner", "cache", "report", "backup", "master", "key", "keystore", "sudo", "vpn", "broker", "my", "the")
 
+_OVER_LINES = re.compile(r"(?:\\|[|>][+-]?\d?[+-]?)?[ \t]*\r?\n")
 _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+|[^\W\d_]+")
 _CRED, _KEYW, _ENDS, _CARRY, _DIG, _OWN = map(frozenset, (CREDENTIAL_WORDS, KEY_WORDS, OTHER_ENDS, CARRIERS, DIGESTS, OWNERS))
 _PLACEHOLDER = re.compile(r"^(?:<.*>|\{\{.*|.*\}\}|\$\{?[A-Za-z_].*|\$\(.*|%\(?[A-Za-z_]+\)?s?%?|env:.*|vault:.*|[*xX.\-_•]+|(?:your|my|insert|replace|change|set|todo|fixme|dummy|example|sample|placeholder|none|null|nil|undefined|true|false|test|redacted|masked|hidden|secret|password|token)(?:[_\- ]?(?:me|this|it|in|ci|here|your|key|token|password|secret|api|value|env|the|now))*|__.*__)$", re.I)
 _UUID = re.compile(r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
 _JWT = re.compile(r"^eyJ[\w-]+\.[\w-]+\.?[\w-]*$")
 _PREFIXED = re.compile(r"^(?:[a-z]{2,6}[_-](?:(?:live|test|pat|prod)[_-])?[A-Za-z0-9_-]{16,}|AKIA[A-Z0-9]{12,}|[A-Z]{2,4}\.[A-Za-z0-9_.-]{16,})$")
+_ISSUED = re.compile(r"^(?:(?:sk_(?:live|test)_|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|npm_|pypi-|hf_|SG\.)[A-Za-z0-9_.-]{16,}|AKIA[A-Z0-9]{16})$")
 _SHA = re.compile(r"^sha\d+[-:]", re.I)
 _WORDS = re.compile(r"^[a-z]+(?:[-_.][a-z]+){2,}$")
 _WORDNUM = re.compile(r"^[A-Za-z]+(?:[^\w\s][A-Za-z]+|_[A-Za-z]+)?\d{2,6}$")
@@ -240,6 +246,8 @@ def value_class(text: str) -> tuple[str, ...]:
         main = "number"
     elif n >= 16 and all(c in "0123456789abcdefABCDEF" for c in text):
         main = "hex"
+    elif _ISSUED.match(text) and any(c.isdigit() for c in text):
+        main = "issued"
     elif _PREFIXED.match(text) and any(c.isdigit() or c.isupper() for c in text):
         main = "prefixed"
     elif _WORDS.match(text):
@@ -271,7 +279,9 @@ def _entropy(text: str) -> float:
 
 @lru_cache(maxsize=1 << 14)
 def gap_class(gap: str) -> str:
-    """The punctuation between two tokens, without blanks' number."""
+    """The punctuation between two tokens, without blanks' number; a line end that a backslash or a block sign leads over is a blank."""
+    if "\n" in gap:
+        gap = _OVER_LINES.sub(" ", gap)
     return re.sub(r"\s+", " ", gap)[-6:]
 
 
@@ -280,8 +290,28 @@ def features(toks: list[Token], tail: str) -> list[list[str]]:
 
     ``tail``: what follows the last token.
     """
-    names = [name_class(t.text) if t.kind not in ("urlpw", "path", "host", "private", "public", "data") else ("none", "") for t in toks]
-    values = [value_class(t.text) for t in toks]
+    return [[f for key in keys for f in expanded(key)] for keys in feature_keys(toks, tail)]
+
+
+def expanded(key: tuple) -> list[str]:
+    """The features that a key of ``feature_keys`` stands for."""
+    what, *x = key
+    if what == "own":
+        kind, (v, vn, vh), nm, left, right, word, line = x
+        return ["b", "k=" + kind, "v=" + v, "vn=" + v + vn, "vh=" + v + vh, "n=" + nm, "kv=" + kind + v, "l=" + left, "lv=" + left + v, "lk=" + left + kind, "lkv=" + left + kind + v, "r=" + right, "lrv=" + left + right + v, "line=" + line + kind, "lw=" + word + v]
+    if what == "gap":
+        gap, kind, behind = x
+        return ["g=" + gap, "gk=" + gap + kind, "gn=" + behind]
+    if what == "before":
+        nm, before, kind, v, gap = x
+        return ["p=" + nm + kind, "pv=" + nm + v, "pk=" + before + kind, "pg=" + nm + gap + v]
+    return [what + "=" + "".join(x)]
+
+
+def feature_keys(toks: list[Token], tail: str) -> Iterator[list[tuple]]:
+    """The features of each token in groups, as keys that come again often (``expanded`` names their features)."""
+    names = [name_class(t.text) if t.kind not in ("urlpw", "path", "host", "private", "public", "data") and len(t.text) <= 60 else ("none", "") for t in toks]
+    values = [value_class(t.text) if len(t.text) <= 500 else value_class.__wrapped__(t.text) for t in toks]
     gaps = [gap_class(t.gap) for t in toks]
     n = len(toks)
     left, seen = ["^"] * n, "^"
@@ -298,19 +328,18 @@ def features(toks: list[Token], tail: str) -> list[list[str]]:
             seen = names[i][0]
     kinds = {t.kind for t in toks}
     line = "url" if "scheme" in kinds else "pairs" if "pairval" in kinds else "plain"
-    out = []
+    words = [t.text[:12].lower()[:12] for t in toks]
     for i, t in enumerate(toks):
-        v, nm = values[i], names[i]
-        f = ["b", "k=" + t.kind, "v=" + v[0], "vn=" + v[0] + v[1], "vh=" + v[0] + v[2], "n=" + nm[0], "kv=" + t.kind + v[0], "l=" + left[i], "lv=" + left[i] + v[0], "lk=" + left[i] + t.kind, "lkv=" + left[i] + t.kind + v[0], "r=" + right[i], "lrv=" + left[i] + right[i] + v[0], "g=" + gaps[i], "gk=" + gaps[i] + t.kind, "gn=" + (gaps[i + 1] if i + 1 < n else tail[:3] + "$"), "line=" + line + t.kind, "lw=" + left_word[i] + v[0]]
+        kind, value, gap, v = t.kind, values[i], gaps[i], values[i][0]
+        keys = [("own", kind, value, names[i][0], left[i], right[i], left_word[i], line), ("gap", gap, kind, gaps[i + 1] if i + 1 < n else tail[:3] + "$")]
         if i:
-            f += ["p=" + names[i - 1][0] + t.kind, "pv=" + names[i - 1][0] + v[0], "pw=" + toks[i - 1].text.lower()[:12], "pk=" + toks[i - 1].kind + t.kind, "pg=" + names[i - 1][0] + gaps[i] + v[0]]
+            keys += [("before", names[i - 1][0], toks[i - 1].kind, kind, v, gap), ("pw", words[i - 1])]
         else:
-            f.append("first=" + v[0])
+            keys.append(("first", v))
         if i > 1:
-            f += ["q=" + names[i - 2][0] + v[0], "qw=" + toks[i - 2].text.lower()[:12]]
+            keys += [("q", names[i - 2][0], v), ("qw", words[i - 2])]
         if i + 1 < n:
-            f += ["x=" + names[i + 1][0] + v[0], "xw=" + toks[i + 1].text.lower()[:12]]
+            keys += [("x", names[i + 1][0], v), ("xw", words[i + 1])]
         else:
-            f.append("last=" + v[0])
-        out.append(f)
-    return out
+            keys.append(("last", v))
+        yield keys

@@ -30,6 +30,9 @@ IDS = ("trace_id", "request_id", "build_id", "tenant", "session_id", "user_id",
 PUBLIC = ("cert", "public_pem", "public_key", "certificate", "ca_cert")
 IMAGES = ("icon", "logo", "image", "avatar")
 LINKS = ("docs_link", "primary_url", "home_url", "reset_url", "target", "broker", "dsn", "login_url")
+# Heads of issued tokens with the shortest and longest rest, and its characters.
+ISSUED = (("sk_live_", 20, 38, _ALNUM), ("sk_test_", 20, 38, _ALNUM), ("ghp_", 36, 36, _ALNUM), ("gho_", 36, 36, _ALNUM), ("github_pat_", 22, 82, _ALNUM + "_"), ("glpat-", 20, 26, _ALNUM + "-_"), ("xoxb-", 24, 50, _ALNUM + "-"), ("AKIA", 16, 16, string.ascii_uppercase + string.digits), ("npm_", 36, 36, _ALNUM), ("pypi-", 40, 60, _ALNUM + "-_"), ("hf_", 30, 40, _ALNUM), ("SG.", 60, 70, _ALNUM))
+ISSUERS = ("gitlab", "github", "npm", "pypi", "stripe", "slack", "sendgrid", "aws", "hugging_face")
 PREFIXES = ("", "", "", "db_", "mail_", "export_", "legacy_", "partner_", "cache_", "ftp_", "report_", "app_", "prod_", "stage_")
 SENTENCES = ("Enter your password", "Password must have 12 characters", "Token expired", "secret santa list", "Invalid token, try again", "Forgot password?", "Your API key has been revoked", "X-Csrf-Token", "X-Auth-Token", "please sign in", "no secret left behind", "Wrong password or user", "csrf_token")
 PLACEHOLDERS = ("changeme", "CHANGE_ME", "REPLACE_ME", "YOUR_TOKEN_HERE", "YOUR_API_KEY", "<your-token>", "<your-password>", "<your-api-key>", "{{ vault.app.token }}", "{{ secret }}", "env:APP_TOKEN", "env:DB_PASSWORD", "vault:kv/app", "${DB_PASSWORD}", "$DB_PASSWORD", "********", "****", "xxxxxxxxxxxxxxxx", "XXXXXXXX", "__SET_IN_CI__", "__FROM_VAULT__", "TODO", "null", "example", "placeholder", "<redacted>", "[hidden]", "%(password)s", "x")
@@ -230,6 +233,48 @@ def _pieces(r: random.Random) -> str:
     return r.choice((f"{n} = {q}{text}{q}", f"const {n} = {q}{text}{q};", f"var {n} = {q}{text}{q}", f"${n} = {q}{text}{q};", f"{n} := {q}{text}{q}", f'private String {n} = {q}{text}{q};', f"  {q}{n}{q}: {q}{text}{q},"))
 
 
+def _unnamed(r: random.Random) -> str:
+    """A token of a known issuer, which its shape alone makes a credential."""
+    head, low, high, chars = r.choice(ISSUED)
+    v = _marked(head + "".join(r.choice(chars) for _ in range(r.randint(low, high))))
+    if head == "SG.":
+        v = _marked(f"SG.{''.join(r.choice(_ALNUM + '-_') for _ in range(22))}.{''.join(r.choice(_ALNUM + '-_') for _ in range(43))}")
+    w = r.choice(WORDS)
+    n = r.choice((w, w.upper(), *ISSUERS, r.choice(ISSUERS).upper(), f"{w}_{r.choice(ISSUERS)}"))
+    return r.choice((v, f"- {v}", f'"{v}",', f"'{v}'", f"# {v}", f"see {w}: {v}", f"use {v} for {w}", f"{n} {v}", _templates(r, n, v), _templates(r, n, v), _templates(r, n, v)))
+
+
+def _broken(r: random.Random) -> str:
+    """A statement that goes on over line ends."""
+    n, q, gap = _name(r, r.choice(CREDENTIALS)), r.choice("\"'"), "\n" + " " * r.randint(2, 12)
+    if r.random() < 0.25:
+        v = r.choice((r.choice(PLACEHOLDERS), r.choice(SENTENCES)))
+    else:
+        v = _marked(_secret(r))
+    if "\x02" not in v:
+        return r.choice((f"{n} ={gap}{q}{v}{q}", f'"{n}":{gap}"{v}"', f"{n} = ({gap}{q}{v}{q}\n)"))
+    whole = v[1:-1]
+    k = r.randint(len(whole) // 3 + 1, 2 * len(whole) // 3)
+    a, b = _marked(whole[:k]), _marked(whole[k:])
+    join = r.choice((f"{q} +{gap}{q}", f"{q}{gap}+ {q}", f"{q} .{gap}{q}", f"{q}{gap}. {q}", f"{q} \\{gap}{q}"))
+    return r.choice(
+        (
+            f"{n} ={gap}{q}{v}{q}",
+            f"const {n} ={gap}{q}{v}{q};",
+            f'"{n}":{gap}"{v}",',
+            f"{n} = ({gap}{q}{v}{q}\n)",
+            f"{n} = \\{gap}{q}{v}{q}",
+            f"{n}: {r.choice('>|')}{r.choice(('', '-'))}{gap}{v}",
+            f"<{n}>{gap}{v}\n</{n}>",
+            f"run --{n.replace('_', '-')} \\{gap}{v}",
+            f"set({gap}{q}{n}{q},{gap}{q}{v}{q}\n)",
+            f"{n} = {q}{a}{join}{b}{q}",
+            f"{n} = {q}{a}{join}{b}{q};",
+            f"{n} = ({gap}{q}{a}{q}{gap}{q}{b}{q}\n)",
+        )
+    )
+
+
 def _code(r: random.Random) -> str:
     """A line of code without credentials, though its names may look like one."""
     w, v = r.choice(WORDS), r.choice(WORDS)
@@ -254,6 +299,7 @@ def _code(r: random.Random) -> str:
             f"char buf{i % 100}[{i}];",
             f"# the {w} pass list is capped, see the wiki",
             f"// callers pass a raw {w} {v} here",
+            f"{r.choice(('//', '#'))} callers pass a raw {w.split('_')[0]}-{r.choice((v.split('_')[0], 'up', 'in', 'off'))} {r.choice(('', v + ' '))}here",
             f"// keep the {w} key in step with the export",
             f"# TODO: check the {w} token before saving",
             f"def parse_{w}_pass_{i % 100}({arg}, limit={i}):",
@@ -317,6 +363,11 @@ def _code(r: random.Random) -> str:
 
 
 def _line(r: random.Random) -> str:
+    y = r.random()
+    if y < 0.05:
+        return _unnamed(r)
+    if y < 0.10:
+        return _broken(r)
     x = r.random()
     if x < 0.27:
         return _templates(r, _name(r, r.choice(CREDENTIALS)), _marked(_secret(r)))

@@ -121,3 +121,28 @@ def test_source_texts(spark):
     hooks = spark.createDataFrame([(1, {"content": "a", "new_string": None}, "x"), (2, None, "x")], "input_id long, tool_input struct<content:string,new_string:string>, text string")
     found = spark.createDataFrame([(7, "m"), (8, None), (9, "")], "finding_id long, matched_text string")
     assert {(r.field, r.row_id, r.text) for r in secrets.source_texts(hooks, found).collect()} == {("content", 1, "a"), ("matched_text", 7, "m")}
+
+
+ISSUED = "a8Xk29sLq0PzR7tYbN3ma8Xk29sLq0PzR7tY"
+WHOLE = [
+    (f"GITLAB: glpat-{ISSUED[:20]}", [f"glpat-{ISSUED[:20]}"]),
+    (f"NPM=npm_{ISSUED}", [f"npm_{ISSUED}"]),
+    (f"x = 'github_pat_{ISSUED}'", [f"github_pat_{ISSUED}"]),
+    (f"SG.{ISSUED[:22]}.{ISSUED}abcdefg", [f"SG.{ISSUED[:22]}.{ISSUED}abcdefg"]),
+    (f"hf_{ISSUED}", [f"hf_{ISSUED}"]),
+    ('password = "abXc8s9d" +\n    "dQe9f2k1"\nn = 1', ["abXc8s9d", "dQe9f2k1"]),
+    ('password = (\n    "abXc8s9d"\n    "dQe9f2k1"\n)', ["abXc8s9d", "dQe9f2k1"]),
+    ("password: >-\n  abc9Xk28d\nuser: bob", ["abc9Xk28d"]),
+    ('{\n  "password":\r\n    "Tr5x99Lkq"\n}', ["Tr5x99Lkq"]),
+    ("docker login -u bob \\\n  --password \\\n  Tr5x99Lkq0 \\\n  host", ["Tr5x99Lkq0"]),
+    ("<password>\n  Tr5x99Lkq\n</password>", ["Tr5x99Lkq"]),
+    ("A_PASSWORD=\nDB_HOST=a8Xk29sLq0", []),
+    ("# callers pass a raw power-up here", []),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), WHOLE)
+def test_every_statement_is_labelled(labeller, text, want):
+    """Values without a word that names them, and statements over several lines."""
+    spans = labeller.find([text])[0]
+    assert [text[a:b] for a, b in spans] == want
