@@ -1,6 +1,6 @@
 """Credentials written out in source text: exact places, and texts with only the values replaced.
 
-Every statement (a line, with the lines it goes on over) is split into lexical tokens, a
+Every statement (a line, with the lines it goes on over) is split into lexical tokens, however long it is; a
 linear-chain conditional random field with shape and context features labels them, and the Viterbi path's ``S``
 tokens are the characters to redact. Key blocks over several lines are one token.
 
@@ -35,27 +35,8 @@ def model(lines: int = TRAINING_LINES, seed: int = 11) -> crf.Model:
     return crf.train([features(s, t[s[-1].end :]) for s, _, t in rows], [y for _, y, _ in rows], LABELS)
 
 
-#: Characters from which a line (of minified code, say) is labelled in parts that end between statements.
+#: Characters from which what was found in a statement isn't remembered.
 LONG_LINE = 1 << 13
-_STATEMENT_END = re.compile(r"[;}]\s*(?=[a-z$_(!])")
-_ANY_END = re.compile(r"[;,}\s]")
-
-
-def _parts(text: str, start: int, end: int, blocks: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """A long line in parts; none ends within a word or a key block."""
-    out = []
-    while end - start > LONG_LINE:
-        near = start + LONG_LINE
-        m = _STATEMENT_END.search(text, near, min(end, near + LONG_LINE)) or _ANY_END.search(text, near, end)
-        cut = m.end() if m else end
-        for a, b in blocks:
-            if a < cut < b:
-                cut = min(b, end)
-        out.append((start, cut))
-        start = cut
-    return [*out, (start, end)] if start < end else out
-
-
 #: Tokens that are labelled at a time; a longer statement is labelled whole.
 BATCH_TOKENS = 1 << 14
 #: Keys of features whose weights are remembered from one batch of tokens to the next.
@@ -146,7 +127,7 @@ def statements(text: str) -> list[tuple[int, int]]:
         if not goes_on:
             out.append((start, b))
             start = -1
-    return [part for a, b in out for part in _parts(text, a, b, blocks)]
+    return out
 
 
 class Labeller:

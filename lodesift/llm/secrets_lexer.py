@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -40,9 +41,25 @@ _DEFAULTED = re.compile(r"\$\{([A-Za-z_][\w.]*):[=-]?([^{}]*)\}$")
 _ASSIGNED = re.compile(r"(-{0,2}[A-Za-z_$@][\w.\-$]*)(=|:=|:)(?=\S)(?!//)(.+)$", re.S)
 _HEADER = re.compile(r"([A-Za-z][A-Za-z0-9-]*):$")
 _WORD = re.compile(r"\S+")
+_QUOTE_OR_END = {q: re.compile(rf"\\.|{q}|\n", re.S) for q in "\"'"}
+_LETTERS = frozenset(string.ascii_letters)
+_SCHEME_CHARS = _LETTERS | frozenset(string.digits + "+.-")
 _LINE_ENDS, _BLOCK_SIGNS = frozenset(("\n", "\r")), frozenset("|>")
 
 
+def _scheme_in(text: str) -> bool:
+    """Whether a scheme and ``://`` occur in a text; sought from the sign backwards, since forwards each letter would be tried."""
+    at = text.find("://")
+    while at >= 0:
+        i = at
+        while i and text[i - 1] in _SCHEME_CHARS:
+            i -= 1
+            if text[i] in _LETTERS:
+                return True
+        at = text.find("://", at + 3)
+    return False
+
+
 def _address(text: str, base: int, out: list[tuple[int, int, str]]) -> None:
     """The parts of an address: scheme, user, password, host, path parts."""
     m = _SCHEME.search(text)
@@ -69,7 +86,7 @@ def _inside(text: str, base: int, quoted: str, out: list[tuple[int, int, str]],
         if d.group(2):
             _inside(d.group(2), base + d.start(2), "default", out)
         return
-    if "://" in text and _SCHEME.search(text):
+    if "://" in text and _scheme_in(text):
         first = _WORD.search(text)
         if first and first.end() == len(text) and _SCHEME.match(text):
             _address(text, base, out)
@@ -137,10 +154,27 @@ def _bare(text: str, base: int, quoted: str, out: list[tuple[int, int, str]], va
     out.append((base, base + (len(bare) or end), "bare"))
 
 
+def _openable(line: str) -> str:
+    """``line`` with a bar for each escaped quote behind the last that could close it, which opens nothing; each would be sought to the end."""
+    for q in "\"'":
+        if "\\" + q not in line:
+            continue
+        last, out, at = -1, [], 0
+        for m in _QUOTE_OR_END[q].finditer(line + "\n"):
+            if m.group() == q:
+                last = m.start()
+            elif m.group() == "\n":
+                out += [line[at : last + 1], line[max(at, last + 1) : m.start()].replace(q, "|"), "\n"]
+                at, last = m.end(), m.end() - 1
+        out.append(line[at:])
+        line = "".join(out)[: len(line)]
+    return line
+
+
 def _lex(line: str, base: int, spans: list[tuple[int, int, str]]) -> None:
     """The tokens of a part of a line that has no block."""
     value = False
-    for m in _LITERAL.finditer(line):
+    for m in _LITERAL.finditer(_openable(line) if "\\" in line else line):
         kind = m.lastgroup
         if kind == "tag":
             spans.append((base + m.start(), base + m.end(), "tag"))
@@ -187,6 +221,7 @@ DIGESTS = ("checksum", "hash", "digest", "integrity", "etag", "commit", "sha", "
 # Words before "pass" that leave it a password, not a ticket or a step.
 OWNERS = ("db", "database", "user", "admin", "root", "mail", "email", "smtp", "imap", "ftp", "sftp", "ssh", "app", "service", "svc", "account", "login", "api", "client", "server", "mysql", "pg", "postgres", "redis", "mq", "amqp", "ldap", "proxy", "wifi", "http", "basic", "test", "prod", "stage", "dev", "export", "legacy", "partner", "cache", "report", "backup", "master", "key", "keystore", "sudo", "vpn", "broker", "my", "the")
 
+_PART_END = re.compile(r"(\}[)\]]*)\s*,|(;)")
 _OVER_LINES = re.compile(r"(?:\\|[|>][+-]?\d?[+-]?)?[ \t]*\r?\n")
 _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+|[^\W\d_]+")
 _CRED, _KEYW, _ENDS, _CARRY, _DIG, _OWN = map(frozenset, (CREDENTIAL_WORDS, KEY_WORDS, OTHER_ENDS, CARRIERS, DIGESTS, OWNERS))
@@ -309,10 +344,28 @@ def expanded(key: tuple) -> list[str]:
 
 
 def feature_keys(toks: list[Token], tail: str) -> Iterator[list[tuple]]:
-    """The features of each token in groups, as keys that come again often (``expanded`` names their features)."""
+    """The features of each token in groups, as keys that come again often (``expanded`` names their features).
+
+    Neighbours and names are those of the same part of the line, up to a semicolon or a closed object behind a token, so that a
+    token has the same features whether its part stands in a line of its own or in a long one.
+    """
+    start, first = 0, toks[0].gap if toks else ""
+    for i in range(1, len(toks)):
+        gap = toks[i].gap
+        if (";" in gap or "}" in gap) and not toks[i].kind.startswith("pair"):
+            m = _PART_END.search(gap)
+            if m:
+                yield from _part_keys(toks[start:i], first, gap[: m.end(m.lastindex)])
+                start, first = i, gap[m.end() :].lstrip(" ,;")
+    if toks:
+        yield from _part_keys(toks[start:], first, tail)
+
+
+def _part_keys(toks: list[Token], first: str, tail: str) -> Iterator[list[tuple]]:
+    """The keys of a part's tokens; ``first`` stands before the first one, ``tail`` behind the last."""
     names = [name_class(t.text) if t.kind not in ("urlpw", "path", "host", "private", "public", "data") and len(t.text) <= 60 else ("none", "") for t in toks]
     values = [value_class(t.text) if len(t.text) <= 500 else value_class.__wrapped__(t.text) for t in toks]
-    gaps = [gap_class(t.gap) for t in toks]
+    gaps = [gap_class(first), *(gap_class(t.gap) for t in toks[1:])]
     n = len(toks)
     left, seen = ["^"] * n, "^"
     left_word = [""] * n

@@ -146,3 +146,40 @@ def test_every_statement_is_labelled(labeller, text, want):
     """Values without a word that names them, and statements over several lines."""
     spans = labeller.find([text])[0]
     assert [text[a:b] for a, b in spans] == want
+
+
+def test_one_line_json(labeller):
+    """A long line gives the spans of its objects on short lines, with quotes, braces and semicolons inside texts."""
+    import json
+    import random
+
+    r = random.Random(3)
+    prose = ["the river, {anchor} moves;", "it's a violet puzzle: see }", 'they said "so on"', "(open"]
+    short = [json.dumps({"id": i, "note": " ".join(r.choice(prose) for _ in range(r.randint(1, 40))), "password": f"Vq{r.randint(10, 99)}dx9Lk{i}Tz"}) for i in range(120)]
+    line = "[" + ", ".join(short) + "]"
+    assert len(line) > 50_000
+    got = [line[a:b] for a, b in labeller.find([line])[0]]
+    assert got == [s[a:b] for s in short for a, b in labeller.find([s])[0]] == [json.loads(s)["password"] for s in short]
+
+
+def test_name_far_from_value(labeller):
+    """No cut between a name and its value, wherever in a long line they stand."""
+    for n in range(8100, 8200, 7):
+        line = '{"note": "' + "x" * (n - 30) + '", "password": "Vq7dx9Lk3Tz"}'
+        assert [line[a:b] for a, b in labeller.find([line])[0]] == ["Vq7dx9Lk3Tz"]
+
+
+def test_unclosed_quotes_keep_the_lexer_linear():
+    import time
+
+    began = time.process_time()
+    toks = tokens('\\"a\\": 1, ' * 20_000)
+    assert time.process_time() - began < 10 and len(toks) > 40_000
+    import random
+
+    from lodesift.llm.secrets_lexer import _LITERAL, _openable
+
+    r = random.Random(2)
+    for _ in range(5000):
+        line = "".join(r.choice("ab\\\\\"'` \n") for _ in range(r.randint(1, 25)))
+        assert [m.span() for m in _LITERAL.finditer(_openable(line))] == [m.span() for m in _LITERAL.finditer(line)], line
