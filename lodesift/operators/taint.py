@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -207,14 +208,17 @@ def factor_of(expression: str, sanitized: bool) -> float:
     return UNKNOWN_CALL if call else 1.0
 
 
-def _full_call(lines: tuple[tuple[int, str], ...], k: int) -> str:
-    """A statement with the lines that close its parentheses, twenty at most."""
+def _full_call(lines: tuple[tuple[int, str], ...], k: int, at: int) -> str:
+    """A statement with the lines up to where its parentheses, or those from the call at ``at``, are closed or the scope ends."""
     text = lines[k][1]
-    j = k
-    while text.count("(") > text.count(")") and j + 1 < len(lines) and j - k < 20:
-        j += 1
-        text += " " + lines[j][1].strip()
-    return text
+    parts = [text]
+    depth = max(t.count("(") - t.count(")") for t in (text, text[at:]))
+    for _, line in islice(lines, k + 1, None) if depth > 0 else ():
+        parts.append(line.strip())
+        depth += line.count("(") - line.count(")")
+        if depth <= 0:
+            break
+    return " ".join(parts)
 
 
 def track(scope: Scope, language: str, catalog: Catalog = CORE) -> list[tuple[Source, int, Sink, int, float, tuple[tuple[int, str], ...]]]:
@@ -247,8 +251,8 @@ def track(scope: Scope, language: str, catalog: Catalog = CORE) -> list[tuple[So
             m = p.search(line)
             if not m:
                 continue
-            text = _full_call(scope.lines, k)
-            args = arguments(text, m.end() - 1 if m.group().endswith("(") else m.end())
+            at = m.end() - 1 if m.group().endswith("(") else m.end()
+            args = arguments(_full_call(scope.lines, k, at), at)
             if sink.category == "sql_query" and (_BOUND.search(re.sub(r"\?\?|\?\s*[\w\"'(]+[^:]*:", "", line)) or (len(args) > 1 and args[0][:1] in "\"'`" and _SQL.search(args[0]))):
                 continue
             some = args if -1 in sink.args or not sink.args else [args[i] for i in sink.args if i < len(args)] or args

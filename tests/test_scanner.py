@@ -210,6 +210,27 @@ def test_taint(lang, code, want):
     assert got == want
 
 
+LONG_CALLS = [
+    ("python", "def f():\n    q = request.args.get('q')\n    os.system(\n" + "        'a' +\n" * 40 + "        q\n    )", [("command_exec", 3)]),
+    ("python", "def f():\n    q = request.args.get('q')\n    ok = (a or\n      b) and os.system(\n        q\n    )", [("command_exec", 4)]),
+    ("javascript", "function f(req, res) {\n  const p = req.query.p;\n  fs.readFile(\n" + "    'x',\n" * 40 + "  );\n  g(p);\n}", []),
+    ("python", "def f():\n    q = request.args.get('q')\n    os.system('('\n\ndef g():\n    h(q)", []),
+]
+
+
+@pytest.mark.parametrize(("lang", "code", "want"), LONG_CALLS)
+def test_taint_of_long_calls(lang, code, want):
+    """A call is joined to its last line or the end of its scope, however many lines that is."""
+    got = [(s.category, no) for sc in taint.scopes(code, lang) for _, _, s, no, _, _ in taint.track(sc, lang)]
+    assert got == want
+
+
+def test_long_call_is_not_pure(spark):
+    code = "def f(a):\n    q = request.args.get('q')\n    os.system(\n" + "        'a' +\n" * 40 + "        q\n    )"
+    rows = graphbuild.signatures(texts(spark, (1, "/a.py", "python", code)), "input_id").collect()
+    assert [(r.is_pure, len(r.sink_calls)) for r in rows] == [(False, 1)]
+
+
 def test_taint_confidence_and_table(spark):
     f = texts(spark, (1, "/a.py", "python", "def f():\n    q = request.args.get('q')\n    a = wrap(q)\n    b = a + 'x'\n    os.system(b)"), (2, "/b.py", "python", None), (3, "/c", None, "x"))
     rows = taint.as_findings(taint.flows(f, "input_id")).collect()
