@@ -119,17 +119,20 @@ def _pieces(long: DataFrame, doc_id: str, text: str, chunk: int, overlap: int) -
 def encode(df: DataFrame, doc_id: str, text: str, name: str = "byte_bpe_50k", folder: str = TOKENIZERS, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """``doc_id, ids`` of every row of ``df``.
 
-    ``doc_id`` names a document: rows that repeat one with a long text must agree in it. Null and empty texts give an
-    empty list, strings of special tokens are ordinary text, repeated rows of short texts come out each.
-    Other columns are ignored.
+    Null and empty texts give an empty list, strings of special tokens are ordinary text, and repeated rows come out each,
+    whatever their length and ``doc_id``. Other columns are ignored.
     """
     rows = spread(df.select(doc_id, text))
     is_long = F.coalesce(F.char_length(text) > chunk, F.lit(False))
     short = _encoded(rows.where(~is_long), doc_id, text, name, folder)
-    long = df.select(doc_id, text).where(is_long).dropDuplicates([doc_id])
-    pieces = _encoded(_pieces(long, doc_id, text, chunk, overlap), f"{doc_id},part", "piece", name, folder)
-    joined = pieces.groupBy(doc_id).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "ids"))), lambda s: s["ids"])).alias("ids"))
-    return short.unionByName(joined)
+    # equal rows are encoded once and come out as often as there are; the key has no null, which a window or a join could lose
+    row = F.struct(F.struct(F.col(doc_id).alias("id")).alias("doc"), F.sha2(F.encode(text, "UTF-8"), 256).alias("hash"), F.char_length(text).alias("n"))
+    long = df.where(is_long).select(row.alias("key"), F.col(text).alias("text")).groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    long = long.select(F.struct("key", "copies").alias("key"), "text")
+    pieces = _encoded(_pieces(long, "key", "text", chunk, overlap), "key,part", "piece", name, folder)
+    joined = pieces.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "ids"))), lambda s: s["ids"])).alias("ids"))
+    each = joined.select(F.col("key.key.doc.id").alias(doc_id), "ids", F.explode(F.sequence(F.lit(1), F.col("key.copies").cast("int"))).alias("copy"))
+    return short.unionByName(each.select(doc_id, "ids"))
 
 
 def counts(df: DataFrame, doc_id: str, text: str, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:

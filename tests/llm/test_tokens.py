@@ -43,3 +43,15 @@ def test_counts_and_empty_table(spark):
     df = spark.createDataFrame([(1, "hello world"), (2, None), (3, "")], "doc_id long, text string")
     assert {r.doc_id: r.n_tokens for r in tokens.counts(df, "doc_id", "text").collect()} == {1: 2, 2: 0, 3: 0}
     assert tokens.encode(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_repeated_long_rows_come_out_each(spark):
+    """Rows of long texts: repeated ones, different texts of one id, null ids."""
+    a, b = "ab1 cd " * 30, "xy2, " * 40
+    rows = [(1, a), (1, a), (1, b), (None, a), (None, b), (None, b), (2, "s"), (2, "s"), (None, "s")]
+    enc = tokens.encoding()
+    want = sorted((i or 0, enc.encode_ordinary(t)) for i, t in rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id or 0, list(r.ids)) for r in tokens.encode(df, "doc_id", "text", chunk=64, overlap=20).collect()) == want
+    keyed = spark.createDataFrame([((i, "web"), t) for i, t in rows], "k struct<id:long,source:string>, text string")
+    assert sorted((r.k.id or 0, list(r.ids)) for r in tokens.encode(keyed, "k", "text", chunk=64, overlap=20).collect()) == want
