@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from functools import lru_cache
 
 from lodesift.llm.grammars.engine import END, Bad, Flat, Grammar, operators, token_pattern
@@ -342,12 +343,60 @@ def _c() -> _C:
     return _C()
 
 
+@dataclass
+class _Branch:
+    """A branch of a conditional: ``chain`` is its conditional, ``start`` and ``width`` the readings of that in which it is taken."""
+
+    chain: _Chain
+    start: int
+    width: int
+
+
+@dataclass
+class _Chain:
+    width: int = 0
+    decided: bool = False
+
+
+def _branch(chain: _Chain, condition: str) -> _Branch:
+    """The next branch of a conditional; none is taken whose condition is 0, or behind one whose condition is 1."""
+    width = 0 if chain.decided or condition == "0" else 1
+    chain.decided |= condition == "1"
+    return _Branch(chain, chain.width, width)
+
+
+def _reading(events: list, k: int) -> str:
+    """The tokens of reading ``k`` of a text; conditionals with fewer readings are in their last."""
+    out: list[str] = []
+    stack = [(True, k)]
+    for e in events:
+        if isinstance(e, str):
+            if stack[-1][0]:
+                out.append(e)
+        elif e is None:
+            stack.pop()
+        else:
+            first, b = e
+            if not first:
+                stack.pop()
+            on, outer = stack[-1]
+            at = min(outer, b.chain.width - 1) - b.start
+            stack.append((on and 0 <= at < b.width, at))
+    return "".join(out)
+
+
 def c(text: str) -> None:
+    """Every branch of every conditional must parse: each is taken in one reading of the text at least."""
     parser = _c()
     char, match = parser.c, _LEXER.match
-    out: list[str] = []
-    branches: list[str] = []
-    skipped = 0
+    events: list = []
+    open_: list[_Branch] = []
+    readings = 1
+
+    def close() -> None:
+        b = open_[-1]
+        b.chain.width = b.start + b.width
+
     at, n, fresh = 0, len(text), True
     while at < n:
         m = match(text, at)
@@ -365,34 +414,41 @@ def c(text: str) -> None:
             if not fresh or not _DIRECTIVE.match(tok):
                 raise Bad("directive")
             word = re.match(r"#[ \t]*(\w*)", tok).group(1)  # type: ignore[union-attr]
-            # of each conditional the first branch is read, unless its condition is 0
+            fixed = re.match(r"#[ \t]*(?:el)?if[ \t]*\(?[ \t]*([01])[ \t]*\)?[ \t]*(?:/[/*].*)?$", tok)
+            condition = fixed.group(1) if fixed else ""
             if word in ("if", "ifdef", "ifndef"):
-                off = re.match(r"#[ \t]*if[ \t]+\(?0\)?[ \t]*(?:/[/*].*)?$", tok) is not None
-                branches.append("outer" if skipped else "later" if off else "taken")
-                skipped += bool(skipped) or off
+                open_.append(_branch(_Chain(), condition))
+                events.append((True, open_[-1]))
             elif word in ("elif", "else"):
-                if not branches:
+                if not open_:
                     raise Bad("directive")
-                if branches[-1] == "later" and not re.match(r"#[ \t]*elif[ \t]+\(?0\)?[ \t]*$", tok):
-                    branches[-1], skipped = "taken", 0
-                elif branches[-1] == "taken":
-                    skipped = 1
+                close()
+                open_[-1] = _branch(open_[-1].chain, condition)
+                events.append((False, open_[-1]))
             elif word == "endif":
-                if not branches:
+                if not open_:
                     raise Bad("directive")
-                branches.pop()
-                skipped = max(0, skipped - 1)
+                close()
+                width = open_.pop().chain.width
+                events.append(None)
+                if open_:
+                    open_[-1].width = max(open_[-1].width, width) if open_[-1].width else 0
+                else:
+                    readings = max(readings, width)
             continue
         fresh = False
-        if skipped:
-            continue
         if kind == "word":
             tok = tok if tok in _HARD else "ID"
         elif kind == "str":
             tok = "STR"
         elif kind != "op":
             tok = "LIT"
-        out.append(char[tok])
-    if branches:
+        events.append(char[tok])
+    if open_:
         raise Bad("conditional")
-    parser.g.run("".join(out), "program")
+    last = None
+    for k in range(readings):
+        tokens = _reading(events, k)
+        if tokens != last:
+            parser.g.run(tokens, "program")
+        last = tokens

@@ -109,3 +109,20 @@ def test_written_files(spark):
     hooks = spark.createDataFrame([(1, 1, "c", "Write", {"content": "x"}), (2, 1, "c", "Edit", {"content": "x"}), (3, None, "c", "Write", {"content": "x"}), (4, 2, "c", "Write", None)], "input_id long, entry_id long, cwd string, tool_name string, tool_input struct<content:string>")
     ledger = spark.createDataFrame([(1, " Go ", "k"), (2, None, "k")], "entry_id long, lang string, cwd string")
     assert [tuple(r) for r in syntax.written_files(hooks, ledger).collect()] == [(1, "c", "go", "x")]
+
+
+C_BRANCHES = [
+    ("#ifdef A\nint f(void) {\n#else\nint f(int x) {\n#endif\nreturn 1; }\n", True),
+    ("#ifdef A\nint x;\n#else\nint f( {\n#endif\n", False),
+    ("#if A\nint x;\n#elif B\nint x\n#else\nint y;\n#endif\n", False),
+    ("#if A\n#if B\nint x;\n#else\nint f( {\n#endif\n#else\nint y;\n#endif\n", False),
+    ("#if 0\nint f( {\n#else\nint x;\n#endif\n", True),
+    ("#if 1\nint x;\n#else\nint f( {\n#endif\n", True),
+    ("#ifdef P\nstruct s {\n#endif\nint x;\n#ifdef A\nint y;\n#else\nint z;\n#endif\n#ifdef P\n};\n#endif\n", True),
+    ("#if 0\n#if A\nint f( {\n#else\n((\n#endif\n#endif\nint x;\n", True),
+]
+
+
+@pytest.mark.parametrize(("text", "valid"), C_BRANCHES)
+def test_every_branch_of_c(text, valid):
+    assert parses(text, "c") is valid
