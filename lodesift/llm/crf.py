@@ -100,40 +100,58 @@ def train(seqs: Sequence[Sequence[Sequence[str]]], tags: Sequence[Sequence[str]]
     return Model(tuple(labels), vocabulary, emit.astype(np.float32), move.astype(np.float32), start.astype(np.float32))
 
 
-def decode(model: Model, seqs: Sequence[np.ndarray], cells: int = 1 << 15) -> list[np.ndarray]:
-    """The most likely label numbers of each sequence of scores; a batch has about ``cells`` positions, or one longer sequence."""
-    out: list[np.ndarray] = [np.zeros(0, dtype=np.int8)] * len(seqs)
-    order = sorted((i for i in range(len(seqs)) if len(seqs[i])), key=lambda i: len(seqs[i]))
-    k = len(model.labels)
+def decode_flat(model: Model, scores: np.ndarray, lengths: np.ndarray, cells: int = 1 << 17) -> np.ndarray:
+    """The most likely label number at every position of sequences that lie one behind the other, ``lengths`` (1 or more) long.
+
+    Sequences of like length are decoded side by side, about ``cells`` positions at a time, or one longer sequence.
+    """
+    out = np.zeros(len(scores), dtype=np.int8)
+    first = np.cumsum(lengths) - lengths
+    order = np.argsort(lengths, kind="stable")
+    sorted_lengths = lengths[order]
     at = 0
     while at < len(order):
-        size = max(1, cells // max(1, len(seqs[order[min(len(order) - 1, at + cells // max(1, len(seqs[order[at]])))]])))
-        rows = order[at : at + size]
-        at += size
-        n = np.array([len(seqs[i]) for i in rows])
-        m, width = len(rows), int(n.max())
-        e = np.zeros((m, width, k), dtype=model.emit.dtype)
-        for r, i in enumerate(rows):
-            e[r, : n[r]] = seqs[i]
-        score = model.start + e[:, 0]
-        came = np.zeros((m, width, k), dtype=np.int8)
+        upto = at + 1
+        while upto < len(order):  # rows twice as many, as long as the longest of them keeps within the cells
+            more = min(len(order), at + 2 * (upto - at))
+            if sorted_lengths[more - 1] * (more - at) > cells or sorted_lengths[more - 1] > 1.25 * sorted_lengths[at] + 4:
+                break
+            upto = more
+        rows, n = order[at:upto], sorted_lengths[at:upto]
+        at = upto
+        m, width = len(rows), int(n[-1])
+        where = first[rows][:, None] + np.minimum(np.arange(width)[None, :], n[:, None] - 1)
+        e = scores[where.T]  # position, sequence, label
+        score = model.start + e[0]
         last = score.copy()
+        came = np.zeros((width, m, scores.shape[1]), dtype=np.int8)
         for t in range(1, width):
             paths = score[:, :, None] + model.move[None]
-            came[:, t] = paths.argmax(axis=1)
-            score = paths.max(axis=1) + e[:, t]
-            ends = n - 1 >= t
+            came[t] = paths.argmax(axis=1)
+            score = paths.max(axis=1) + e[t]
+            ends = n > t
             last[ends] = score[ends]
-        best = last.argmax(axis=1)
-        for r, i in enumerate(rows):
-            y = np.zeros(n[r], dtype=np.int8)
-            y[-1] = best[r]
-            for t in range(n[r] - 1, 0, -1):
-                y[t - 1] = came[r, t, y[t]]
+        y = last.argmax(axis=1).astype(np.int8)
+        each = np.arange(m)
+        for t in range(width - 1, -1, -1):
+            live = n > t
+            out[where[live, t]] = y[live]
+            if t:
+                y = np.where(live, came[t, each, y], y)
+    return out
+
+
+def decode(model: Model, seqs: Sequence[np.ndarray]) -> list[np.ndarray]:
+    """The most likely label numbers of each sequence of scores."""
+    full = [i for i, s in enumerate(seqs) if len(s)]
+    out: list[np.ndarray] = [np.zeros(0, dtype=np.int8)] * len(seqs)
+    if full:
+        lengths = np.array([len(seqs[i]) for i in full])
+        for i, y in zip(full, np.split(decode_flat(model, np.concatenate([seqs[i] for i in full]), lengths), np.cumsum(lengths)[:-1]), strict=True):
             out[i] = y
     return out
 
 
-def viterbi(model: Model, seqs: Sequence[Sequence[Sequence[int]]], cells: int = 1 << 15) -> list[np.ndarray]:
+def viterbi(model: Model, seqs: Sequence[Sequence[Sequence[int]]]) -> list[np.ndarray]:
     """The most likely label numbers of each sequence of feature numbers."""
-    return decode(model, [np.stack([model.emit[list(f)].sum(axis=0) for f in s]) if len(s) else np.zeros((0, len(model.labels))) for s in seqs], cells)
+    return decode(model, [np.stack([model.emit[list(f)].sum(axis=0) for f in s]) if len(s) else np.zeros((0, len(model.labels))) for s in seqs])

@@ -14,13 +14,13 @@ import re
 from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodesift.llm import crf, secrets_training
-from lodesift.llm.secrets_lexer import PRIVATE_BLOCK, Token, expanded, feature_keys, features, name_class, tokens
+from lodesift.llm.secrets_codes import Coder, spans
+from lodesift.llm.secrets_lexer import PRIVATE_BLOCK, features, name_class
 from lodesift.session import ship
 
 LABELS = ("O", "K", "S")
@@ -37,10 +37,10 @@ def model(lines: int = TRAINING_LINES, seed: int = 11) -> crf.Model:
 
 #: Characters from which what was found in a statement isn't remembered.
 LONG_LINE = 1 << 13
-#: Tokens that are labelled at a time; a longer statement is labelled whole.
-BATCH_TOKENS = 1 << 14
-#: Keys of features whose weights are remembered from one batch of tokens to the next.
-KEYS = 1 << 17
+#: Characters of texts whose statements are held at a time; a longer text is held whole.
+BLOCK = 1 << 22
+#: Characters of statements that are labelled at a time; a longer statement is labelled whole.
+BATCH = 1 << 18
 
 _QUOTES = "\"'`"
 # A line that ends so is taken on by a literal (or a parenthesis) on the next.
@@ -133,83 +133,48 @@ def statements(text: str) -> list[tuple[int, int]]:
 class Labeller:
     """Finds the spans of credentials in statements; remembers what it found in recent ones."""
 
-    def __init__(self, fitted: crf.Model, remember: int = 50_000):
+    def __init__(self, fitted: crf.Model, remember: int = 200_000):
         self.fitted, self.remember = fitted, remember
         self.known: dict[str, tuple[tuple[int, int], ...]] = {}
-        self.numbers: dict[tuple, int] = {}
-        self.sums = np.zeros((1 << 10, len(LABELS)), dtype=fitted.emit.dtype)
+        self.coder = Coder(fitted)
 
     def learn(self, lines: Iterable[str]) -> None:
         new = set(lines)
         if len(self.known) + len(new) > self.remember:
             self.known = {}
-        new = [s for s in new if s not in self.known]
-        waiting: list[tuple[str, list[Token]]] = []
+        waiting: list[str] = []
         n = 0
-        for s in new:
-            toks = tokens(s)
-            if not toks:
-                self.known[s] = ()
-                continue
-            waiting.append((s, toks))
-            n += len(toks)
-            if n >= BATCH_TOKENS:
+        for s in new.difference(self.known):
+            waiting.append(s)
+            n += len(s)
+            if n >= BATCH:
                 self._label(waiting)
                 waiting, n = [], 0
         self._label(waiting)
 
-    def _number(self, key: tuple) -> int:
-        """The row of ``sums`` with the weights of a key's features."""
-        k = self.numbers[key] = len(self.numbers)
-        if k == len(self.sums):
-            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-        known = self.fitted.vocabulary
-        self.sums[k] = self.fitted.emit[[known[f] for f in expanded(key) if f in known]].sum(axis=0)
-        return k
-
-    def _label(self, lines: list[tuple[str, list[Token]]]) -> None:
-        if len(self.numbers) > KEYS:
-            self.numbers = {}
-        get = self.numbers.get
-        scores = np.zeros((sum(len(toks) for _, toks in lines), len(LABELS)), dtype=self.sums.dtype)
-        at, flat, starts = 0, [], []
-        for s, toks in lines:
-            for keys in feature_keys(toks, s[toks[-1].end :]):
-                starts.append(len(flat))
-                for key in keys:
-                    x = get(key)
-                    flat.append(self._number(key) if x is None else x)
-                if len(starts) == BATCH_TOKENS:
-                    scores[at : at + len(starts)] = np.add.reduceat(self.sums[flat], starts, axis=0)
-                    at, flat, starts = at + len(starts), [], []
-        if starts:
-            scores[at:] = np.add.reduceat(self.sums[flat], starts, axis=0)
-        at, seqs = 0, []
-        for _, toks in lines:
-            seqs.append(scores[at : at + len(toks)])
-            at += len(toks)
-        for (s, toks), path in zip(lines, crf.decode(self.fitted, seqs), strict=True):
-            self.known[s] = tuple((toks[i].start, toks[i].end) for i in (path == 2).nonzero()[0])
+    def _label(self, lines: list[str]) -> None:
+        if self.coder.full():
+            self.coder.clear()
+        self.known.update(zip(lines, spans(self.coder, lines, lambda scores, lengths: crf.decode_flat(self.fitted, scores, lengths), LABELS.index("S")), strict=True))
 
     def find(self, texts: Sequence[str | None]) -> list[list[tuple[int, int]]]:
         """The spans of each text, in code points from 0, in order; none for null and empty texts."""
-        spans = [statements(t) if t else [] for t in texts]
         found: list[list[tuple[int, int]]] = []
-        block: list[str] = []
-        for t, ls in zip(texts, spans, strict=True):
-            block.extend(t[a:b] for a, b in ls)
-        self.learn(block)
-        for t, ls in zip(texts, spans, strict=True):
-            out = []
-            for a, b in ls:
-                s = t[a:b]
-                if s not in self.known:
-                    self.learn([s])
-                out.extend((a + x, a + y) for x, y in self.known[s])
-            found.append(out)
-        for s in block:
-            if len(s) > LONG_LINE:  # long statements hardly come again
-                self.known.pop(s, None)
+        at = 0
+        while at < len(texts):
+            upto, n = at, 0
+            while upto < len(texts) and n < BLOCK:
+                n += len(texts[upto] or "")
+                upto += 1
+            block = [[(a, t[a:b]) for a, b in statements(t)] if t else [] for t in texts[at:upto]]
+            self.learn(s for ls in block for _, s in ls)
+            for ls in block:
+                found.append([(a + x, a + y) for a, s in ls for x, y in self.known[s]])
+            for ls in block:
+                for _, s in ls:
+                    if len(s) > LONG_LINE:  # long statements hardly come again
+                        self.known.pop(s, None)
+            at = upto
         return found
 
 

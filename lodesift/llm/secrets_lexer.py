@@ -171,39 +171,62 @@ def _openable(line: str) -> str:
     return line
 
 
-def _lex(line: str, base: int, spans: list[tuple[int, int, str]]) -> None:
-    """The tokens of a part of a line that has no block."""
-    value = False
+def _lexemes(line: str, base: int) -> Iterator[tuple[int, str, str]]:
+    """The lexemes of a part of a line that has no block."""
+    how = "bare"
     for m in _LITERAL.finditer(_openable(line) if "\\" in line else line):
         kind = m.lastgroup
-        if kind == "tag":
-            spans.append((base + m.start(), base + m.end(), "tag"))
-            value = True
-        elif kind == "bare":
-            text = line[m.start() : m.end()]
-            if line[m.end() : m.end() + 1] in _LINE_ENDS and (text == "\\" or (text[0] in "+-0123456789" and line[m.start() - 1 : m.start()] in _BLOCK_SIGNS)):
+        start, end = m.span(kind)
+        if start == end:
+            how = "value" if line[m.end() : m.end() + 1] == ":" else "bare"
+            continue
+        text = line[start:end]
+        if kind == "bare":
+            if line[end : end + 1] in _LINE_ENDS and (text == "\\" or (text[0] in "+-0123456789" and line[start - 1 : start] in _BLOCK_SIGNS)):
                 continue
-            _inside(text, base + m.start(), "bare", spans, value)
-            value = text.endswith((":", "="))
-        elif kind:
-            _inside(line[m.start(kind) : m.end(kind)], base + m.start(kind), "literal", spans)
-            value = line[m.end() : m.end() + 1] == ":"
+            yield base + start, text, how
+            how = "value" if text[-1] in ":=" else "bare"
+        elif kind == "tag":
+            yield base + start, text, kind
+            how = "value"
+        else:
+            yield base + start, text, "literal"
+            how = "value" if line[m.end() : m.end() + 1] == ":" else "bare"
 
 
-def tokens(line: str) -> list[Token]:
-    """The tokens of ``line`` in order; empty literals give none."""
-    spans: list[tuple[int, int, str]] = []
+def lexemes(line: str) -> Iterator[tuple[int, str, str]]:
+    """``start, text, how to split it`` of the tags, literals (without quotes), bare words and blocks of a line; empty literals are left out.
+
+    A bare word is a ``value`` behind a name and a sign, and isn't split at signs.
+    """
     at = 0
     if "-----BEGIN" in line or ";base64," in line:
         for m in _BLOCKS.finditer(line):
-            _lex(line[at : m.start()], at, spans)
-            spans.append((m.start(), m.end(), m.lastgroup or "data"))
+            yield from _lexemes(line[at : m.start()], at)
+            yield m.start(), m.group(), m.lastgroup or "data"
             at = m.end()
-    _lex(line[at:], at, spans)
+    yield from _lexemes(line[at:] if at else line, at)
+
+
+def parts(text: str, how: str) -> list[tuple[int, int, str]]:
+    """``start, end, kind`` of the tokens of a lexeme."""
+    out: list[tuple[int, int, str]] = []
+    if how in ("bare", "value"):
+        _inside(text, 0, "bare", out, how == "value")
+    elif how == "literal":
+        _inside(text, 0, "literal", out)
+    else:
+        out.append((0, len(text), how))
+    return out
+
+
+def tokens(line: str) -> list[Token]:
+    """The tokens of ``line`` in order; empty literals give none."""
     out, at = [], 0
-    for a, b, kind in spans:
-        out.append(Token(a, b, line[a:b], kind, line[at:a]))
-        at = b
+    for base, text, how in lexemes(line):
+        for a, b, kind in parts(text, how):
+            out.append(Token(base + a, base + b, text[a:b], kind, line[at : base + a]))
+            at = base + b
     return out
 
 
@@ -221,7 +244,7 @@ DIGESTS = ("checksum", "hash", "digest", "integrity", "etag", "commit", "sha", "
 # Words before "pass" that leave it a password, not a ticket or a step.
 OWNERS = ("db", "database", "user", "admin", "root", "mail", "email", "smtp", "imap", "ftp", "sftp", "ssh", "app", "service", "svc", "account", "login", "api", "client", "server", "mysql", "pg", "postgres", "redis", "mq", "amqp", "ldap", "proxy", "wifi", "http", "basic", "test", "prod", "stage", "dev", "export", "legacy", "partner", "cache", "report", "backup", "master", "key", "keystore", "sudo", "vpn", "broker", "my", "the")
 
-_PART_END = re.compile(r"(\}[)\]]*)\s*,|(;)")
+PART_END = re.compile(r"(\}[)\]]*)\s*,|(;)")
 _OVER_LINES = re.compile(r"(?:\\|[|>][+-]?\d?[+-]?)?[ \t]*\r?\n")
 _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+|[^\W\d_]+")
 _CRED, _KEYW, _ENDS, _CARRY, _DIG, _OWN = map(frozenset, (CREDENTIAL_WORDS, KEY_WORDS, OTHER_ENDS, CARRIERS, DIGESTS, OWNERS))
@@ -306,10 +329,10 @@ def _entropy(text: str) -> float:
     n = len(text)
     if not n:
         return 0.0
-    count: dict[str, int] = {}
-    for c in text:
-        count[c] = count.get(c, 0) + 1
-    return -sum(v / n * math.log2(v / n) for v in count.values())
+    chars = set(text)
+    if len(chars) == n:
+        return math.log2(n)
+    return math.log2(n) - sum(v * math.log2(v) for v in map(text.count, chars)) / n
 
 
 @lru_cache(maxsize=1 << 14)
@@ -353,7 +376,7 @@ def feature_keys(toks: list[Token], tail: str) -> Iterator[list[tuple]]:
     for i in range(1, len(toks)):
         gap = toks[i].gap
         if (";" in gap or "}" in gap) and not toks[i].kind.startswith("pair"):
-            m = _PART_END.search(gap)
+            m = PART_END.search(gap)
             if m:
                 yield from _part_keys(toks[start:i], first, gap[: m.end(m.lastindex)])
                 start, first = i, gap[m.end() :].lstrip(" ,;")

@@ -183,3 +183,31 @@ def test_unclosed_quotes_keep_the_lexer_linear():
     for _ in range(5000):
         line = "".join(r.choice("ab\\\\\"'` \n") for _ in range(r.randint(1, 25)))
         assert [m.span() for m in _LITERAL.finditer(_openable(line))] == [m.span() for m in _LITERAL.finditer(line)], line
+
+
+def test_features_in_numbers():
+    """Scores made for whole batches equal those of each token's features, one by one."""
+    import numpy as np
+
+    from lodesift.llm import secrets_codes, secrets_lexer
+
+    fitted = secrets.model(1000)
+    lines = [line for line, _ in secrets_training.labelled(600, 5)] + ["", "a;b; c = 'x';", "x" * 700 + " = '" + "y1" * 400 + "'", "{ pw: 'a' }, { token: 'b;c' }; d"]
+    coder = secrets_codes.Coder(fitted)
+    starts, ends, toks, gaps, tails, sizes = [], [], [], [], [], []
+    for line in lines:
+        n = len(toks)
+        tail = coder.add(line, starts, ends, toks, gaps)
+        sizes.append(len(toks) - n)
+        if sizes[-1]:
+            tails.append(tail)
+    length = np.array([n for n in sizes if n])
+    got = coder.scores(toks, gaps, np.cumsum(length) - length, tails)
+    want, at = [], []
+    for line in lines:
+        found = secrets_lexer.tokens(line)
+        at += [(t.start, t.end) for t in found]
+        if found:
+            want += [fitted.emit[[fitted.vocabulary[f] for f in fs if f in fitted.vocabulary]].sum(axis=0) for fs in secrets_lexer.features(found, line[found[-1].end :])]
+    assert at == list(zip(starts, ends, strict=True))
+    assert np.allclose(got, np.array(want), atol=1e-3)
