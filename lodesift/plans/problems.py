@@ -114,19 +114,38 @@ def _raw_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return shred.children(_raw_nodes(spark, d))
+    return shred.entities(_raw_nodes(spark, d)).select("record_id", "child_path", "pos_path")
+
+
+def p5_entities(spark: SparkSession, d: str) -> DataFrame:
+    """All entities of all places from one parse, with their fields as a map."""
+    return shred.entities(_raw_nodes(spark, d)).withColumn("fields", F.to_json("fields"))
 
 
 def _entity_query(place: str, fields: tuple[str, ...]) -> Query:
     def query(spark: SparkSession, d: str) -> DataFrame:
-        return shred.entity(_raw_nodes(spark, d), place, fields)
+        return shred.entity(_raw_nodes(spark, d), place, fields).withColumn("rest", F.to_json("rest"))
+
+    return query
+
+
+def _record_query(kind: str, fields: tuple[str, ...]) -> Query:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        records = table(spark, d, "raw_records").where(label(F.col("record_kind")) == kind)
+        return shred.roots(shred.adjacency(records, "record_id", "payload"), fields).withColumn("rest", F.to_json("rest"))
 
     return query
 
 
-#: Scalar fields of each place's flat table.
+#: Scalar fields of the flat table of each kind of record; all others are in its ``rest``.
+RECORD_FIELDS = {
+    "entry": ("timestamp", "session_id", "event", "file_path", "language", "finding_count", "suppressed_count", "max_severity", "blocked", "rules_run", "scan_time_ms"),
+    "funcnode": ("id", "name", "file_path", "package", "start_line", "end_line", "content_hash", "last_scan_at", "language", "finding_count"),
+    "input": ("session_id", "transcript_path", "cwd", "permission_mode", "hook_event_name", "tool_name", "tool_use_id"),
+}
+#: Scalar fields of each place's flat table; all others are in its ``rest``.
 ENTITY_FIELDS = {
-    "findings": ("rule_id", "severity", "title", "line_number", "cwe_id", "flow.scope", "flow.confidence"),
+    "findings": ("rule_id", "severity", "severity_label", "title", "description", "file_path", "line_number", "column", "matched_text", "suggestion", "cwe_id", "owasp_category", "language", "confidence", "confidence_score", "flow.scope", "flow.confidence"),
     "findings.tags": (),
     "findings.flow.steps": ("line", "description", "var"),
     "suppressed_rules": (),
@@ -138,21 +157,18 @@ ENTITY_FIELDS = {
     "taint_sig.sanitized_paths": ("param_index", "sink_category", "sanitizer", "line"),
     "taint_sig.tainted_params": (),
     "taint_sig.source_params": (),
-    "tool_input": ("file_path", "content"),
-    "tool_input.edits": ("old_string", "new_string"),
+    "tool_input": ("file_path", "content", "old_string", "new_string", "replace_all", "notebook_path", "new_source"),
+    "tool_input.edits": ("old_string", "new_string", "replace_all"),
     "tool_response": ("success", "file_path"),
 }
 
 
 def p5_node_columns(spark: SparkSession, d: str) -> DataFrame:
-    """The nested columns of ``func_nodes`` and ``hook_inputs`` through the same shredder."""
-    fn = table(spark, d, "func_nodes").select(F.col("node_seq").alias("record_id"), F.to_json(F.struct("calls", "called_by", "taint_sig")).alias("payload"))
-    hi = table(spark, d, "hook_inputs").select(F.col("input_id").alias("record_id"), F.to_json(F.struct("tool_input", "tool_response")).alias("payload"))
-
-    def of(name: str, df: DataFrame) -> DataFrame:
-        return shred.children(shred.adjacency(df, "record_id", "payload")).select(F.lit(name).alias("source_table"), "*")
-
-    return of("func_nodes", fn).unionByName(of("hook_inputs", hi))
+    """The nested columns of ``func_nodes`` and ``hook_inputs``, taken apart as columns."""
+    sig = {place: (place, how) for place, how in shred.PLACES.items() if place in ("calls", "called_by") or (place.startswith("taint_sig") and place != "taint_sig.suppressed_sinks")}
+    fn = shred.column_parts(table(spark, d, "func_nodes"), "node_seq", sig)
+    hi = shred.column_parts(table(spark, d, "hook_inputs"), "input_id", {p: (p, "one") for p in ("tool_input", "tool_response")})
+    return fn.select(F.lit("func_nodes").alias("source_table"), "*").unionByName(hi.select(F.lit("hook_inputs").alias("source_table"), "*"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -181,6 +197,8 @@ QUERIES: dict[str, Query] = {
     "p4_found": p4_found,
     "p4_features": p4_features,
     "p5_found": p5_found,
+    "p5_entities": p5_entities,
+    **{f"p5_records_{kind}": _record_query(kind, fields) for kind, fields in RECORD_FIELDS.items()},
     **{f"p5_{place.replace('.', '_')}": _entity_query(place, fields) for place, fields in ENTITY_FIELDS.items()},
     "p5_node_columns": p5_node_columns,
     "p6_found": p6_found,

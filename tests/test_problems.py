@@ -175,7 +175,7 @@ def test_shred_cases(spark):
     ]
     df = spark.createDataFrame([(i, p, 1) for i, p in enumerate(payloads)], "record_id long, payload string, place int")
     got = {}
-    for r in shred.children(shred.adjacency(df, "record_id", "payload")).collect():
+    for r in shred.entities(shred.adjacency(df, "record_id", "payload")).collect():
         got.setdefault(r.record_id, set()).add((r.child_path, r.pos_path))
     assert got == {i: c for i, p in enumerate(payloads) if (c := brute_children(p))}
     assert shred.adjacency(spark.createDataFrame([], "record_id long, payload string"), "record_id", "payload").count() == 0
@@ -184,7 +184,7 @@ def test_shred_cases(spark):
 def test_shred_real_records(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/raw_records.parquet")
     got = {}
-    for r in shred.children(shred.adjacency(df, "record_id", "payload")).collect():
+    for r in shred.entities(shred.adjacency(df, "record_id", "payload")).collect():
         got.setdefault(r.record_id, set()).add((r.child_path, r.pos_path))
     want = {r.record_id: c for r in df.collect() if (c := brute_children(r.payload))}
     assert got == want
@@ -201,6 +201,46 @@ def test_shredded_tables_join_again(spark):
     assert [(r.rule_id, r.line) for r in joined] == [("A", "7")]
 
 
+def test_shred_loses_nothing(spark):
+    """Lone surrogates, deep nesting, long numbers, texts in texts, repeated names, unknown fields; every scalar is in a flat table."""
+    deep = '{"a": ' * 20_000 + "1" + "}" * 20_000
+    wrapped = json.dumps({"calls": ["x"]})
+    for _ in range(6):
+        wrapped = json.dumps(wrapped)
+    payloads = [
+        '{"calls": ["\\ud800", "ok\\ud83d\\ude00"], "note": "\\udfff"}',
+        '{"findings": [{"rule_id": "R", "more": ' + deep + "}]}",
+        '{"calls": ["a"], "n": ' + "7" * 5000 + ', "m": 1e999, "k": -0.50}',
+        wrapped,
+        '{"calls": ["a"], "calls": ["b", "c"], "x": 1, "x": 2, "x": 3}',
+        '{"tool_input": {"new_string": "n", "odd": {"p": [1, {"q": true}], "e": {}, "z": []}}, "sessionId": "s", "session_id": "t", "free": [[1], "w"]}',
+        '{"toolResponse": "done", "taint_sig": {"source_params": {"0": {"why": "w"}, "1": "net"}, "tainted_params": "odd"}}',
+        '{"a": 1,}',
+        '{"a": ' * 20_000 + "1" + "}" * 19_999,
+        "[" * 30_000 + "]" * 30_000,
+    ]
+    df = spark.createDataFrame(list(enumerate(payloads)), "record_id long, payload string")
+    nodes = shred.adjacency(df, "record_id", "payload").cache()
+    got = {}
+    for r in shred.entities(nodes).collect():
+        got.setdefault(r.record_id, {})[(r.child_path, r.pos_path)] = (r.value, r.fields)
+    assert got[0] == {("calls", "0"): ("\ufffd", {}), ("calls", "1"): ("ok\U0001f600", {})}
+    f = got[1][("findings", "0")][1]
+    assert f["rule_id"] == "R" and sorted(f.values()) == ["1", "R"] and len(got[1]) == 1
+    assert nodes.where("record_id = 1").count() == 20_000 + 5
+    assert set(got[2]) == {("calls", "0")} and set(got[3]) == {("calls", "0")} and set(got[4]) == {("calls", "0"), ("calls", "1")}
+    assert got[5][("tool_input", "0")][1] == {"new_string": "n", "odd.p[0]": "1", "odd.p[1].q": "true", "odd.e": "{}", "odd.z": "[]"}
+    assert got[6] == {("tool_response", "0"): ("done", {}), ("taint_sig", "0"): (None, {"tainted_params[0]": "odd"}), ("taint_sig.source_params", "0"): (None, {"why": "w"}), ("taint_sig.source_params", "1"): ("net", {})}
+    assert not {7, 8, 9} & set(got)
+    root = {r.record_id: r for r in shred.roots(nodes, ("session_id", "x")).collect()}
+    assert root[0].rest == {"note": "\ufffd"} and root[2].rest == {"n": "7" * 5000, "m": "1e999", "k": "-0.5"}
+    assert root[4].x == "3" and sorted(root[4].rest.values()) == ["1", "2", "a"]
+    assert root[5].session_id == "s" and sorted(root[5].rest.values()) == ["1", "t", "w"]
+    table = {r.record_id: r for r in shred.entity(nodes, "tool_input", ("new_string",)).collect()}
+    assert table[5].new_string == "n" and set(table[5].rest) == {"odd.p[0]", "odd.p[1].q", "odd.e", "odd.z"} and table[5].owner == 0
+    nodes.unpersist()
+
+
 def test_missing_keys_against_sets(spark):
     import random
 
