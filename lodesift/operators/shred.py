@@ -91,10 +91,15 @@ def _broken(s: str) -> object:
     return x if math.isfinite(x) else _Digits(s)
 
 
+def _constant(name: str) -> object:
+    raise ValueError(name)
+
+
 _DECODER = json.JSONDecoder(object_pairs_hook=_object, parse_int=_whole, parse_float=_broken)
+_STRICT = json.JSONDecoder(object_pairs_hook=_object, parse_int=_whole, parse_float=_broken, parse_constant=_constant)
 
 
-def _read_deep(s: str) -> object:
+def _read_deep(s: str, constants: bool) -> object:
     """Reads JSON of any depth, without recursion; raises ``ValueError`` as the library does."""
     stack: list[tuple[str, list, str | None]] = []
     at, n = _BLANK.match(s, 0).end(), len(s)  # type: ignore[union-attr]
@@ -132,7 +137,7 @@ def _read_deep(s: str) -> object:
                 value, at = (_whole(m.group()) if m.group(2) is None and m.group(3) is None else _broken(m.group())), m.end()
             else:
                 word = next((w for w in _WORDS if s.startswith(w, at)), None)
-                if word is None:
+                if word is None or (not constants and word[-1] in "Ny"):
                     raise ValueError(at)
                 value, at = _WORDS[word], at + len(word)
         while True:  # the value is whole: it goes to what encloses it, which may thereby be whole
@@ -155,11 +160,12 @@ def _read_deep(s: str) -> object:
             kind, items, name = stack.pop()
 
 
-def _read(s: str) -> object:
+def read(s: str, constants: bool = True) -> object:
+    """The value of a JSON text of any depth; raises ``ValueError`` if it is none. ``constants``: NaN and infinities are numbers."""
     try:
-        return _DECODER.decode(s)
+        return (_DECODER if constants else _STRICT).decode(s)
     except RecursionError:
-        return _read_deep(s)
+        return _read_deep(s, constants)
 
 
 def _parsed(text: str, outer: bool) -> object:
@@ -170,7 +176,7 @@ def _parsed(text: str, outer: bool) -> object:
         try:
             if s[:1] not in ("{", "[", '"'):
                 raise ValueError(s[:1])
-            value = _read(s)
+            value = read(s)
         except ValueError:
             if outer:
                 raise _Unreadable from None
