@@ -1,9 +1,8 @@
 """Source files that do not parse in the language they are filed under.
 
-Each file is parsed by the grammars in the order of a token-based ranking, its named language
-first, until one accepts it. The named one: the file is valid. Another one: it has the wrong
-extension. None of them: it is corrupt. The grammars after the first success can't change the
-verdict and aren't run, unless ``exhaustive``.
+Each file is ranked by its tokens and parsed by the grammars of all supported languages; what comes out is the list of the languages
+that accept it, the likeliest first. Only that list is joined with the language the file is filed under: if this is among them, the file is valid;
+if only others are, it has the wrong extension; if none is, it is corrupt. No text is moved.
 """
 
 from __future__ import annotations
@@ -37,54 +36,62 @@ SIGNS: dict[str, tuple[str, ...]] = {
 _TOKEN = re.compile(r"#include|#define|#!/[\w/]+|<\?php|<\?=|\$\w+|@\w*|\w+|=>|===|:=|->|::|\":|\",|\[\"|[{}|]|---|: |- |>-")
 
 
-def ranking(text: str, named: str | None = None) -> list[str]:
-    """All languages, the likeliest first by the share of its signs among the text's tokens; ``named`` leads."""
+def ranking(text: str) -> list[str]:
+    """All languages, the likeliest first by the share of its signs among the text's tokens; ties in the order of ``LANGUAGES``."""
     count = Counter(_TOKEN.findall(text))
     score = {lang: sum(count[s] for s in signs) / len(signs) for lang, signs in SIGNS.items()}
-    order = sorted(LANGUAGES, key=lambda lang: (-score[lang], LANGUAGES.index(lang)))
-    return order if named is None else [named, *[lang for lang in order if lang != named]]
+    return sorted(LANGUAGES, key=lambda lang: -score[lang])
 
 
-def diagnose(text: str, named: str, exhaustive: bool = False) -> tuple[bool, str | None, list[str]]:
-    """Whether ``text`` parses as ``named``, the first language in the ranking that accepts it, and all that were seen to accept it."""
-    if not exhaustive and parses(text, named):
-        return True, named, [named]
-    accepted: list[str] = []
-    for lang in ranking(text, named):
-        if (exhaustive or lang != named) and parses(text, lang):
-            accepted.append(lang)
-            if not exhaustive:
-                break
-    return named in accepted, accepted[0] if accepted else None, accepted
+def accepting(text: str) -> list[str]:
+    """The languages that accept ``text``, the likeliest first; every grammar is tried."""
+    return [lang for lang in ranking(text) if parses(text, lang)]
 
 
-def verdicts(files: DataFrame, exhaustive: bool = False) -> DataFrame:
-    """``input_id, repo, lang, valid, parsed_as, verdict`` of each row of ``files`` (``input_id, repo, lang, content``).
+def parsed(files: DataFrame) -> DataFrame:
+    """The other columns of ``files`` and ``accepted``, the languages that accept ``content``.
 
-    ``verdict`` is ``valid``, ``wrong_extension`` or ``corrupt``. Rows of other languages than the
-    supported ones, without language, and with null or blank content are left out. Line ends are read as LF, a
-    byte order mark is no fault. Repeated rows are judged each; extra columns are ignored; whole texts are parsed.
+    Rows with null or blank content are left out. Line ends are read as LF, a byte order mark is no fault. Repeated rows are
+    judged each; whole texts are parsed, by every grammar.
     """
     ship(files.sparkSession)
-    rows = files.where(F.col("lang").isin(list(LANGUAGES)) & F.coalesce(F.trim("content", F.lit(BLANKS)) != "", F.lit(False))).select("input_id", "repo", "lang", "content")
+    keys = [c for c in files.columns if c != "content"]
+    rows = files.where(F.coalesce(F.trim("content", F.lit(BLANKS)) != "", F.lit(False))).select(*keys, "content")
 
-    def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [diagnose(text, lang, exhaustive) for lang, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            kinds = ["valid" if ok else "wrong_extension" if found else "corrupt" for ok, found, _ in out]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array([o[0] for o in out], pa.bool_()), pa.array([o[1] for o in out], pa.string()), pa.array(kinds, pa.string())],
-                ["input_id", "repo", "lang", "valid", "parsed_as", "verdict"],
-            )
+            out = pa.array([accepting(text) for text in batch.column(len(keys)).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], out], [*keys, "accepted"])
 
-    return rows.mapInArrow(judge, "input_id long, repo string, lang string, valid boolean, parsed_as string, verdict string")
+    types = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", accepted array<string>")
+
+
+def verdicts(judged: DataFrame) -> DataFrame:
+    """``input_id, repo, lang, valid, parsed_as, verdict`` of each row of ``judged`` (``input_id, repo, lang, accepted``).
+
+    ``verdict`` is ``valid``, ``wrong_extension`` or ``corrupt``; ``parsed_as`` is ``lang`` where that accepts the file, else the likeliest language that
+    does. Rows of other languages than the supported ones and without language are left out; extra columns are ignored.
+    """
+    valid = F.array_contains("accepted", F.col("lang"))
+    return judged.where(F.col("lang").isin(list(LANGUAGES))).select(
+        "input_id",
+        "repo",
+        "lang",
+        valid.alias("valid"),
+        F.when(valid, F.col("lang")).otherwise(F.get("accepted", F.lit(0))).alias("parsed_as"),
+        F.when(valid, "valid").when(F.size("accepted") > 0, "wrong_extension").otherwise("corrupt").alias("verdict"),
+    )
 
 
 def written_files(hook_inputs: DataFrame, ledger: DataFrame) -> DataFrame:
-    """The files written whole, with the language the ledger names for their entry."""
-    writes = spread(hook_inputs.where(F.col("tool_name") == "Write").select("input_id", "entry_id", F.col("cwd").alias("repo"), F.col("tool_input.content").alias("content")).where(F.col("content").isNotNull() & F.col("entry_id").isNotNull()))
+    """``input_id, repo, lang, accepted`` of the files written whole; ``lang`` is the language the ledger names for their entry.
+
+    An entry that the ledger holds twice gives a row each; files without entry are left out.
+    """
+    writes = hook_inputs.where(F.col("tool_name") == "Write").select("input_id", "entry_id", F.col("cwd").alias("repo"), F.col("tool_input.content").alias("content"))
     named = ledger.select("entry_id", label(F.col("lang")).alias("lang")).where(F.col("lang").isin(list(LANGUAGES)))
-    return writes.join(named, "entry_id").select("input_id", "repo", "lang", "content")
+    return parsed(spread(writes.where(F.col("content").isNotNull() & F.col("entry_id").isNotNull()))).join(named, "entry_id").select("input_id", "repo", "lang", "accepted")
 
 
 def report(judged: DataFrame) -> DataFrame:

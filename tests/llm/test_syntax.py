@@ -87,28 +87,38 @@ def test_long_and_odd_texts():
         parses("\x00\ud7ff" + "é" * 100, lang)
 
 
-def test_diagnosis():
+def test_no_cap_on_depth_and_digits():
+    assert parses("[" * 50_000 + "]" * 50_000, "json") and not parses("[" * 50_000 + "]" * 49_999, "json")
+    assert parses('{"a": ' * 20_000 + "NaN" * 0 + "1" + "}" * 20_000, "json") and not parses('{"a": ' * 20_000 + "NaN" + "}" * 20_000, "json")
+    assert parses("7" * 6000, "json") and parses("x = " + "7" * 6000, "python") and parses("1e400", "json") and not parses("01", "json")
+    assert parses("if (a) b(); " + "else if (c) d(); " * 30_000, "javascript")
+    assert parses("x = " + "a ? b : " * 30_000 + "c;", "javascript")
+
+
+def test_accepting():
     py = "import os\n\ndef f(x):\n    return [y for y in x if y is not None]\n"
-    ok, found, _ = syntax.diagnose(py, "go")
-    assert not ok and found == "python"
-    assert syntax.diagnose("}{ <<<< '", "go")[1] is None
-    assert syntax.diagnose('{"a": 1}', "json") == (True, "json", ["json"])
-    assert set(syntax.diagnose('{"a": 1}', "json", True)[2]) >= {"json", "yaml"}
-    assert set(syntax.ranking(py, "go")) == set(LANGUAGES) and syntax.ranking(py)[0] == "python"
+    assert syntax.accepting(py)[0] == "python" and "go" not in syntax.accepting(py)
+    assert syntax.accepting("}{ <<<< '") == []
+    assert set(syntax.accepting('{"a": 1}')) >= {"json", "yaml"}
+    assert set(syntax.ranking(py)) == set(LANGUAGES) and syntax.ranking(py)[0] == "python"
 
 
 def test_verdicts_and_report(spark):
-    rows = [(1, "r", "json", "{}", 1), (2, "r", "json", "{", 1), (3, "r", "go", "import os\nprint(os)\nif x:\n    y = None\n", 1), (4, "r", "json", None, 1), (5, "r", "json", " \n", 1), (6, "r", "sql", "{", 1), (7, None, "json", "{}", 1), (7, None, "json", "{}", 1)]
-    v = syntax.verdicts(spark.createDataFrame(rows, "input_id long, repo string, lang string, content string, valid int"))
-    assert sorted((r.input_id, r.valid, r.verdict) for r in v.collect()) == [(1, True, "valid"), (2, False, "corrupt"), (3, False, "wrong_extension"), (7, True, "valid"), (7, True, "valid")]
+    rows = [(1, "r", "json", "{}", 1), (2, "r", "json", "{", 1), (3, "r", "go", "import os\nprint(os)\nif x:\n    y = None\n", 1), (4, "r", "json", None, 1), (5, "r", "json", " \n", 1), (6, "r", "sql", "{", 1), (7, None, "json", "{}", 1), (7, None, "json", "{}", 1), (8, "r", None, "{}", 1)]
+    files = spark.createDataFrame(rows, "input_id long, repo string, lang string, content string, valid int")
+    v = syntax.verdicts(syntax.parsed(files))
+    assert sorted((r.input_id, r.valid, r.verdict, r.parsed_as) for r in v.collect() if r.input_id != 3) == [(1, True, "valid", "json"), (2, False, "corrupt", None), (7, True, "valid", "json"), (7, True, "valid", "json")]
+    assert [(r.valid, r.verdict, r.parsed_as) for r in v.where("input_id = 3").collect()] == [(False, "wrong_extension", "python")]
     rep = {(r.repo, r.lang): (r.n_files, r.n_invalid, r.invalid_rate) for r in syntax.report(v).collect()}
     assert rep == {("r", "json"): (2, 1, 0.5), ("r", "go"): (1, 1, 1.0), (None, "json"): (2, 0, 0.0)}
+    assert syntax.verdicts(syntax.parsed(files.limit(0))).collect() == []
 
 
 def test_written_files(spark):
-    hooks = spark.createDataFrame([(1, 1, "c", "Write", {"content": "x"}), (2, 1, "c", "Edit", {"content": "x"}), (3, None, "c", "Write", {"content": "x"}), (4, 2, "c", "Write", None)], "input_id long, entry_id long, cwd string, tool_name string, tool_input struct<content:string>")
-    ledger = spark.createDataFrame([(1, " Go ", "k"), (2, None, "k")], "entry_id long, lang string, cwd string")
-    assert [tuple(r) for r in syntax.written_files(hooks, ledger).collect()] == [(1, "c", "go", "x")]
+    hooks = spark.createDataFrame([(1, 1, "c", "Write", {"content": "{}"}), (2, 1, "c", "Edit", {"content": "{}"}), (3, None, "c", "Write", {"content": "{}"}), (4, 2, "c", "Write", None)], "input_id long, entry_id long, cwd string, tool_name string, tool_input struct<content:string>")
+    ledger = spark.createDataFrame([(1, " Json ", "k"), (2, None, "k")], "entry_id long, lang string, cwd string")
+    got = [tuple(r) for r in syntax.written_files(hooks, ledger).collect()]
+    assert [r[:3] for r in got] == [(1, "c", "json")] and "json" in got[0][3]
 
 
 C_BRANCHES = [
