@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from dataclasses import dataclass
 from functools import lru_cache
 
-from lodesift.llm.grammars.engine import END, Bad, Flat, Grammar, operators, token_pattern
+from lodesift.llm.grammars.engine import Bad, END, Flat, Grammar, PROBE, operators, token_pattern
 
 _TYPES = "void char short int long float double signed unsigned _Bool _Complex __int128".split()
 _QUALIFIERS = "const volatile restrict static extern register auto typedef inline _Noreturn _Thread_local _Atomic __inline __inline__ __restrict __extension__ __const __volatile__".split()
@@ -58,7 +59,7 @@ class _C(Flat):
         t["forhead"] = self.whole(self.for_head)
         t["typename"] = self.whole(self.type_name)
         t["declarator"] = self.whole(lambda s, p: self.declarator(s, p, True))
-        t["any"] = self.whole(lambda s, p: len(s) - 1)
+        t["any"] = lambda s: None
         t["size"] = self.whole(self.size, empty=True)
         t["program"] = self.whole(self.run_of(self.external))
 
@@ -397,8 +398,12 @@ def c(text: str) -> None:
         b = open_[-1]
         b.chain.width = b.start + b.width
 
-    at, n, fresh = 0, len(text), True
+    at, n, fresh, probe = 0, len(text), True, PROBE
     while at < n:
+        if len(events) >= probe:
+            plain = list(itertools.takewhile(lambda e: isinstance(e, str), events))  # readings part at the first conditional
+            parser.g.probe("".join(plain), "program")
+            probe = 2 * len(events) if len(plain) == len(events) else n + 1
         m = match(text, at)
         if m is None:
             raise Bad("character")

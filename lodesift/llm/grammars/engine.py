@@ -15,6 +15,8 @@ from collections.abc import Callable, Iterable, Sequence
 _FIRST_TOKEN, _FIRST_GROUP, _MASKS = 0x100, 0xF0000, 4096
 #: Behind the last token of a content.
 END = "\0"
+#: Tokens after which a lexer first asks whether the text can still become a program; then after twice as many, and so on.
+PROBE = 24
 
 
 class Bad(Exception):
@@ -67,8 +69,8 @@ class Grammar:
             raise Bad(kind)
         return c
 
-    def run(self, tokens: str, top: str) -> None:
-        """Reduces all pairs and parses the rest as ``top``."""
+    def _reduced(self, tokens: str) -> tuple[list, str]:
+        """The openings that are open at the end of ``tokens``, each with the content around it so far, and the content of the last; pairs are reduced."""
         stack: list[tuple[list[tuple[str, str]], list[str]]] = []
         parts: list[str] = []
         at = 0
@@ -92,10 +94,39 @@ class Grammar:
                     raise Bad("bracket")
                 outer.append(self.reduce(kind, "".join(parts)))
                 parts = outer
+        parts.append(tokens[at:])
+        return stack, "".join(parts)
+
+    def probe(self, tokens: str, top: str) -> None:
+        """``Bad`` if no text that begins with ``tokens`` can be parsed as ``top``.
+
+        A pair that can be nothing is final, and so is a fault that the parser finds without having looked beyond the last token.
+        """
+        stack, rest = self._reduced(tokens)
+        contents = ["".join(outer) for _, outer in stack] + [rest]
+        if not self._may_be((top,), contents[0]):
+            raise Bad(top)
+        for (closings, _), content in zip(stack, contents[1:], strict=True):
+            if not any(self._may_be(self.groups[kind], content) for _, kind in closings):
+                raise Bad("pair")
+
+    def _may_be(self, names: Iterable[str], start: str) -> bool:
+        """Whether a content that begins with ``start`` may be one of ``names``."""
+        for name in names:
+            try:
+                self.tests[name](start)  # without an end: whoever looks beyond the last token fails otherwise
+            except IndexError:
+                return True
+            except Bad:
+                continue
+            return True
+        return False
+
+    def run(self, tokens: str, top: str) -> None:
+        """Reduces all pairs and parses the rest as ``top``."""
+        stack, rest = self._reduced(tokens)
         if stack:
             raise Bad("open bracket")
-        parts.append(tokens[at:])
-        rest = "".join(parts)
         ok = self.seen.get(("", top + rest))
         if ok is None:
             ok = self.seen["", top + rest] = "y" if self.fits(top, rest) else ""
@@ -143,9 +174,10 @@ def mark_angles(out: list[str], lt: str, gt: str, marks: tuple[str, str], inside
         i += 1
 
 
-def token_pattern(parts: dict[str, str], flags: int = 0) -> re.Pattern[str]:
-    """A lexer's pattern of named alternatives."""
-    return re.compile("|".join(f"(?P<{k}>{v})" for k, v in parts.items()), flags)
+def token_pattern(parts: dict[str, str], flags: int = 0, skip: str = "") -> re.Pattern[str]:
+    """A lexer's pattern of named alternatives, behind what may be skipped; with ``skip``, ``end`` is the end of the text."""
+    named = "|".join(f"(?P<{k}>{v})" for k, v in parts.items())
+    return re.compile(f"{skip}(?:{named}|(?P<end>\\Z))" if skip else named, flags)
 
 
 def operators(ops: Iterable[str]) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-from lodesift.llm.grammars.engine import END, Bad, Flat, Grammar, operators, token_pattern
+from lodesift.llm.grammars.engine import Bad, END, Flat, Grammar, PROBE, operators, token_pattern
 
 _WORDS = "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var".split()
 _HARD = frozenset(_WORDS)
@@ -229,7 +229,7 @@ class _Go(Flat):
                 p += 1
                 if s[p] == c["ID"]:
                     p += 1
-                elif s[p] in can["expr"] or s[p : p + 1] in can["typeparen"]:
+                elif s[p] in can["expr"] or s[p] in can["typeparen"]:
                     p += 1
                 else:
                     raise Bad("selector")
@@ -463,8 +463,11 @@ def go(text: str) -> None:
     g = _go()
     char, match = g.c, _LEXER.match
     out: list[str] = []
-    at, n, last = 0, len(text), ""
+    at, n, last, probe = 0, len(text), "", PROBE
     while at < n:
+        if len(out) >= probe:
+            g.g.probe(_guards(out, char), "program")
+            probe = 2 * len(out)
         m = match(text, at)
         if m is None:
             raise Bad("character")
@@ -486,6 +489,9 @@ def go(text: str) -> None:
             tok = "LIT"
         out.append(char[tok])
         last = tok
-    # a type switch's guard reads as a selector of a parenthesised name
-    s = "".join(out).replace(char["("] + char["type"] + char[")"], char["("] + char["ID"] + char[")"])
-    g.g.run(s, "program")
+    g.g.run(_guards(out, char), "program")
+
+
+def _guards(out: list[str], char: dict[str, str]) -> str:
+    """The tokens; the guard of a type switch reads as a selector of a parenthesised name."""
+    return "".join(out).replace(char["("] + char["type"] + char[")"], char["("] + char["ID"] + char[")"])

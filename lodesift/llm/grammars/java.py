@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-from lodesift.llm.grammars.engine import END, Bad, Flat, Grammar, mark_angles, operators, token_pattern
+from lodesift.llm.grammars.engine import Bad, END, Flat, Grammar, PROBE, mark_angles, operators, token_pattern
 
 _PRIMITIVES = "boolean byte char double float int long short void".split()
 _MODIFIERS = "abstract final native private protected public static strictfp synchronized transient volatile default".split()
@@ -542,8 +542,12 @@ def java(text: str) -> None:
     j, angles = _java()
     char, match = j.c, _LEXER.match
     out: list[str] = []
-    at, n = 0, len(text)
+    at, n, probe = 0, len(text), PROBE
     while at < n:
+        if len(out) >= probe:
+            plain = "".join(out).split(char["<"], 1)  # what an angle means is only known later
+            j.g.probe(plain[0], "program")
+            probe = 2 * len(out) if len(plain) == 1 else n + 1
         m = match(text, at)
         if m is None:
             raise Bad("character")

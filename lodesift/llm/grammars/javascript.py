@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-from lodesift.llm.grammars.engine import END, Bad, Flat, Grammar, mark_angles, operators, token_pattern
+from lodesift.llm.grammars.engine import Bad, END, Flat, Grammar, PROBE, mark_angles, operators, token_pattern
 
 _WORDS = "break case catch class const continue debugger default delete do else export extends finally for function if import in instanceof new return super switch this throw try typeof var void while with null true false enum".split()
 _SOFT = "async await of get set static let yield from as type interface namespace module declare abstract readonly public private protected implements keyof infer is asserts satisfies unique override out accessor".split()
@@ -14,10 +14,8 @@ _OPS = "{ } ( ) [ ] ; , < > <= >= == != === !== + - * / % ** ++ -- << & | ^ ! ~
 
 _LEXER = token_pattern(
     {
-        "word": r"(?:[^\W\d]|[$_]|\\u[0-9a-fA-F]{4})(?:\w|[$‌‍])*",
-        "blank": "[ \t\f\v\xa0﻿]+",
+        "word": r"(?:[^\W\d]|[$_]|\\u[0-9a-fA-F]{4})[\w$‌‍]*+",
         "nl": "[\n\r  ]",
-        "lc": r"//[^\n]*",
         "bc": r"/\*.*?\*/",
         "num": r"(?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?)n?(?![\w$])",
         "str": r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'",
@@ -25,6 +23,7 @@ _LEXER = token_pattern(
         "op": operators(_OPS),
     },
     re.S,
+    "[ \t\f\v\xa0﻿]*+(?://[^\n]*)?",
 )
 _RE_LITERAL = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[a-zA-Z]*")
 _VALUE_END = frozenset(["ID", "NUM", "STR", "TPL", "RE", ")", "]", "}", "this", "super", "null", "true", "false", *_SOFT])
@@ -190,7 +189,7 @@ class _Script(Flat):
         c = self.c
         if s[p] == c["..."]:
             p += 1
-        if s[p] in self.ids and (s[p + 1] == self.COLON or s[p + 1 : p + 3] == c["?"] + c[":"]):
+        if s[p] in self.ids and (s[p + 1] == self.COLON or (s[p + 1] == c["?"] and s[p + 2] == c[":"])):
             p += 2 if s[p + 1] == self.COLON else 3
         p = self.type(s, p)
         return p + 1 if s[p] == self.QUESTION else p
@@ -756,24 +755,30 @@ def _parse(text: str, at: int, ts: bool, inner: bool) -> int:
     ends = _TS_ENDS if ts else _ENDS
     out: list[str] = []
     last, newline, depth, n = "", False, 0, len(text)
+    probe = n + 1 if inner else PROBE
     while at < n:
+        if len(out) >= probe:
+            plain = "".join(out).split(char["<"], 1) if ts else ["".join(out)]  # what an angle means is only known later
+            _script(ts).g.probe(plain[0], "program")
+            probe = 2 * len(out) if len(plain) == 1 else n + 1
         m = match(text, at)
         if m is None:
             raise Bad("character")
-        kind, end = m.lastgroup, m.end()
-        if kind == "blank" or kind == "lc":
-            at = end
-            continue
+        kind = m.lastgroup
+        start, end = m.span(kind)
         if kind == "nl" or kind == "bc":
-            newline = newline or kind == "nl" or "\n" in m.group()
+            newline = newline or kind == "nl" or "\n" in text[start:end]
             at = end
             continue
+        if kind == "end":
+            break
+        at = start
         if kind == "word":
-            tok = m.group()
+            tok = text[start:end]
             if tok not in _HARD or last == "." or last == "?.":
                 tok = "ID"
         elif kind == "op":
-            tok = m.group()
+            tok = text[start:end]
             if tok == "?." and text[end : end + 1].isdigit():
                 tok, end = "?", at + 1
             if (tok == "/" or tok == "/=") and last not in _VALUE_END:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-from lodesift.llm.grammars.engine import END, Bad, Flat, Grammar, operators, token_pattern
+from lodesift.llm.grammars.engine import Bad, END, Flat, Grammar, PROBE, operators, token_pattern
 
 _OPENERS = "def class module begin if unless while until for case do".split()
 _WORDS = [*_OPENERS, *"alias and break defined? else elsif end ensure false in next nil not or redo rescue retry return self super then true undef when yield __FILE__ __LINE__ __method__ BEGIN END".split()]
@@ -14,20 +14,22 @@ _MODIFIERS = frozenset(["if", "unless", "while", "until", "rescue"])
 _OPS = "{ } ( ) [ ] ; , . &. :: .. ... + - * / % ** = == === != =~ !~ <=> < > <= >= ! ~ & | ^ << >> && || += -= *= /= %= **= &= |= ^= <<= >>= &&= ||= ? : => ->".split()
 _LEXER = token_pattern(
     {
-        "blank": r"(?:[ \t\r\f\v]|\\\n)+",
         "nl": r"\n",
-        "lc": r"\#[^\n]*",
         "ivar": r"@@?[A-Za-z_\x80-\U0010ffff]\w*|\$(?:[A-Za-z_]\w*|\d+|-\w|[!@&`'+~=/\\,;.<>_*$?:\"])",
-        "label": r"(?:[A-Za-z_\x80-\U0010ffff][\w\x80-\U0010ffff]*[?!]?|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'):(?![:\w])(?=\s|[,)\]}\"'])",
+        "label": r"(?:[A-Za-z_\x80-\U0010ffff][\w\x80-\U0010ffff]*+[?!]?|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'):(?![:\w])(?=\s|[,)\]}\"'])",
         "sym": r":(?:[A-Za-z_\x80-\U0010ffff][\w\x80-\U0010ffff]*[?!=]?(?![=~>])|[A-Za-z_]\w*|\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\[\]=?|\*\*|[+\-]@?|<=>|===?|=~|![=~]?|<<|>>|<=?|>=?|[*/%&|^~])",
-        "word": r"(?:defined\?|[A-Za-z_\x80-\U0010ffff][\w\x80-\U0010ffff]*(?:[?!](?![=~](?![=~>])))?)",
+        "word": r"(?:defined\?|[A-Za-z_\x80-\U0010ffff][\w\x80-\U0010ffff]*+(?:[?!](?![=~](?![=~>])))?)",
         "num": r"0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO]?[0-7_]+(?![\d.])|\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+-]?\d+)?[ri]*(?!\w)",
         "chr": r"\?(?:\\.|[^\s\w]|\w(?!\w))(?=[\s,)\].;]|$)",
         "quote": r"['\"`]",
         "op": operators(_OPS),
     },
     re.S,
+    r"(?:[ \t\r\f\v]|\\\n)*+(?:\#[^\n]*)?",
 )
+_COMMENT_END = re.compile(r"^=end[^\n]*(?:\n|\Z)", re.M)
+_DATA = re.compile(r"__END__(?:\n|\Z)")
+_GOES_ON = re.compile(r"(?:[ \t\r]*(?:#[^\n]*)?\n)*[ \t]*(?:&?\.(?![.])\s*\w|&&|\|\|)")
 _HEREDOC = re.compile(r"<<([~-]?)(['\"`]?)([A-Za-z_]\w*)\2")
 _PERCENT = re.compile(r"%([qQwWiIrsx]?)([^\w\s])")
 _PAIRS = {"(": ")", "[": "]", "{": "}", "<": ">"}
@@ -522,25 +524,29 @@ def _lex(text: str, at: int, inner: bool) -> int:
     depth, braces, n = 0, 0, len(text)
     last, blank, bars = "", True, 0
     block_open = False
+    probe = n + 1 if inner else PROBE
     while at < n:
-        if (at == 0 or text[at - 1] == "\n") and text.startswith("=begin", at):
-            m = re.compile(r"^=end[^\n]*(?:\n|\Z)", re.M).search(text, at)
-            if not m:
-                raise Bad("comment")
-            at = m.end()
-            continue
-        if (at == 0 or text[at - 1] == "\n") and re.compile(r"__END__(?:\n|\Z)").match(text, at):
-            break
+        if len(out) >= probe:
+            parser.g.probe("".join(out), "program")
+            probe = 2 * len(out)
+        if at == 0 or text[at - 1] == "\n":
+            if text.startswith("=begin", at):
+                m = _COMMENT_END.search(text, at)
+                if not m:
+                    raise Bad("comment")
+                at = m.end()
+                continue
+            if text.startswith("__END__", at) and _DATA.match(text, at):
+                break
         m = match(text, at)
         if m is None:
             raise Bad("character")
-        kind, end, tok = m.lastgroup, m.end(), m.group()
-        if kind == "blank":
-            blank, at = True, end
-            continue
-        if kind == "lc":
-            at = end
-            continue
+        kind = m.lastgroup
+        start, end = m.span(kind)
+        blank, at = blank or start > at, start
+        if kind == "end":
+            break
+        tok = text[start:end]
         value = last in _VALUE_END
         if kind == "nl":
             at = end
@@ -557,8 +563,7 @@ def _lex(text: str, at: int, inner: bool) -> int:
             heredocs = []
             blank = True
             # a line that starts with a dot goes on
-            ahead = re.compile(r"(?:[ \t\r]*(?:#[^\n]*)?\n)*[ \t]*(?:&?\.(?![.])\s*\w|&&|\|\|)").match(text, at)
-            if last not in _NO_END and not ahead:
+            if last not in _NO_END and not _GOES_ON.match(text, at):
                 while loops and loops[-1] == depth:
                     loops.pop()
                 out.append(char["NL"])
