@@ -25,12 +25,12 @@ from lodesift.session import ship
 
 LABELS = ("O", "K", "S")
 #: Generated lines the model is fitted to.
-TRAINING_LINES = 8000
+TRAINING_LINES = 12_000
 
 @lru_cache(maxsize=2)
-def model(lines: int = TRAINING_LINES, seed: int = 11) -> crf.Model:
-    """The fitted model; the same parameters give the same weights."""
-    seqs, tags, texts, _ = secrets_training.tagged(lines, seed, name_class)
+def model(lines: int = TRAINING_LINES, seed: int = 11, held: bool | None = None) -> crf.Model:
+    """The fitted model; the same parameters give the same weights. ``held=False``: without the withheld templates."""
+    seqs, tags, texts, _ = secrets_training.tagged(lines, seed, name_class, held)
     rows = [(s, y, t) for s, y, t in zip(seqs, tags, texts, strict=True) if s]
     return crf.train([features(s, t[s[-1].end :]) for s, _, t in rows], [y for _, y, _ in rows], LABELS)
 

@@ -23,7 +23,9 @@ class Token(NamedTuple):
     gap: str  # the characters between the token before and this one
 
 
-PRIVATE_BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----.*?-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----", re.S)
+_KEY_HEAD = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+# A key block, up to its last line, or, where that is missing, as far as there are runs of its characters.
+PRIVATE_BLOCK = re.compile(rf"{_KEY_HEAD}(?:(?:(?!-----BEGIN).)*?-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|(?:(?:\\\\?[nrt]|[\s\"'+,])*[A-Za-z0-9+/=]{{16,}})+)", re.S)
 OTHER_BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]+-----.*?(?:-----END [A-Z0-9 ]+-----|$)")
 _DATA = r"data:[\w.+/-]+;base64,[A-Za-z0-9+/=_-]*"
 _LITERAL = re.compile(
@@ -231,7 +233,7 @@ def tokens(line: str) -> list[Token]:
 
 
 # Words that name what grants access, as parts of a name, in several languages.
-CREDENTIAL_WORDS = ("password", "passwd", "passphrase", "passwort", "kennwort", "contrasena", "secret", "token", "pwd", "pass", "pw", "passcode", "credential", "credentials", "apikey", "clave", "passe", "senha", "bearer")
+CREDENTIAL_WORDS = ("password", "passwd", "passphrase", "passwort", "kennwort", "contrasena", "secret", "token", "pwd", "pass", "pw", "passcode", "credential", "credentials", "apikey", "clave", "passe", "senha", "wachtwoord", "haslo", "parola", "salasana", "bearer")
 # Words that make a credential of a following "key".
 KEY_WORDS = ("api", "access", "private", "secret", "signing", "encryption", "auth", "service", "account", "master", "shared", "license")
 # Words behind which a credential word is no longer the value itself.
@@ -291,7 +293,7 @@ def value_class(text: str) -> tuple[str, ...]:
     if _PLACEHOLDER.match(text) or len(set(text)) <= 2:
         main = "placeholder"
     elif text.startswith("-----BEGIN"):
-        main = "private" if "PRIVATE KEY" in text[:60] and text.endswith("-----") else "public"
+        main = "private" if PRIVATE_BLOCK.fullmatch(text) else "public"
     elif text.startswith("data:"):
         main = "data"
     elif _UUID.match(text):

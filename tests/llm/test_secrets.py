@@ -32,6 +32,8 @@ CASES = [
     ('id = "957b289a-7b4f-8936-dd4e-6be1f006978f"', []),
     ("key = '''-----BEGIN RSA PRIVATE KEY-----\nabc\nDEF=\n-----END RSA PRIVATE KEY-----'''", ["-----BEGIN RSA PRIVATE KEY-----\nabc\nDEF=\n-----END RSA PRIVATE KEY-----"]),
     ('cert = "-----BEGIN PUBLIC KEY----- abc -----END PUBLIC KEY-----"', []),
+    ("k = \"\"\"-----BEGIN EC PRIVATE KEY-----\nMHcCAQEEIIGlVmEIIGlVmE\nAwEHoUQDQgAEAwEHoUQDQgAE\n\"\"\"\nx = 1\n", ["-----BEGIN EC PRIVATE KEY-----\nMHcCAQEEIIGlVmEIIGlVmE\nAwEHoUQDQgAEAwEHoUQDQgAE"]),
+    ("see -----BEGIN EC PRIVATE KEY----- in the manual", []),
     ("", []),
     (None, []),
     ("x" * 300_000, []),
@@ -46,12 +48,37 @@ def test_cases(labeller, text, want):
     assert [text[a:b] for a, b in spans] == want
 
 
-def test_held_out_accuracy(labeller):
+def accuracy(labeller, lines):
     hit = given = wanted = 0
-    for line, spans in secrets_training.labelled(3000, 4711):
+    for line, spans in lines:
         got, want = set(labeller.find([line])[0]), set(spans)
         hit, given, wanted = hit + len(got & want), given + len(got), wanted + len(want)
-    assert hit / given > 0.98 and hit / wanted > 0.96
+    return hit / given, hit / wanted
+
+
+def test_accuracy_on_new_lines(labeller):
+    precision, recall = accuracy(labeller, secrets_training.labelled(3000, 4711))
+    assert precision > 0.98 and recall > 0.97
+
+
+def test_accuracy_on_withheld_templates():
+    """Every fifth notation, phrase and remark is kept from the training; accuracy is that on these alone."""
+    precision, recall = accuracy(secrets.Labeller(secrets.model(held=False)), secrets_training.labelled(3000, 4711, True))
+    assert precision > 0.95 and recall > 0.95
+
+
+def test_training_has_no_sentences_of_the_given_tables(spark):
+    """No run of four words of the templates of prose occurs in the given texts."""
+    import re
+
+    hooks = spark.read.parquet("/root/testdata/sf0.01/hook_inputs.parquet").selectExpr("tool_input.content", "tool_input.new_string").collect()
+    found = spark.read.parquet("/root/testdata/sf0.01/findings.parquet").select("matched_text").collect()
+    given = " ".join(re.sub(r"\W+", " ", x or "").lower() for r in [*hooks, *found] for x in r)
+    for form in (*secrets_training.QUOTED, *secrets_training.REMARKS, *secrets_training.HAPPENS):
+        for part in re.split(r"@\w+@|\{\w\}|[^\w\s]", form):
+            words = part.lower().split()
+            for i in range(len(words) - 3):
+                assert f" {' '.join(words[i : i + 4])} " not in given, form
 
 
 def test_long_lines(labeller):
