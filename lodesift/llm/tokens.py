@@ -1,11 +1,12 @@
 """Token ids of whole texts by a public tokenizer.
 
-A text up to ``CHUNK`` characters is encoded where it lies, without a shuffle. A longer one is cut
-into overlapping chunks that are pre-tokenised by separate tasks. Pre-tokens are found from left to right
+Texts are cut into overlapping chunks that are pre-tokenised on their own. Pre-tokens are found from left to right
 and never look back, so as soon as two neighbouring chunks have one border in common, all later borders agree: there the
-text is cut, and the pieces are encoded on their own. If no border is shared in an overlap (one run
-of letters longer than it), the text goes through as a whole. Joining the pieces' ids in order gives
-the ids of the whole text.
+text is cut, and the pieces are encoded on their own. Joining the pieces' ids in order gives the ids of the whole text.
+
+The chunks of a text up to ``SPREAD`` characters are worked on where the text lies, without a shuffle; if an overlap has no shared border, it
+is made longer. A longer text is first cut, by the same rule, into chunks of ``SPREAD`` characters that go to separate tasks; if one of its overlaps
+has no shared border (one run of letters longer than it), it goes through as a whole.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ from lodesift.session import ship, spread
 #: Where the vocabulary files are; a parameter of every function, never copied.
 TOKENIZERS = os.environ.get("LODESIFT_TOKENIZERS", "/opt/tokenizers")
 #: Characters of a chunk, and of its overlap with the next one.
-CHUNK, OVERLAP = 1 << 16, 1 << 10
+CHUNK, OVERLAP = 1 << 10, 1 << 8
+#: Characters of a text from which its chunks are spread over the tasks.
+SPREAD = 1 << 18
 #: Rows whose ids a task holds at once.
 ROWS = 256
 _NONE = np.zeros(0, np.int32)
@@ -63,7 +66,35 @@ def borders(text: str, start: int, end: int) -> list[int]:
     return out
 
 
-def _encoded(df: DataFrame, key: str, text: str, name: str, folder: str) -> DataFrame:
+def shared_border(window: str, at: int) -> int | None:
+    """The first border that pre-tokenising ``window`` from 0 and from ``at`` have in common, or None.
+
+    The last pre-token of the window may go on beyond it, so only borders before it count; nor do borders behind white space,
+    since at the end of a piece its last run would be taken as one.
+    """
+    own = set(borders(window, 0, len(window))[:-1])
+    return next((b for b in borders(window, at, len(window))[:-1] if b in own and not _BLANK.match(window, b - 1)), None)
+
+
+def pieces(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
+    """``text`` cut at borders that neighbouring chunks share; an overlap without one is doubled until it has one or the text ends."""
+    out, start, n = [], 0, len(text)
+    while n - start > chunk:
+        reach, found = overlap, None
+        while found is None:
+            found = shared_border(text[start : start + chunk + reach], chunk)
+            if start + chunk + reach >= n:
+                break
+            reach *= 2
+        if found is None:
+            break
+        out.append(text[start : start + found])
+        start += found
+    out.append(text[start:])
+    return out
+
+
+def _encoded(df: DataFrame, key: str, text: str, name: str, folder: str, chunk: int, overlap: int) -> DataFrame:
     """``key`` columns and ``ids`` of each row's text; null and empty texts give an empty list."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,7 +102,8 @@ def _encoded(df: DataFrame, key: str, text: str, name: str, folder: str) -> Data
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                ids = [np.asarray(enc.encode_ordinary(t), np.int32) if t else _NONE for t in batch.column(batch.num_columns - 1).to_pylist()]
+                texts = batch.column(batch.num_columns - 1).to_pylist()
+                ids = [np.asarray([x for p in pieces(t, chunk, overlap) for x in enc.encode_ordinary(p)], np.int32) if t else _NONE for t in texts]
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else _NONE))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], [*batch.schema.names[:-1], "ids"])
@@ -82,8 +114,8 @@ def _encoded(df: DataFrame, key: str, text: str, name: str, folder: str) -> Data
     return df.select(*keys, text).mapInArrow(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", ids array<int>")
 
 
-def _pieces(long: DataFrame, doc_id: str, text: str, chunk: int, overlap: int) -> DataFrame:
-    """``doc_id, part, piece``: long texts cut at borders that neighbouring chunks share."""
+def _spread_pieces(long: DataFrame, doc_id: str, text: str, chunk: int, overlap: int) -> DataFrame:
+    """``doc_id, part, piece``: long texts cut at borders that neighbouring chunks share, each overlap looked at by a task of its own."""
     n = F.char_length(text)
     starts = F.sequence(F.lit(0), n - 1, F.lit(chunk))
     chunks = long.select(doc_id, n.alias("n"), text, F.posexplode(starts).alias("part", "at")).select(
@@ -98,16 +130,13 @@ def _pieces(long: DataFrame, doc_id: str, text: str, chunk: int, overlap: int) -
                     found.append(None)
                     ends.append(True)
                     continue
-                # the window's last pre-token may go on beyond it, so only borders well inside count
-                own = set(borders(t, 0, len(t))[:-1])
-                # nor borders behind white space: at the end of a piece its last run would be taken as one
-                both = next((b for b in borders(t, chunk, len(t))[:-1] if b in own and not _BLANK.match(t, b - 1)), None)
-                found.append(both)
-                ends.append(both is not None)
+                found.append(shared_border(t, chunk))
+                ends.append(found[-1] is not None)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int32()), pa.array(ends, pa.bool_())], [*batch.schema.names, "upto", "good"])
 
     kind = dict(long.dtypes)[doc_id]
-    marked = chunks.mapInArrow(shared, f"{doc_id} {kind}, part int, n int, piece string, upto int, good boolean")
+    # chunks of one text are dealt out, so that it isn't pre-tokenised by one task
+    marked = chunks.repartition(doc_id, "part").mapInArrow(shared, f"{doc_id} {kind}, part int, n int, piece string, upto int, good boolean")
     w = Window.partitionBy(doc_id)
     cut = marked.withColumn("since", F.coalesce(F.lag("upto").over(w.orderBy("part")) - chunk, F.lit(0))).withColumn("whole", ~F.min("good").over(w))
     good = cut.where(~F.col("whole")).select(doc_id, "part", F.substring("piece", F.col("since") + 1, F.coalesce(F.col("upto"), F.char_length("piece")) - F.col("since")).alias("piece"))
@@ -116,21 +145,21 @@ def _pieces(long: DataFrame, doc_id: str, text: str, chunk: int, overlap: int) -
     return good.unionByName(rest.select(doc_id, F.lit(0).alias("part"), "piece"))
 
 
-def encode(df: DataFrame, doc_id: str, text: str, name: str = "byte_bpe_50k", folder: str = TOKENIZERS, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode(df: DataFrame, doc_id: str, text: str, name: str = "byte_bpe_50k", folder: str = TOKENIZERS, chunk: int = CHUNK, overlap: int = OVERLAP, spread_from: int = SPREAD) -> DataFrame:
     """``doc_id, ids`` of every row of ``df``.
 
     Null and empty texts give an empty list, strings of special tokens are ordinary text, and repeated rows come out each,
     whatever their length and ``doc_id``. Other columns are ignored.
     """
     rows = spread(df.select(doc_id, text))
-    is_long = F.coalesce(F.char_length(text) > chunk, F.lit(False))
-    short = _encoded(rows.where(~is_long), doc_id, text, name, folder)
+    is_long = F.coalesce(F.char_length(text) > spread_from, F.lit(False))
+    short = _encoded(rows.where(~is_long), doc_id, text, name, folder, chunk, overlap)
     # equal rows are encoded once and come out as often as there are; the key has no null, which a window or a join could lose
     row = F.struct(F.struct(F.col(doc_id).alias("id")).alias("doc"), F.sha2(F.encode(text, "UTF-8"), 256).alias("hash"), F.char_length(text).alias("n"))
     long = df.where(is_long).select(row.alias("key"), F.col(text).alias("text")).groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     long = long.select(F.struct("key", "copies").alias("key"), "text")
-    pieces = _encoded(_pieces(long, "key", "text", chunk, overlap), "key,part", "piece", name, folder)
-    joined = pieces.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "ids"))), lambda s: s["ids"])).alias("ids"))
+    spread_out = _encoded(_spread_pieces(long, "key", "text", spread_from, 4 * overlap), "key,part", "piece", name, folder, chunk, overlap)
+    joined = spread_out.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "ids"))), lambda s: s["ids"])).alias("ids"))
     each = joined.select(F.col("key.key.doc.id").alias(doc_id), "ids", F.explode(F.sequence(F.lit(1), F.col("key.copies").cast("int"))).alias("copy"))
     return short.unionByName(each.select(doc_id, "ids"))
 

@@ -35,8 +35,24 @@ def test_any_cut_gives_the_same(spark, chunk, overlap):
     rows = list(enumerate(texts(150, 120, chunk)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     enc = tokens.encoding()
-    got = {r.doc_id: list(r.ids) for r in tokens.encode(df, "doc_id", "text", chunk=chunk, overlap=overlap).collect()}
-    assert got == {i: enc.encode_ordinary(x) for i, x in rows}
+    want = {i: enc.encode_ordinary(x) for i, x in rows}
+    assert max(len(tokens.pieces(x, chunk, overlap)) for _, x in rows) > 5
+    for spread_from in (tokens.SPREAD, 3 * chunk):  # in one task, and spread over several
+        got = {r.doc_id: list(r.ids) for r in tokens.encode(df, "doc_id", "text", chunk=chunk, overlap=overlap, spread_from=spread_from).collect()}
+        assert got == want
+
+
+def test_pieces_of_the_given_texts(spark):
+    """The given documents above a chunk are cut, and have the same ids as when encoded whole."""
+    enc = tokens.encoding()
+    long = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 1024").collect()]
+    assert long
+    for t in long:
+        for chunk in (tokens.CHUNK, 200, 5000):
+            cut = tokens.pieces(t, chunk, 64)
+            assert "".join(cut) == t and [x for p in cut for x in enc.encode_ordinary(p)] == enc.encode_ordinary(t)
+    assert sum(len(tokens.pieces(t)) > 1 for t in long) > 0.9 * len(long)
+    assert len(tokens.pieces("x" * 5000)) == 1 and len(tokens.pieces("x" * 5000 + " y" * 2000)) > 1
 
 
 def test_counts_and_empty_table(spark):
@@ -52,6 +68,6 @@ def test_repeated_long_rows_come_out_each(spark):
     enc = tokens.encoding()
     want = sorted((i or 0, enc.encode_ordinary(t)) for i, t in rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted((r.doc_id or 0, list(r.ids)) for r in tokens.encode(df, "doc_id", "text", chunk=64, overlap=20).collect()) == want
+    assert sorted((r.doc_id or 0, list(r.ids)) for r in tokens.encode(df, "doc_id", "text", chunk=16, overlap=5, spread_from=64).collect()) == want
     keyed = spark.createDataFrame([((i, "web"), t) for i, t in rows], "k struct<id:long,source:string>, text string")
-    assert sorted((r.k.id or 0, list(r.ids)) for r in tokens.encode(keyed, "k", "text", chunk=64, overlap=20).collect()) == want
+    assert sorted((r.k.id or 0, list(r.ids)) for r in tokens.encode(keyed, "k", "text", chunk=16, overlap=5, spread_from=64).collect()) == want
