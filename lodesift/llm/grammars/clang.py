@@ -7,7 +7,7 @@ import re
 from dataclasses import dataclass
 from functools import lru_cache
 
-from lodesift.llm.grammars.engine import Bad, END, Flat, Grammar, PROBE, operators, token_pattern
+from lodesift.llm.grammars.engine import Bad, END, Flat, Grammar, PROBE, Reduction, operators, token_pattern
 
 _TYPES = "void char short int long float double signed unsigned _Bool _Complex __int128".split()
 _QUALIFIERS = "const volatile restrict static extern register auto typedef inline _Noreturn _Thread_local _Atomic __inline __inline__ __restrict __extension__ __const __volatile__".split()
@@ -16,11 +16,8 @@ _HARD = frozenset(_WORDS)
 _OPS = "{ } ( ) [ ] ; , . ... -> ++ -- & * + - ~ ! / % << >> < > <= >= == != ^ | && || ? : = += -= *= /= %= <<= >>= &= ^= |=".split()
 _LEXER = token_pattern(
     {
-        "word": r"[^\W\d][\w$]*|\$[\w$]*",
-        "blank": r"(?:[ \t\r\f\v]|\\\n)+",
+        "word": r"[^\W\d][\w$]*+|\$[\w$]*+",
         "nl": r"\n",
-        "lc": r"//(?:[^\\\n]|\\.)*",
-        "bc": r"/\*.*?\*/",
         "num": r"0[xX][0-9a-fA-F.]+(?:[pP][+-]?\d+)?[uUlLfF]*|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?[uUlLfF]*(?!\w)",
         "str": r"(?:u8|[uUL])?\"(?:[^\"\\\n]|\\.)*\"",
         "chr": r"[uUL]?'(?:[^'\\\n]|\\.)+'",
@@ -28,6 +25,7 @@ _LEXER = token_pattern(
         "op": operators(_OPS),
     },
     re.S,
+    r"(?:[ \t\r\f\v]|\\\n|//(?:[^\\\n]|\\.)*|/\*.*?\*/)*+",
 )
 _DIRECTIVE = re.compile(r"#[ \t]*(?:(?:include|import|include_next)\b[ \t]*(?:<[^>\n]+>|\"[^\"\n]+\"|[A-Za-z_]\w*.*)|define[ \t]+[A-Za-z_]\w*.*|undef[ \t]+[A-Za-z_]\w*|(?:ifdef|ifndef)[ \t]+[A-Za-z_]\w*.*|(?:if|elif)\b.+|else\b.*|endif\b.*|pragma\b.*|error\b.*|warning\b.*|line\b.+|)\s*$", re.S)
 
@@ -398,23 +396,23 @@ def c(text: str) -> None:
         b = open_[-1]
         b.chain.width = b.start + b.width
 
-    at, n, fresh, probe = 0, len(text), True, PROBE
+    at, n, fresh, probe, fed, plain = 0, len(text), True, PROBE, 0, Reduction(parser.g, "program")
     while at < n:
         if len(events) >= probe:
-            plain = list(itertools.takewhile(lambda e: isinstance(e, str), events))  # readings part at the first conditional
-            parser.g.probe("".join(plain), "program")
-            probe = 2 * len(events) if len(plain) == len(events) else n + 1
+            new = list(itertools.takewhile(lambda e: isinstance(e, str), events[fed:]))  # readings part at the first conditional
+            plain.probe("".join(new))
+            probe, fed = 2 * len(events) if len(new) == len(events) - fed else n + 1, len(events)
         m = match(text, at)
         if m is None:
             raise Bad("character")
         kind = m.lastgroup
-        at = m.end()
+        start, at = m.span(kind)
         if kind == "nl":
             fresh = True
             continue
-        if kind in ("blank", "lc", "bc"):
-            continue
-        tok = m.group()
+        if kind == "end":
+            break
+        tok = text[start:at]
         if kind == "pp":
             if not fresh or not _DIRECTIVE.match(tok):
                 raise Bad("directive")

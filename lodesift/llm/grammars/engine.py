@@ -69,17 +69,41 @@ class Grammar:
             raise Bad(kind)
         return c
 
-    def _reduced(self, tokens: str) -> tuple[list, str]:
-        """The openings that are open at the end of ``tokens``, each with the content around it so far, and the content of the last; pairs are reduced."""
-        stack: list[tuple[list[tuple[str, str]], list[str]]] = []
-        parts: list[str] = []
-        at = 0
-        for m in self.brackets.finditer(tokens):
+    def run(self, tokens: str, top: str) -> None:
+        """Reduces all pairs and parses the rest as ``top``."""
+        Reduction(self, top).finish(tokens)
+
+    def may_be(self, names: Iterable[str], start: str) -> bool:
+        """Whether a content that begins with ``start`` may be one of ``names``."""
+        for name in names:
+            try:
+                self.tests[name](start)  # without an end: whoever looks beyond the last token fails otherwise
+            except IndexError:
+                return True
+            except Bad:
+                continue
+            return True
+        return False
+
+
+class Reduction:
+    """The reduction of a text whose tokens come bit by bit."""
+
+    def __init__(self, g: Grammar, top: str):
+        self.g, self.top = g, top
+        self.stack: list[tuple[list[tuple[str, str]], list[str]]] = []
+        self.parts: list[str] = []
+
+    def feed(self, tokens: str) -> None:
+        """Reduces the pairs that ``tokens`` closes; ``Bad`` if one can be nothing."""
+        g, stack, parts, at = self.g, self.stack, self.parts, 0
+        for m in g.brackets.finditer(tokens):
             i = m.start()
             c = tokens[i]
-            parts.append(tokens[at:i])
+            if i > at:
+                parts.append(tokens[at:i])
             at = i + 1
-            opening = self.pairs.get(c)
+            opening = g.pairs.get(c)
             if opening is not None:
                 stack.append((opening, parts))
                 parts = []
@@ -92,46 +116,35 @@ class Grammar:
                         break
                 else:
                     raise Bad("bracket")
-                outer.append(self.reduce(kind, "".join(parts)))
+                outer.append(g.reduce(kind, "".join(parts)))
                 parts = outer
         parts.append(tokens[at:])
-        return stack, "".join(parts)
+        self.parts = parts
 
-    def probe(self, tokens: str, top: str) -> None:
-        """``Bad`` if no text that begins with ``tokens`` can be parsed as ``top``.
+    def probe(self, tokens: str) -> None:
+        """Feeds ``tokens``; ``Bad`` if no text that begins with what was fed can be parsed.
 
         A pair that can be nothing is final, and so is a fault that the parser finds without having looked beyond the last token.
         """
-        stack, rest = self._reduced(tokens)
-        contents = ["".join(outer) for _, outer in stack] + [rest]
-        if not self._may_be((top,), contents[0]):
-            raise Bad(top)
-        for (closings, _), content in zip(stack, contents[1:], strict=True):
-            if not any(self._may_be(self.groups[kind], content) for _, kind in closings):
+        self.feed(tokens)
+        contents = ["".join(outer) for _, outer in self.stack] + ["".join(self.parts)]
+        if not self.g.may_be((self.top,), contents[0]):
+            raise Bad(self.top)
+        for (closings, _), content in zip(self.stack, contents[1:], strict=True):
+            if not any(self.g.may_be(self.g.groups[kind], content) for _, kind in closings):
                 raise Bad("pair")
 
-    def _may_be(self, names: Iterable[str], start: str) -> bool:
-        """Whether a content that begins with ``start`` may be one of ``names``."""
-        for name in names:
-            try:
-                self.tests[name](start)  # without an end: whoever looks beyond the last token fails otherwise
-            except IndexError:
-                return True
-            except Bad:
-                continue
-            return True
-        return False
-
-    def run(self, tokens: str, top: str) -> None:
-        """Reduces all pairs and parses the rest as ``top``."""
-        stack, rest = self._reduced(tokens)
-        if stack:
+    def finish(self, tokens: str) -> None:
+        """Feeds the last tokens and parses the rest."""
+        self.feed(tokens)
+        if self.stack:
             raise Bad("open bracket")
-        ok = self.seen.get(("", top + rest))
+        g, rest = self.g, "".join(self.parts)
+        ok = g.seen.get(("", self.top + rest))
         if ok is None:
-            ok = self.seen["", top + rest] = "y" if self.fits(top, rest) else ""
+            ok = g.seen["", self.top + rest] = "y" if g.fits(self.top, rest) else ""
         if not ok:
-            raise Bad(top)
+            raise Bad(self.top)
 
 
 def mark_angles(out: list[str], lt: str, gt: str, marks: tuple[str, str], inside: frozenset[str], after: frozenset[str], nests: dict[str, str]) -> None:

@@ -5,17 +5,15 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-from lodesift.llm.grammars.engine import Bad, END, Flat, Grammar, PROBE, operators, token_pattern
+from lodesift.llm.grammars.engine import Bad, END, Flat, Grammar, PROBE, Reduction, operators, token_pattern
 
 _WORDS = "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var".split()
 _HARD = frozenset(_WORDS)
 _OPS = "+ - * / % & | ^ << >> &^ += -= *= /= %= &= |= ^= <<= >>= &^= && || <- ++ -- == < > = ! != <= >= := ... ( ) [ ] { } , ; . : ~".split()
 _LEXER = token_pattern(
     {
-        "word": r"[^\W\d]\w*",
-        "blank": r"[ \t\r]+",
+        "word": r"[^\W\d]\w*+",
         "nl": r"\n",
-        "lc": r"//[^\n]*",
         "bc": r"/\*.*?\*/",
         "num": r"(?:0[xX][0-9a-fA-F_]*\.?[0-9a-fA-F_]*(?:[pP][+-]?\d+)?|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?)i?(?!\w)",
         "str": r"\"(?:[^\"\\\n]|\\.)*\"|`[^`]*`",
@@ -23,6 +21,7 @@ _LEXER = token_pattern(
         "op": operators(_OPS),
     },
     re.S,
+    r"(?:[ \t\r]|//[^\n]*)*+",
 )
 _ENDS = frozenset(["ID", "LIT", "STR", "break", "continue", "fallthrough", "return", "++", "--", ")", "]", "}"])
 
@@ -466,21 +465,21 @@ def go(text: str) -> None:
     at, n, last, probe = 0, len(text), "", PROBE
     while at < n:
         if len(out) >= probe:
-            g.g.probe(_guards(out, char), "program")
+            Reduction(g.g, "program").probe(_guards(out, char))
             probe = 2 * len(out)
         m = match(text, at)
         if m is None:
             raise Bad("character")
         kind = m.lastgroup
-        at = m.end()
-        if kind == "blank" or kind == "lc":
-            continue
+        start, at = m.span(kind)
         if kind == "nl" or kind == "bc":
-            if last in _ENDS and (kind == "nl" or "\n" in m.group()):
+            if last in _ENDS and (kind == "nl" or "\n" in text[start:at]):
                 out.append(char[";"])
                 last = ";"
             continue
-        tok = m.group()
+        if kind == "end":
+            break
+        tok = text[start:at]
         if kind == "word":
             tok = tok if tok in _HARD else "ID"
         elif kind == "str":

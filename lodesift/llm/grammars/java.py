@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-from lodesift.llm.grammars.engine import Bad, END, Flat, Grammar, PROBE, mark_angles, operators, token_pattern
+from lodesift.llm.grammars.engine import Bad, END, Flat, Grammar, PROBE, Reduction, mark_angles, operators, token_pattern
 
 _PRIMITIVES = "boolean byte char double float int long short void".split()
 _MODIFIERS = "abstract final native private protected public static strictfp synchronized transient volatile default".split()
@@ -15,10 +15,7 @@ _HARD = frozenset(_WORDS) | frozenset(_SOFT)
 _OPS = "{ } ( ) [ ] ; , . ... @ :: = < > ! ~ ? : -> == <= >= != && || ++ -- + - * / & | ^ % << += -= *= /= &= |= ^= %= <<=".split()
 _LEXER = token_pattern(
     {
-        "word": r"[^\W\d][\w$]*|\$[\w$]*",
-        "blank": r"[\s\x1a]+",
-        "lc": r"//[^\n]*",
-        "bc": r"/\*.*?\*/",
+        "word": r"[^\W\d][\w$]*+|\$[\w$]*+",
         "num": r"0[xX][0-9a-fA-F_.]+(?:[pP][+-]?\d+)?[lLfFdD]?|0[bB][01_]+[lL]?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?[lLfFdD]?(?!\w)",
         "text": r'"""[ \t\f]*\n(?:[^\\]|\\.)*?"""',
         "str": r"\"(?:[^\"\\\n]|\\.)*\"",
@@ -26,6 +23,7 @@ _LEXER = token_pattern(
         "op": operators(_OPS),
     },
     re.S,
+    r"(?:[\s\x1a]++|//[^\n]*|/\*.*?\*/)*+",
 )
 
 
@@ -542,20 +540,21 @@ def java(text: str) -> None:
     j, angles = _java()
     char, match = j.c, _LEXER.match
     out: list[str] = []
-    at, n, probe = 0, len(text), PROBE
+    at, n, probe, fed, plain = 0, len(text), PROBE, 0, Reduction(j.g, "program")
     while at < n:
         if len(out) >= probe:
-            plain = "".join(out).split(char["<"], 1)  # what an angle means is only known later
-            j.g.probe(plain[0], "program")
-            probe = 2 * len(out) if len(plain) == 1 else n + 1
+            new = "".join(out[fed:])
+            plain.probe(new.split(char["<"], 1)[0])  # what an angle means is only known later
+            fed = len(out)
+            probe = 2 * fed if char["<"] not in new else n + 1
         m = match(text, at)
         if m is None:
             raise Bad("character")
         kind = m.lastgroup
-        at = m.end()
-        if kind in ("blank", "lc", "bc"):
-            continue
-        tok = m.group()
+        start, at = m.span(kind)
+        if kind == "end":
+            break
+        tok = text[start:at]
         if kind == "word":
             tok = tok if tok in _HARD else "ID"
         elif kind != "op":
@@ -563,4 +562,6 @@ def java(text: str) -> None:
         out.append(char[tok])
     if char["<"] in out:
         mark_angles(out, *angles)
-    j.g.run("".join(out), "program")
+        j.g.run("".join(out), "program")
+    else:
+        plain.finish("".join(out[fed:]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-from lodesift.llm.grammars.engine import Bad, END, Flat, Grammar, PROBE, mark_angles, operators, token_pattern
+from lodesift.llm.grammars.engine import Bad, END, Flat, Grammar, PROBE, Reduction, mark_angles, operators, token_pattern
 
 _WORDS = "break case catch class const continue debugger default delete do else export extends finally for function if import in instanceof new return super switch this throw try typeof var void while with null true false enum".split()
 _SOFT = "async await of get set static let yield from as type interface namespace module declare abstract readonly public private protected implements keyof infer is asserts satisfies unique override out accessor".split()
@@ -740,13 +740,15 @@ def _template(text: str, at: int, ts: bool) -> int:
     raise Bad("template")
 
 
-def _finish(out: list[str], ts: bool, top: str) -> None:
-    script = _script(ts)
-    c = script.c
-    if ts and c["<"] in out:
+def _finish(out: list[str], ts: bool, plain: Reduction, fed: int) -> None:
+    """Parses all tokens; ``plain`` has the first ``fed`` of them, unless there are angles."""
+    if ts and _script(ts).c["<"] in out:
         inside, after, nests = _angle_sets()
+        c = _script(ts).c
         mark_angles(out, c["<"], c[">"], (c["T<"], c["T>"]), inside, after, nests)
-    script.g.run("".join(out), top)
+        plain.g.run("".join(out), plain.top)
+    else:
+        plain.finish("".join(out[fed:]))
 
 
 def _parse(text: str, at: int, ts: bool, inner: bool) -> int:
@@ -755,12 +757,13 @@ def _parse(text: str, at: int, ts: bool, inner: bool) -> int:
     ends = _TS_ENDS if ts else _ENDS
     out: list[str] = []
     last, newline, depth, n = "", False, 0, len(text)
-    probe = n + 1 if inner else PROBE
+    probe, fed, plain, angle = n + 1 if inner else PROBE, 0, Reduction(_script(ts).g, "expr" if inner else "program"), char["<"]
     while at < n:
         if len(out) >= probe:
-            plain = "".join(out).split(char["<"], 1) if ts else ["".join(out)]  # what an angle means is only known later
-            _script(ts).g.probe(plain[0], "program")
-            probe = 2 * len(out) if len(plain) == 1 else n + 1
+            new = "".join(out[fed:])
+            plain.probe(new.split(angle, 1)[0] if ts else new)  # what an angle means is only known later
+            fed = len(out)
+            probe = 2 * fed if not ts or angle not in new else n + 1
         m = match(text, at)
         if m is None:
             raise Bad("character")
@@ -790,7 +793,7 @@ def _parse(text: str, at: int, ts: bool, inner: bool) -> int:
                 depth += 1
             elif tok == "}":
                 if inner and depth == 0:
-                    _finish(out, ts, "expr")
+                    _finish(out, ts, plain, fed)
                     return end
                 depth -= 1
         elif kind == "tpl":
@@ -806,7 +809,7 @@ def _parse(text: str, at: int, ts: bool, inner: bool) -> int:
         at = end
     if inner:
         raise Bad("template")
-    _finish(out, ts, "program")
+    _finish(out, ts, plain, fed)
     return at
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-from lodesift.llm.grammars.engine import Bad, END, Flat, Grammar, PROBE, operators, token_pattern
+from lodesift.llm.grammars.engine import Bad, END, Flat, Grammar, PROBE, Reduction, operators, token_pattern
 
 _WORDS = "abstract and array as break callable case catch class clone const continue declare default do echo else elseif empty enddeclare endfor endforeach endif endswitch endwhile exit extends final finally fn for foreach function global goto if implements include include_once instanceof insteadof interface isset list match namespace new or print private protected public readonly require require_once return static switch throw trait try unset use var while xor yield from enum die self parent".split()
 _HARD = frozenset(_WORDS)
@@ -549,11 +549,12 @@ def php(text: str) -> None:
     char, match = parser.c, _LEXER.match
     out: list[str] = []
     at, n = 0, len(text)
-    inside, last, probe = False, "", PROBE
+    inside, last, probe, fed, plain = False, "", PROBE, 0, Reduction(parser.g, "program")
     while at < n:
         if len(out) >= probe:
-            parser.g.probe("".join(out), "program")
-            probe = 2 * len(out)
+            plain.probe("".join(out[fed:]))
+            fed = len(out)
+            probe = 2 * fed
         if not inside:
             m = _OPEN.search(text, at)
             if m is None:
@@ -596,4 +597,4 @@ def php(text: str) -> None:
         last = tok
     if not _OPEN.search(text):
         raise Bad("no program")  # a text without a program is one block of output, not PHP that was meant
-    parser.g.run("".join(out), "program")
+    plain.finish("".join(out[fed:]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-from lodesift.llm.grammars.engine import Bad, END, Flat, Grammar, PROBE, operators, token_pattern
+from lodesift.llm.grammars.engine import Bad, END, Flat, Grammar, PROBE, Reduction, operators, token_pattern
 
 _OPENERS = "def class module begin if unless while until for case do".split()
 _WORDS = [*_OPENERS, *"alias and break defined? else elsif end ensure false in next nil not or redo rescue retry return self super then true undef when yield __FILE__ __LINE__ __method__ BEGIN END".split()]
@@ -27,6 +27,8 @@ _LEXER = token_pattern(
     re.S,
     r"(?:[ \t\r\f\v]|\\\n)*+(?:\#[^\n]*)?",
 )
+_SETTER = re.compile(r"=\s*\(|=[ \t]*\w+[ \t]*\n")
+_TAGGED = re.compile(r"<<[~-]['\"]?[A-Z]")
 _COMMENT_END = re.compile(r"^=end[^\n]*(?:\n|\Z)", re.M)
 _DATA = re.compile(r"__END__(?:\n|\Z)")
 _GOES_ON = re.compile(r"(?:[ \t\r]*(?:#[^\n]*)?\n)*[ \t]*(?:&?\.(?![.])\s*\w|&&|\|\|)")
@@ -524,11 +526,12 @@ def _lex(text: str, at: int, inner: bool) -> int:
     depth, braces, n = 0, 0, len(text)
     last, blank, bars = "", True, 0
     block_open = False
-    probe = n + 1 if inner else PROBE
+    probe, fed, plain = n + 1 if inner else PROBE, 0, Reduction(parser.g, "program")
     while at < n:
         if len(out) >= probe:
-            parser.g.probe("".join(out), "program")
-            probe = 2 * len(out)
+            plain.probe("".join(out[fed:]))
+            fed = len(out)
+            probe = 2 * fed
         if at == 0 or text[at - 1] == "\n":
             if text.startswith("=begin", at):
                 m = _COMMENT_END.search(text, at)
@@ -577,7 +580,7 @@ def _lex(text: str, at: int, inner: bool) -> int:
                 name = "CONST" if tok[0].isupper() and last != "def" else "ID"
                 if last == "def":
                     name = "ID"
-                    if text[end : end + 1] == "=" and re.compile(r"=\s*\(|=[ \t]*\w+[ \t]*\n").match(text, end) and text[end + 1 : end + 2] not in ("=", "~"):
+                    if text[end : end + 1] == "=" and _SETTER.match(text, end) and text[end + 1 : end + 2] not in ("=", "~"):
                         end += 1
                     if text[end : end + 1] == "." and tok[0].isupper():
                         name = "CONST"
@@ -637,7 +640,7 @@ def _lex(text: str, at: int, inner: bool) -> int:
                 if h:
                     heredocs.append((h.group(3), h.group(1)))
                     tok, end = "LIT", h.end()
-            elif tok in ("<<", "<<=") and value and _HEREDOC.match(text, at) and re.compile(r"<<[~-]['\"]?[A-Z]").match(text, at):
+            elif tok in ("<<", "<<=") and value and _HEREDOC.match(text, at) and _TAGGED.match(text, at):
                 h = _HEREDOC.match(text, at)
                 heredocs.append((h.group(3), h.group(1)))  # type: ignore[union-attr]
                 tok, end = "LIT", h.end()  # type: ignore[union-attr]
@@ -684,7 +687,7 @@ def _lex(text: str, at: int, inner: bool) -> int:
         raise Bad("here-document")
     if inner:
         raise Bad("literal")
-    parser.g.run("".join(out), "program")
+    plain.finish("".join(out[fed:]))
     return at
 
 

@@ -11,6 +11,7 @@ _OPERATOR = re.compile(r"&&|\|\||;;&|;&|;;|\|&|&>>|&>|<<<|<<-|<<|>>|>&|<&|>\||<>
 _PLAIN = re.compile(r"[^\s\\'\"`$;&|<>()]+")
 _FUNCTION_NAME = re.compile(r"[^\s;&|<>()$'\"`={}]+$")
 _ASSIGNMENT = re.compile(r"[A-Za-z_]\w*(?:\[[^\]]*\])?\+?=")
+_DESCRIPTOR = re.compile(r"(?:\d+|\{[A-Za-z_]\w*\})(?=[<>])")
 _REDIRECTS = ("<", ">", ">>", "<<", "<<-", "<<<", ">&", "<&", ">|", "<>", "&>", "&>>")
 _RESERVED = frozenset("if then elif else fi for while until do done case esac in function select time { } ! [[".split())
 _CLOSERS = frozenset("then elif else fi do done esac }".split())
@@ -240,7 +241,7 @@ class _Shell:
     def redirect(self) -> bool:
         """A redirection, consumed."""
         self.blanks()
-        m = re.compile(r"(?:\d+|\{[A-Za-z_]\w*\})(?=[<>])").match(self.s, self.p)
+        m = _DESCRIPTOR.match(self.s, self.p)
         at = m.end() if m else self.p
         op = _OPERATOR.match(self.s, at)
         if not op or op.group() not in _REDIRECTS or (self.s.startswith("(", at + 1) and op.group() in ("<", ">")):

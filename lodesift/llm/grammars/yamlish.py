@@ -12,6 +12,18 @@ _BLOCK_SCALAR = re.compile(r"[|>](?:[1-9][+-]?|[+-][1-9]?)?[ \t]*(?:#.*)?$")
 _COMMENT = re.compile(r"[ \t]*(?:(?<![^\s])#.*)?$")
 _BAD_START = "@`%"
 
+_NOTHING = re.compile(r"[ \t]*(?:#.*)?$")
+_MARKER = re.compile(r"(?:---|\.\.\.)(?:\s|$)")
+_STOP = re.compile(r"\.\.\.(?:\s|$)")
+_START = re.compile(r"---(?:\s|$)")
+_DASH = re.compile(r"-(?:[ \t]|$)")
+_QUERY = re.compile(r"\?(?:[ \t]|$)")
+_EXPLICIT = re.compile(r"[?:](?:[ \t]|$)")
+_REMARK = re.compile(r"[ \t]+#")
+_DASH_BLANK = re.compile(r"-[ \t]")
+_REMARKED = re.compile(r"[ \t]#")
+_COLON = re.compile(r":(?:[ \t]|$)")
+
 
 class _Yaml:
     """A line-oriented parser of block structure, with flow collections and quoted scalars read over lines."""
@@ -22,11 +34,11 @@ class _Yaml:
         self.n = len(self.lines)
 
     def skip(self) -> None:
-        while self.i < self.n and re.match(r"[ \t]*(?:#.*)?$", self.lines[self.i]):
+        while self.i < self.n and _NOTHING.match(self.lines[self.i]):
             self.i += 1
 
     def marker(self) -> bool:
-        return self.i < self.n and re.match(r"(?:---|\.\.\.)(?:\s|$)", self.lines[self.i]) is not None
+        return self.i < self.n and _MARKER.match(self.lines[self.i]) is not None
 
     def indent(self, line: str) -> int:
         return len(line) - len(line.lstrip(" "))
@@ -43,10 +55,10 @@ class _Yaml:
                     raise Bad("directive")
                 self.i += 1
                 continue
-            if re.match(r"\.\.\.(?:\s|$)", line):
+            if _STOP.match(line):
                 self.i += 1
                 continue
-            if re.match(r"---(?:\s|$)", line):
+            if _START.match(line):
                 rest = line[3:]
                 explicit = True
                 if _COMMENT.match(rest) or not rest.strip() or rest.strip().startswith("#"):
@@ -79,9 +91,9 @@ class _Yaml:
     def at(self, col: int, parent: int) -> None:
         """A node at column ``col`` of the line at hand."""
         text = self.lines[self.i][col:]
-        if re.match(r"-(?:[ \t]|$)", text):
+        if _DASH.match(text):
             self.sequence(col)
-        elif re.match(r"\?(?:[ \t]|$)", text) or self.key(text) is not None:
+        elif _QUERY.match(text) or self.key(text) is not None:
             self.mapping(col)
         else:
             self.scalar(col, parent, False)
@@ -124,7 +136,7 @@ class _Yaml:
                 return
             if c > col or line[c : c + 1] == "\t":
                 raise Bad("indentation")
-            if not re.match(r"-(?:[ \t]|$)", line[c:]):
+            if not _DASH.match(line[c:]):
                 return
             rest = line[c + 1 :]
             if _COMMENT.match(rest):
@@ -167,17 +179,17 @@ class _Yaml:
             if c > col or line[c : c + 1] == "\t":
                 raise Bad("indentation")
             text = line[c:]
-            if re.match(r"[?:](?:[ \t]|$)", text):
+            if _EXPLICIT.match(text):
                 end = 1
             else:
-                if re.match(r"-(?:[ \t]|$)", text):
+                if _DASH.match(text):
                     raise Bad("sequence in a mapping")
                 k = self.key(text)
                 if k is None:
                     raise Bad("key")
                 end = k
             rest = text[end:]
-            if not rest.strip() or re.match(r"[ \t]+#", rest):
+            if not rest.strip() or _REMARK.match(rest):
                 self.i += 1
                 self.skip()
                 if self.i < self.n and not self.marker():
@@ -185,7 +197,7 @@ class _Yaml:
                     ci = self.indent(nxt)
                     if nxt[ci : ci + 1] == "\t" and ci >= col:
                         raise Bad("tab")
-                    if ci == col and re.match(r"-(?:[ \t]|$)", nxt[ci:]):
+                    if ci == col and _DASH.match(nxt[ci:]):
                         self.sequence(ci)
                     elif ci > col:
                         self.node(col)
@@ -196,10 +208,10 @@ class _Yaml:
             if p < 0:  # only properties: the value is below
                 self.i += 1
                 self.skip()
-                if self.i < self.n and not self.marker() and (self.indent(self.lines[self.i]) > col or (self.indent(self.lines[self.i]) == col and re.match(r"-(?:[ \t]|$)", self.lines[self.i][col:]))):
+                if self.i < self.n and not self.marker() and (self.indent(self.lines[self.i]) > col or (self.indent(self.lines[self.i]) == col and _DASH.match(self.lines[self.i][col:]))):
                     self.node(col - 1)
                 continue
-            if end != 1 and (self.key(inline[p:]) is not None and inline[p : p + 1] not in "[{") or re.match(r"-[ \t]", inline[p:]):
+            if end != 1 and (self.key(inline[p:]) is not None and inline[p : p + 1] not in "[{") or _DASH_BLANK.match(inline[p:]):
                 if end != 1:
                     raise Bad("mapping value")
                 self.lines[self.i] = " " * inner + inline
@@ -250,7 +262,7 @@ class _Yaml:
                     if x.strip() and self.indent(x) <= parent and parent >= 0:
                         raise Bad("indentation")
             rest = tail[end : (tail.find("\n", end) if tail.find("\n", end) >= 0 else len(tail))]
-            if rest.strip() and not re.match(r"[ \t]+#", rest):
+            if rest.strip() and not _REMARK.match(rest):
                 raise Bad("behind a value")
             self.i += used + 1
             return
@@ -261,7 +273,7 @@ class _Yaml:
         # plain, maybe over several lines
         if self.mapped(text):
             raise Bad("mapping value")
-        ended = re.search(r"[ \t]#", text) is not None
+        ended = _REMARKED.search(text) is not None
         self.i += 1
         while self.i < self.n:
             x = self.lines[self.i]
@@ -282,13 +294,13 @@ class _Yaml:
                 raise Bad("behind a comment")
             if self.mapped(s):
                 raise Bad("mapping value")
-            ended = re.search(r"[ \t]#", s) is not None
+            ended = _REMARKED.search(s) is not None
             self.i += 1
 
     def mapped(self, text: str) -> bool:
         """Whether a plain text has a colon that would make it a key."""
         text = re.split(r"[ \t]#", text)[0]
-        return re.search(r":(?:[ \t]|$)", text) is not None
+        return _COLON.search(text) is not None
 
 
 class _Flow:
