@@ -20,15 +20,27 @@ def brute(targets, sizes, total):
     return {s: min(caps[s], high * w) for s, (w, _) in targets.items()}
 
 
-def test_water_fill_against_bisection():
+def test_water_fill_against_bisection(spark):
     r = random.Random(2)
-    for _ in range(200):
-        targets = {f"s{i}": (r.choice([0.0, r.random(), 1.0]), r.randint(0, 4)) for i in range(r.randint(1, 7))}
+    for many in (1, 2, 3, 5, 7, 7, 7, 60):
+        targets = {f"s{i}": (r.choice([0.0, r.random(), 1.0]), r.randint(0, 4)) for i in range(many)}
         sizes = {s: r.choice([0, r.randint(1, 1000)]) for s in targets}
-        total = r.randint(1, 3000)
-        got, want = mixing.water_fill(targets, sizes, total), brute(targets, sizes, total)
-        for s in targets:
-            assert got[s] == pytest.approx(want[s], rel=1e-6, abs=1e-6)
+        docs = spark.createDataFrame([(s, n) for s, n in sizes.items() if n], "source string, n_tokens long")
+        goal = spark.createDataFrame([(s, w, c) for s, (w, c) in targets.items()], "source string, target_share double, max_repeats int")
+        for total in (r.randint(1, 300), r.randint(1, 3000 * many)):
+            got = {x.source: x.planned for x in mixing.plan(docs, goal, total).collect()}
+            want = brute(targets, sizes, total)
+            assert set(got) == set(targets)
+            for s in targets:
+                assert got[s] == pytest.approx(want[s], rel=1e-6, abs=1e-6)
+
+
+def test_many_targets(spark):
+    """More targets than fit a driver's table are no other case."""
+    docs = spark.range(20_000).selectExpr("concat('s', id) AS source", "1 + id % 7 AS n_tokens")
+    goal = spark.range(20_000).selectExpr("concat('s', id) AS source", "1.0D AS target_share", "CAST(1 + id % 3 AS INT) AS max_repeats")
+    x = mixing.plan(docs, goal).selectExpr("count(*) AS n", "sum(planned) AS given", "sum(n_tokens) AS there", "max(planned / n_tokens - max_repeats) AS over").first()
+    assert x.n == 20_000 and x.given == pytest.approx(x.there) and x.over <= 1e-9
 
 
 def test_names(spark):
