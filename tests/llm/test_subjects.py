@@ -68,6 +68,25 @@ def test_no_labels(spark):
 
 def test_decide():
     w = Counter({"a": 10.0, "b": 5.0, "c": 4.0})
-    assert subjects.decide(w, Counter(a=4, b=2, c=2), 0.4) == ["a", "b"]
-    assert subjects.decide(w, Counter(a=1, b=2, c=2), 0.4) == []
-    assert subjects.decide(Counter({"b": 3.0, "a": 3.0}), Counter(a=2, b=2), 0.4) == ["a", "b"]
+    assert subjects.decide(w, Counter(a=4, b=2, c=2), 0.45, (2, 2)) == ["a", "b"]
+    assert subjects.decide(w, Counter(a=4, b=2, c=2), 0.4, (2, 2)) == ["a", "b", "c"]
+    assert subjects.decide(w, Counter(a=1, b=2, c=2), 0.9, (2, 2)) == ["b"]
+    assert subjects.decide(w, Counter(a=1, b=2, c=1), 0.4, (1, 2)) == ["a", "b"]
+    assert subjects.decide(w, Counter(a=1, b=1, c=1), 0.4, (2, 2)) == [] == subjects.decide(Counter(), Counter(), 0.4, (1, 1))
+    assert subjects.decide(Counter({"b": 3.0, "a": 3.0}), Counter(a=2, b=2), 0.4, (2, 2)) == ["a", "b"]
+
+
+def test_calibration():
+    seen = [(Counter({"a": 9.0, "b": 1.0}), Counter(a=3, b=1), {"a"}), (Counter({"a": 9.0, "b": 8.0}), Counter(a=3, b=3), {"a", "b"}), (Counter({"b": 3.0}), Counter(b=1), {"b"})]
+    share, least = subjects.calibrate(seen)
+    assert least == (1, 3) and share == 0.85 and all(set(subjects.decide(w, c, share, least)) == s for w, c, s in seen)
+    assert subjects.calibrate([]) == (0.4, (2, 2))
+
+
+def test_every_word_of_long_sentences_is_mined(spark):
+    """Forty words in one sentence: each makes a rule, in runs whose itemsets stay bounded."""
+    names = {s: [f"{s}{chr(97 + i // 20)}{chr(97 + i % 20)}x" for i in range(40)] for s in ("law", "music")}
+    docs = [(i, [s], " ".join(names[s]) + ".") for i, s in enumerate(["law", "music"] * 6)]
+    rules = subjects.mine(spark.createDataFrame(docs, "doc_id long, subjects array<string>, text string"))
+    assert {w for b, s, _, _ in rules for w in b if len(b) == 1} == {w for ws in names.values() for w in ws}
+    assert len(subjects.mine(spark.createDataFrame(docs, "doc_id long, subjects array<string>, text string"), most_rules=10)) == 0
