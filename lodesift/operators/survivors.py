@@ -4,18 +4,21 @@ Every record has three qualities: trust (an ordered policy vector), recency and
 (the set of filled fields). A record is dominated by one that the policy prefers and that is no
 less recent and fills at least the same fields. The skyline is the set of undominated records; the
 policy's first record is always in it and survives. Its blank fields are filled from the other
-members, layer after layer of dominance.
+members, layer after layer of dominance: whoever dominates a record that fills a field fills it too, so every field that any
+member fills is filled in the first layer, and the later ones have nothing left to give.
 
 Scale: members that agree in group, trust and filled fields are reduced, before the shuffle, to the
-newest of them (the others are dominated by it and can fill nothing it can't). So a group comes to
-one task as at most (trust levels x sets of filled fields) records, whatever its number of rows.
+newest of them (the others are dominated by it and can fill nothing it can't). Dominance is a running maximum: in the
+policy's order, a record is dominated if a record before it, among those that fill at least its fields, is no less recent. Each record is
+laid beside every set of fields of its group that it covers, and one sorted pass over group and set tells; nothing is
+gathered, rows are compared once and not in pairs, and a large group is sorted on disk.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -36,7 +39,7 @@ def survivors(
     value of the fields to fill; null means blank. Without ``fill`` they only tell which are filled, and their values
     aren't carried along.
 
-    Result: the keys, ``first_id``, ``best_id``, ``n_members``, ``n_skyline``, ``n_layers``, the
+    Result: the keys, ``first_id``, ``best_id``, ``n_members``, ``n_skyline``, the
     filled fields and ``filled_from`` (a map of field to the record it was taken from, without the
     survivor's own). Rows with a null key are in no group; a null recency is the oldest; rows that
     repeat a ``record_id`` are one member; an empty table gives no row. Extra columns are ignored.
@@ -60,72 +63,43 @@ def survivors(
             F.count(F.lit(1)).alias("__n"),
         )
     )
-    groups = (
-        cells.groupBy(*own)
-        .agg(
-            # the policy's order: trust, newest, smallest id (sorted ascending, then reversed)
-            F.reverse(
-                F.array_sort(
-                    F.collect_list(F.struct(F.col("__trust").alias("trust"), F.col("__r.__at").alias("at"), (-F.col("__r.__id")).alias("neg_id"), F.col("__mask").alias("mask"), F.col("__r.__f").alias("f")))
-                )
-            ).alias("__m"),
-            F.min("__first").alias("first_id"),
-            F.max("__last").alias("__last"),
-            F.sum("__n").alias("n_members"),
+    group = Window.partitionBy(*own)
+    members = (
+        cells.select(
+            *own,
+            F.struct(F.col("__trust").alias("trust"), F.col("__r.__at").alias("at"), (-F.col("__r.__id")).alias("neg_id")).alias("__policy"),
+            F.coalesce(F.unix_micros(F.col("__r.__at").cast("timestamp")), F.lit(-(1 << 62)).cast("bigint")).alias("__at"),
+            "__mask",
+            F.col("__r.__f").alias("__f"),
+            F.min("__first").over(group).alias("first_id"),
+            F.max("__last").over(group).alias("__end"),
+            F.sum("__n").over(group).alias("n_members"),
+            F.collect_set("__mask").over(group).alias("__masks"),
         )
-        .where(F.col("first_id") != F.col("__last"))
-    )
-    low = F.lit(-(1 << 62)).cast("bigint")
-    when = F.transform("__m", lambda m: F.coalesce(F.unix_micros(m["at"].cast("timestamp")), low))
-    # the layer of a record is one more than the deepest layer among its dominators, which precede it in the policy's order
-    layers = F.aggregate(
-        F.sequence(F.lit(0), F.size("__m") - 1),
-        F.array().cast("array<int>"),
-        lambda acc, i: F.concat(
-            acc,
-            F.array(
-                F.lit(1)
-                + F.coalesce(
-                    F.array_max(
-                        F.transform(
-                            acc,
-                            lambda layer, j: F.when(
-                                (F.element_at("__w", j + 1) >= F.element_at("__w", i + 1))
-                                & (F.element_at("__m", j + 1)["mask"].bitwiseAND(F.element_at("__m", i + 1)["mask"]) == F.element_at("__m", i + 1)["mask"]),
-                                layer,
-                            ).otherwise(0),
-                        )
-                    ),
-                    F.lit(0),
-                )
-            ),
-        ),
-    )
-    ranked = groups.withColumn("__w", when).withColumn("__l", layers).withColumn(
-        "__s", F.array_sort(F.transform("__m", lambda m, i: F.struct(F.element_at("__l", i + 1).alias("layer"), i.alias("ord"), (-m["neg_id"]).alias("id"), m["f"].alias("f"))))
+        .where(F.col("first_id") != F.col("__end"))
     )
-    best = F.element_at("__s", 1)
-    kept = [
-        *[F.col(o).alias(k) for o, k in zip(own, keys, strict=True)],
-        F.col("first_id"),
-        best["id"].alias("best_id"),
-        F.col("n_members"),
-        F.size(F.filter("__l", lambda x: x == 1)).alias("n_skyline"),
-        F.array_max("__l").alias("n_layers"),
-    ]
+    # a record stands beside each set of fields that it covers; its own set comes with its values
+    covered = F.filter("__masks", lambda m: m.bitwiseAND(F.col("__mask")) == m)
+    laid = members.withColumn("__set", F.explode(covered)).withColumn("__f", F.when(F.col("__set") == F.col("__mask"), F.col("__f")))
+    before = Window.partitionBy(*own, "__set").orderBy(F.col("__policy").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    newest = F.max("__at").over(before)
+    skyline = laid.withColumn("__newest", newest).where((F.col("__set") == F.col("__mask")) & (F.col("__newest").isNull() | (F.col("__newest") < F.col("__at"))))
+    kept = [F.first("first_id").alias("first_id"), (-F.max("__policy")["neg_id"]).alias("best_id"), F.first("n_members").alias("n_members"), F.count(F.lit(1)).cast("int").alias("n_skyline")]
+    back = [F.col(o).alias(k) for o, k in zip(own, keys, strict=True)]
     if not fill or not fields:
-        return ranked.select(*kept)
+        return skyline.groupBy(*own).agg(*kept).select(*back, "first_id", "best_id", "n_members", "n_skyline")
 
-    def source(i: int) -> Column:
-        """The first record, by layer and policy, that fills field ``i``."""
-        return F.get(F.filter("__s", lambda m: m["f"].getField(names[i]).isNotNull()), F.lit(0))
+    def given(n: str) -> Column:
+        """The value and record of the first of the skyline that fills the field."""
+        value = F.col("__f").getField(n)
+        return F.max_by(F.struct(value.alias("v"), (-F.col("__policy.neg_id")).alias("id")), F.when(value.isNotNull(), F.col("__policy"))).alias(f"__g_{n}")
 
-    sources = [source(i) for i in range(len(names))]
+    filled = skyline.groupBy(*own).agg(*kept, *[given(n) for n in names])
     donors = F.map_filter(
-        F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[s["id"] for s in sources])),
-        lambda k, v: v.isNotNull() & (v != F.element_at("__s", 1)["id"]),
+        F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.col(f"__g_{n}")["id"] for n in names])),
+        lambda k, v: v.isNotNull() & (v != F.col("best_id")),
     )
-    return ranked.select(*kept, *[F.coalesce(best["f"].getField(n), s["f"].getField(n)).alias(n) for n, s in zip(names, sources, strict=True)], donors.alias("filled_from"))
+    return filled.select(*back, "first_id", "best_id", "n_members", "n_skyline", *[F.col(f"__g_{n}")["v"].alias(n) for n in names], donors.alias("filled_from"))
 
 
 def descending(c: Column) -> Column:

@@ -60,7 +60,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_survivors(spark: SparkSession, d: str) -> DataFrame:
-    return finding_survivors(table(spark, d, "findings")).drop("n_skyline", "n_layers").withColumn("filled_from", F.size("filled_from"))
+    return finding_survivors(table(spark, d, "findings")).withColumn("filled_from", F.to_json("filled_from"))
 
 
 def ledger_events(ledger: DataFrame) -> DataFrame:

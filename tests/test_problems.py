@@ -58,6 +58,15 @@ def test_no_group_without_line_or_number(spark):
     assert survivors(spark, []) == {}
 
 
+def test_survivors_of_a_hot_group(spark):
+    """One group of thousands of rules, each newer and less trusted than the one before: the whole group is the skyline."""
+    from datetime import timedelta
+
+    rows = [finding(i, rule_id=f"R{i:05d}", recorded_at=datetime(2025, 1, 1) + timedelta(minutes=i), title="t" if i == 1500 else None) for i in range(1, 3001)]
+    got = survivors(spark, rows)
+    assert len(got) == 1 and got[1]["best_id"] == 1 and got[1]["n_members"] == 3000 and got[1]["n_skyline"] == 3000 and got[1]["title"] == "t"
+
+
 def test_survivors_against_brute_force(spark):
     import random
 
@@ -73,6 +82,15 @@ def test_survivors_against_brute_force(spark):
             continue
         g.sort(key=lambda d: (-(d["severity"] if d["severity"] is not None else -1), d["rule_id"], -d["recorded_at"].timestamp(), d["finding_id"]))
         one = got[min(d["finding_id"] for d in g)]
+        # the layers, by comparing all pairs in the policy's order
+        filled = [{k for k in ("title", "suggestion") if d[k]} for d in g]
+        layer = []
+        for j, d in enumerate(g):
+            layer.append(1 + max((layer[i] for i in range(j) if g[i]["recorded_at"] >= d["recorded_at"] and filled[i] >= filled[j]), default=0))
+        assert one["n_skyline"] == layer.count(1)
+        for k in ("title", "suggestion"):
+            donor = min(((layer[j], j) for j in range(len(g)) if g[j][k]), default=None)
+            assert one[k] == (g[donor[1]][k] if donor else None)
         assert one["best_id"] == g[0]["finding_id"]
         assert (one["title"] is None) == all(d["title"] is None for d in g)
 
