@@ -80,8 +80,10 @@ def stats(the_functions: DataFrame, the_edges: DataFrame) -> DataFrame:
     """One row: functions, edges, files, functions with tainted parts."""
     sig = F.col("taint_sig")
     tainted = (F.coalesce(F.size(sig["tainted_params"]), F.lit(0)) > 0) | (F.coalesce(F.size(sig["sink_calls"]), F.lit(0)) > 0)
-    a = the_functions.agg(F.count(F.lit(1)).alias("n_functions"), F.countDistinct("file_path").alias("n_files"), F.count_if(F.coalesce(tainted, F.lit(False))).alias("n_tainted"))
-    return a.crossJoin(F.broadcast(the_edges.agg(F.count(F.lit(1)).alias("n_edges"))))  # one row each
+    rows = the_functions.select(F.lit(1).alias("f"), "file_path", F.coalesce(tainted, F.lit(False)).alias("t"), F.lit(0).alias("e"))
+    both = rows.unionByName(the_edges.select(F.lit(0).alias("f"), F.lit(None).cast("string").alias("file_path"), F.lit(False).alias("t"), F.lit(1).alias("e")))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    return both.agg(total("f").alias("n_functions"), F.countDistinct("file_path").alias("n_files"), F.count_if("t").alias("n_tainted"), total("e").alias("n_edges"))
 
 
 def without_file(the_functions: DataFrame, the_edges: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodesift.functions.paths import is_comment
 from lodesift.session import ship
 
 # Languages whose lines go on behind a backslash.
@@ -26,18 +27,23 @@ def line_of(content: Column, offset: Column) -> Column:
     return F.when(inside, F.char_length(before) - F.char_length(F.replace(before, F.lit("\n"))) + 1).otherwise(0)
 
 
-def joined(the_lines: DataFrame, key: str) -> DataFrame:
+def joined(files: DataFrame, key: str, content: str = "content") -> DataFrame:
     """``key, line_no, text``: lines whose end, but for blanks, is a backslash are joined with the next, without it.
 
-    ``line_no`` is the first physical line, so that findings keep their place.
+    ``line_no`` is the first physical line, so that findings keep their place. Lines are numbered in the text itself, and the ends
+    that go on are taken out with the number behind them, so a file is joined where it lies.
     """
-    w = Window.partitionBy(key).orderBy("line_no")
-    goes_on = F.rtrim("text").endswith("\\")
-    starts = F.when(F.coalesce(F.lag(goes_on).over(w), F.lit(False)), 0).otherwise(1)
-    body = F.when(goes_on, F.expr("left(rtrim(text), char_length(rtrim(text)) - 1)")).otherwise(F.col("text"))
-    grouped = the_lines.withColumn("__g", F.sum(starts).over(w)).withColumn("__b", body)
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "__b"))), lambda s: s["__b"])
-    return grouped.groupBy(key, "__g").agg(F.min("line_no").alias("line_no"), F.array_join(parts, "").alias("text")).drop("__g")
+    numbered = F.array_join(F.transform(F.split(content, "\n", -1), lambda x, i: F.concat((i + 1).cast("string"), F.lit("\x01"), x)), "\n")
+    whole = F.regexp_replace(F.regexp_replace(numbered, r"\\ *\n\d+\x01", ""), r"\\ *\z", "")
+    rows = files.where(F.col(content).isNotNull()).select(key, F.explode(F.split(whole, "\n", -1)).alias("x"))
+    return rows.select(key, F.substring_index("x", "\x01", 1).cast("int").alias("line_no"), F.substring(F.col("x"), F.instr(F.col("x"), "\x01") + 1, F.char_length("x")).alias("text"))
+
+
+def comment_counts(files: DataFrame, key: str, content: str = "content") -> DataFrame:
+    """``key, n_lines, n_comments, n_blank`` of every file with content, counted where it lies."""
+    ls = F.split(content, "\n", -1)
+    count = lambda test: F.size(F.filter(ls, test)).cast("bigint")
+    return files.where(F.col(content).isNotNull()).select(key, F.size(ls).cast("bigint").alias("n_lines"), count(is_comment).alias("n_comments"), count(lambda x: F.trim(x) == "").alias("n_blank"))
 
 
 def bracket_delta(line: str) -> int:

@@ -35,15 +35,28 @@ class Window:
     after: int
 
 
+@dataclass(frozen=True)
+class State:
+    """What the lines above a hit must have left behind.
+
+    ``latest``: of the lines up to the hit that match ``of``, the last one matches ``wanted``; ``inside``: the hit lies in a braced block
+    that a line matching ``of`` opened.
+    """
+
+    kind: str
+    of: str
+    wanted: str = ""
+
+
 @dataclass(frozen=True)
 class Rule:
-    """One rule; of ``patterns`` the first that matches a line gives its text and confidence."""
+    """One rule; of ``patterns`` (pattern, confidence, language or none) the first that matches a line gives its text and confidence."""
 
     rule_id: str
     name: str
     severity: int
     languages: tuple[str, ...]
-    patterns: tuple[tuple[str, str], ...]  # pattern, confidence
+    patterns: tuple[tuple[str, str, str], ...]
     cwe: str = ""
     owasp: str = ""
     title: str = ""
@@ -58,9 +71,10 @@ class Rule:
     path: str = ""
     once: bool = False
     comments: bool = field(default=False)
+    states: tuple[State, ...] = ()
 
     def __post_init__(self) -> None:
-        for p in (*[p for p, _ in self.patterns], *self.guards, *self.guards_none, *[w.pattern for w in (*self.near, *self.near_none)], *self.line_none, self.path):
+        for p in (*[p for p, _, _ in self.patterns], *[x for w in self.states for x in (w.of, w.wanted)], *self.guards, *self.guards_none, *[w.pattern for w in (*self.near, *self.near_none)], *self.line_none, self.path):
             check_pattern(p)
 
 
@@ -75,7 +89,7 @@ def load(path: str | Path) -> list[Rule]:
     """Rules from a JSON file of the rule format: a list of objects, or an object with ``defaults`` and ``rules``.
 
     An entry has ``id``, ``name``, ``patterns`` (texts or ``{"regex", "confidence", "language"}``), ``severity`` (a name or 0-4),
-    ``languages``, and any other field of ``Rule``; ``safe_patterns`` cancel a hit on the line.
+    ``languages``, and any other field of ``Rule``; a pattern with a ``language`` counts in files of that only; ``safe_patterns`` cancel a hit on the line.
     """
     spec = json.loads(Path(path).read_text(encoding="utf-8"))
     defaults, entries = (spec.get("defaults", {}), spec["rules"]) if isinstance(spec, dict) else ({}, spec)
@@ -85,7 +99,8 @@ def load(path: str | Path) -> list[Rule]:
 def parse(e: dict) -> Rule:
     names = {"info": 0, "low": 1, "medium": 2, "high": 3, "critical": 4}
     severity = e.get("severity", 2)
-    patterns = tuple((p, e.get("confidence", "medium")) if isinstance(p, str) else (p["regex"], p.get("confidence", "medium")) for p in e["patterns"])
+    usual = e.get("confidence", "medium")
+    patterns = tuple((p, usual, "") if isinstance(p, str) else (p["regex"], p.get("confidence", usual), p.get("language", "")) for p in e["patterns"])
     return Rule(
         e["id"],
         e.get("name", e["id"]),
@@ -106,6 +121,7 @@ def parse(e: dict) -> Rule:
         e.get("path", ""),
         bool(e.get("once", False)),
         bool(e.get("comments", False)),
+        tuple(State(**w) for w in e.get("states", ())),
     )
 
 
@@ -127,10 +143,23 @@ def _hits(rule: Rule) -> Column:
         first = F.greatest(F.lit(1), i + 1 - w.before)
         return F.array_join(F.slice("__ls", first, i + 1 + w.after - first + 1), "\n").rlike(w.pattern)
 
+    def tested(text: Column, p: str, lang: str) -> Column:
+        return (F.col("lang") == lang) & text.rlike(p) if lang else text.rlike(p)
+
+    def left_behind(w: State, i: Column) -> Column:
+        above = F.slice("__ls", F.lit(1), i + 1)
+        if w.kind == "latest":
+            of = F.filter(above, lambda x: x.rlike(w.of))
+            return F.coalesce(F.get(of, F.size(of) - 1).rlike(w.wanted), F.lit(False))
+        opened = F.filter(F.transform(above, lambda x, k: F.when(x.rlike(w.of), k)), lambda k: k.isNotNull())
+        block = lambda k: F.array_join(F.slice("__ls", k + 1, i - k + 1), "\n")
+        depth = lambda t: F.char_length(F.replace(t, F.lit("}"))) - F.char_length(F.replace(t, F.lit("{")))
+        return F.exists(opened, lambda k: (k < i) & (depth(block(k)) > 0))
+
     def matches(text: Column, i: Column) -> Column:
-        ok = text.rlike(rule.patterns[0][0])
-        for p, _ in rule.patterns[1:]:
-            ok = ok | text.rlike(p)
+        ok = tested(text, *rule.patterns[0][::2])
+        for p, _, lang in rule.patterns[1:]:
+            ok = ok | tested(text, p, lang)
         if not rule.comments:
             ok = ok & ~text.rlike(COMMENT_STARTS)
         for p in rule.line_none:
@@ -139,19 +168,21 @@ def _hits(rule: Rule) -> Column:
             ok = ok & window(w, i)
         for w in rule.near_none:
             ok = ok & ~window(w, i)
+        for s in rule.states:
+            ok = ok & left_behind(s, i)
         return ok
 
     def hit(text: Column, i: Column) -> Column:
         which = F.lit(len(rule.patterns) - 1)
         for k in range(len(rule.patterns) - 2, -1, -1):
-            which = F.when(text.rlike(rule.patterns[k][0]), k).otherwise(which)
+            which = F.when(tested(text, *rule.patterns[k][::2]), k).otherwise(which)
         return F.when(matches(text, i), F.struct((i + 1).alias("line_no"), which.cast("int").alias("ord"), text.alias("text")))
 
     found = F.filter(F.transform(ls, hit), lambda h: h.isNotNull())
     if rule.once:
         found = F.slice(found, 1, 1)
     # a line that matches makes the content match too, so files without a match never get to their lines
-    wanted = F.col("content").rlike("(?m)" + "|".join(f"(?:{p})" for p, _ in rule.patterns))
+    wanted = F.col("content").rlike("(?m)" + "|".join(f"(?:{p})" for p, _, _ in rule.patterns))
     if "*" not in rule.languages:
         wanted = F.col("lang").isin(*rule.languages) & wanted
     if rule.path:
@@ -184,7 +215,7 @@ def apply(files: DataFrame, rules: Sequence[Rule], key: str) -> DataFrame:
     def value(of: Iterable[object], kind: str) -> Column:
         return F.get(F.array(*[F.lit(x) for x in of]).cast(f"array<{kind}>"), F.col("rule"))
 
-    confidence = F.get(F.get(F.array(*[F.array(*[F.lit(c) for _, c in r.patterns]) for r in rules]), F.col("rule")), F.col("ord"))
+    confidence = F.get(F.get(F.array(*[F.array(*[F.lit(c) for _, c, _ in r.patterns]) for r in rules]), F.col("rule")), F.col("ord"))
     tags = F.get(F.array(*[F.array(*[F.lit(t) for t in r.tags]).cast("array<string>") for r in rules]), F.col("rule"))
     return rows.select(
         key,

@@ -3,65 +3,93 @@
 ``<keyword>:ignore targets [-- reason]`` covers its own line and the next line of code;
 ``<keyword>:ignore-start targets`` and ``<keyword>:ignore-end`` cover the lines between, and nest; an open block lasts to the
 end of the file. A target is a rule id, a category or ``all``.
+
+Directives are found in the JVM; only files that have one go through the fold over their lines (blocks are a stack), in one pass without a shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodesift.functions.scoring import category
+from lodesift.session import ship
 
 #: The word before ``:ignore``.
 KEYWORD = "scan"
 # What a line starts with that a directive passes over.
-_PASSED = r"^\s*(?://|#|--|/\*|\*|<!--|rem |REM )|^\s*$"
-
-
-def directives(the_lines: DataFrame, key: str, keyword: str = KEYWORD) -> DataFrame:
-    """``key, line_no, kind, targets, reason``: ``kind`` is ``line``, ``start`` or ``end``; others than ends need a target."""
-    pattern = rf"(?i){keyword}:ignore(?:-(start|end))?\s*([^\n]*)"
-    hit = the_lines.where(F.col("text").rlike(rf"(?i){keyword}:ignore"))
-    kind = F.lower(F.regexp_extract("text", pattern, 1))
-    rest = F.trim(F.regexp_extract("text", pattern, 2))
-    head = F.substring_index(rest, "--", 1)
-    return hit.select(
-        key,
-        "line_no",
-        F.when(kind == "", "line").otherwise(kind).alias("kind"),
-        F.filter(F.split(F.lower(F.trim(head)), r"\s+"), lambda t: t != "").alias("targets"),
-        F.when(F.contains(rest, F.lit("--")), F.trim(F.substring(rest, F.char_length(head) + 3, F.char_length(rest)))).otherwise("").alias("reason"),
-    ).where((F.col("kind") == "end") | (F.size("targets") > 0))
-
-
-def covered(the_lines: DataFrame, key: str, keyword: str = KEYWORD) -> DataFrame:
+PASSED = r"^\s*(?://|#|--|/\*|\*|<!--|rem |REM )|^\s*$"
+_PASSED = re.compile(PASSED)
+
+
+@lru_cache(maxsize=8)
+def _directive(keyword: str) -> re.Pattern[str]:
+    return re.compile(rf"{re.escape(keyword)}:ignore(-start|-end)?\b[ \t]*(.*)", re.I)
+
+
+def ranges(text: str, keyword: str = KEYWORD) -> list[tuple[int, int, str, str]]:
+    """``first, last, target, reason`` of the lines of a text each target is turned off in; others than ends need a target."""
+    lines = text.split("\n")
+    out: list[tuple[int, int, str, str]] = []
+    waiting: list[tuple[str, str]] = []  # of directives whose next line of code hasn't come
+    blocks: list[tuple[int, list[str], str]] = []
+    for no, line in enumerate(lines, 1):
+        m = _directive(keyword).search(line) if ":" in line else None
+        if m is None:
+            if waiting and not _PASSED.search(line):
+                out += [(no, no, t, why) for t, why in waiting]
+                waiting = []
+            continue
+        kind, rest = (m.group(1) or "").lower(), m.group(2).strip()
+        head, _, why = rest.partition("--")
+        targets, why = head.lower().split(), why.strip()
+        if kind == "-end":
+            if blocks:
+                first, some, because = blocks.pop()
+                out += [(first, no, t, because) for t in some]
+        elif targets and kind == "-start":
+            blocks.append((no, targets, why))
+        elif targets:
+            if waiting and not _PASSED.search(line):
+                out += [(no, no, t, w) for t, w in waiting]
+                waiting = []
+            out += [(no, no, t, why) for t in targets]
+            waiting += [(t, why) for t in targets]
+    return out + [(first, len(lines), t, why) for first, some, why in blocks for t in some]
+
+
+def covered(files: DataFrame, key: str, keyword: str = KEYWORD, content: str = "content") -> DataFrame:
     """``key, first, last, target, reason``: the ranges of lines each target is turned off in.
 
-    An end closes the innermost open block: of the starts before it, the last one at its nesting depth.
+    An end closes the innermost open block; ends without one are passed over. Files without content or directive have none.
+    """
+    ship(files.sparkSession)
+    kind = dict(files.dtypes)[key]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(k, *r) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in ranges(t, keyword)]
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.string())], [key, "first", "last", "target", "reason"])
+
+    rows = files.where(F.contains(F.lower(content), F.lit(f"{keyword.lower()}:ignore"))).select(key, content)
+    return rows.mapInArrow(run, f"{key} {kind}, first int, last int, target string, reason string")
+
+
+def split(findings: DataFrame, the_ranges: DataFrame, key: str) -> DataFrame:
+    """``findings`` with ``suppressed`` and ``suppress_reason``: those in a range of a target they meet; of several, that which starts first.
+
+    The ranges of a file come as one array to its findings, so lines are compared within a file and the join is by file only.
     """
-    d = directives(the_lines, key, keyword)
-    code = the_lines.where(~F.col("text").rlike(_PASSED)).select(key, F.col("line_no").alias("__code"))
-    single = d.where("kind = 'line'")
-    after = single.select(key, "line_no").distinct().join(code, key).where("__code > line_no").groupBy(key, "line_no").agg(F.min("__code").alias("last"))
-    one = single.select(key, F.col("line_no").alias("first"), F.col("line_no").alias("last"), "targets", "reason")
-    nxt = single.join(after, [key, "line_no"]).select(key, F.col("last").alias("first"), "last", "targets", "reason")
-    # depth of each block mark; ends without an open block are left out by folding from the lowest depth so far
-    w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    marks = d.where("kind <> 'line'").withColumn("__s", F.when(F.col("kind") == "start", 1).otherwise(-1)).withColumn("__sum", F.sum("__s").over(w))
-    floor = F.least(F.lit(0), F.min("__sum").over(w))
-    before = F.least(F.lit(0), F.coalesce(F.min("__sum").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    level = marks.withColumn("__depth", F.col("__sum") - floor + F.when(F.col("__s") == -1, 1).otherwise(0)).withColumn("__stray", (F.col("__s") == -1) & (F.col("__sum") < before))
-    at = Window.partitionBy(key, "__depth").orderBy("line_no")
-    paired = level.where("NOT __stray").withColumn("__next", F.lead("line_no").over(at)).where("kind = 'start'")
-    end = the_lines.groupBy(key).agg(F.max("line_no").alias("__end"))
-    blocks = paired.join(end, key).select(key, F.col("line_no").alias("first"), F.coalesce("__next", "__end").alias("last"), "targets", "reason")
-    return one.unionByName(nxt).unionByName(blocks).select(key, "first", "last", F.explode("targets").alias("target"), "reason")
-
-
-def split(findings: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
-    """``findings`` with ``suppressed`` and ``suppress_reason``: those in a range of a target they meet."""
-    f = findings.withColumn("__fid", F.monotonically_increasing_id() if "finding_id" not in findings.columns else F.col("finding_id"))
-    r = ranges.select(F.col(key).alias("__k"), "first", "last", "target", "reason")
-    met = F.col("target").isin("all") | (F.col("target") == F.lower("rule_id")) | (F.col("target") == category(F.col("rule_id")))
-    hit = f.join(r, (f[key] == r["__k"]) & f["line_number"].between(r["first"], r["last"])).where(met).groupBy("__fid").agg(F.min_by("reason", "first").alias("suppress_reason"))
-    return f.join(hit.withColumn("suppressed", F.lit(True)), "__fid", "left").withColumn("suppressed", F.coalesce("suppressed", F.lit(False))).drop("__fid")
+    per_file = the_ranges.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("first", "last", "target", "reason"))).alias("__ranges"))
+    met = F.filter(
+        "__ranges",
+        lambda r: F.col("line_number").between(r["first"], r["last"]) & ((r["target"] == "all") | (r["target"] == F.lower("rule_id")) | (r["target"] == category(F.col("rule_id")))),
+    )
+    f = findings.join(per_file, key, "left").withColumn("__met", met)
+    return f.withColumns({"suppressed": F.coalesce(F.size("__met") > 0, F.lit(False)), "suppress_reason": F.get("__met", F.lit(0))["reason"]}).drop("__ranges", "__met")

@@ -25,6 +25,29 @@ r AS (
     k AS (PARTITION BY entry_id, file_path, line_no, cwe_number))
 """
 
+def _survivors() -> str:
+    """Survivors by comparing all pairs of a group: who is dominated, and for each field the first that fills it."""
+    fields = {
+        "rule_id": f"nullif(upper(trim(rule_id, {_BLANKS})), '')",
+        **{c: f"nullif(trim({c}, {_BLANKS}), '')" for c in ("severity_label", "title", "description")},
+        "col_no": "col_no",
+        "matched_text": "nullif(matched_text, '')",
+        **{c: f"nullif(trim({c}, {_BLANKS}), '')" for c in ("suggestion", "owasp_category")},
+        "lang": f"nullif({_label('lang')}, '')",
+        "confidence": f"nullif({_label('confidence')}, '')",
+        "confidence_score": "CASE WHEN isnan(confidence_score) THEN NULL ELSE confidence_score END",
+    }
+    values = ", ".join(f"{v} AS f_{c}" for c, v in fields.items())
+    mask = " + ".join(f"(f_{c} IS NOT NULL)::int * {1 << i}" for i, c in enumerate(fields))
+    filled = ", ".join(f"arg_min(f_{c}, place) FILTER (WHERE f_{c} IS NOT NULL) AS {c}, arg_min(finding_id, place) FILTER (WHERE f_{c} IS NOT NULL) AS d_{c}" for c in fields)
+    donors = " || ".join(f"CASE WHEN d_{c} <> best_id THEN '\"{c}\":' || d_{c} || ',' ELSE '' END" for c in fields)
+    return f"""WITH {_FINDINGS}, c AS (SELECT *, coalesce(epoch_us(recorded_at), -4611686018427387904) AS at_us, {values} FROM r WHERE n_members > 1),
+m AS (SELECT *, {mask} AS mask FROM c),
+d AS (SELECT a.finding_id FROM m a WHERE EXISTS (SELECT 1 FROM m b WHERE b.first_id = a.first_id AND b.place < a.place AND b.at_us >= a.at_us AND (b.mask & a.mask) = a.mask)),
+g AS (SELECT entry_id, file_path, line_no AS line_number, cwe_number, first_id, arg_min(finding_id, place) AS best_id, count(*) AS n_members, count(*) FILTER (WHERE finding_id NOT IN (SELECT finding_id FROM d))::int AS n_skyline, {filled} FROM m GROUP BY ALL)
+SELECT entry_id, file_path, line_number, cwe_number, first_id, best_id, n_members, n_skyline, {', '.join(fields)}, '{{' || rtrim({donors}, ',') || '}}' AS filled_from FROM g"""
+
+
 _LEDGER = f"""
 t AS (
   SELECT {_label('session_id')} AS session_id, {_label('event')} AS event, file_path, entry_id,
@@ -103,7 +126,59 @@ _NODE_COLUMNS = " UNION ALL ".join(
     ]
 )
 
+
+
+def _shredded() -> str:
+    """The children of ``raw_records`` by JSON functions: objects become lists of named members, parts sent as text are read."""
+
+    def read(x: str) -> str:
+        return f"CASE WHEN json_type({x}) = 'VARCHAR' AND json_valid({x}->>'$') AND json_type({x}->>'$') IN ('OBJECT', 'ARRAY', 'VARCHAR') THEN ({x}->>'$')::json ELSE {x} END"
+
+    def members(x: str) -> str:
+        name = "lower(regexp_replace(regexp_replace(regexp_replace(trim(k), '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1_\\2', 'g'), '[-_ ]+', '_', 'g'))"
+        return f"CASE WHEN json_type({x}) = 'OBJECT' THEN list_transform(json_keys({x}), lambda k: {{'n': {name}, 'k': k, 'v': json_extract({x}, '$.\"' || k || '\"')}}) ELSE [] END"
+
+    def parts(rows: str, source: str, column: str, name: str, prefix: str) -> str:
+        """``rows(record_id, pre, v)``: the elements of a list (or a lone one) that is a member of ``source.column``."""
+        return f"""{rows}_0 AS (SELECT record_id, {prefix} AS pre, {read('m.v')} AS v FROM (SELECT record_id, pre, unnest({members(column)}) AS m FROM {source}) WHERE m.n = '{name}'),
+{rows}_1 AS (SELECT record_id, pre, CASE json_type(v) WHEN 'ARRAY' THEN json_extract(v, '$[*]') WHEN 'NULL' THEN [] ELSE [v] END AS vs FROM {rows}_0),
+{rows} AS (SELECT record_id, pre || i AS pre, {read('v')} AS v FROM (SELECT record_id, pre, unnest(vs) AS v, unnest(range(0, len(vs))) AS i FROM {rows}_1) WHERE json_type(v) <> 'NULL')"""
+
+    def one(rows: str, source: str, name: str) -> str:
+        return f"{rows} AS (SELECT record_id, '' AS pre, {read('m.v')} AS v FROM (SELECT record_id, unnest({members('v')}) AS m FROM {source}) WHERE m.n = '{name}' AND json_type(m.v) <> 'NULL')"
+
+    def entries(rows: str, name: str) -> str:
+        return f"""{rows} AS (SELECT record_id, m.k AS k, m.v AS v FROM (SELECT record_id, unnest({members('v')}) AS m FROM (SELECT record_id, {read('m.v')} AS v FROM (SELECT record_id, unnest({members('v')}) AS m FROM sig) WHERE m.n = '{name}')) WHERE json_type(m.v) <> 'NULL')"""
+
+    steps = [
+        "r0 AS (SELECT record_id, payload::json AS v FROM raw_records WHERE json_valid(trim(payload, chr(65279) || ' ' || chr(9) || chr(10) || chr(13))))",
+        f"r1 AS (SELECT record_id, {read('v')} AS v FROM r0)",
+        f"r2 AS (SELECT record_id, {read('v')} AS v FROM r1)",
+        "r AS (SELECT record_id, '' AS pre, v FROM r2 WHERE json_type(v) = 'OBJECT')",
+        parts("fi", "r", "v", "findings", "pre"),
+        parts("ta", "fi", "v", "tags", "pre || '/'"),
+        f"fl AS (SELECT record_id, pre, {read('m.v')} AS v FROM (SELECT record_id, pre, unnest({members('v')}) AS m FROM fi) WHERE m.n = 'flow')",
+        parts("st", "fl", "v", "steps", "pre || '/'"),
+        *[parts(n, "r", "v", name, "pre") for n, name in (("su", "suppressed_rules"), ("ca", "calls"), ("cb", "called_by"))],
+        one("sig", "r", "taint_sig"),
+        *[parts(n, "sig", "v", name, "pre") for n, name in (("si", "sink_calls"), ("ss", "suppressed_sinks"), ("sp", "sanitized_paths"))],
+        entries("so", "source_params"),
+        entries("tp0", "tainted_params"),
+        "tp1 AS (SELECT record_id, k, CASE json_type(v) WHEN 'ARRAY' THEN json_extract(v, '$[*]') ELSE [v] END AS vs FROM tp0)",
+        "tp AS (SELECT record_id, k || '/' || i AS pre FROM (SELECT record_id, k, unnest(vs) AS v, unnest(range(0, len(vs))) AS i FROM tp1) WHERE json_type(v) <> 'NULL')",
+        one("ti", "r", "tool_input"),
+        parts("ed", "ti", "v", "edits", "pre"),
+        one("tr", "r", "tool_response"),
+    ]
+    places = {"findings": "fi", "findings.tags": "ta", "findings.flow.steps": "st", "suppressed_rules": "su", "calls": "ca", "called_by": "cb", "taint_sig.sink_calls": "si", "taint_sig.suppressed_sinks": "ss", "taint_sig.sanitized_paths": "sp", "taint_sig.tainted_params": "tp", "tool_input.edits": "ed"}
+    rows = [f"SELECT record_id, '{p}' AS child_path, pre AS pos_path FROM {n}" for p, n in places.items()]
+    rows += [f"SELECT record_id, '{p}', '0' FROM {n}" for p, n in (("taint_sig", "sig"), ("tool_input", "ti"), ("tool_response", "tr"))] + ["SELECT record_id, 'taint_sig.source_params', k FROM so"]
+    return f"WITH {', '.join(steps)} {' UNION ALL '.join(rows)}"
+
+
 ORACLE = {
+    "p5_found": _shredded(),
+    "p2_survivors": _survivors(),
     "p5_node_columns": f"SELECT * FROM ({_NODE_COLUMNS}) AS t(source_table, record_id, child_path, pos_path)",
     "p2_found": f"WITH {_FINDINGS} SELECT first_id, finding_id AS best_id FROM r WHERE place = 1 AND n_members > 1",
     "p4_found": f"WITH {_LEDGER} SELECT * FROM long",

@@ -10,8 +10,8 @@ _SECURITY = r"(?i)(token|session|password|secret|nonce|otp|csrf|key|salt|iv|auth
 
 
 def _r(rule_id: str, name: str, severity: str, languages: str, cwe: str, owasp: str, *patterns: str | tuple[str, str], **more: object) -> Rule:
-    listed = [p if isinstance(p, str) else {"regex": p[0], "confidence": p[1]} for p in patterns]
-    return parse({"id": rule_id, "name": name, "severity": severity, "languages": languages.split(), "cwe": cwe, "owasp": owasp, "patterns": listed, "tags": [rule_id.split("-")[0].lower()], **more})
+    listed = [p if isinstance(p, str) else dict(zip(("regex", "confidence", "language"), p)) for p in patterns]
+    return parse({"id": rule_id, "name": name, "severity": severity, "languages": languages.split(), "cwe": cwe, "owasp": owasp, "patterns": listed, "tags": [rule_id.removeprefix("OWN-").split("-")[0].lower()], **more})
 
 
 # Ids, severities, languages, weaknesses and patterns of the rules.
@@ -53,14 +53,7 @@ RULES = [
     _r("JWT-004", "JWTNoExpiry", "medium", "*", "CWE-613", _A07, (r"(?i)(?:verify_exp\s*[=:]\s*false|ignore_?expiration\s*[=:]\s*true)", "high")),
     _r("JWT-007", "JWTInURL", "medium", "*", "CWE-598", _A07, (r"(?i)(?:\?|&)(?:token|jwt|access_token|id_token|auth_token)\s*=\s*(?:eyJ|\w+\.ey)", "high"), (r"""(?i)(?:url|uri|href|redirect|link)\s*[=+:]\s*[^;]*[?&](?:token|jwt|access_token)=""", "medium")),
     _r("JWT-010", "JWTLocalStorage", "medium", "javascript typescript", "CWE-922", _A02, (r"""(?i)localStorage\.setItem\s*\(\s*["'](?:token|jwt|access_token|id_token|auth_token|refresh_?token)["']""", "high")),
-    _r("INJ-001", "SQLConcatenation", "critical", "*", "CWE-89", _A03, (r"""(?i)["'`]\s*(?:SELECT|INSERT|UPDATE|DELETE)\b[^"'`]*["'`]\s*(?:\+|\.)\s*[$\w]""", "medium"), (r"(?i)`\s*(?:SELECT|INSERT|UPDATE|DELETE)\b[^`]*\$\{", "medium"), (r"""(?i)\bf["']\s*(?:SELECT|INSERT|UPDATE|DELETE)\b[^"']*\{""", "medium")),
-    _r("INJ-002", "ShellCommand", "critical", "python php ruby c javascript typescript", "CWE-78", _A03, (r"\b(?:os\.system|os\.popen|shell_exec|passthru|popen)\s*\(\s*[^\"'\s)]", "medium")),
-    _r("XSS-001", "UnescapedOutput", "high", "javascript typescript", "CWE-79", _A03, (r"\.innerHTML\s*=\s*[^\"'`\s]", "medium"), (r"document\.write\s*\(\s*[^\"'`)]", "medium"), line_none=[r"DOMPurify|escapeHtml|sanitize"]),
-    _r("TRV-001", "FilePathConcatenation", "high", "javascript typescript", "CWE-22", _A01, (r"""fs\.(?:readFile|readFileSync|writeFile|writeFileSync|createReadStream)\s*\(\s*["'][^"']*["']\s*\+""", "medium"), near_none=[{"pattern": r"path\.(?:basename|normalize)", "before": 5, "after": 0}]),
     _r("AUTH-001", "HardcodedCredentialCheck", "critical", "go python javascript typescript php ruby java csharp", "CWE-798", _A07, (r"""(?i)\b(?:password|passwd|pwd|secret)\s*(?:==|===|!=|!==)\s*["'][^"']{3,}["']""", "high")),
-    _r("CORS-001", "CORSWildcard", "medium", "*", "CWE-942", _A05, (r"""(?i)Access-Control-Allow-Origin["']?\s*[,:]\s*["']\*["']""", "high")),
-    _r("LOG-001", "SecretInLog", "medium", "*", "CWE-532", "A09:2021", (r"(?i)\b(?:log|logger|logging|console)\.\w+\s*\([^)]*\b(?:password|passwd|secret|api_key|token)\b", "medium")),
-    _r("MISC-001", "TodoSecurity", "info", "*", "CWE-546", "", (r"(?i)\b(?:TODO|FIXME|HACK)\b.*\b(?:check|security|auth|saniti[sz]e|validate)\b", "low"), comments=True),
 ]
 
 _REQUEST_PHP = r"\$_(?:GET|POST|REQUEST|COOKIE)"
@@ -114,3 +107,15 @@ RULES += [
     _r("PY-006", "AssertSecurity", "high", "python", "CWE-617", "A04:2021", (r"\bassert\b\s+(?:password|token|secret|api_key|session|role|permission|credential)\b", "medium")),
     _r("PY-015", "JWTNoVerification", "critical", "python", "CWE-347", _A02, (r"""jwt\.decode\s*\([^)]*(?:verify\s*=\s*False|options\s*=\s*\{[^}]*"verify_signature"\s*:\s*False)""", "high"), (r"""jwt\.decode\s*\([^)]*algorithms\s*=\s*\[?\s*["']none["']""", "high")),
 ]
+
+# Rules of our own, under ids of our own.
+OWN_RULES = [
+    _r("OWN-INJ-01", "SQLConcatenation", "critical", "*", "CWE-89", _A03, (r"""(?i)["'`]\s*(?:SELECT|INSERT|UPDATE|DELETE)\b[^"'`]*["'`]\s*(?:\+|\.)\s*[$\w]""", "medium"), (r"(?i)`\s*(?:SELECT|INSERT|UPDATE|DELETE)\b[^`]*\$\{", "medium"), (r"""(?i)\bf["']\s*(?:SELECT|INSERT|UPDATE|DELETE)\b[^"']*\{""", "medium")),
+    _r("OWN-INJ-02", "ShellCommand", "critical", "python php ruby c javascript typescript", "CWE-78", _A03, (r"\b(?:os\.system|os\.popen|shell_exec|passthru|popen)\s*\(\s*[^\"'\s)]", "medium")),
+    _r("OWN-XSS-01", "UnescapedOutput", "high", "javascript typescript", "CWE-79", _A03, (r"\.innerHTML\s*=\s*[^\"'`\s]", "medium"), (r"document\.write\s*\(\s*[^\"'`)]", "medium"), line_none=[r"DOMPurify|escapeHtml|sanitize"]),
+    _r("OWN-TRV-01", "FilePathConcatenation", "high", "javascript typescript", "CWE-22", _A01, (r"""fs\.(?:readFile|readFileSync|writeFile|writeFileSync|createReadStream)\s*\(\s*["'][^"']*["']\s*\+""", "medium"), near_none=[{"pattern": r"path\.(?:basename|normalize)", "before": 5, "after": 0}]),
+    _r("OWN-CORS-01", "CORSWildcard", "medium", "*", "CWE-942", _A05, (r"""(?i)Access-Control-Allow-Origin["']?\s*[,:]\s*["']\*["']""", "high")),
+    _r("OWN-LOG-01", "SecretInLog", "medium", "*", "CWE-532", "A09:2021", (r"(?i)\b(?:log|logger|logging|console)\.\w+\s*\([^)]*\b(?:password|passwd|secret|api_key|token)\b", "medium")),
+    _r("OWN-MISC-01", "TodoSecurity", "info", "*", "CWE-546", "", (r"(?i)\b(?:TODO|FIXME|HACK)\b.*\b(?:check|security|auth|saniti[sz]e|validate)\b", "low"), comments=True),
+]
+RULES += OWN_RULES

@@ -9,6 +9,7 @@ from lodesift.functions.paths import COMMENT_STARTS
 from lodesift.functions.scoring import BASE_CONFIDENCE, BASE_OTHER, BASE_REGEX, CATEGORY_PARTS, SEVERITY_LABELS
 from lodesift.operators.callgraph import CALL_FORMS, NO_CALLS, SINKS
 from lodesift.operators.rules import Rule
+from lodesift.operators.suppress import PASSED
 from lodesift.plans.problems_sql import _GRAPH, _label, _name
 from lodesift.plans.rule_table import RULES
 
@@ -104,7 +105,17 @@ def _rule(r: Rule, columns: str) -> str:
         test = f"regexp_matches(array_to_string(list_slice(ls, greatest(1, i - {w.before}), i + {w.after}), chr(10)), {_q(w.pattern)})"  # type: ignore[attr-defined]
         return test if yes else f"NOT {test}"
 
-    tests = [_any([f"regexp_matches(text, {_q(p)})" for p, _ in r.patterns])]
+    def pattern(p: str, lang: str) -> str:
+        return f"(lang = {_q(lang)} AND regexp_matches(text, {_q(p)}))" if lang else f"regexp_matches(text, {_q(p)})"
+
+    def left(w: object) -> str:
+        above = f"list_filter(list_slice(ls, 1, i), lambda y: regexp_matches(y, {_q(w.of)}))"  # type: ignore[attr-defined]
+        if w.kind == "latest":  # type: ignore[attr-defined]
+            return f"coalesce(regexp_matches({above}[-1], {_q(w.wanted)}), false)"  # type: ignore[attr-defined]
+        block = "array_to_string(list_slice(ls, k, i), chr(10))"
+        return f"len(list_filter(range(1, i), lambda k: regexp_matches(ls[k], {_q(w.of)}) AND length(replace({block}, '}}', '')) > length(replace({block}, '{{', '')))) > 0"  # type: ignore[attr-defined]
+
+    tests = [_any([pattern(p, lang) for p, _, lang in r.patterns])]
     if "*" not in r.languages:
         tests.append(f"lang IN ({', '.join(map(_q, r.languages))})")
     if not r.comments:
@@ -112,7 +123,8 @@ def _rule(r: Rule, columns: str) -> str:
     tests += [f"NOT regexp_matches(text, {_q(p)})" for p in r.line_none]
     tests += [f"regexp_matches(content, {_q(p)})" for p in r.guards] + [f"NOT regexp_matches(content, {_q(p)})" for p in r.guards_none]
     tests += [near(w, True) for w in r.near] + [near(w, False) for w in r.near_none]
-    confidence = f"CASE {' '.join(f'WHEN regexp_matches(text, {_q(p)}) THEN {_q(c)}' for p, c in r.patterns)} END"
+    tests += [left(w) for w in r.states]
+    confidence = f"CASE {' '.join(f'WHEN {pattern(p, lang)} THEN {_q(c)}' for p, c, lang in r.patterns)} END"
     once = " QUALIFY row_number() OVER (PARTITION BY input_id ORDER BY i) = 1" if r.once else ""
     values = {"rule_id": _q(r.rule_id), "confidence": confidence, "severity": str(r.severity), "title": _q(r.title or r.name), "suggestion": _q(r.suggestion), "cwe_id": _q(r.cwe), "owasp_category": _q(r.owasp), "tags": _q(",".join(r.tags)), "severity_label": _q(SEVERITY_LABELS[r.severity])}
     return f"SELECT input_id, {', '.join(f'{values[c]} AS {c}' for c in columns.split())}{', path, lang, i AS line_number, text' if 'title' in columns else ''} FROM x WHERE {' AND '.join(tests)}{once}"
@@ -141,7 +153,25 @@ SELECT * FROM n WHERE name NOT IN ({', '.join(map(_q, NO_CALLS))})"""
 
 _KEY = "substr(sha256(encode(coalesce(rule_id, '') || '|' || coalesce(file_path, '') || '|' || left(coalesce(matched_text, ''), 80))), 1, 24)"
 
+# Labels of a report's lines.
+_REPORT_LINE = f"""'[' || coalesce(severity_label, 'UNKNOWN') || '] ' || coalesce(rule_id, '?') || ' ' || coalesce(file_path, '?') || ':' || coalesce(line_number, 0) || ' ' || coalesce({_TRUNCATED.replace('text', 'matched_text')}, '')"""
+
+
+def _suppressions() -> str:
+    """Directives put into the files as the query does, and the lines they cover; a block here is one line between its marks."""
+    above = "regexp_replace(content, '(?m)^([ \\t]*)(.*SELECT .*)$', '\\1# scan:ignore injection -- reviewed' || chr(10) || '\\1\\2', 'g')"
+    text = f"regexp_replace({above}, '(?m)^([ \\t]*for .*)$', '# scan:ignore-start all PY-014 -- a loop' || chr(10) || '\\1' || chr(10) || '# scan:ignore-end', 'g')"
+    return f"""WITH {_FILES}, t AS (SELECT input_id, string_split({text}, chr(10)) AS ls FROM f WHERE contains({text}, 'scan:ignore')),
+l AS (SELECT input_id, unnest(ls) AS x, unnest(range(1, len(ls) + 1)) AS i FROM t),
+n AS (SELECT *, min(CASE WHEN NOT regexp_matches(x, {_q(PASSED)}) THEN i END) OVER (PARTITION BY input_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS code FROM l)
+SELECT input_id, i AS "first", i AS "last", 'injection' AS target, 'reviewed' AS reason FROM n WHERE contains(x, 'scan:ignore injection')
+UNION ALL SELECT input_id, code, code, 'injection', 'reviewed' FROM n WHERE contains(x, 'scan:ignore injection') AND code IS NOT NULL
+UNION ALL SELECT input_id, i, i + 2, unnest(['all', 'py-014']), 'a loop' FROM n WHERE contains(x, 'scan:ignore-start')"""
+
+
 ORACLE = {
+    "suppressions": _suppressions(),
+    "reports": f"WITH {_CLEAN}, r AS (SELECT entry_id, severity, {_REPORT_LINE} AS line FROM c) SELECT entry_id, count(*) AS n_findings, md5(string_agg(line, chr(10) ORDER BY -coalesce(severity, -1), line)) AS report_md5 FROM r GROUP BY entry_id",
     "files": f"WITH {_FILES} SELECT input_id, path, lang, length(content) AS n_chars, is_new FROM f",
     "lines_explode": f"WITH {_LINES} SELECT input_id, i AS line_no, text FROM x",
     "language_detect": f"SELECT DISTINCT file_path, {_language('file_path')} AS detected FROM ledger_entries",

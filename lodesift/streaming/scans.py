@@ -8,30 +8,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lodesift.functions.scoring import base_confidence, tier
-from lodesift.operators import fusion, rules, store
+from lodesift.operators import fusion, rules, scan, store
 from lodesift.sinks import outputs
 from lodesift.sources.events import files
 
 
-def scan(events: DataFrame, table: Sequence[rules.Rule], key: str = "tool_use_id") -> DataFrame:
-    """The scored findings of a batch of events."""
-    found = rules.apply(files(events, key=key), table, key).withColumnRenamed("path", "file_path").withColumn("confidence_score", F.lit(0.0))
-    t = tier(F.col("tags"), F.col("rule_id"))
-    return fusion.downgraded(found.withColumn("confidence_score", base_confidence(F.col("confidence_score"), t, F.col("confidence"))))
+def delivered_once(batch: DataFrame, key: str) -> DataFrame:
+    """Events delivered again under one ``key`` come once. An event without key has its own content as key, so that others like it stay apart."""
+    whole = F.concat(F.lit("no-key-"), F.sha2(F.to_json(F.struct(*[c for c in batch.columns if c != key])), 256))
+    return batch.withColumn(key, F.coalesce(F.col(key), whole)).dropDuplicates([key])
+
+
+def scanned(the_files: DataFrame, table: Sequence[rules.Rule], key: str = "tool_use_id") -> DataFrame:
+    """The findings of all layers of a batch's files, without the suppressed."""
+    return scan.findings(the_files, key, table).where("NOT suppressed")
 
 
 def merge_batch(spark: SparkSession, table: Sequence[rules.Rule], folder: str, key: str = "tool_use_id") -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function; each batch reads the version of the store before it and writes its own, so a batch that runs again replaces what it wrote."""
 
     def run(batch: DataFrame, number: int) -> None:
-        events = batch.dropDuplicates([key])
-        found = scan(events, table, key).withColumn("seen_at", F.current_timestamp())
+        the_files = files(delivered_once(batch, key), key=key).persist()
+        found = scanned(the_files, table, key).withColumn("seen_at", F.current_timestamp()).persist()
         at = F.current_timestamp()
         before = spark.read.parquet(f"{folder}/store/{number - 1}") if number else spark.createDataFrame([], store.RECORD)
-        scanned = files(events, key=key).select(F.col("path").alias("file_path"))
-        outputs.save_store(store.upsert(before, store.sightings(found, "seen_at"), scanned, at), f"{folder}/store/{number}")
+        paths = the_files.select(F.col("path").alias("file_path"))
+        outputs.save_store(store.upsert(before, store.sightings(found, "seen_at"), paths, at), f"{folder}/store/{number}")
         outputs.ledger_rows(fusion.decisions(found, key), at).write.mode("overwrite").json(f"{folder}/ledger/{number}")
+        for df in (found, the_files):
+            df.unpersist()
 
     return run
 

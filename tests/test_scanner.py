@@ -43,7 +43,7 @@ def test_events(spark):
 
 def test_lines_and_continuations(spark):
     f = texts(spark, (1, "/a.sh", "shell", "a \\\nb\\\nc\nd"), (2, "/b", "shell", ""), (3, "/c", "shell", None))
-    got = {(r.input_id, r.line_no, r.text) for r in lines.joined(lines.lines(f, "input_id"), "input_id").collect()}
+    got = {(r.input_id, r.line_no, r.text) for r in lines.joined(f, "input_id").collect()}
     assert got == {(1, 1, "a bc"), (1, 4, "d"), (2, 1, "")}
     p = texts(spark, (1, "/a.py", "python", "x = [1,\n  2]  # (\ny = '(' \\\n  + z\nw"))
     assert [(r.line_no, r.text) for r in lines.joined_python(p, "input_id").orderBy("line_no").collect()] == [(1, "x = [1, 2]  # ("), (3, "y = '(' + z"), (5, "w")]
@@ -126,7 +126,7 @@ def test_downgrade_and_decision(spark):
 
 def test_suppressions(spark):
     text = "\n".join(["# scan:ignore INJ-1 injection -- why not", "", "# note", "bad()", "x # SCAN:IGNORE all", "y", "# scan:ignore-start xss", "a", "# scan:ignore-start crypto", "b", "# scan:ignore-end", "c", "# scan:ignore-end", "# scan:ignore-end", "# scan:ignore", "# scan:ignore-start auth", "z"])
-    ls = lines.lines(texts(spark, (1, "/a", "python", text)), "input_id")
+    ls = texts(spark, (1, "/a", "python", text), (2, "/b", "python", None), (3, "/c", "python", "x"))
     got = {(r.first, r.last, r.target) for r in suppress.covered(ls, "input_id").collect()}
     assert got == {(1, 1, "inj-1"), (1, 1, "injection"), (4, 4, "inj-1"), (4, 4, "injection"), (5, 5, "all"), (6, 6, "all"), (7, 13, "xss"), (9, 11, "crypto"), (16, 17, "auth")}
     f = spark.createDataFrame([(1, 1, 4, "INJ-9"), (2, 1, 8, "XSS-1"), (3, 1, 8, "CRY-1"), (4, 1, 10, "CRY-1"), (5, 2, 4, "INJ-1")], "finding_id long, input_id long, line_number int, rule_id string")
