@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodesift.functions import paths
 from lodesift.functions.text import truncated
-from lodesift.operators import callgraph, catalogs, comments, fusion, graphbuild, hints, lines, pyast, rules, store, suppress, taint
+from lodesift.operators import callgraph, catalogs, comments, fusion, graphbuild, hints, lines, pyast, rules, scan, store, suppress, taint
 from lodesift.plans.rule_table import RULES
 from lodesift.sources import events
 
@@ -89,7 +89,7 @@ def test_rule_table_and_loader(tmp_path):
 
 
 def test_builtin_rules_fire(spark):
-    cases = {"PY-001": ("python", "subprocess.run(cmd, shell=True)"), "PY-004": ("python", "yaml.load(f)"), "CTR-003": ("dockerfile", "FROM a:latest"), "CRY-001": ("python", "hashlib.md5(x)"), "CRY-005": ("go", "InsecureSkipVerify: true"), "JWT-001": ("javascript", 'algorithms: ["none"]'), "INJ-001": ("php", '"SELECT x WHERE id = " . $id'), "TRV-001": ("javascript", 'fs.readFileSync("/data/" + x)'), "PHP-001": ("php", "if ($token == $x) {"), "PHP-003": ("php", "include($_GET['p']);"), "RB-002": ("ruby", "system(params[:c])"), "RB-009": ("ruby", "Marshal.load(x)"), "JAVA-007": ("java", "new X509TrustManager() {"), "GO-012": ("go", "os.MkdirAll(p, 0777)"), "GO-003": ("go", 'http.ListenAndServe(":80", nil)')}
+    cases = {"PY-001": ("python", "subprocess.run(cmd, shell=True)"), "PY-004": ("python", "yaml.load(f)"), "CTR-003": ("dockerfile", "FROM a:latest"), "CRY-001": ("python", "hashlib.md5(x)"), "CRY-005": ("go", "InsecureSkipVerify: true"), "JWT-001": ("javascript", 'algorithms: ["none"]'), "OWN-INJ-01": ("php", '"SELECT x WHERE id = " . $id'), "OWN-TRV-01": ("javascript", 'fs.readFileSync("/data/" + x)'), "PHP-001": ("php", "if ($token == $x) {"), "PHP-003": ("php", "include($_GET['p']);"), "RB-002": ("ruby", "system(params[:c])"), "RB-009": ("ruby", "Marshal.load(x)"), "JAVA-007": ("java", "new X509TrustManager() {"), "GO-012": ("go", "os.MkdirAll(p, 0777)"), "GO-003": ("go", 'http.ListenAndServe(":80", nil)')}
     f = texts(spark, *[(i, "/x", lang, code) for i, (lang, code) in enumerate(cases.values())])
     got = {(r.input_id, r.rule_id) for r in rules.apply(f, RULES, "input_id").collect()}
     assert {(i, r) for i, r in enumerate(cases)} <= got
@@ -309,3 +309,38 @@ def test_stream(spark, tmp_path):
     got = {r.rule_id: (r.status, r["count"]) for r in spark.read.parquet(str(tmp_path / "out/store/1")).collect()}
     assert got["CRY-001"][0] == "active"
     assert spark.read.json(str(tmp_path / "out/ledger/1")).first().n_findings == 1
+
+
+def test_rule_states_and_languages(spark):
+    table = [
+        rules.parse({"id": "L-1", "patterns": ["CMD"], "states": [{"kind": "latest", "of": "^USER", "wanted": "root"}]}),
+        rules.parse({"id": "B-1", "patterns": ["hit"], "states": [{"kind": "inside", "of": "unsafe \\{"}]}),
+        rules.parse({"id": "V-1", "patterns": [{"regex": "foo", "language": "go"}, {"regex": "bar", "confidence": "low", "language": "java"}]}),
+    ]
+    f = texts(
+        spark,
+        (1, "/d", "dockerfile", "CMD 0\nUSER root\nCMD 1\nUSER app\nCMD 2\nUSER root"),
+        (2, "/r", "rust", "hit\nunsafe {\n  if x { hit }\n  hit\n}\nhit\nunsafe { }\nhit"),
+        (3, "/g", "go", "foo\nbar"),
+        (4, "/j", "java", "foo\nbar"),
+        (5, "/p", "python", "foo\nbar"),
+    )
+    got = sorted((r.input_id, r.rule_id, r.line_number, r.confidence) for r in rules.apply(f, table, "input_id").collect())
+    assert got == [(1, "L-1", 3, "medium"), (2, "B-1", 3, "medium"), (2, "B-1", 4, "medium"), (3, "V-1", 1, "medium"), (4, "V-1", 2, "low")]
+
+
+def test_whole_scan(spark):
+    """Layers agree on a line, a comment and a directive turn findings off, a test file is downgraded, and the decision follows."""
+    bad = 'import os\nname = request.args.get("q")\nos.system(name)\n# subprocess.run(c, shell=True)\n# scan:ignore PY-005 -- known\np = tempfile.mktemp()\n'
+    f = texts(spark, (1, "/app/a.py", "python", bad), (2, "/app/tests/test_a.py", "python", bad), (3, "/app/ok.py", "python", "x = 1\n"), (4, "/app/n.py", "python", None))
+    found = scan.findings(f, "input_id", RULES).cache()
+    rows = {(r.input_id, r.rule_id): r for r in found.collect()}
+    hit = next(r for (i, _), r in rows.items() if i == 1 and r.line_number == 3 and r.n_merged > 1)
+    assert hit.layer == "taint" and hit.confidence_score == 1.0 and hit.severity == 4 and {"taint-analysis", "ast"} <= set(hit.tags)
+    assert not any(r.line_number == 4 for r in rows.values())
+    off = rows[1, "PY-005"]
+    assert off.suppressed and off.suppress_reason == "known" and not hit.suppressed
+    assert all(r.severity <= 1 and "test-file" in r.tags and r.confidence_score <= 0.3 for (i, _), r in rows.items() if i == 2)
+    d = {r.input_id: r for r in scan.decisions(found, "input_id").collect()}
+    assert d[1].blocked and d[1].n_suppressed == 1 and d[1].suppressed_rules == ["PY-005"] and not d[2].blocked and set(d) == {1, 2}
+    found.unpersist()
