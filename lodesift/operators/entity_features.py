@@ -35,18 +35,21 @@ def feature_table(long: DataFrame, entity: str, kind: str, measures: Sequence[st
     in ``other__<measure>`` (the newest for ``recency_of``), so that no row is lost. Column names
     have ``_`` for every run of other characters than letters, digits and ``*``.
     """
-    listed = F.when(F.col(kind).isin(list(kinds)), F.col(kind)).otherwise(F.lit("other"))
     columns = [*kinds, "other"]
-    folded = long.withColumn("__kind", listed).groupBy(entity, "__kind").agg(*[(F.max(m) if m == recency_of else F.sum(m)).alias(m) for m in measures])
-    wide = folded.groupBy(entity).pivot("__kind", columns).agg(*[F.first(m).alias(m) for m in measures])
-
-    def value(k: str, m: str) -> Column:
-        c = F.col(f"`{k}_{m}`")
-        if m != recency_of:
-            return F.coalesce(c, F.lit(0).cast("bigint"))
-        return c if as_of is None else as_of - c
-
-    return wide.select(entity, *[value(k, m).alias(f"{column_name(k)}__{'age_s' if m == recency_of and as_of is not None else m}") for k in columns for m in measures])
+    place = {k: i for i, k in enumerate(kinds)}
+    number = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in place.items() for x in kv]), F.col(kind)), F.lit(len(kinds))) if place else F.lit(0)
+    folded = long.withColumn("__at", number).groupBy(entity, "__at").agg(*[(F.max(m) if m == recency_of else F.sum(m)).alias(m) for m in measures])
+    # an entity's types, at most one struct for each of the list, laid out at their places; the columns are then read off one array
+    held = folded.groupBy(entity).agg(F.map_from_entries(F.collect_list(F.struct("__at", F.struct(*measures)))).alias("__held"))
+    none = F.struct(*[(F.lit(None) if m == recency_of else F.lit(0)).cast(folded.schema[m].dataType).alias(m) for m in measures])
+    wide = held.select(entity, (F.lit(None) if as_of is None else as_of).cast("bigint").alias("__as_of"), F.transform(F.sequence(F.lit(0), F.lit(len(kinds))), lambda i: F.coalesce(F.try_element_at("__held", i), none)).alias("__row"))
+
+    def column(i: int, k: str, m: str) -> str:
+        aged = m == recency_of and as_of is not None
+        c = f"get(__row, {i}).`{m}`"
+        return f"{f'__as_of - {c}' if aged else c} AS `{column_name(k)}__{'age_s' if aged else m}`"
+
+    return wide.selectExpr(f"`{entity}`", *[column(i, k, m) for i, k in enumerate(columns) for m in measures])
 
 
 def column_name(kind: str) -> str:

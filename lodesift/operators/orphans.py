@@ -104,35 +104,40 @@ def last_versions(nodes: DataFrame) -> DataFrame:
 
 
 def graph_references(nodes: DataFrame, graphs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The existing ids, and the references ``ref_field, owner_id, ref_id, at`` of existing functions and of all graphs.
+    """The newest state of every id (``last_versions``, written once for the passes over it), and the references ``ref_field, owner_id, ref_id, at`` of existing functions and of all graphs.
 
     Null arrays, null elements and blank names refer to nothing. Repeated references stay repeated.
     """
-    state = last_versions(nodes).where("exists")
+    state = cut(last_versions(nodes))
+    existing = state.where("exists")
 
     def of(df: DataFrame, field: str, column: str, owner: Column, at: str) -> DataFrame:
         return df.select(F.lit(field).alias("ref_field"), owner.alias("owner_id"), F.explode(column).alias("ref_id"), F.col(at).alias("at"))
 
     refs = (
-        of(state, "calls", "calls", F.col("id"), "last_scan_at")
-        .unionByName(of(state, "called_by", "called_by", F.col("id"), "last_scan_at"))
+        of(existing, "calls", "calls", F.col("id"), "last_scan_at")
+        .unionByName(of(existing, "called_by", "called_by", F.col("id"), "last_scan_at"))
         .unionByName(of(graphs, "nodes", "node_ids", F.col("graph_id").cast("string"), "last_updated"))
         .withColumn("ref_id", node_name(F.col("ref_id")))
         .where(F.col("ref_id").isNotNull() & (F.col("ref_id") != ""))
     )
-    return state.select("id"), refs
+    return state, refs
 
 
 def orphan_references(nodes: DataFrame, graphs: DataFrame) -> DataFrame:
     """The references to functions that don't exist at the end: ``ref_field, owner_id, missing_id``, each once."""
-    existing, refs = graph_references(nodes, graphs)
-    gone = missing_texts(existing.withColumnRenamed("id", "ref_id"), refs, "ref_id")
+    state, refs = graph_references(nodes, graphs)
+    gone = missing_texts(state.where("exists").select(F.col("id").alias("ref_id")), refs, "ref_id")
     return refs.join(gone, "ref_id", "left_semi").select("ref_field", "owner_id", F.col("ref_id").alias("missing_id")).distinct()
 
 
 def orphan_report(nodes: DataFrame, graphs: DataFrame) -> DataFrame:
-    """``ref_field, month, n_refs, n_missing`` over the distinct references; ``month`` (yyyy-MM) is that of the referring row, null if it has no time."""
-    existing, refs = graph_references(nodes, graphs)
-    gone = missing_texts(existing.withColumnRenamed("id", "ref_id"), refs, "ref_id").withColumn("gone", F.lit(True))
-    one = refs.groupBy("ref_field", "owner_id", "ref_id").agg(F.max("at").alias("at")).join(gone, "ref_id", "left")
-    return one.groupBy("ref_field", F.date_format("at", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n_refs"), F.count("gone").alias("n_missing"))
+    """``ref_field, month, n_refs, n_missing, n_deleted`` over the distinct references; of the missing, ``n_deleted`` were recorded and removed, the others never recorded.
+
+    ``month`` (yyyy-MM) is that of the referring row, null if it has no time. A name that turns up later is no fault, whenever it was referred to.
+    """
+    state, refs = graph_references(nodes, graphs)
+    gone = missing_texts(state.where("exists").select(F.col("id").alias("ref_id")), refs, "ref_id").withColumn("gone", F.lit(True))
+    removed = state.where("NOT exists").select(F.col("id").alias("ref_id"), F.lit(True).alias("removed"))
+    one = refs.groupBy("ref_field", "owner_id", "ref_id").agg(F.max("at").alias("at")).join(gone.join(removed, "ref_id", "left"), "ref_id", "left")
+    return one.groupBy("ref_field", F.date_format("at", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n_refs"), F.count("gone").alias("n_missing"), F.count("removed").alias("n_deleted"))

@@ -185,6 +185,7 @@ ORACLE = {
     "p4_features": _features(),
     "p6_found": f"WITH {_GRAPH} SELECT DISTINCT ref_field, owner_id, ref_id AS missing_id FROM refs WHERE ref_id NOT IN (SELECT nid FROM x)",
     "p6_report": f"""WITH {_GRAPH}, one AS (SELECT ref_field, owner_id, ref_id, max(at_s) AS at_s FROM refs GROUP BY ALL)
-SELECT ref_field, strftime(at_s, '%Y-%m') AS month, count(*) AS n_refs, count(*) FILTER (WHERE ref_id NOT IN (SELECT nid FROM x)) AS n_missing FROM one GROUP BY ALL""",
+SELECT ref_field, strftime(at_s, '%Y-%m') AS month, count(*) AS n_refs, count(*) FILTER (WHERE ref_id NOT IN (SELECT nid FROM x)) AS n_missing,
+  count(*) FILTER (WHERE ref_id NOT IN (SELECT nid FROM x) AND ref_id IN (SELECT nid FROM s)) AS n_deleted FROM one GROUP BY ALL""",
     "p6_entries": _ORPHAN_ENTRIES.format(t="findings", at="recorded_at") + " UNION ALL " + _ORPHAN_ENTRIES.format(t="hook_inputs", at="received_at"),
 }
