@@ -15,6 +15,8 @@ from collections.abc import Callable, Iterable, Sequence
 _FIRST_TOKEN, _FIRST_GROUP, _MASKS = 0x100, 0xF0000, 4096
 #: Behind the last token of a content.
 END = "\0"
+#: Tokens from which a text that may still be a program is lexed at once, where its language allows.
+AT_ONCE = 2 * 24
 #: Tokens after which a lexer first asks whether the text can still become a program; then after twice as many, and so on.
 PROBE = 24
 
@@ -97,13 +99,14 @@ class Reduction:
     def feed(self, tokens: str) -> None:
         """Reduces the pairs that ``tokens`` closes; ``Bad`` if one can be nothing."""
         g, stack, parts, at = self.g, self.stack, self.parts, 0
+        opens, seen = g.pairs.get, g.seen.get
         for m in g.brackets.finditer(tokens):
             i = m.start()
             c = tokens[i]
             if i > at:
                 parts.append(tokens[at:i])
             at = i + 1
-            opening = g.pairs.get(c)
+            opening = opens(c)
             if opening is not None:
                 stack.append((opening, parts))
                 parts = []
@@ -116,7 +119,8 @@ class Reduction:
                         break
                 else:
                     raise Bad("bracket")
-                outer.append(g.reduce(kind, "".join(parts)))
+                content = parts[0] if len(parts) == 1 else "".join(parts)
+                outer.append(seen((kind, content)) or g.reduce(kind, content))
                 parts = outer
         parts.append(tokens[at:])
         self.parts = parts
@@ -198,6 +202,30 @@ def operators(ops: Iterable[str]) -> str:
     return "|".join(re.escape(o) for o in sorted(ops, key=len, reverse=True))
 
 
+class Tokens(dict):
+    """The character of every token text of a language, found once per text; ``of`` names a token by its text."""
+
+    def __init__(self, char: dict[str, str], of: Callable[[str], str], most: int = 200_000):
+        super().__init__()
+        self.char, self.of, self.most = char, of, most
+
+    def __missing__(self, text: str) -> str:
+        if len(self) > self.most:
+            self.clear()
+        name = self.of(text)
+        c = self[text] = self.char[name] if name in self.char else name
+        return c
+
+    def read(self, texts: Iterable[str]) -> str:
+        """The characters of the tokens, one behind the other."""
+        return "".join(map(self.__getitem__, texts))
+
+
+def flat_pattern(parts: dict[str, str], flags: int = 0, skip: str = "") -> re.Pattern[str]:
+    """A lexer's pattern whose only group is the token, for lexing a whole text at once; whatever isn't a token comes as a character of its own, and the end as nothing."""
+    return re.compile(f"{skip}({'|'.join(parts.values())}|\\Z|.)", flags | re.S)
+
+
 class Flat:
     """Helpers of a parser of flat contents: every method takes a place and gives the place behind."""
 

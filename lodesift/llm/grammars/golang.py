@@ -3,26 +3,27 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from functools import lru_cache
 
-from lodesift.llm.grammars.engine import Bad, END, Flat, Grammar, PROBE, Reduction, operators, token_pattern
+from lodesift.llm.grammars.engine import AT_ONCE, Bad, END, Flat, Grammar, PROBE, Reduction, Tokens, flat_pattern, operators, token_pattern
 
 _WORDS = "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var".split()
 _HARD = frozenset(_WORDS)
 _OPS = "+ - * / % & | ^ << >> &^ += -= *= /= %= &= |= ^= <<= >>= &^= && || <- ++ -- == < > = ! != <= >= := ... ( ) [ ] { } , ; . : ~".split()
-_LEXER = token_pattern(
-    {
-        "word": r"[^\W\d]\w*+",
-        "nl": r"\n",
-        "bc": r"/\*.*?\*/",
-        "num": r"(?:0[xX][0-9a-fA-F_]*\.?[0-9a-fA-F_]*(?:[pP][+-]?\d+)?|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?)i?(?!\w)",
-        "str": r"\"(?:[^\"\\\n]|\\.)*\"|`[^`]*`",
-        "chr": r"'(?:[^'\\\n]|\\(?:[abfnrtv\\'\"]|[0-7]{3}|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}))'",
-        "op": operators(_OPS),
-    },
-    re.S,
-    r"(?:[ \t\r]|//[^\n]*)*+",
-)
+_PARTS = {
+    "word": r"[^\W\d]\w*+",
+    "nl": r"\n",
+    "bc": r"/\*.*?\*/",
+    "num": r"(?:0[xX][0-9a-fA-F_]*\.?[0-9a-fA-F_]*(?:[pP][+-]?\d+)?|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?)i?(?!\w)",
+    "str": r"\"(?:[^\"\\\n]|\\.)*\"|`[^`]*`",
+    "chr": r"'(?:[^'\\\n]|\\(?:[abfnrtv\\'\"]|[0-7]{3}|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}))'",
+    "op": operators(_OPS),
+}
+_SKIP = r"(?:[ \t\r]|//[^\n]*)*+"
+_LEXER = token_pattern(_PARTS, re.S, _SKIP)
+_FLAT = flat_pattern(_PARTS, 0, _SKIP)
+_SIGNS = frozenset(_OPS)
 _ENDS = frozenset(["ID", "LIT", "STR", "break", "continue", "fallthrough", "return", "++", "--", ")", "]", "}"])
 
 
@@ -458,6 +459,24 @@ def _go() -> _Go:
     return _Go()
 
 
+def _named(text: str) -> str:
+    """The name of a token by its text; line ends and comments over lines are a line end, other comments nothing."""
+    first = text[:1]
+    if first in ("", "\n") or text.startswith("/*"):
+        return "" if not text or (first == "/" and "\n" not in text) else "\n"
+    if text in _SIGNS or text in _HARD:
+        return text
+    if first in "\"`'":
+        return "\x00" if len(text) == 1 else "LIT" if first == "'" else "STR"
+    return "LIT" if first.isdigit() or (first == "." and len(text) > 1) else "ID" if first == "_" or first.isalpha() or text.isidentifier() else "\x00"
+
+
+@lru_cache(maxsize=1)
+def _at_once() -> tuple[Tokens, re.Pattern[str]]:
+    c = _go().c
+    return Tokens(c, _named), re.compile(f"(?<=[{''.join(re.escape(c[t]) for t in _ENDS)}])\n+")
+
+
 def go(text: str) -> None:
     g = _go()
     char, match = g.c, _LEXER.match
@@ -466,6 +485,13 @@ def go(text: str) -> None:
     while at < n:
         if len(out) >= probe:
             Reduction(g.g, "program").probe(_guards(out, char))
+            if at < n - AT_ONCE:  # it may be a program: the whole text is lexed at once
+                tokens, ended = _at_once()
+                s = tokens.read(_FLAT.findall(text))
+                if "\x00" in s:
+                    raise Bad("character")
+                g.g.run(_guards(ended.sub(char[";"], s).replace("\n", ""), char), "program")
+                return
             probe = 2 * len(out)
         m = match(text, at)
         if m is None:
@@ -491,6 +517,6 @@ def go(text: str) -> None:
     g.g.run(_guards(out, char), "program")
 
 
-def _guards(out: list[str], char: dict[str, str]) -> str:
+def _guards(out: Iterable[str], char: dict[str, str]) -> str:
     """The tokens; the guard of a type switch reads as a selector of a parenthesised name."""
     return "".join(out).replace(char["("] + char["type"] + char[")"], char["("] + char["ID"] + char[")"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-from lodesift.llm.grammars.engine import Bad, END, Flat, Grammar, PROBE, Reduction, mark_angles, operators, token_pattern
+from lodesift.llm.grammars.engine import AT_ONCE, Bad, END, Flat, Grammar, PROBE, Reduction, Tokens, flat_pattern, mark_angles, operators, token_pattern
 
 _PRIMITIVES = "boolean byte char double float int long short void".split()
 _MODIFIERS = "abstract final native private protected public static strictfp synchronized transient volatile default".split()
@@ -13,18 +13,18 @@ _WORDS = [*_PRIMITIVES, *_MODIFIERS, *"assert break case catch class continue do
 _SOFT = "var record yield sealed permits when non".split()
 _HARD = frozenset(_WORDS) | frozenset(_SOFT)
 _OPS = "{ } ( ) [ ] ; , . ... @ :: = < > ! ~ ? : -> == <= >= != && || ++ -- + - * / & | ^ % << += -= *= /= &= |= ^= %= <<=".split()
-_LEXER = token_pattern(
-    {
-        "word": r"[^\W\d][\w$]*+|\$[\w$]*+",
-        "num": r"0[xX][0-9a-fA-F_.]+(?:[pP][+-]?\d+)?[lLfFdD]?|0[bB][01_]+[lL]?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?[lLfFdD]?(?!\w)",
-        "text": r'"""[ \t\f]*\n(?:[^\\]|\\.)*?"""',
-        "str": r"\"(?:[^\"\\\n]|\\.)*\"",
-        "chr": r"'(?:[^'\\\n]|\\u+[0-9a-fA-F]{4}|\\[0-7]{1,3}|\\.)'",
-        "op": operators(_OPS),
-    },
-    re.S,
-    r"(?:[\s\x1a]++|//[^\n]*|/\*.*?\*/)*+",
-)
+_PARTS = {
+    "word": r"[^\W\d][\w$]*+|\$[\w$]*+",
+    "num": r"0[xX][0-9a-fA-F_.]+(?:[pP][+-]?\d+)?[lLfFdD]?|0[bB][01_]+[lL]?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?[lLfFdD]?(?!\w)",
+    "text": r'"""[ \t\f]*\n(?:[^\\]|\\.)*?"""',
+    "str": r"\"(?:[^\"\\\n]|\\.)*\"",
+    "chr": r"'(?:[^'\\\n]|\\u+[0-9a-fA-F]{4}|\\[0-7]{1,3}|\\.)'",
+    "op": operators(_OPS),
+}
+_SKIP = r"(?:[\s\x1a]++|//[^\n]*|/\*.*?\*/)*+"
+_LEXER = token_pattern(_PARTS, re.S, _SKIP)
+_FLAT = flat_pattern(_PARTS, 0, _SKIP)
+_SIGNS = frozenset(_OPS)
 
 
 class _Java(Flat):
@@ -536,6 +536,21 @@ def _java() -> tuple:
     return j, (c["<"], c[">"], (c["T<"], c["T>"]), inside, after, {c["["]: c["]"], c["("]: c[")"]})
 
 
+def _named(text: str) -> str:
+    """The name of a token by its text."""
+    first = text[:1]
+    if not text or text in _SIGNS or text in _HARD:
+        return text
+    if first in "\"'":
+        return "LIT" if len(text) > 1 else "\x00"
+    return "LIT" if first.isdigit() or (first == "." and len(text) > 1) else "ID" if first in "$_" or first.isalpha() or text.isidentifier() else "\x00"
+
+
+@lru_cache(maxsize=1)
+def _tokens() -> Tokens:
+    return Tokens(_java()[0].c, _named)
+
+
 def java(text: str) -> None:
     j, angles = _java()
     char, match = j.c, _LEXER.match
@@ -545,6 +560,16 @@ def java(text: str) -> None:
         if len(out) >= probe:
             new = "".join(out[fed:])
             plain.probe(new.split(char["<"], 1)[0])  # what an angle means is only known later
+            if fed == 0 and at < n - AT_ONCE:  # it may be a program: the whole text is lexed at once
+                s = _tokens().read(_FLAT.findall(text))
+                if "\x00" in s:
+                    raise Bad("character")
+                if char["<"] in s:
+                    out = list(s)
+                    mark_angles(out, *angles)
+                    s = "".join(out)
+                j.g.run(s, "program")
+                return
             fed = len(out)
             probe = 2 * fed if char["<"] not in new else n + 1
         m = match(text, at)

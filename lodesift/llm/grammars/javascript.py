@@ -5,26 +5,27 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-from lodesift.llm.grammars.engine import Bad, END, Flat, Grammar, PROBE, Reduction, mark_angles, operators, token_pattern
+from lodesift.llm.grammars.engine import AT_ONCE, Bad, END, Flat, Grammar, PROBE, Reduction, Tokens, flat_pattern, mark_angles, operators, token_pattern
 
 _WORDS = "break case catch class const continue debugger default delete do else export extends finally for function if import in instanceof new return super switch this throw try typeof var void while with null true false enum".split()
 _SOFT = "async await of get set static let yield from as type interface namespace module declare abstract readonly public private protected implements keyof infer is asserts satisfies unique override out accessor".split()
 _HARD = frozenset(_WORDS) | frozenset(_SOFT)
 _OPS = "{ } ( ) [ ] ; , < > <= >= == != === !== + - * / % ** ++ -- << & | ^ ! ~ && || ?? ? ?. : = += -= *= /= %= **= <<= &= |= ^= &&= ||= ??= => . ... # @".split()
 
-_LEXER = token_pattern(
-    {
-        "word": r"(?:[^\W\d]|[$_]|\\u[0-9a-fA-F]{4})[\w$‌‍]*+",
-        "nl": "[\n\r  ]",
-        "bc": r"/\*.*?\*/",
-        "num": r"(?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?)n?(?![\w$])",
-        "str": r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'",
-        "tpl": "`",
-        "op": operators(_OPS),
-    },
-    re.S,
-    "[ \t\f\v\xa0﻿]*+(?://[^\n]*)?",
-)
+_PARTS = {
+    "word": r"(?:[^\W\d]|[$_]|\\u[0-9a-fA-F]{4})[\w$‌‍]*+",
+    "nl": "[\n\r  ]",
+    "bc": r"/\*.*?\*/",
+    "num": r"(?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?)n?(?![\w$])",
+    "str": r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'",
+    "tpl": "`",
+    "op": operators(_OPS),
+}
+_SKIP = "[ \t\f\v\xa0﻿]*+(?://[^\n]*)?"
+_LEXER = token_pattern(_PARTS, re.S, _SKIP)
+_SIGNS = frozenset(_OPS)
+_FLAT = flat_pattern(_PARTS | {"tpl": r"`(?:[^`\\$]|\\.|\$(?!\{)|\$\{[^{}`/]*\})*+`|`", "op": r"\?(?=\.\d)|" + _PARTS["op"]}, 0, _SKIP)
+_EMBEDDED = re.compile(r"\\.|\$\{([^{}`/]*)\}", re.S)
 _RE_LITERAL = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[a-zA-Z]*")
 _VALUE_END = frozenset(["ID", "NUM", "STR", "TPL", "RE", ")", "]", "}", "this", "super", "null", "true", "false", *_SOFT])
 _ENDS = frozenset([*_VALUE_END, "++", "--", "return", "break", "continue", "debugger"])
@@ -724,6 +725,73 @@ def _angle_sets() -> tuple:
     return inside, after, {c["("]: c[")"], c["["]: c["]"], c["{"]: c["}"]}
 
 
+def _named(text: str) -> str:
+    """The name of a token by its text; line ends and comments over lines are a line end, other comments nothing."""
+    first = text[:1]
+    if first in ("", "\n", "\r", "\u2028", "\u2029") or text.startswith("/*"):
+        return "" if not text or (first == "/" and "\n" not in text) else "\n"
+    if first in "\"'":
+        return "STR" if len(text) > 1 else "\x00"
+    if first == "`":
+        return "TPL"
+    if first.isdigit() or (first == "." and text[1:2].isdigit()):
+        return "NUM"
+    if first in "$_\\" or first.isalpha() or text.isidentifier():
+        return text if text in _HARD else "ID" if len(text) > 1 or first != "\\" else "\x00"
+    return text if text in _SIGNS else "\x00"
+
+
+@lru_cache(maxsize=2)
+def _at_once(ts: bool) -> tuple:
+    """The tokens of a dialect, and what is done to a text of them: names behind a dot, and line ends that end a statement."""
+    c = _script(ts).c
+    chars = lambda names: "".join(re.escape(c[n]) for n in names if n in c)
+    behind_dot = re.compile(f"([{chars(['.', '?.'])}]\n*)[{chars(_HARD)}]")
+    ended = re.compile(f"(?<=[{chars(_TS_ENDS if ts else _ENDS)}])\n+(?=[^{chars(_GOES_ON)}\n])|(?<=[{chars(['return', 'break', 'continue'])}])\n+(?=[^\n])")
+    return Tokens(c, _named), behind_dot, r"\g<1>" + c["ID"], ended, c["NL"]
+
+
+@lru_cache(maxsize=1)
+def _lexed(text: str) -> list[str] | None:
+    """The token texts of a whole text, or None where a slash may be a division or the start of a pattern, or a template embeds braces."""
+    out = _FLAT.findall(text)
+    return None if "/" in out or "/=" in out or "`" in out else out
+
+
+@lru_cache(maxsize=1 << 12)
+def _embeds(template: str, ts: bool) -> bool:
+    """Whether all that a template embeds is an expression."""
+    try:
+        for m in _EMBEDDED.finditer(template):
+            if m.group(1) is not None and _parse(m.group(1) + "}", 0, ts, True) != len(m.group(1)) + 1:
+                return False
+    except Bad:
+        return False
+    return True
+
+
+def _whole(text: str, ts: bool) -> bool:
+    """Parses a text lexed at once; False where it can't be."""
+    texts = _lexed(text)
+    if texts is None:
+        return False
+    tokens, behind_dot, name, ended, newline = _at_once(ts)
+    s = tokens.read(texts)
+    if "\x00" in s:
+        raise Bad("character")
+    if tokens.char["TPL"] in s and not all(_embeds(t, ts) for t in texts if t[:1] == "`"):
+        raise Bad("template")
+    s = ended.sub(newline, behind_dot.sub(name, s)).replace("\n", "")
+    script = _script(ts)
+    if ts and script.c["<"] in s:
+        inside, after, nests = _angle_sets()
+        out = list(s)
+        mark_angles(out, script.c["<"], script.c[">"], (script.c["T<"], script.c["T>"]), inside, after, nests)
+        s = "".join(out)
+    script.g.run(s, "program")
+    return True
+
+
 def _template(text: str, at: int, ts: bool) -> int:
     """The end of a template that starts before ``at``; what it embeds must parse as an expression."""
     n = len(text)
@@ -762,6 +830,8 @@ def _parse(text: str, at: int, ts: bool, inner: bool) -> int:
         if len(out) >= probe:
             new = "".join(out[fed:])
             plain.probe(new.split(angle, 1)[0] if ts else new)  # what an angle means is only known later
+            if fed == 0 and at < n - AT_ONCE and _whole(text, ts):
+                return n
             fed = len(out)
             probe = 2 * fed if not ts or angle not in new else n + 1
         m = match(text, at)

@@ -36,10 +36,16 @@ SIGNS: dict[str, tuple[str, ...]] = {
 _TOKEN = re.compile(r"#include|#define|#!/[\w/]+|<\?php|<\?=|\$\w+|@\w*|\w+|=>|===|:=|->|::|\":|\",|\[\"|[{}|]|---|: |- |>-")
 
 
+#: By sign, the languages it speaks for and how much one of it weighs.
+_WEIGHTS = {sign: [(lang, 1 / len(signs)) for lang, signs in SIGNS.items() if sign in signs] for sign in {x for signs in SIGNS.values() for x in signs}}
+
+
 def ranking(text: str) -> list[str]:
     """All languages, the likeliest first by the share of its signs among the text's tokens; ties in the order of ``LANGUAGES``."""
-    count = Counter(_TOKEN.findall(text))
-    score = {lang: sum(count[s] for s in signs) / len(signs) for lang, signs in SIGNS.items()}
+    score = dict.fromkeys(LANGUAGES, 0.0)
+    for sign, n in Counter(filter(_WEIGHTS.__contains__, _TOKEN.findall(text))).items():
+        for lang, weight in _WEIGHTS[sign]:
+            score[lang] += n * weight
     return sorted(LANGUAGES, key=lambda lang: -score[lang])
 
 
