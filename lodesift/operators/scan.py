@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodesift.operators import comments, fusion, pyast, rules, suppress, taint
+from lodesift.operators import comments, fusion, interproc, pyast, rules, suppress, taint
 from lodesift.operators.catalogs import CORE, Catalog
 
 #: Columns of a finding of any layer, besides the file's key.
@@ -15,7 +15,7 @@ FINDING = ("file_path", "lang", "layer", "rule_id", "severity", "title", "line_n
 
 
 def layers(files: DataFrame, key: str, table: Sequence[rules.Rule], catalog: Catalog = CORE) -> DataFrame:
-    """The findings of the line rules, the syntax tree and the taint of ``files`` (``key, path, lang, content``), in one shape: ``key`` and ``FINDING``."""
+    """The findings of the line rules, the syntax tree, the taint within and that between functions of ``files`` (``key, path, lang, content``), in one shape: ``key`` and ``FINDING``."""
     paths = files.select(key, F.col("path").alias("file_path"), "lang")
 
     def shaped(df: DataFrame, layer: str) -> DataFrame:
@@ -23,19 +23,20 @@ def layers(files: DataFrame, key: str, table: Sequence[rules.Rule], catalog: Cat
 
     lines = rules.apply(files, table, key).withColumnRenamed("path", "file_path").withColumn("confidence_score", F.lit(0.0))
     tree = pyast.findings(files, key).withColumn("confidence_score", F.lit(0.0)).join(paths, key)
+    between = interproc.as_findings(interproc.flows(files, key, catalog)).join(paths, key)
     flows = taint.as_findings(taint.flows(files, key, catalog)).withColumn("matched_text", F.lit("")).join(paths, key)
-    return shaped(lines, "line").unionByName(shaped(tree, "tree")).unionByName(shaped(flows, "taint"))
+    return shaped(lines, "line").unionByName(shaped(tree, "tree")).unionByName(shaped(flows, "taint")).unionByName(shaped(between, "interprocedural"))
 
 
 def findings(files: DataFrame, key: str, table: Sequence[rules.Rule], catalog: Catalog = CORE, keyword: str = suppress.KEYWORD) -> DataFrame:
     """The merged findings of every file, with ``suppressed``, ``suppress_reason`` and ``n_merged``.
 
-    In order: findings that begin in a comment are left out (the taint layer skips comments itself), those of one line and weakness are merged, directives
+    In order: findings that begin in a comment are left out (the taint layers skip comments themselves), those of one line and weakness are merged, directives
     suppress, findings in test files are downgraded and labels follow the scores. Ties of a merge go to the first by rule, line and text.
     """
     found = layers(files, key, table, catalog)
-    taints = found.where("layer = 'taint'")
-    said = comments.outside(found.where("layer <> 'taint'"), files, key).unionByName(taints)
+    by_text = F.col("layer").isin("line", "tree")
+    said = comments.outside(found.where(by_text), files, key).unionByName(found.where(~by_text))
     numbered = said.withColumn("finding_id", F.xxhash64(key, "rule_id", "line_number", "matched_text", "layer"))
     merged = fusion.merged(numbered, key, "finding_id")
     return fusion.downgraded(suppress.split(merged, suppress.covered(files, key, keyword), key)).drop("finding_id")

@@ -8,7 +8,7 @@ name, so that results don't depend on any order.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
 from functools import lru_cache
 from itertools import islice
@@ -221,10 +221,51 @@ def _full_call(lines: tuple[tuple[int, str], ...], k: int, at: int) -> str:
     return " ".join(parts)
 
 
-def track(scope: Scope, language: str, catalog: Catalog = CORE) -> list[tuple[Source, int, Sink, int, float, tuple[tuple[int, str], ...]]]:
-    """The flows of a scope: source, its line, sink, its line, confidence, steps."""
+def split_commas(text: str) -> list[str]:
+    """The parts of a text between the commas outside of brackets and strings, trimmed; empty ones are left out."""
+    return arguments(f"({text})", 0)
+
+
+def parameters(declaration: str, language: str) -> list[tuple[str, ...]]:
+    """The names each parameter of a function's declaration brings in, by position; a destructured one brings several, and ``self`` and ``cls`` don't count."""
+    at = declaration.find("(")
+    if language == "go" and re.match(r"\s*func\s*\(", declaration):  # the receiver stands before the name
+        at = declaration.find("(", declaration.find(")"))
+    if at < 0:
+        return []
+    out: list[tuple[str, ...]] = []
+    # commas between the angles of a type part no parameters
+    plain = declaration
+    while (shorter := re.sub(r"<[^<>()=;]*>", "", plain)) != plain:
+        plain = shorter
+    for part in arguments(plain, plain.find("(", at) if plain[at : at + 1] != "(" else at):
+        part = re.sub(r"^(?:@\w+(?:\([^)]*\))?\s+|final\s+|\.\.\.|\*{1,2}|&+)+", "", part).strip()
+        if part[:1] in "{[":
+            inner = part[1 : max(part.rfind("}"), part.rfind("]"))]
+            names = tuple(x for p in split_commas(inner) if (x := re.sub(r"^\.\.\.", "", re.split(r"\s*=", re.split(r":\s*", p)[-1])[0]).strip()))
+            out.append(names)
+            continue
+        head = re.split(r"\s*=(?!=)", part)[0].strip()
+        if language in ("java", "csharp", "c", "cpp", "groovy"):
+            m = re.search(r"([A-Za-z_]\w*)\s*(?:\[\s*\])*$", head)
+        elif language == "php":
+            m = re.search(r"(\$\w+)", head)
+        else:
+            m = re.match(r"(?:mut\s+)?([A-Za-z_$][\w$]*)", head)
+        if m and m.group(1) not in ("self", "cls", "this", "void"):
+            out.append((m.group(1),))
+    return out
+
+
+def track(
+    scope: Scope, language: str, catalog: Catalog = CORE, seeds: dict[str, Source] | None = None, at_line: Callable[[int, int, dict[str, _Var]], None] | None = None
+) -> list[tuple[Source, int, Sink, int, float, tuple[tuple[int, str], ...]]]:
+    """The flows of a scope: source, its line, sink, its line, confidence, steps.
+
+    ``seeds``: names that carry a source from the start. ``at_line`` is shown each line's place in the scope, its number and the variables behind it.
+    """
     sources, sinks, sanitizers = _compiled(language, catalog)
-    state: dict[str, _Var] = {}
+    state: dict[str, _Var] = {n: _Var(x, scope.start, 1.0, ((scope.start, n),)) for n, x in (seeds or {}).items()}
     flows = []
     for k, (no, line) in enumerate(scope.lines):
         s = line.strip()
@@ -247,6 +288,8 @@ def track(scope: Scope, language: str, catalog: Catalog = CORE) -> list[tuple[So
                         state[name] = replace(v, confidence=confidence, steps=(*v.steps, (no, name)))
                 if name in state and cleaned:
                     state[name] = replace(state[name], clean=state[name].clean | {c for x in cleaned for c in x.neutralizes})
+        if at_line is not None:
+            at_line(k, no, state)
         for sink, p in sinks:
             m = p.search(line)
             if not m:

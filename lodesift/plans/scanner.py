@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodesift.functions import paths
 from lodesift.functions.text import stripped
-from lodesift.operators import callgraph, comments, fusion, graphbuild, hints, lines, pyast, rules, scan, store, suppress, taint
+from lodesift.operators import callgraph, comments, fusion, graphbuild, hints, interproc, lines, pyast, rules, scan, store, suppress, taint
 from lodesift.plans.rule_table import RULES
 from lodesift.sinks import outputs
 from lodesift.sources import events
@@ -171,14 +171,25 @@ def taint_flows(spark: SparkSession, d: str) -> DataFrame:
     return taint.flows(_linked(spark, d), "input_id").withColumn("steps", F.size("steps"))
 
 
+def _calling(df: DataFrame) -> DataFrame:
+    """The Python files with one more function, that calls the first of theirs with foreign data: their own functions never call each other."""
+    name = F.regexp_extract("content", r"def (\w+)\([^)]*\barg_x\b", 1)
+    more = F.concat("content", F.lit("\ndef handle_linked():\n    got = request.args.get('q')\n    return "), name, F.lit("(got)\n"))
+    return df.withColumn("content", F.when((F.col("lang") == "python") & (name != ""), more).otherwise(F.col("content")))
+
+
+def interproc_flows(spark: SparkSession, d: str) -> DataFrame:
+    return interproc.flows(_calling(_linked(spark, d)), "input_id")
+
+
 def scan_findings(spark: SparkSession, d: str) -> DataFrame:
     """The whole scan of files whose arguments are linked and that have directives."""
-    f = scan.findings(_directed(_linked(spark, d)), "input_id", RULES)
+    f = scan.findings(_directed(_calling(_linked(spark, d))), "input_id", RULES)
     return f.select("input_id", "file_path", "line_number", "cwe_id", "rule_id", "layer", "severity", "severity_label", F.round("confidence_score", 6).alias("confidence_score"), "confidence", F.array_join(F.array_sort("tags"), ",").alias("tags"), "n_merged", "suppressed", "suppress_reason")
 
 
 def scan_decisions(spark: SparkSession, d: str) -> DataFrame:
-    found = scan.findings(_directed(_linked(spark, d)), "input_id", RULES)
+    found = scan.findings(_directed(_calling(_linked(spark, d))), "input_id", RULES)
     return scan.decisions(found, "input_id").withColumn("suppressed_rules", F.array_join("suppressed_rules", ","))
 
 
@@ -220,6 +231,6 @@ QUERIES: dict[str, Query] = {
     for f in (
         files, lines_explode, language_detect, path_filters, comment_lines, continuation_join, python_lines, rule_findings, rule_counts, dedup_findings, test_downgrade, block_decision, category_summary,
         findings_store, ledger_daily, reports, graph_edges, graph_stats, transitive_callers, impacted_callers, signature_changes, interproc_arguments, called_names, function_scopes, taint_flows,
-        python_tree, scan_findings, scan_decisions, suppressions, architecture_hints, comment_spans, uncommented_findings, built_nodes, built_signatures, interproc_returns,
+        python_tree, interproc_flows, scan_findings, scan_decisions, suppressions, architecture_hints, comment_spans, uncommented_findings, built_nodes, built_signatures, interproc_returns,
     )
 }

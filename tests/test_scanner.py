@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodesift.functions import paths
 from lodesift.functions.text import truncated
-from lodesift.operators import callgraph, catalogs, comments, fusion, graphbuild, hints, lines, pyast, rules, scan, store, suppress, taint
+from lodesift.operators import callgraph, catalogs, comments, fusion, graphbuild, hints, interproc, lines, pyast, rules, scan, store, suppress, taint
 from lodesift.plans.rule_table import RULES
 from lodesift.sources import events
 
@@ -344,3 +344,54 @@ def test_whole_scan(spark):
     d = {r.input_id: r for r in scan.decisions(found, "input_id").collect()}
     assert d[1].blocked and d[1].n_suppressed == 1 and d[1].suppressed_rules == ["PY-005"] and not d[2].blocked and set(d) == {1, 2}
     found.unpersist()
+
+
+@pytest.mark.parametrize(
+    ("language", "declaration", "names"),
+    [
+        ("python", "def f(self, a, b=(1, 2), *args, **kw):", [("a",), ("b",), ("args",), ("kw",)]),
+        ("javascript", "function f({ a, b: c = 1, ...d }, [x], y = g(1, 2), ...z) {", [("a", "c", "d"), ("x",), ("y",), ("z",)]),
+        ("typescript", "const f = (a: string, b?: Map<string, number>) => {", [("a",), ("b",)]),
+        ("go", "func (s *Server) Get(w http.ResponseWriter, id, name string) error {", [("w",), ("id",), ("name",)]),
+        ("java", "public String f(final @A(1) List<String> a, int[] b, String... c) {", [("a",), ("b",), ("c",)]),
+        ("php", "function f(?string $a, array &$b = []) {", [("$a",), ("$b",)]),
+        ("ruby", "def f(a, b = 1, key: 2, *rest)", [("a",), ("b",), ("key",), ("rest",)]),
+        ("rust", "fn f(&self, mut a: Vec<u8>, b: &str) {", [("a",), ("b",)]),
+        ("c", "int f(const char *a, unsigned int b[], void) {", [("a",), ("b",)]),
+        ("python", "def f():", []),
+    ],
+)
+def test_parameters(language, declaration, names):
+    assert taint.parameters(declaration, language) == names
+
+
+def test_between_functions(spark):
+    """An argument reaches a sink in the callee or beyond it; sanitizers, other arguments and clean values don't count."""
+    code = """
+def query(x, table):
+    cur.execute("SELECT a FROM t WHERE b = " + x)
+
+def middle(y):
+    z = y.strip()
+    query(z, "t")
+
+def outer():
+    q = request.args.get("q")
+    middle(q)
+    query("1", q)
+    query(request.form["a"], "t")
+    safe = int(q)
+    query(safe, "t")
+
+def silent(q):
+    middle(q)
+"""
+    f = texts(spark, (1, "/a.py", "python", code), (2, "/b.py", "python", None), (3, "/c.py", "python", "x = 1"), (4, "/d", None, "x"))
+    got = {(r.input_id, r.caller, r.callee, r.argument, r.line_number, r.sink_category, r.sink_line, r.depth) for r in interproc.flows(f, "input_id").collect()}
+    assert got == {(1, "outer", "middle", 0, 11, "sql_query", 3, 2), (1, "outer", "query", 0, 13, "sql_query", 3, 1)}
+    rows = interproc.as_findings(interproc.flows(f, "input_id")).collect()
+    assert {(r.rule_id, r.severity, r.cwe_id, r.confidence_score) for r in rows} == {("INTERPROC-SQL_QUERY", 4, "CWE-89", 0.8)}
+    sig = spark.createDataFrame([(1, "f", [("sql_query", 3), ("redirect", 9)]), (2, "g", None)], "k int, id string, sink_calls array<struct<category:string,line:int>>")
+    ranges = spark.createDataFrame([(1, 2, 4)], "k int, first int, last int")
+    got = {r.id: ([c.line for c in r.sink_calls], [c.line for c in r.suppressed_sinks]) for r in interproc.suppressed_sinks(sig, ranges, "k").collect()}
+    assert got == {"f": ([9], [3]), "g": ([], [])}
