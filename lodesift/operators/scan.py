@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodesift.operators import comments, fusion, interproc, pyast, rules, suppress, taint
+from lodesift.operators import comments, fusion, interproc, pyast, pyflow, rules, suppress, taint
 from lodesift.operators.catalogs import CORE, Catalog
 
 #: Columns of a finding of any layer, besides the file's key.
@@ -24,7 +24,9 @@ def layers(files: DataFrame, key: str, table: Sequence[rules.Rule], catalog: Cat
     lines = rules.apply(files, table, key).withColumnRenamed("path", "file_path").withColumn("confidence_score", F.lit(0.0))
     tree = pyast.findings(files, key).withColumn("confidence_score", F.lit(0.0)).join(paths, key)
     between = interproc.as_findings(interproc.flows(files, key, catalog)).join(paths, key)
-    flows = taint.as_findings(taint.flows(files, key, catalog)).withColumn("matched_text", F.lit("")).join(paths, key)
+    # Python has a tree to walk, other languages are folded line by line
+    within = pyflow.flows(files, key, catalog).unionByName(taint.flows(files.where("lang <> 'python'"), key, catalog))
+    flows = taint.as_findings(within).withColumn("matched_text", F.lit("")).join(paths, key)
     return shaped(lines, "line").unionByName(shaped(tree, "tree")).unionByName(shaped(flows, "taint")).unionByName(shaped(between, "interprocedural"))
 
 

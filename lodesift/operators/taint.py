@@ -358,3 +358,11 @@ def as_findings(the_flows: DataFrame) -> DataFrame:
     """Flows as findings of the taint layer."""
     label = F.when(F.col("confidence_score") >= 0.7, "high").when(F.col("confidence_score") >= 0.4, "medium").otherwise("low")
     return the_flows.withColumns({"confidence": label, "tags": F.array(F.lit("taint-analysis"), F.col("sink_category")), "title": F.concat(F.lit("Tainted data reaches "), F.col("sink_id"))})
+
+
+def report(the_flows: DataFrame) -> DataFrame:
+    """``the_flows`` with ``report``: where foreign data came in, the names it went through and where it ended, a line each."""
+    line = lambda at, text: F.concat(F.lit("  line "), at.cast("string"), F.lit(": "), text)
+    way = F.transform("steps", lambda s: line(s["line"], s["var"]))
+    head = F.concat("source_id", F.lit(" -> "), "sink_id", F.lit(" ("), "sink_category", F.lit(", "), F.format_number(F.col("confidence_score"), 2), F.lit(")"))
+    return the_flows.withColumn("report", F.array_join(F.concat(F.array(head, line(F.col("source_line"), F.concat(F.lit("from "), "source_id"))), way, F.array(line(F.col("line_number"), F.concat(F.lit("into "), "sink_id")))), "\n"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodesift.functions import paths
 from lodesift.functions.text import stripped
-from lodesift.operators import callgraph, comments, fusion, graphbuild, hints, interproc, lines, pyast, rules, scan, store, suppress, taint
+from lodesift.operators import callgraph, comments, fusion, graphbuild, hints, interproc, lines, pyast, pyflow, rules, scan, store, suppress, taint
 from lodesift.plans.rule_table import RULES
 from lodesift.sinks import outputs
 from lodesift.sources import events
@@ -171,6 +171,14 @@ def taint_flows(spark: SparkSession, d: str) -> DataFrame:
     return taint.flows(_linked(spark, d), "input_id").withColumn("steps", F.size("steps"))
 
 
+def python_flows(spark: SparkSession, d: str) -> DataFrame:
+    return pyflow.flows(_linked(spark, d), "input_id").withColumn("steps", F.size("steps"))
+
+
+def flow_reports(spark: SparkSession, d: str) -> DataFrame:
+    return taint.report(taint.flows(_linked(spark, d), "input_id")).select("input_id", "scope", "line_number", "sink_id", "report")
+
+
 def _calling(df: DataFrame) -> DataFrame:
     """The Python files with one more function, that calls the first of theirs with foreign data: their own functions never call each other."""
     name = F.regexp_extract("content", r"def (\w+)\([^)]*\barg_x\b", 1)
@@ -231,6 +239,6 @@ QUERIES: dict[str, Query] = {
     for f in (
         files, lines_explode, language_detect, path_filters, comment_lines, continuation_join, python_lines, rule_findings, rule_counts, dedup_findings, test_downgrade, block_decision, category_summary,
         findings_store, ledger_daily, reports, graph_edges, graph_stats, transitive_callers, impacted_callers, signature_changes, interproc_arguments, called_names, function_scopes, taint_flows,
-        python_tree, interproc_flows, scan_findings, scan_decisions, suppressions, architecture_hints, comment_spans, uncommented_findings, built_nodes, built_signatures, interproc_returns,
+        python_tree, python_flows, flow_reports, interproc_flows, scan_findings, scan_decisions, suppressions, architecture_hints, comment_spans, uncommented_findings, built_nodes, built_signatures, interproc_returns,
     )
 }

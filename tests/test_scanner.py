@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodesift.functions import paths
 from lodesift.functions.text import truncated
-from lodesift.operators import callgraph, catalogs, comments, fusion, graphbuild, hints, interproc, lines, pyast, rules, scan, store, suppress, taint
+from lodesift.operators import callgraph, catalogs, comments, fusion, graphbuild, hints, interproc, lines, pyast, pyflow, rules, scan, store, suppress, taint
 from lodesift.plans.rule_table import RULES
 from lodesift.sources import events
 
@@ -395,3 +395,47 @@ def silent(q):
     ranges = spark.createDataFrame([(1, 2, 4)], "k int, first int, last int")
     got = {r.id: ([c.line for c in r.sink_calls], [c.line for c in r.suppressed_sinks]) for r in interproc.suppressed_sinks(sig, ranges, "k").collect()}
     assert got == {"f": ([9], [3]), "g": ([], [])}
+
+
+def test_names_of_catalog_patterns():
+    assert pyflow.names_of(r"request\.json\b|request\.get_json\(") == ["request.json", "request.get_json"]
+    assert pyflow.names_of(r"subprocess\.(?:call|run)\(") == ["subprocess.call", "subprocess.run"]
+    assert pyflow.names_of(r"pickle\.loads?\(") == ["pickle.load", "pickle.loads"]
+    assert pyflow.names_of(r"open\(.*\)\.read\(") == [] and pyflow.names_of(r"os\.environ\[?") == ["os.environ"]
+    m = lambda k, n: getattr(pyflow.matches(catalogs.CORE, k, n), "id", None)
+    assert m("source", "req.args") == m("source", "flask.request.args") == "py.request.args" and m("source", "parser.args") is None
+    assert m("sink", "subprocess.run") == "py.subprocess" and m("sink", "task.run") is None and m("sink", "db.cursor.execute") == "py.execute"
+
+
+PY_FLOWS = [
+    ("q = request.args.get('q')\ncur.execute('S' + q)", {("sql_query", 2, 0.95)}),
+    ("q = request.args['q']\nw = f(g(q))\nos.system(w)", {("command_exec", 3, 0.7225)}),
+    ("q = input()\nif q in OK:\n    os.system(q)\nelse:\n    eval(q)", {("code_eval", 5, 1.0)}),
+    ("def f():\n    q = input()\n    if q not in OK:\n        return\n    os.system(q)", set()),
+    ("q = input()\nq = 'x'\nos.system(q)", set()),
+    ("a, b = input(), 1\nos.system(b)\neval(a)", {("code_eval", 3, 1.0)}),
+    ("def f(payload, other):\n    eval(payload)\n    eval(other)", {("code_eval", 2, 0.6)}),
+    ("q = input()\ncur.execute('S WHERE a = %s', (q,))", set()),
+    ("q = int(input())\ncur.execute(f'S {q}')", set()),
+    ("d = {}\nd['a'] = input()\nos.system(d['a'])", {("command_exec", 3, 0.9)}),
+    ("for x in request.form:\n    os.system(f'{x}')", {("command_exec", 2, 0.855)}),
+    ("with open(input()) as f:\n    pass", {("file_write", 1, 1.0)}),
+    ("os.system([x for x in input()][0])", {("command_exec", 1, 0.7695)}),
+    ("log.info(os.environ['A'])", set()),
+    ("q = input()\ntry:\n    q = 1\nexcept E:\n    eval(q)", {("code_eval", 5, 1.0)}),
+    ("if (n := input()):\n    eval(n)", {("code_eval", 2, 1.0)}),
+]
+
+
+@pytest.mark.parametrize(("code", "want"), PY_FLOWS)
+def test_python_flows(code, want):
+    got = {(f[3].category, f[4], round(f[5], 6)) for f in pyflow.track(code)}
+    assert got == want
+
+
+def test_python_flows_of_files(spark):
+    f = texts(spark, (1, "/a.py", "python", PY_FLOWS[0][0]), (2, "/b.py", "python", "q = input()\nos.system(q)\n)("), (3, "/c.py", "python", None), (4, "/d.go", "go", "x"), (5, "/e.py", "python", ""))
+    rows = pyflow.flows(f, "input_id")
+    assert {(r.input_id, r.rule_id, r.line_number) for r in rows.collect()} == {(1, "TAINT-sql_query", 2), (2, "TAINT-command_exec", 2)}
+    text = taint.report(rows).where("input_id = 1").first().report.split("\n")
+    assert text[0].startswith("py.request.args -> py.execute (sql_query, 0.95)") and text[1] == "  line 1: from py.request.args" and text[-1] == "  line 2: into py.execute"
