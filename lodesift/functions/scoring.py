@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Severities in order.
 SEVERITY_LABELS = ("INFO", "LOW", "MEDIUM", "HIGH", "CRITICAL")
+# The sign of each severity.
+SEVERITY_ICONS = ("i", "L", "M", "H", "!")
 # Base confidence of the layers without a score of their own.
 BASE_CONFIDENCE = {40: 0.6, 30: 0.7, 20: 0.8}
 BASE_REGEX = {"high": 0.5, "medium": 0.4}
@@ -67,6 +69,11 @@ def severity_label(severity: Column) -> Column:
     return F.coalesce(F.get(F.array(*[F.lit(x) for x in SEVERITY_LABELS]), severity.cast("int")), F.lit("UNKNOWN"))
 
 
+def severity_icon(severity: Column) -> Column:
+    """The sign of a severity; ``?`` for an unknown one."""
+    return F.coalesce(F.get(F.array(*[F.lit(x) for x in SEVERITY_ICONS]), severity.cast("int")), F.lit("?"))
+
+
 def blocks(severity: Column, score: Column) -> Column:
     return (severity >= 4) & (score >= 0.7)
 

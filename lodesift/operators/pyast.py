@@ -81,3 +81,57 @@ def findings(files: DataFrame, key: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), *[pa.array(c, t) for c, t in zip(cols[1:], types, strict=True)]], [key, *names])
 
     return spread(files.where((F.col("lang") == "python") & F.col("content").isNotNull()).select(key, "content")).mapInArrow(run, f"{key} {kind}, {SCHEMA}").withColumn("tags", F.array(F.lit("ast")))
+
+
+NODES = "node int, parent int, kind string, name string, first_line int, first_column int, last_line int, last_column int"
+
+
+def nodes(files: DataFrame, key: str) -> DataFrame:
+    """``key`` and ``NODES``: the syntax tree of every Python file as a table, numbered from 0 (the module) in order of place; files that don't parse have none.
+
+    ``name`` is that of functions, classes, names, attributes and arguments. Lines are counted from 1, columns (in bytes) from 0; parts without place have null.
+    """
+    ship(files.sparkSession)
+    kind = dict(files.dtypes)[key]
+    types = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+    names = [c.split()[0] for c in NODES.split(", ")]
+
+    def rows_of(k: object, source: str) -> Iterator[tuple]:
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                stack: list[tuple[ast.AST, int | None]] = [(ast.parse(source), None)]
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            return
+        n = 0
+        while stack:
+            node, parent = stack.pop()
+            if isinstance(node, (ast.expr_context, ast.operator, ast.unaryop, ast.boolop, ast.cmpop)):
+                continue
+            place = [getattr(node, a, None) for a in ("lineno", "col_offset", "end_lineno", "end_col_offset")]
+            yield (k, n, parent, type(node).__name__, next((v for a in ("name", "id", "attr", "arg") if isinstance(v := getattr(node, a, None), str)), None), *place)
+            stack += [(c, n) for c in reversed(list(ast.iter_child_nodes(node)))]
+            n += 1
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [r for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in rows_of(k, t)]
+            cols = list(zip(*rows, strict=True)) or [()] * 9
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), *[pa.array(c, t) for c, t in zip(cols[1:], types, strict=True)]], [key, *names])
+
+    return spread(files.where((F.col("lang") == "python") & F.col("content").isNotNull()).select(key, "content")).mapInArrow(run, f"{key} {kind}, {NODES}")
+
+
+def of_kind(tree: DataFrame, *kinds: str) -> DataFrame:
+    """The nodes of some kinds."""
+    return tree.where(F.col("kind").isin(*kinds))
+
+
+def at_line(tree: DataFrame, places: DataFrame, key: str) -> DataFrame:
+    """For each of ``places`` (``key, line_number``) the innermost node over its line: the last that begins at or before it and ends at or behind it.
+
+    The nodes of a file come as one array to its places, so the join is by file only.
+    """
+    per_file = tree.where("first_line IS NOT NULL").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("node", "kind", "name", "first_line", "last_line"))).alias("__nodes"))
+    over = F.filter("__nodes", lambda n: F.col("line_number").between(n["first_line"], n["last_line"]))
+    return places.join(per_file, key, "left").withColumn("__n", F.get(over, F.size(over) - 1)).select(*places.columns, F.col("__n.node").alias("node"), F.col("__n.kind").alias("kind"), F.col("__n.name").alias("name"))

@@ -48,6 +48,8 @@ _ASSIGNMENT = (
     (("php",), re.compile(r"^(\$[A-Za-z_]\w*)\s*\.?=(?!=)\s*(.+)$")),
     ((), re.compile(r"^([A-Za-z_]\w*(?:\s*,\s*[A-Za-z_]\w*)*)\s*[+\-*/]?=(?!=)\s*(.+)$")),
 )
+_PART_ASSIGNED = re.compile(r"^(?:self\.|this\.|\$this->)?(\$?[A-Za-z_]\w*)(?:(?:\.|->)\w+|\[[^\]]*\])+\s*[+.]?=(?!=)\s*(.+)$")
+_DESTRUCTURED = re.compile(r"^(?:export\s+)?(?:var|let|const)\s*[{\[](.*?)[}\]]\s*(?::\s*[^=]+)?=(?!=)\s*(.+)$")
 # Words that start no method of a class.
 _NO_METHOD = frozenset("if for while switch catch return else do try function new typeof with synchronized using lock foreach elseif".split())
 _BRACED = {
@@ -156,6 +158,12 @@ def assignment(line: str, language: str) -> tuple[list[str], str] | None:
             m = pattern.match(s)
             if m:
                 return [x.strip() for x in m.group(1).split(",") if x.strip() not in ("", "_")], m.group(2).rstrip("; ")
+    m = _PART_ASSIGNED.match(s)
+    if m:  # a part of an object is assigned: the object carries what the part does
+        return [m.group(1)], m.group(2).rstrip("; ")
+    m = _DESTRUCTURED.match(s)
+    if m:
+        return [x for p in split_commas(m.group(1)) if (x := re.sub(r"^\.\.\.", "", re.split(r"\s*=", re.split(r":\s*", p)[-1])[0]).strip())], m.group(2).rstrip("; ")
     return None
 
 

@@ -209,6 +209,21 @@ def suppressions(spark: SparkSession, d: str) -> DataFrame:
     return suppress.covered(_directed(_files(spark, d)), "input_id")
 
 
+def finding_texts(spark: SparkSession, d: str) -> DataFrame:
+    f = _findings(spark, d)
+    return f.select("finding_id", outputs.short_text().alias("short"), F.md5(outputs.detail_text()).alias("detail_md5"))
+
+
+def python_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes by kind in every Python file."""
+    return pyast.nodes(_files(spark, d), "input_id").groupBy("input_id", "kind").agg(F.count(F.lit(1)).alias("n_nodes"), F.max("last_line").alias("last_line"))
+
+
+def caller_hints(spark: SparkSession, d: str) -> DataFrame:
+    f = callgraph.functions(table(spark, d, "func_nodes"))
+    return hints.caller_hints(impacted_callers(spark, d), f).withColumn("affected", F.array_join("affected", ","))
+
+
 def architecture_hints(spark: SparkSession, d: str) -> DataFrame:
     return hints.hints(_findings(spark, d)).where("kind = 'architecture'").drop("line_number")
 
@@ -239,6 +254,6 @@ QUERIES: dict[str, Query] = {
     for f in (
         files, lines_explode, language_detect, path_filters, comment_lines, continuation_join, python_lines, rule_findings, rule_counts, dedup_findings, test_downgrade, block_decision, category_summary,
         findings_store, ledger_daily, reports, graph_edges, graph_stats, transitive_callers, impacted_callers, signature_changes, interproc_arguments, called_names, function_scopes, taint_flows,
-        python_tree, python_flows, flow_reports, interproc_flows, scan_findings, scan_decisions, suppressions, architecture_hints, comment_spans, uncommented_findings, built_nodes, built_signatures, interproc_returns,
+        python_tree, python_flows, flow_reports, interproc_flows, scan_findings, scan_decisions, suppressions, finding_texts, python_nodes, caller_hints, architecture_hints, comment_spans, uncommented_findings, built_nodes, built_signatures, interproc_returns,
     )
 }

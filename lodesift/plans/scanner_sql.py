@@ -169,7 +169,23 @@ UNION ALL SELECT input_id, code, code, 'injection', 'reviewed' FROM n WHERE cont
 UNION ALL SELECT input_id, i, i + 2, unnest(['all', 'py-014']), 'a loop' FROM n WHERE contains(x, 'scan:ignore-start')"""
 
 
+_AT = "CASE WHEN line_number > 0 THEN file_path || ':' || line_number ELSE file_path END"
+_DETAIL = ", ".join(
+    [
+        f"'[' || coalesce({_LABELS}[severity + 1], 'UNKNOWN') || '] ' || rule_id || ': ' || coalesce(title, '')",
+        f"'  File: ' || nullif({_AT}, '')",
+        f"'  Match: ' || nullif({_TRUNCATED.replace('text', 'matched_text')}, '')",
+        *[f"'  {n}' || nullif({c}, '')" for n, c in (("", "description"), ("Fix: ", "suggestion"), ("CWE: ", "cwe_id"), ("OWASP: ", "owasp_category"))],
+        "CASE WHEN confidence_score > 0 THEN '  Confidence: ' || round_even(confidence_score * 100, 0)::int || '%' END",
+    ]
+)
+
 ORACLE = {
+    "finding_texts": f"""WITH {_CLEAN} SELECT finding_id, '[' || coalesce(['i', 'L', 'M', 'H', '!'][severity + 1], '?') || '] ' || rule_id || ': ' || coalesce(title, '') || ' (' || {_AT} || ')' AS short,
+  md5(concat_ws(chr(10), {_DETAIL})) AS detail_md5 FROM c""",
+    "caller_hints": f"""WITH RECURSIVE {_REACH}, sk AS (SELECT nid, unnest(taint_sig.sink_calls) AS c FROM x), ws AS (SELECT nid AS start, max({_SEV}) AS worst FROM sk GROUP BY 1),
+i AS (SELECT start, caller, distance, greatest(3, worst) AS severity FROM near JOIN ws USING (start))
+SELECT start, any_value(x.file_path) AS file_path, 'callers' AS kind, 5 - max(severity) AS priority, count(*) AS n, array_to_string(list_slice(list(caller ORDER BY distance, caller), 1, 5), ',') AS affected FROM i JOIN x ON x.nid = i.start GROUP BY start""",
     "suppressions": _suppressions(),
     "reports": f"WITH {_CLEAN}, r AS (SELECT entry_id, severity, {_REPORT_LINE} AS line FROM c) SELECT entry_id, count(*) AS n_findings, md5(string_agg(line, chr(10) ORDER BY -coalesce(severity, -1), line)) AS report_md5 FROM r GROUP BY entry_id",
     "files": f"WITH {_FILES} SELECT input_id, path, lang, length(content) AS n_chars, is_new FROM f",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodesift.functions import paths
 from lodesift.functions.text import truncated
+from lodesift.sinks import outputs
 from lodesift.operators import callgraph, catalogs, comments, fusion, graphbuild, hints, interproc, lines, pyast, pyflow, rules, scan, store, suppress, taint
 from lodesift.plans.rule_table import RULES
 from lodesift.sources import events
@@ -439,3 +440,71 @@ def test_python_flows_of_files(spark):
     assert {(r.input_id, r.rule_id, r.line_number) for r in rows.collect()} == {(1, "TAINT-sql_query", 2), (2, "TAINT-command_exec", 2)}
     text = taint.report(rows).where("input_id = 1").first().report.split("\n")
     assert text[0].startswith("py.request.args -> py.execute (sql_query, 0.95)") and text[1] == "  line 1: from py.request.args" and text[-1] == "  line 2: into py.execute"
+
+
+def test_fixture_files(spark, tmp_path):
+    from lodesift.sources import fixtures
+
+    for rel, text in {
+        "python/vulnerable/a_sqli.py": "# Source: our own\n# Expected: INJ-001 (query), OWN-INJ-01\n# OWASP: A03 Injection\nx",
+        "python/vulnerable/b.py": "x = 1\n",
+        "python/safe/c.py": "# Expected:\nok",
+        "go/safe/d.go": "package a\n// Source: s",
+        "go/safe/.hidden": "x",
+        "go/other/e.go": "x",
+    }.items():
+        p = tmp_path / rel
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(text)
+    f = fixtures.load(spark, str(tmp_path)).cache()
+    rows = {r["name"]: r for r in f.collect()}
+    assert set(rows) == {"a_sqli.py", "b.py", "c.py", "d.go"}
+    a = rows["a_sqli.py"]
+    assert (a.folder_lang, a.label, a.lang, a.source, a.expected, a.owasp) == ("python", "vulnerable", "python", "our own", ["INJ-001", "OWN-INJ-01"], "A03")
+    assert rows["c.py"].expected == [] and rows["d.go"].source == "s"
+    found = spark.createDataFrame([(a.path, "INJ-007"), (rows["c.py"].path, "X-1")], "path string, rule_id string")
+    assert {r.folder_lang: tuple(r)[1:] for r in fixtures.scorecard(f, found).collect()} == {"python": (2, 1, 1, 1), "go": (0, 0, 1, 0)}
+
+
+def test_graphs_on_disk(spark, tmp_path):
+    from lodesift.sources import graphs
+
+    meta = spark.createDataFrame([("/a", "s1", "2025-01-01T00:00:00Z", 2), ("/b", "s2", "2025-01-01T00:00:00Z", 1), ("/c", "s1", None, 1)], "project_root string, session_id string, last_updated string, version int")
+    nodes = spark.createDataFrame([("/a", "x:f", "x", "f", "p", 1, 2, ["x:g"], [], "h", "go", 0), ("/b", "y:f", "y", "f", None, 1, 2, None, None, "h", "go", 0)], "project_root string, id string, file_path string, name string, package string, start_line int, end_line int, calls array<string>, called_by array<string>, content_hash string, language string, finding_count int")
+    folder = str(tmp_path / "graphs")
+    graphs.save(meta, nodes, folder)
+    (tmp_path / "graphs" / "broken.txt").write_text('{"session_id": "s1", "nodes": {')
+    got = [(r.project_root, r.id, r.calls) for r in graphs.load(spark, folder, "s1").collect()]
+    assert got == [("/a", "x:f", ["x:g"])] and graphs.load(spark, folder, "s9").count() == 0
+    callers = spark.createDataFrame([("s", "x:f", 1), ("s", "y:f", 2)], "start string, caller string, distance int")
+    files = texts(spark, (1, "x", "go", "code"), (2, "y", "go", "z" * 50))
+    assert [(r.caller, r.content) for r in graphs.caller_files(callers, nodes, files, 20).collect()] == [("x:f", "code")]
+
+
+def test_tree_as_a_table(spark):
+    f = texts(spark, (1, "/a.py", "python", "def f(a):\n    return a.b(\n        1)\nx = 2"), (2, "/b.py", "python", ")("), (3, "/c.go", "go", "x"))
+    tree = pyast.nodes(f, "input_id").cache()
+    rows = {r.node: r for r in tree.collect()}
+    assert rows[0].kind == "Module" and rows[0].parent is None and {r.input_id for r in rows.values()} == {1}
+    assert all(r.parent is None or r.parent < r.node for r in rows.values())
+    assert [(r["name"], r.first_line, r.last_line) for r in pyast.of_kind(tree, "FunctionDef").collect()] == [("f", 1, 3)]
+    at = spark.createDataFrame([(1, 3), (1, 4), (1, 9), (2, 1)], "input_id int, line_number int")
+    assert {(r.input_id, r.line_number): r.kind for r in pyast.at_line(tree, at, "input_id").collect()} == {(1, 3): "Constant", (1, 4): "Constant", (1, 9): None, (2, 1): None}
+
+
+def test_texts_of_findings(spark):
+    rows = [(1, 7, "R-1", 4, "T", "D", "/a", 3, "m" * 130, "S", "CWE-1", "A01", 0.95), (2, 7, "R-2", None, None, None, "/a", 0, None, "", None, None, 0.0)]
+    f = spark.createDataFrame(rows, "finding_id long, entry_id long, rule_id string, severity int, title string, description string, file_path string, line_number int, matched_text string, suggestion string, cwe_id string, owasp_category string, confidence_score double")
+    got = {r.finding_id: (r.s, r.d) for r in f.select("finding_id", outputs.short_text().alias("s"), outputs.detail_text().alias("d")).collect()}
+    assert got[1][0] == "[!] R-1: T (/a:3)" and got[2][0] == "[?] R-2:  (/a)"
+    assert got[1][1].split("\n") == ["[CRITICAL] R-1: T", "  File: /a:3", "  Match: " + "m" * 120 + "...", "  D", "  Fix: S", "  CWE: CWE-1", "  OWASP: A01", "  Confidence: 95%"]
+    assert got[2][1].split("\n") == ["[UNKNOWN] R-2: ", "  File: /a"]
+    m = outputs.block_messages(f).collect()
+    assert len(m) == 1 and "R-1" in m[0].message and "R-2" not in m[0].message
+
+
+def test_left_hand_sides():
+    assert taint.assignment("o.a.b = q", "javascript") == (["o"], "q") and taint.assignment("self.rows[i] = q", "python") == (["rows"], "q")
+    assert taint.assignment("const { a, b: c = 1, ...d } = req.body;", "javascript") == (["a", "c", "d"], "req.body")
+    assert taint.assignment("let [x, y] = f()", "typescript") == (["x", "y"], "f()") and taint.assignment("$a['k'] = $q;", "php") == (["$a"], "$q")
+    assert taint.assignment("if (a.b == c)", "javascript") is None
