@@ -2,16 +2,18 @@
 
 A rule has patterns for lines and conditions around them: patterns the file must (not) have, a window of lines that must (not)
 have one, patterns that cancel a hit, a path, once per file. All become one array expression per file over its array of
-lines; only the hits are exploded. Languages and a pattern over the whole content come first, so that most rules
-cost a file one regular expression or none.
+lines; only the hits are exploded. Languages come first, then texts that every match has (``literals``) and a pattern over the whole content, so that
+most rules cost a file a few searches for a text.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import warnings
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -85,6 +87,42 @@ def check_pattern(pattern: str) -> None:
     re.compile(pattern)
 
 
+def literals(pattern: str) -> tuple[str, ...]:
+    """Texts in lower case of which one at least is in every text that the pattern matches, whatever its case; none if there are no such texts of three characters."""
+
+    def of(seq: object) -> tuple[str, ...]:
+        best: tuple[str, ...] = ()
+        run = ""
+
+        def better(some: tuple[str, ...]) -> None:
+            nonlocal best
+            if some and min(map(len, some)) > (min(map(len, best)) if best else 2):
+                best = some
+
+        for op, arg in seq:  # type: ignore[attr-defined]
+            name = str(op)
+            if name == "LITERAL" and len(chr(arg).lower()) == 1:
+                run += chr(arg).lower()
+                continue
+            better((run,) if run else ())
+            run = ""
+            if name == "SUBPATTERN":
+                better(of(arg[-1]))
+            elif name == "BRANCH":
+                each = [of(x) for x in arg[1]]
+                better(tuple(t for x in each for t in x) if all(each) else ())
+            elif name in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] > 0:
+                better(of(arg[2]))
+        better((run,) if run else ())
+        return best
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        import re._parser as parser
+
+    return tuple(dict.fromkeys(of(parser.parse(pattern))))
+
+
 def load(path: str | Path) -> list[Rule]:
     """Rules from a JSON file of the rule format: a list of objects, or an object with ``defaults`` and ``rules``.
 
@@ -183,6 +221,10 @@ def _hits(rule: Rule) -> Column:
         found = F.slice(found, 1, 1)
     # a line that matches makes the content match too, so files without a match never get to their lines
     wanted = F.col("content").rlike("(?m)" + "|".join(f"(?:{p})" for p, _, _ in rule.patterns))
+    # before any pattern is tried, the content must have a text that its matches have
+    some = [literals(p) for p, _, _ in rule.patterns]
+    if all(some):
+        wanted = reduce(lambda a, b: a | b, [F.contains("__low", F.lit(t)) for t in dict.fromkeys(t for x in some for t in x)]) & wanted
     if "*" not in rule.languages:
         wanted = F.col("lang").isin(*rule.languages) & wanted
     if rule.path:
@@ -207,7 +249,7 @@ def apply(files: DataFrame, rules: Sequence[Rule], key: str) -> DataFrame:
     """
     if not rules:
         raise ValueError("no rules")
-    base = spread(files.select(key, "path", "lang", "content").where(F.col("content").isNotNull())).withColumn("__ls", F.split("content", "\n", -1))
+    base = spread(files.select(key, "path", "lang", "content").where(F.col("content").isNotNull())).withColumns({"__ls": F.split("content", "\n", -1), "__low": F.lower("content")})
     columns = {f"__h{at}": F.flatten(F.array(*[_tagged(r, at + k) for k, r in enumerate(rules[at : at + BATCH])])) for at in range(0, len(rules), BATCH)}
     hits = base.withColumns(columns).select(key, "path", "lang", F.explode(F.concat(*columns)).alias("x"))
     rows = hits.select(key, "path", "lang", "x.rule", "x.hit.*")

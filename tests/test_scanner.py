@@ -508,3 +508,16 @@ def test_left_hand_sides():
     assert taint.assignment("const { a, b: c = 1, ...d } = req.body;", "javascript") == (["a", "c", "d"], "req.body")
     assert taint.assignment("let [x, y] = f()", "typescript") == (["x", "y"], "f()") and taint.assignment("$a['k'] = $q;", "php") == (["$a"], "$q")
     assert taint.assignment("if (a.b == c)", "javascript") is None
+
+
+def test_literals_of_patterns():
+    assert rules.literals(r"yaml\.(?:load|unsafe_load)\s*\(") == ("yaml.",)
+    assert rules.literals(r"\b(?:os\.system|os\.popen|popen)\s*\(") == ("os.system", "os.popen", "popen")
+    assert rules.literals(r"(?i)^USER\s+root\b") == ("user",) and rules.literals(r"a|bcd") == () and rules.literals(r"(?:foo)?x*") == ()
+    assert rules.literals(r"x{2,}(?:verify)+\s*=") == ("verify",)
+    import re
+
+    for rule in RULES:  # every hit of the cases that fire has one of them
+        for p, _, _ in rule.patterns:
+            assert all(len(t) > 2 and t == t.lower() for t in rules.literals(p)), p
+            re.compile(p)
