@@ -494,6 +494,12 @@ def _ruby() -> _Ruby:
     return _Ruby()
 
 
+@lru_cache(maxsize=64)
+def _plain(closing: str, opening: str) -> re.Pattern[str]:
+    """A run of characters that neither end a literal, nest in it, escape nor embed."""
+    return re.compile(f"[^\\\\#{re.escape(closing)}{re.escape(opening)}]*")
+
+
 def _quoted(text: str, at: int, closing: str, opening: str, embeds: bool) -> int:
     """The end of a literal whose content starts at ``at``; what ``#{}`` embeds must parse."""
     n, depth = len(text), 0
@@ -512,7 +518,7 @@ def _quoted(text: str, at: int, closing: str, opening: str, embeds: bool) -> int
         elif embeds and ch == "#" and text.startswith("{", at + 1):
             at = _lex(text, at + 2, True)
         else:
-            at += 1
+            at = _plain(closing, opening).match(text, at + 1).end()  # type: ignore[union-attr]
     raise Bad("literal")
 
 

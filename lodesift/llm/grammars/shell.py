@@ -11,6 +11,8 @@ _OPERATOR = re.compile(r"&&|\|\||;;&|;&|;;|\|&|&>>|&>|<<<|<<-|<<|>>|>&|<&|>\||<>
 _PLAIN = re.compile(r"[^\s\\'\"`$;&|<>()]+")
 _FUNCTION_NAME = re.compile(r"[^\s;&|<>()$'\"`={}]+$")
 _ASSIGNMENT = re.compile(r"[A-Za-z_]\w*(?:\[[^\]]*\])?\+?=")
+_BLANK_STARTS, _REDIRECT_STARTS = frozenset(" \t\\#"), frozenset("<>&{0123456789")
+_IN_QUOTES = re.compile(r"[^\\\"$`]+")
 _DESCRIPTOR = re.compile(r"(?:\d+|\{[A-Za-z_]\w*\})(?=[<>])")
 _REDIRECTS = ("<", ">", ">>", "<<", "<<-", "<<<", ">&", "<&", ">|", "<>", "&>", "&>>")
 _RESERVED = frozenset("if then elif else fi for while until do done case esac in function select time { } ! [[".split())
@@ -27,6 +29,8 @@ class _Shell:
     # words
 
     def blanks(self) -> None:
+        if self.s[self.p : self.p + 1] not in _BLANK_STARTS:
+            return
         m = _BLANKS.match(self.s, self.p)
         if m:
             self.p = m.end()
@@ -79,7 +83,7 @@ class _Shell:
             elif c == "`":
                 self.backquoted()
             else:
-                self.p += 1
+                self.p = _IN_QUOTES.match(s, self.p).end()  # type: ignore[union-attr]
         raise Bad("quote")
 
     def backquoted(self) -> None:
@@ -241,6 +245,8 @@ class _Shell:
     def redirect(self) -> bool:
         """A redirection, consumed."""
         self.blanks()
+        if self.s[self.p : self.p + 1] not in _REDIRECT_STARTS:
+            return False
         m = _DESCRIPTOR.match(self.s, self.p)
         at = m.end() if m else self.p
         op = _OPERATOR.match(self.s, at)
