@@ -80,3 +80,18 @@ def test_empty(spark):
 def test_sized(spark):
     docs = spark.createDataFrame([(1, "a b", " A "), (2, None, "a"), (3, "x", None), (4, "", "a")], "doc_id long, text string, source string")
     assert [tuple(r) for r in mixing.sized(docs).collect()] == [(1, "a", 2)]
+
+
+def test_shares_reached_lie_within_a_document(spark):
+    """On the given documents every source gives what was planned, to within its largest bin; no document has more copies than allowed."""
+    docs = mixing.sized(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).cache()
+    p = mixing.plan(docs, spark.read.parquet("/root/testdata/sf0.01/mix_targets.parquet")).cache()
+    bins = docs.selectExpr("source", f"pmod(xxhash64(0, doc_id), {mixing.BINS}) AS bin", "n_tokens").groupBy("source", "bin").sum("n_tokens").groupBy("source").max("sum(n_tokens)").collect()
+    largest = {r[0]: r[1] for r in bins}
+    rows = mixing.report(p, mixing.mix(docs, p)).collect()
+    assert sum(r.tokens_taken for r in rows) > 0
+    for r in rows:
+        assert abs(r.tokens_taken - r.planned) <= largest.get(r.source, 0) / 2 + 1, r
+        assert r.tokens_taken <= r.max_repeats * r.n_tokens
+    docs.unpersist()
+    p.unpersist()
