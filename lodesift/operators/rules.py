@@ -13,7 +13,6 @@ import re
 import warnings
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -173,71 +172,60 @@ def coverage(rules: Sequence[Rule]) -> list[tuple[str, int, int, list[int]]]:
     return [(p, len(n), len(n) - len(set(n)), sorted(set(range(1, max(n) + 1)) - set(n))) for p, n in sorted(by.items())]
 
 
-def _hits(rule: Rule) -> Column:
-    """The array of ``line_no, ord, text`` of a rule's hits in the columns ``lang, path, content, __ls``."""
-    ls = F.col("__ls")
+def _quoted(text: str) -> str:
+    """A text as a literal of the expression language."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
 
-    def window(w: Window, i: Column) -> Column:
-        first = F.greatest(F.lit(1), i + 1 - w.before)
-        return F.array_join(F.slice("__ls", first, i + 1 + w.after - first + 1), "\n").rlike(w.pattern)
 
-    def tested(text: Column, p: str, lang: str) -> Column:
-        return (F.col("lang") == lang) & text.rlike(p) if lang else text.rlike(p)
+def _hits(rule: Rule, number: int) -> str:
+    """The array of a rule's hits, as an expression over the columns ``lang, path, content, __ls, __low``.
 
-    def left_behind(w: State, i: Column) -> Column:
-        above = F.slice("__ls", F.lit(1), i + 1)
+    A hit is ``rule`` (its number), ``line_no``, ``ord`` (of the pattern) and ``text``. A table of rules is made of texts, since each column object would be a call into the JVM.
+    """
+
+    def like(text: str, pattern: str) -> str:
+        return f"{text} RLIKE {_quoted(pattern)}"
+
+    def tested(pattern: str, lang: str) -> str:
+        return f"(lang = {_quoted(lang)} AND {like('t', pattern)})" if lang else f"({like('t', pattern)})"
+
+    def window(w: Window) -> str:
+        first = f"greatest(1, i + 1 - {w.before})"
+        return f"(array_join(slice(__ls, {first}, i + {2 + w.after} - {first}), '\\n') RLIKE {_quoted(w.pattern)})"
+
+    def left_behind(w: State) -> str:
+        above = "slice(__ls, 1, i + 1)"
         if w.kind == "latest":
-            of = F.filter(above, lambda x: x.rlike(w.of))
-            return F.coalesce(F.get(of, F.size(of) - 1).rlike(w.wanted), F.lit(False))
-        opened = F.filter(F.transform(above, lambda x, k: F.when(x.rlike(w.of), k)), lambda k: k.isNotNull())
-        block = lambda k: F.array_join(F.slice("__ls", k + 1, i - k + 1), "\n")
-        depth = lambda t: F.char_length(F.replace(t, F.lit("}"))) - F.char_length(F.replace(t, F.lit("{")))
-        return F.exists(opened, lambda k: (k < i) & (depth(block(k)) > 0))
-
-    def matches(text: Column, i: Column) -> Column:
-        ok = tested(text, *rule.patterns[0][::2])
-        for p, _, lang in rule.patterns[1:]:
-            ok = ok | tested(text, p, lang)
-        if not rule.comments:
-            ok = ok & ~text.rlike(COMMENT_STARTS)
-        for p in rule.line_none:
-            ok = ok & ~text.rlike(p)
-        for w in rule.near:
-            ok = ok & window(w, i)
-        for w in rule.near_none:
-            ok = ok & ~window(w, i)
-        for s in rule.states:
-            ok = ok & left_behind(s, i)
-        return ok
-
-    def hit(text: Column, i: Column) -> Column:
-        which = F.lit(len(rule.patterns) - 1)
-        for k in range(len(rule.patterns) - 2, -1, -1):
-            which = F.when(tested(text, *rule.patterns[k][::2]), k).otherwise(which)
-        return F.when(matches(text, i), F.struct((i + 1).alias("line_no"), which.cast("int").alias("ord"), text.alias("text")))
-
-    found = F.filter(F.transform(ls, hit), lambda h: h.isNotNull())
+            of = f"filter({above}, y -> {like('y', w.of)})"
+            return f"coalesce({like(f'try_element_at({of}, -1)', w.wanted)}, false)" if w.wanted else f"size({of}) > 0"
+        block = "array_join(slice(__ls, k + 1, i - k + 1), '\\n')"
+        opened = f"filter(transform({above}, (y, k) -> CASE WHEN {like('y', w.of)} THEN k END), k -> k IS NOT NULL)"
+        return f"exists({opened}, k -> k < i AND char_length(replace({block}, '}}')) > char_length(replace({block}, '{{')))"
+
+    tests = ["(" + " OR ".join(tested(p, lang) for p, _, lang in rule.patterns) + ")"]
+    if not rule.comments:
+        tests.append(f"NOT ({like('t', COMMENT_STARTS)})")
+    tests += [f"NOT ({like('t', p)})" for p in rule.line_none]
+    tests += [window(w) for w in rule.near] + [f"NOT {window(w)}" for w in rule.near_none] + [left_behind(w) for w in rule.states]
+    which = "".join(f" WHEN {tested(p, lang)} THEN {k}" for k, (p, _, lang) in enumerate(rule.patterns[:-1]))
+    order = f"CASE{which} ELSE {len(rule.patterns) - 1} END" if which else "0"
+    hit = f"named_struct('rule', {number}, 'line_no', i + 1, 'ord', {order}, 'text', t)"
+    found = f"filter(transform(__ls, (t, i) -> CASE WHEN {' AND '.join(tests)} THEN {hit} END), h -> h IS NOT NULL)"
     if rule.once:
-        found = F.slice(found, 1, 1)
-    # a line that matches makes the content match too, so files without a match never get to their lines
-    wanted = F.col("content").rlike("(?m)" + "|".join(f"(?:{p})" for p, _, _ in rule.patterns))
+        found = f"slice({found}, 1, 1)"
+    wanted = []
+    if "*" not in rule.languages:
+        wanted.append(f"lang IN ({', '.join(map(_quoted, rule.languages))})")
     # before any pattern is tried, the content must have a text that its matches have
     some = [literals(p) for p, _, _ in rule.patterns]
     if all(some):
-        wanted = reduce(lambda a, b: a | b, [F.contains("__low", F.lit(t)) for t in dict.fromkeys(t for x in some for t in x)]) & wanted
-    if "*" not in rule.languages:
-        wanted = F.col("lang").isin(*rule.languages) & wanted
+        wanted.append("(" + " OR ".join(f"contains(__low, {_quoted(t)})" for t in dict.fromkeys(t for x in some for t in x)) + ")")
+    # a line that matches makes the content match too, so files without a match never get to their lines
+    wanted.append(like("content", "(?m)" + "|".join(f"(?:{p})" for p, _, _ in rule.patterns)))
     if rule.path:
-        wanted = wanted & F.col("path").rlike(rule.path)
-    for p in rule.guards:
-        wanted = wanted & F.col("content").rlike(p)
-    for p in rule.guards_none:
-        wanted = wanted & ~F.col("content").rlike(p)
-    return F.when(wanted, found).otherwise(F.array().cast("array<struct<line_no:int,ord:int,text:string>>"))
-
-
-def _tagged(rule: Rule, number: int) -> Column:
-    return F.transform(_hits(rule), lambda h: F.struct(F.lit(number).alias("rule"), h.alias("hit")))
+        wanted.append(like("path", rule.path))
+    wanted += [like("content", p) for p in rule.guards] + [f"NOT ({like('content', p)})" for p in rule.guards_none]
+    return f"CASE WHEN {' AND '.join(wanted)} THEN {found} ELSE CAST(array() AS array<struct<rule:int,line_no:int,ord:int,text:string>>) END"
 
 
 def apply(files: DataFrame, rules: Sequence[Rule], key: str) -> DataFrame:
@@ -250,27 +238,29 @@ def apply(files: DataFrame, rules: Sequence[Rule], key: str) -> DataFrame:
     if not rules:
         raise ValueError("no rules")
     base = spread(files.select(key, "path", "lang", "content").where(F.col("content").isNotNull())).withColumns({"__ls": F.split("content", "\n", -1), "__low": F.lower("content")})
-    columns = {f"__h{at}": F.flatten(F.array(*[_tagged(r, at + k) for k, r in enumerate(rules[at : at + BATCH])])) for at in range(0, len(rules), BATCH)}
-    hits = base.withColumns(columns).select(key, "path", "lang", F.explode(F.concat(*columns)).alias("x"))
-    rows = hits.select(key, "path", "lang", "x.rule", "x.hit.*")
+    columns = {f"__h{at}": F.expr(f"flatten(array({', '.join(_hits(r, at + k) for k, r in enumerate(rules[at : at + BATCH]))}))") for at in range(0, len(rules), BATCH)}
+    rows = base.withColumns(columns).select(key, "path", "lang", F.explode(F.concat(*columns)).alias("x")).select(key, "path", "lang", "x.*")
+
+    def listed(of: Iterable[str]) -> str:
+        return f"array({', '.join(of)})"
 
-    def value(of: Iterable[object], kind: str) -> Column:
-        return F.get(F.array(*[F.lit(x) for x in of]).cast(f"array<{kind}>"), F.col("rule"))
+    def value(of: Iterable[str]) -> Column:
+        return F.expr(f"get({listed(of)}, rule)")
 
-    confidence = F.get(F.get(F.array(*[F.array(*[F.lit(c) for _, c, _ in r.patterns]) for r in rules]), F.col("rule")), F.col("ord"))
-    tags = F.get(F.array(*[F.array(*[F.lit(t) for t in r.tags]).cast("array<string>") for r in rules]), F.col("rule"))
+    confidence = F.expr(f"get(get({listed(listed(_quoted(c) for _, c, _ in r.patterns) for r in rules)}, rule), ord)")
+    tags = value(f"CAST({listed(map(_quoted, r.tags))} AS array<string>)" for r in rules)
     return rows.select(
         key,
         "path",
         "lang",
-        value((r.rule_id for r in rules), "string").alias("rule_id"),
-        value((r.severity for r in rules), "int").alias("severity"),
-        value((r.title or r.name for r in rules), "string").alias("title"),
+        value(_quoted(r.rule_id) for r in rules).alias("rule_id"),
+        value(str(r.severity) for r in rules).alias("severity"),
+        value(_quoted(r.title or r.name) for r in rules).alias("title"),
         F.col("line_no").alias("line_number"),
         truncated(F.col("text"), 120).alias("matched_text"),
-        value((r.suggestion for r in rules), "string").alias("suggestion"),
-        value((r.cwe for r in rules), "string").alias("cwe_id"),
-        value((r.owasp for r in rules), "string").alias("owasp_category"),
+        value(_quoted(r.suggestion) for r in rules).alias("suggestion"),
+        value(_quoted(r.cwe) for r in rules).alias("cwe_id"),
+        value(_quoted(r.owasp) for r in rules).alias("owasp_category"),
         confidence.alias("confidence"),
         tags.alias("tags"),
     ).withColumn("severity_label", severity_label(F.col("severity")))
