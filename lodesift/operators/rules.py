@@ -51,13 +51,13 @@ class State:
 
 @dataclass(frozen=True)
 class Rule:
-    """One rule; of ``patterns`` (pattern, confidence, language or none) the first that matches a line gives its text and confidence."""
+    """One rule; of ``patterns`` (pattern, confidence, language or none, severity or None for the rule's) the first that matches a line gives its text, confidence and severity."""
 
     rule_id: str
     name: str
     severity: int
     languages: tuple[str, ...]
-    patterns: tuple[tuple[str, str, str], ...]
+    patterns: tuple[tuple[str, str, str, int | None], ...]
     cwe: str = ""
     owasp: str = ""
     title: str = ""
@@ -75,7 +75,7 @@ class Rule:
     states: tuple[State, ...] = ()
 
     def __post_init__(self) -> None:
-        for p in (*[p for p, _, _ in self.patterns], *[x for w in self.states for x in (w.of, w.wanted)], *self.guards, *self.guards_none, *[w.pattern for w in (*self.near, *self.near_none)], *self.line_none, self.path):
+        for p in (*[p for p, *_ in self.patterns], *[x for w in self.states for x in (w.of, w.wanted)], *self.guards, *self.guards_none, *[w.pattern for w in (*self.near, *self.near_none)], *self.line_none, self.path):
             check_pattern(p)
 
 
@@ -137,11 +137,15 @@ def parse(e: dict) -> Rule:
     names = {"info": 0, "low": 1, "medium": 2, "high": 3, "critical": 4}
     severity = e.get("severity", 2)
     usual = e.get("confidence", "medium")
-    patterns = tuple((p, usual, "") if isinstance(p, str) else (p["regex"], p.get("confidence", usual), p.get("language", "")) for p in e["patterns"])
+
+    def level(of: object) -> int:
+        return names[of.lower()] if isinstance(of, str) else int(of)  # type: ignore[call-overload]
+
+    patterns = tuple((p, usual, "", None) if isinstance(p, str) else (p["regex"], p.get("confidence", usual), p.get("language", ""), level(p["severity"]) if "severity" in p else None) for p in e["patterns"])
     return Rule(
         e["id"],
         e.get("name", e["id"]),
-        names[severity.lower()] if isinstance(severity, str) else int(severity),
+        level(severity),
         tuple(e.get("languages", ["*"])),
         patterns,
         e.get("cwe", ""),
@@ -202,12 +206,12 @@ def _hits(rule: Rule, number: int) -> str:
         opened = f"filter(transform({above}, (y, k) -> CASE WHEN {like('y', w.of)} THEN k END), k -> k IS NOT NULL)"
         return f"exists({opened}, k -> k < i AND char_length(replace({block}, '}}')) > char_length(replace({block}, '{{')))"
 
-    tests = ["(" + " OR ".join(tested(p, lang) for p, _, lang in rule.patterns) + ")"]
+    tests = ["(" + " OR ".join(tested(p, lang) for p, _, lang, _ in rule.patterns) + ")"]
     if not rule.comments:
         tests.append(f"NOT ({like('t', COMMENT_STARTS)})")
     tests += [f"NOT ({like('t', p)})" for p in rule.line_none]
     tests += [window(w) for w in rule.near] + [f"NOT {window(w)}" for w in rule.near_none] + [left_behind(w) for w in rule.states]
-    which = "".join(f" WHEN {tested(p, lang)} THEN {k}" for k, (p, _, lang) in enumerate(rule.patterns[:-1]))
+    which = "".join(f" WHEN {tested(p, lang)} THEN {k}" for k, (p, _, lang, _) in enumerate(rule.patterns[:-1]))
     order = f"CASE{which} ELSE {len(rule.patterns) - 1} END" if which else "0"
     hit = f"named_struct('rule', {number}, 'line_no', i + 1, 'ord', {order}, 'text', t)"
     found = f"filter(transform(__ls, (t, i) -> CASE WHEN {' AND '.join(tests)} THEN {hit} END), h -> h IS NOT NULL)"
@@ -217,11 +221,11 @@ def _hits(rule: Rule, number: int) -> str:
     if "*" not in rule.languages:
         wanted.append(f"lang IN ({', '.join(map(_quoted, rule.languages))})")
     # before any pattern is tried, the content must have a text that its matches have
-    some = [literals(p) for p, _, _ in rule.patterns]
+    some = [literals(p) for p, *_ in rule.patterns]
     if all(some):
         wanted.append("(" + " OR ".join(f"contains(__low, {_quoted(t)})" for t in dict.fromkeys(t for x in some for t in x)) + ")")
     # a line that matches makes the content match too, so files without a match never get to their lines
-    wanted.append(like("content", "(?m)" + "|".join(f"(?:{p})" for p, _, _ in rule.patterns)))
+    wanted.append(like("content", "(?m)" + "|".join(f"(?:{p})" for p, *_ in rule.patterns)))
     if rule.path:
         wanted.append(like("path", rule.path))
     wanted += [like("content", p) for p in rule.guards] + [f"NOT ({like('content', p)})" for p in rule.guards_none]
@@ -247,14 +251,15 @@ def apply(files: DataFrame, rules: Sequence[Rule], key: str) -> DataFrame:
     def value(of: Iterable[str]) -> Column:
         return F.expr(f"get({listed(of)}, rule)")
 
-    confidence = F.expr(f"get(get({listed(listed(_quoted(c) for _, c, _ in r.patterns) for r in rules)}, rule), ord)")
+    confidence = F.expr(f"get(get({listed(listed(_quoted(c) for _, c, *_ in r.patterns) for r in rules)}, rule), ord)")
+    severity = F.expr(f"get(get({listed(listed(str(r.severity if x is None else x) for *_, x in r.patterns) for r in rules)}, rule), ord)")
     tags = value(f"CAST({listed(map(_quoted, r.tags))} AS array<string>)" for r in rules)
     return rows.select(
         key,
         "path",
         "lang",
         value(_quoted(r.rule_id) for r in rules).alias("rule_id"),
-        value(str(r.severity) for r in rules).alias("severity"),
+        severity.alias("severity"),
         value(_quoted(r.title or r.name) for r in rules).alias("title"),
         F.col("line_no").alias("line_number"),
         truncated(F.col("text"), 120).alias("matched_text"),

@@ -10,7 +10,7 @@ _SECURITY = r"(?i)(token|session|password|secret|nonce|otp|csrf|key|salt|iv|auth
 
 
 def _r(rule_id: str, name: str, severity: str, languages: str, cwe: str, owasp: str, *patterns: str | tuple[str, str], **more: object) -> Rule:
-    listed = [p if isinstance(p, str) else dict(zip(("regex", "confidence", "language"), p)) for p in patterns]
+    listed = [p if isinstance(p, str) else dict(zip(("regex", "confidence", "language", "severity"), p)) for p in patterns]
     return parse({"id": rule_id, "name": name, "severity": severity, "languages": languages.split(), "cwe": cwe, "owasp": owasp, "patterns": listed, "tags": [rule_id.removeprefix("OWN-").split("-")[0].lower()], **more})
 
 
@@ -108,6 +108,93 @@ RULES += [
     _r("PY-015", "JWTNoVerification", "critical", "python", "CWE-347", _A02, (r"""jwt\.decode\s*\([^)]*(?:verify\s*=\s*False|options\s*=\s*\{[^}]*"verify_signature"\s*:\s*False)""", "high"), (r"""jwt\.decode\s*\([^)]*algorithms\s*=\s*\[?\s*["']none["']""", "high")),
 ]
 
+_WORDS = "(SELECT|INSERT|UPDATE|DELETE|DROP|ALTER|CREATE|UNION|FROM|WHERE|SET|INTO|VALUES)"
+_WEB = "go python javascript typescript java php ruby csharp"
+_INTERPOLATED = r"(?i)(?:`[^`]*\$[{(]|\$\([^)]*\$[{(])"
+
+# Ids, severities, languages, weaknesses and patterns of the injection and deserialization rules; a pattern may hold for one language and have a severity of its own.
+RULES += [
+    _r(
+        "INJ-001", "SQL Injection", "critical", _WEB, "CWE-89", _A03,
+        (rf'(?i)fmt\.Sprintf\(\s*"[^"]*\b{_WORDS}\b[^"]*%[svdq]', "high", "go"),
+        (rf'(?i)(?:"[^"]*\b{_WORDS}\b[^"]*"\s*\+|\+\s*"[^"]*\b{_WORDS}\b)', "high"),
+        (rf"""(?i)f["'][^"']*\b{_WORDS}\b[^"']*\{{""", "high", "python"),
+        (rf"""(?i)["'][^"']*\b{_WORDS}\b[^"']*["']\s*%\s*[(\w]""", "high", "python"),
+        (rf"""(?i)["'][^"']*\b{_WORDS}\b[^"']*["']\s*\.format\(""", "high", "python"),
+        (r"""(?i)(?:cursor|conn|connection|db)\s*\.\s*execute\(\s*(?:f["']|["'][^"']*["']\s*%|["'][^"']*["']\s*\.format|[^"',)]+\+)""", "high", "python"),
+        (rf"""(?i)["'][^"']*\b{_WORDS}\b[^"']*["']\s*\+\s*\w""", "high"),
+        (rf"""(?i)\.(?:query|execute|exec|prepare)\(\s*["'][^"']*\b{_WORDS}\b[^"']*["']\s*\+""", "high"),
+        (rf"(?i)`[^`]*\b{_WORDS}\b[^`]*\$\{{", "high"),
+        (rf'(?i)"[^"]*\b{_WORDS}\b[^"]*\$\w+', "medium", "php"),
+        (rf'(?i)"[^"]*\b{_WORDS}\b[^"]*#\{{', "medium", "ruby"),
+        (r'(?i)\.where\(\s*"[^"]*#\{', "high", "ruby"),
+    ),
+    _r(
+        "INJ-002", "Command Injection", "critical", _WEB + " shell", "CWE-78", _A03,
+        (r"""(?i)\bos\.(system|popen|popen2|popen3|popen4)\s*\((?:\s*f["']|[^)"']*\+|[^)"']*%|.*\.format\()""", "high"),
+        (r"(?i)\bsubprocess\.(call|run|Popen|check_output|check_call)\s*\([^)]*shell\s*=\s*True", "high"),
+        (r"""(?i)\bexec\.Command(?:Context)?\(\s*["'](?:sh|bash|cmd|/bin/sh|/bin/bash|cmd\.exe)["']\s*,\s*["']-c["']""", "high"),
+        (r"""(?i)\bexec\.Command(?:Context)?\(\s*[^"'\s)][^,)]*[+]""", "medium"),
+        (r"""(?i)\b(?:child_process\s*\.\s*)?(?:exec|execSync|spawn|spawnSync)\s*\(\s*(?:`[^`]*\$\{|[^"'\x60\s,)]+\s*[+]|f?["'][^"']*["']\s*\+)""", "high"),
+        (r"""(?i)require\(\s*["']child_process["']\s*\)\s*\.exec\s*\(""", "medium"),
+        *[(_INTERPOLATED, "high", lang) for lang in "go python java php ruby shell csharp".split()],
+        (r"""(?i)\bRuntime\s*\.\s*getRuntime\s*\(\s*\)\s*\.exec\s*\(\s*(?:["'][^"']*["']\s*\+|\w+[^"')]+\+)""", "high"),
+        (r"(?i)\bnew\s+ProcessBuilder\s*\(", "low"),
+        (r"(?i)\b(?:system|exec|passthru|shell_exec|popen|proc_open)\s*\(\s*\$", "high"),
+        (r"""(?i)(?:\b(?:system|exec|%x)\s*\(\s*["'][^"']*#\{|`[^`]*#\{)""", "high"),
+        (r"""(?i)\bsubprocess\.(call|run|Popen|check_output|check_call)\s*\(\s*f?["']""", "medium"),
+    ),
+    _r(
+        "INJ-004", "LDAP Injection", "high", _WEB, "CWE-90", _A03,
+        (r"""(?i)(?:["']\s*\(\s*(?:&|\|)\s*\(\s*\w+\s*=\s*["']\s*\+|["']\(\w+=["']\s*\+)""", "high"),
+        (r"""(?i)(?:ldap|ldap3|python-ldap)\S*\.\s*(?:search|search_s|search_ext|search_ext_s|bind)\s*\([^)]*(?:\+|%[sv]|\.format\(|f["'])""", "high"),
+        (r"""(?i)(?:search_filter|ldap_filter|filter)\s*=\s*(?:f["'][^"']*\{|["'][^"']*["']\s*[+%]|["'][^"']*["']\s*\.format)""", "medium"),
+    ),
+    _r(
+        "INJ-005", "Server-Side Template Injection", "high", "go python javascript typescript java php ruby", "CWE-1336", _A03,
+        (r"""(?i)\brender_template_string\s*\(\s*[^"'\s)]""", "high"),
+        (r"""(?i)\b(?:Template|Jinja2)\s*\(\s*(?:[^"'\s)][^)]*|f["']|["'][^"']*["']\s*[+%]|["'][^"']*["']\s*\.format)""", "medium"),
+        (r"""(?i)\.from_string\s*\(\s*[^"'\s)]""", "high"),
+        (r"""(?i)(?:ejs|pug|nunjucks|handlebars|mustache)\s*\.\s*(?:render|compile|renderString)\s*\(\s*[^"'\s)]""", "high"),
+        (r"(?i)\$(?:twig|blade|smarty)\s*->\s*(?:render|display|createTemplate)\s*\(\s*\$", "high"),
+        (r"""(?i)\bERB\.new\s*\(\s*[^"'\s)]""", "high"),
+        (r"""(?i)(?:template|tmpl|tpl)(?:\.[^.]*)*\.\s*Parse\s*\(\s*[^"'`\s)]""", "medium"),
+        (r"""(?i)(?:templateEngine|template|engine)\s*\.\s*(?:process|evaluate|merge)\s*\(\s*[^"'\s)]""", "medium"),
+    ),
+    _r(
+        "INJ-006", "XPath Injection", "medium", _WEB, "CWE-643", _A03,
+        (r"""(?i)(?:xpath|selectNodes|selectSingleNode|evaluate|querySelector)\s*\(\s*(?:"[^"]*"|'[^']*')\s*\+""", "high"),
+        (r"""(?i)(?:xpath|selectNodes|selectSingleNode|evaluate)\s*\(\s*(?:f["']|.*\.format\(|fmt\.Sprintf)""", "high"),
+        (r"""(?i)(?:xpath_expr|xpath_query|xpath_string)\s*=\s*(?:f["'][^"']*\{|["'][^"']*["']\s*[+%]|["'][^"']*["']\s*\.format)""", "high"),
+        (r"""(?i)["'][^"']*(?://|/)\w+\s*\[\s*@?\w+\s*=\s*["']\s*\+""", "medium"),
+    ),
+    _r(
+        "XXE-002", "JavaScriptXXE", "high", "javascript typescript", "CWE-611", _A05,
+        (r"\blibxml(?:js)?\s*\.\s*parseXml\s*\([^)]*\bnoent\s*:\s*true", "high", "", "critical"),
+        (r"(?:parse(?:Xml|XML|String)?|parseFromString)\s*\(\s*(?:req\s*\.\s*(?:body|query|params)|request\s*\.\s*(?:body|input))", "high", "", "high"),
+        (r"\bnew\s+DOMParser\s*\(\s*\)", "medium", "", "medium"),
+        (r"\bnew\s+(?:XMLParser|FastXMLParser)\s*\([^)]*\bprocessEntities\s*:\s*true", "high", "", "high"),
+    ),
+    _r(
+        "DESER-001", "ExtendedDeserialization", "critical", "python java csharp", "CWE-502", _A08,
+        (r"\bshelve\.open\s*\(", "high", "python"),
+        (r"\bmarshal\.loads?\s*\(", "high", "python"),
+        (r"\bXStream\s*\(\s*\)|\.fromXML\s*\(", "high", "java"),
+        (r"\b(?:kryo|Kryo)\s*\.\s*(?:readObject|readClassAndObject)\s*\(", "high", "java", "high"),
+        (r"\bnew\s+XMLDecoder\s*\(", "high", "java"),
+        (r"\b(?:BinaryFormatter|LosFormatter|SoapFormatter|NetDataContractSerializer|ObjectStateFormatter)\s*\(", "high", "csharp"),
+        (r"(?i)TypeNameHandling\s*[=:]\s*(?:TypeNameHandling\.)?(?:All|Auto|Objects|Arrays)", "high", "csharp", "high"),
+    ),
+    _r(
+        "DESER-003", "PHPDangerousPatterns", "critical", "php", "CWE-94", _A03,
+        (r"""\bpreg_replace\s*\(\s*['"][^'"]*\/e['"imsxuADSUXJ]*['"]""", "high"),
+        (r"\bextract\s*\(\s*\$_(?:GET|POST|REQUEST|COOKIE|SERVER)", "high"),
+        (r"\bassert\s*\(\s*\$", "high"),
+        (r"\bcreate_function\s*\(", "high"),
+        (r"\$\$\w+\s*\(", "high"),
+    ),
+]
+
 # Rules of our own, under ids of our own.
 OWN_RULES = [
     _r("OWN-INJ-01", "SQLConcatenation", "critical", "*", "CWE-89", _A03, (r"""(?i)["'`]\s*(?:SELECT|INSERT|UPDATE|DELETE)\b[^"'`]*["'`]\s*(?:\+|\.)\s*[$\w]""", "medium"), (r"(?i)`\s*(?:SELECT|INSERT|UPDATE|DELETE)\b[^`]*\$\{", "medium"), (r"""(?i)\bf["']\s*(?:SELECT|INSERT|UPDATE|DELETE)\b[^"']*\{""", "medium")),

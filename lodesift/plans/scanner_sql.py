@@ -115,7 +115,7 @@ def _rule(r: Rule, columns: str) -> str:
         block = "array_to_string(list_slice(ls, k, i), chr(10))"
         return f"len(list_filter(range(1, i), lambda k: regexp_matches(ls[k], {_q(w.of)}) AND length(replace({block}, '}}', '')) > length(replace({block}, '{{', '')))) > 0"  # type: ignore[attr-defined]
 
-    tests = [_any([pattern(p, lang) for p, _, lang in r.patterns])]
+    tests = [_any([pattern(p, lang) for p, _, lang, _ in r.patterns])]
     if "*" not in r.languages:
         tests.append(f"lang IN ({', '.join(map(_q, r.languages))})")
     if not r.comments:
@@ -124,9 +124,10 @@ def _rule(r: Rule, columns: str) -> str:
     tests += [f"regexp_matches(content, {_q(p)})" for p in r.guards] + [f"NOT regexp_matches(content, {_q(p)})" for p in r.guards_none]
     tests += [near(w, True) for w in r.near] + [near(w, False) for w in r.near_none]
     tests += [left(w) for w in r.states]
-    confidence = f"CASE {' '.join(f'WHEN {pattern(p, lang)} THEN {_q(c)}' for p, c, lang in r.patterns)} END"
+    confidence = f"CASE {' '.join(f'WHEN {pattern(p, lang)} THEN {_q(c)}' for p, c, lang, _ in r.patterns)} END"
+    severity = f"CASE {' '.join(f'WHEN {pattern(p, lang)} THEN {r.severity if x is None else x}' for p, _, lang, x in r.patterns)} END"
     once = " QUALIFY row_number() OVER (PARTITION BY input_id ORDER BY i) = 1" if r.once else ""
-    values = {"rule_id": _q(r.rule_id), "confidence": confidence, "severity": str(r.severity), "title": _q(r.title or r.name), "suggestion": _q(r.suggestion), "cwe_id": _q(r.cwe), "owasp_category": _q(r.owasp), "tags": _q(",".join(r.tags)), "severity_label": _q(SEVERITY_LABELS[r.severity])}
+    values = {"rule_id": _q(r.rule_id), "confidence": confidence, "severity": severity, "title": _q(r.title or r.name), "suggestion": _q(r.suggestion), "cwe_id": _q(r.cwe), "owasp_category": _q(r.owasp), "tags": _q(",".join(r.tags)), "severity_label": f"['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][{severity} + 1]"}
     return f"SELECT input_id, {', '.join(f'{values[c]} AS {c}' for c in columns.split())}{', path, lang, i AS line_number, text' if 'title' in columns else ''} FROM x WHERE {' AND '.join(tests)}{once}"
 
 

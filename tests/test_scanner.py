@@ -518,6 +518,31 @@ def test_literals_of_patterns():
     import re
 
     for rule in RULES:  # every hit of the cases that fire has one of them
-        for p, _, _ in rule.patterns:
+        for p, *_ in rule.patterns:
             assert all(len(t) > 2 and t == t.lower() for t in rules.literals(p)), p
             re.compile(p)
+
+
+HITS = [
+    ("INJ-001", "go", 'q := fmt.Sprintf("SELECT a FROM t WHERE b = %s", x)', 'q := "SELECT a FROM t WHERE b = ?"'),
+    ("INJ-001", "python", "q = f'SELECT a FROM t WHERE b = {x}'", "q = 'SELECT a FROM t WHERE b = ?'"),
+    ("INJ-001", "ruby", 'User.where("name = #{n}")', 'User.where(name: n)'),
+    ("INJ-001", "php", '$q = "SELECT a FROM t WHERE b = $b";', "$q = 'SELECT a FROM t';"),
+    ("INJ-002", "python", "subprocess.run(c, shell=True)", "subprocess.run(['ls', d], check=True)"),
+    ("INJ-002", "shell", "x=`cat ${f}`", "echo done"),
+    ("INJ-002", "java", "Runtime.getRuntime().exec(\"ls \" + d);", "run(d);"),
+    ("INJ-004", "java", 'String f = "(uid=" + u;', 'String f = "(uid=1)";'),
+    ("INJ-005", "python", "render_template_string(t)", "render_template_string('<b>')"),
+    ("INJ-006", "javascript", "doc.evaluate('//u[@n=' + n)", "doc.evaluate('//u')"),
+    ("XXE-002", "javascript", "libxmljs.parseXml(x, { noent: true })", "libxmljs.parseXml(x)"),
+    ("DESER-001", "java", "new XMLDecoder(in)", "new Decoder(in)"),
+    ("DESER-003", "php", "extract($_GET);", "extract($a);"),
+]
+
+
+def test_injection_rules_hit_and_miss(spark):
+    f = texts(spark, *[(2 * i + k, "/x", lang, code) for i, (_, lang, *both) in enumerate(HITS) for k, code in enumerate(both)])
+    got = {(r.input_id, r.rule_id): r.severity for r in rules.apply(f, RULES, "input_id").collect()}
+    for i, (rule, *_) in enumerate(HITS):
+        assert (2 * i, rule) in got and (2 * i + 1, rule) not in got, HITS[i]
+    assert got[2 * 10, "XXE-002"] == 4  # a severity of the pattern
