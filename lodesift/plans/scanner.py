@@ -32,6 +32,28 @@ def files(spark: SparkSession, d: str) -> DataFrame:
     return _files(spark, d).select("input_id", "path", "lang", F.char_length("content").alias("n_chars"), "is_new")
 
 
+def events_read(spark: SparkSession, d: str) -> DataFrame:
+    """The events, written as JSON lines and read again."""
+    fields = ["session_id", "cwd", "hook_event_name", "tool_name", "tool_input", "tool_response", "tool_use_id"]
+    lines_ = table(spark, d, "hook_inputs").select(F.to_json(F.struct(*fields)).alias("value"))
+    e = events.parse_events(lines_, "value")
+    return e.select("session_id", "cwd", "hook_event_name", "tool_name", "tool_use_id", events.event_path().alias("path"), F.md5(events.event_content()).alias("content_md5"), F.col("tool_response.success").alias("success"), F.col("corrupt").isNotNull().alias("corrupt"))
+
+
+def scan_contents(spark: SparkSession, d: str) -> DataFrame:
+    """Before the tool ran the event's content counts, after it that on disk: here, what the last Write to the path left there."""
+    hooks = table(spark, d, "hook_inputs")
+    writes = hooks.where((F.col("tool_name") == "Write") & (F.col("tool_input.content") != "")).select("input_id", events.event_path().alias("path"), F.col("tool_input.content").alias("content"))
+    disk = writes.where("path IS NOT NULL").groupBy("path").agg(F.max_by("content", "input_id").alias("content"))
+    return events.files(hooks, disk).select("input_id", "path", F.md5("content").alias("content_md5"))
+
+
+def generated_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files that were generated, by path or by a mark in their first 2,048 characters; the imports here stand in for marks, of which the tables have none."""
+    f = _files(spark, d).withColumn("content", F.regexp_replace("content", r"^import logging", "# Code generated by hand, do not edit\nimport logging"))
+    return f.select("input_id", paths.is_generated(F.col("path")).alias("by_path"), paths.is_generated(F.col("path"), F.col("content")).alias("generated"))
+
+
 def lines_explode(spark: SparkSession, d: str) -> DataFrame:
     return lines.lines(_files(spark, d), "input_id")
 
@@ -246,13 +268,16 @@ def built_signatures(spark: SparkSession, d: str) -> DataFrame:
 
 
 def interproc_returns(spark: SparkSession, d: str) -> DataFrame:
-    return graphbuild.tainted_returns(_files(spark, d), "input_id")
+    """Over the Python files with two more functions, one of which returns foreign data to the other: their own never call each other."""
+    more = "\ndef fetch_linked():\n    return request.args.get('q')\n\ndef use_linked():\n    got = fetch_linked()\n    kept = 1\n    cur.execute('SELECT a FROM t WHERE b = ' + got)\n"
+    f = _files(spark, d).withColumn("content", F.when(F.col("lang") == "python", F.concat("content", F.lit(more))).otherwise(F.col("content")))
+    return graphbuild.tainted_returns(f, "input_id")
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        files, lines_explode, language_detect, path_filters, comment_lines, continuation_join, python_lines, rule_findings, rule_counts, dedup_findings, test_downgrade, block_decision, category_summary,
+        files, events_read, scan_contents, generated_files, lines_explode, language_detect, path_filters, comment_lines, continuation_join, python_lines, rule_findings, rule_counts, dedup_findings, test_downgrade, block_decision, category_summary,
         findings_store, ledger_daily, reports, graph_edges, graph_stats, transitive_callers, impacted_callers, signature_changes, interproc_arguments, called_names, function_scopes, taint_flows,
         python_tree, python_flows, flow_reports, interproc_flows, scan_findings, scan_decisions, suppressions, finding_texts, python_nodes, caller_hints, architecture_hints, comment_spans, uncommented_findings, built_nodes, built_signatures, interproc_returns,
     )
