@@ -212,14 +212,21 @@ def interproc_flows(spark: SparkSession, d: str) -> DataFrame:
     return interproc.flows(_calling(_linked(spark, d)), "input_id")
 
 
+def _scanned(spark: SparkSession, d: str) -> DataFrame:
+    """The files whose arguments are linked, with a calling function and directives, written once for the layers that read them."""
+    from lodesift.session import cut
+
+    return cut(_directed(_calling(_linked(spark, d))).select("input_id", "path", "lang", "content"))
+
+
 def scan_findings(spark: SparkSession, d: str) -> DataFrame:
     """The whole scan of files whose arguments are linked and that have directives."""
-    f = scan.findings(_directed(_calling(_linked(spark, d))), "input_id", RULES)
+    f = scan.findings(_scanned(spark, d), "input_id", RULES)
     return f.select("input_id", "file_path", "line_number", "cwe_id", "rule_id", "layer", "severity", "severity_label", F.round("confidence_score", 6).alias("confidence_score"), "confidence", F.array_join(F.array_sort("tags"), ",").alias("tags"), "n_merged", "suppressed", "suppress_reason")
 
 
 def scan_decisions(spark: SparkSession, d: str) -> DataFrame:
-    found = scan.findings(_directed(_calling(_linked(spark, d))), "input_id", RULES)
+    found = scan.findings(_scanned(spark, d), "input_id", RULES)
     return scan.decisions(found, "input_id").withColumn("suppressed_rules", F.array_join("suppressed_rules", ","))
 
 
