@@ -39,8 +39,8 @@ CALIBRATION = 4
 #: Log odds of a rule that has no counterexample, at most.
 TOP_WEIGHT = 3.0
 
-_WORD = re.compile(r"[^\W\d_]+")
-_HUMP = re.compile(r"(?<=[^\W\d_A-Z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][^\W\d_A-Z])")
+# A word: capitals, but for the last where small letters follow, or small letters with a capital before them at most.
+_WORD = re.compile(r"[A-Z]+(?![^\W\d_A-Z])|[A-Z]?[^\W\d_A-Z]+")
 _SENTENCE = re.compile(r"\n+|(?<=[.!?;])\s+")
 
 
@@ -55,12 +55,12 @@ class Model:
 
 def words(text: str) -> list[str]:
     """The words of a text in lower case; snake and camel case are split."""
-    return [w.lower() for w in _WORD.findall(_HUMP.sub(" ", text))]
+    return list(map(str.lower, _WORD.findall(text)))
 
 
 def sentences(text: str) -> list[list[str]]:
     """The words of each line or sentence that has any."""
-    return [w for s in _SENTENCE.split(text) if (w := words(s))]
+    return [list(map(str.lower, w)) for s in _SENTENCE.split(text) if (w := _WORD.findall(s))]
 
 
 def _sentence_rows(df: DataFrame) -> DataFrame:
@@ -136,18 +136,22 @@ def evidence(text: str | None, model: Model) -> tuple[Counter, Counter]:
     """Weight and number of mentions by subject."""
     weight: Counter = Counter()
     count: Counter = Counter()
-    rules = model.rules
+    rules, known = model.rules, model.rules.keys()
     for ws in sentences(text or ""):
-        if not any(w in rules for w in ws):
+        if known.isdisjoint(ws):
             continue
         inside = set(ws)
         hit: dict[str, tuple[str, float]] = {}
-        for w in inside:
-            for rest, subject, x in rules.get(w, ()):
+        for w in dict.fromkeys(ws):
+            if w not in rules:
+                continue
+            for rest, subject, x in rules[w]:
                 if rest <= inside:
                     for y in (w, *rest):
                         if x > hit.get(y, ("", 0.0))[1]:
                             hit[y] = (subject, x)
+        if not hit:
+            continue
         last, top = "", 0.0
         for w in (*ws, ""):
             subject, x = hit.get(w, ("", 0.0))
