@@ -9,29 +9,58 @@ from pyspark.sql import functions as F
 
 # Languages by whole file name or extension.
 LANGUAGE_OF = {
-    "go": (".go",),
-    "python": (".py", ".pyw"),
-    "javascript": (".js", ".jsx", ".mjs", ".cjs"),
-    "typescript": (".ts", ".tsx", ".mts"),
-    "java": (".java",),
-    "ruby": (".rb", ".erb"),
-    "php": (".php",),
-    "kotlin": (".kt", ".kts"),
-    "groovy": (".groovy", ".gvy", ".gy", ".gsh", ".gsp", "Jenkinsfile"),
-    "csharp": (".cs", ".csx"),
-    "swift": (".swift",),
-    "rust": (".rs",),
-    "c": (".c", ".h"),
-    "cpp": (".cpp", ".cc", ".cxx", ".c++", ".hpp", ".hh", ".hxx", ".h++"),
-    "perl": (".pl", ".pm", ".cgi"),
-    "lua": (".lua",),
-    "zig": (".zig",),
-    "shell": (".sh", ".bash", ".zsh"),
-    "sql": (".sql",),
-    "yaml": (".yaml", ".yml"),
-    "json": (".json",),
-    "terraform": (".tf", ".tfvars"),
-    "dockerfile": ("Dockerfile", ".dockerfile"),
+    ".go": "go",
+    ".py": "python",
+    ".pyw": "python",
+    ".js": "javascript",
+    ".jsx": "javascript",
+    ".mjs": "javascript",
+    ".cjs": "javascript",
+    ".ts": "typescript",
+    ".tsx": "typescript",
+    ".mts": "typescript",
+    ".java": "java",
+    ".rb": "ruby",
+    ".erb": "ruby",
+    ".php": "php",
+    ".kt": "kotlin",
+    ".kts": "kotlin",
+    ".groovy": "groovy",
+    ".gvy": "groovy",
+    ".gy": "groovy",
+    ".gsh": "groovy",
+    ".gsp": "groovy",
+    "Jenkinsfile": "groovy",
+    ".cs": "csharp",
+    ".csx": "csharp",
+    ".swift": "swift",
+    ".rs": "rust",
+    ".c": "c",
+    ".h": "c",
+    ".cpp": "cpp",
+    ".cc": "cpp",
+    ".cxx": "cpp",
+    ".c++": "cpp",
+    ".hpp": "cpp",
+    ".hh": "cpp",
+    ".hxx": "cpp",
+    ".h++": "cpp",
+    ".pl": "perl",
+    ".pm": "perl",
+    ".cgi": "perl",
+    ".lua": "lua",
+    ".zig": "zig",
+    ".sh": "shell",
+    ".bash": "shell",
+    ".zsh": "shell",
+    ".sql": "sql",
+    ".yaml": "yaml",
+    ".yml": "yaml",
+    ".json": "json",
+    ".tf": "terraform",
+    ".tfvars": "terraform",
+    "Dockerfile": "dockerfile",
+    ".dockerfile": "dockerfile",
 }
 # Extensions of files that hold no source text.
 BINARY_EXTENSIONS = (".png", ".jpg", ".jpeg", ".gif", ".bmp", ".ico", ".svg", ".webp", ".mp3", ".mp4", ".wav", ".avi", ".zip", ".tar", ".gz", ".bz2", ".exe", ".dll", ".so", ".dylib", ".woff", ".woff2", ".ttf", ".eot", ".pdf", ".doc", ".docx", ".lock")
@@ -66,8 +95,7 @@ def extension(path: Column) -> Column:
 
 def language(path: Column) -> Column:
     """The language of a path by its file name, then its extension; ``*`` if neither is known, null for null."""
-    by = {key: lang for lang, keys in LANGUAGE_OF.items() for key in keys}
-    dim = F.create_map(*[F.lit(x) for kv in by.items() for x in kv])
+    dim = F.create_map(*[F.lit(x) for kv in LANGUAGE_OF.items() for x in kv])
     return F.when(path.isNotNull(), F.coalesce(F.try_element_at(dim, base_name(path)), F.try_element_at(dim, extension(path)), F.lit("*")))
 
 

@@ -22,25 +22,26 @@ from lodesift.session import ship, spread
 
 #: Decay for a call that is neither known nor a sanitizer.
 UNKNOWN_CALL = 0.8
-# What an operation keeps of taint; the first that matches counts: name, pattern, factor (0 stops it).
+# What an operation keeps of taint; the first that matches counts: pattern, factor (0 stops it).
 PROPAGATION = (
-    ("hash", r"(?i)(hashlib\.\w+|\.hash\(|sha[0-9]+|md5|bcrypt\.hash|crypto\.createHash|digest\(\)|hexdigest\(\))", 0.0),
-    ("encryption", r"(?i)(encrypt|cipher\.|\.seal\(|aes\.|rsa\.|gpg\.|nacl\.)", 0.0),
-    ("comparison", r"(==|!=|<=|>=|\.equals\(|\.compareTo\(|\.compare\()", 0.0),
-    ("format", r"""(fmt\.Sprintf|fmt\.Fprintf|\.format\(|f"[^"]*\{|f'[^']*\{|String\.format|sprintf|printf|%[sdvqxf])""", 0.95),
-    ("template", r"`[^`]*\$\{", 0.95),
-    ("concat", r"""(\+\s*["']|["']\s*\+|\.\.\s*["']|["']\s*\.\.|\.concat\()""", 0.95),
-    ("string method", r"(?i)\.(strip|trim|lower|upper|replace|substring|substr|slice|split|chomp|squeeze|downcase|upcase|capitalize|title|lstrip|rstrip|trimStart|trimEnd|trimLeft|trimRight|padStart|padEnd)\(", 0.9),
-    ("encoding", r"(?i)(\.encode\(|\.decode\(|base64\.\w+|url\.QueryEscape|encodeURIComponent|encodeURI|urllib\.quote|CGI\.escape|URI\.encode|htmlspecialchars)", 0.9),
-    ("conversion", r"(?i)(str\(|int\(|float\(|bool\(|String\(|Integer\.\w+|Float\.\w+|Number\(|\.toString\(|\.to_s|\.to_i|\.to_f|strconv\.\w+|\.String\(\)|\.Int\(\)|\.Value\(\))", 0.85),
-    ("collection", r"(?i)(\.append\(|\.push\(|\.add\(|\.insert\(|\.extend\(|\.join\(|\.concat\(|strings\.Join|\.unshift\(|\.prepend\()", 0.8),
-    ("arithmetic", r"[\+\-\*/%]\s*\d|\d\s*[\+\-\*/%]", 0.0),
+    (r"(?i)(hashlib\.\w+|\.hash\(|sha[0-9]+|md5|bcrypt\.hash|crypto\.createHash|digest\(\)|hexdigest\(\))", 0.0),
+    (r"(?i)(encrypt|cipher\.|\.seal\(|aes\.|rsa\.|gpg\.|nacl\.)", 0.0),
+    (r"(==|!=|<=|>=|\.equals\(|\.compareTo\(|\.compare\()", 0.0),
+    (r"""(fmt\.Sprintf|fmt\.Fprintf|\.format\(|f"[^"]*\{|f'[^']*\{|String\.format|sprintf|printf|%[sdvqxf])""", 0.95),
+    (r"`[^`]*\$\{", 0.95),
+    (r"""(\+\s*["']|["']\s*\+|\.\.\s*["']|["']\s*\.\.|\.concat\()""", 0.95),
+    (r"(?i)\.(strip|trim|lower|upper|replace|substring|substr|slice|split|chomp|squeeze|downcase|upcase|capitalize|title|lstrip|rstrip|trimStart|trimEnd|trimLeft|trimRight|padStart|padEnd)\(", 0.9),
+    (r"(?i)(\.encode\(|\.decode\(|base64\.\w+|url\.QueryEscape|encodeURIComponent|encodeURI|urllib\.quote|CGI\.escape|URI\.encode|htmlspecialchars)", 0.9),
+    (r"(?i)(str\(|int\(|float\(|bool\(|String\(|Integer\.\w+|Float\.\w+|Number\(|\.toString\(|\.to_s|\.to_i|\.to_f|strconv\.\w+|\.String\(\)|\.Int\(\)|\.Value\(\))", 0.85),
+    (r"(?i)(\.append\(|\.push\(|\.add\(|\.insert\(|\.extend\(|\.join\(|\.concat\(|strings\.Join|\.unshift\(|\.prepend\()", 0.8),
+    (r"[\+\-\*/%]\s*\d|\d\s*[\+\-\*/%]", 0.0),
 )
 # Signs of a statement with bound parameters.
 _BOUND = re.compile(r"""\$\d+|(?:^|[^\\])\?|:\w+|%s|\.where\s*\(\s*['"{]|\.andWhere\s*\(|\.orWhere\s*\(""")
 _SQL = re.compile(r"(?i)\b(?:SELECT|INSERT|UPDATE|DELETE|MERGE)\b")
 _CALL = re.compile(r"[A-Za-z_][\w.]*\s*\(")
 _NO_ASSIGNMENT = re.compile(r"^(?://|#|/\*|\*|return |if |for |while |switch |case |func |def |class |import |from |package )")
+# Assignments by language, written for this fold; the first form that matches counts.
 _ASSIGNMENT = (
     (("go",), re.compile(r"^([A-Za-z_]\w*(?:\s*,\s*[A-Za-z_]\w*)*)\s*:=\s*(.+)$")),
     (("java", "csharp"), re.compile(r"^(?:final\s+)?[A-Z][\w<>,\s\[\]]*?\s+([A-Za-z_]\w*)\s*=(?!=)\s*(.+)$")),
@@ -204,13 +205,13 @@ def _compiled(language: str, catalog: Catalog) -> tuple:
     return tuple((s, re.compile(s.pattern)) for s in own.sources), tuple((s, re.compile(s.pattern)) for s in own.sinks), tuple((s, re.compile(s.pattern)) for s in own.sanitizers)
 
 
-_RULES = tuple((name, re.compile(p), factor) for name, p, factor in PROPAGATION)
+_RULES = tuple((re.compile(p), factor) for p, factor in PROPAGATION)
 
 
 def factor_of(expression: str, sanitized: bool) -> float:
     """What an expression keeps of its operands' taint."""
     call = _CALL.search(expression) is not None and not sanitized
-    for _, pattern, factor in _RULES:
+    for pattern, factor in _RULES:
         if pattern.search(expression):
             return factor or (UNKNOWN_CALL if call else 0.0)
     return UNKNOWN_CALL if call else 1.0

@@ -5,8 +5,6 @@ from __future__ import annotations
 from lodesift.operators.rules import Rule, parse
 
 _A01, _A02, _A03, _A05, _A07, _A08 = "A01:2021", "A02:2021", "A03:2021", "A05:2021", "A07:2021", "A08:2021"
-_SUB = r"subprocess\.(?:Popen|call|run|check_output|check_call)\s*\("
-_SECURITY = r"(?i)(token|session|password|secret|nonce|otp|csrf|key|salt|iv|auth|uuid|encrypt|hash|credential|certificate)"
 
 
 def _r(rule_id: str, name: str, severity: str, languages: str, cwe: str, owasp: str, *patterns: str | tuple[str, str], **more: object) -> Rule:
@@ -16,7 +14,7 @@ def _r(rule_id: str, name: str, severity: str, languages: str, cwe: str, owasp:
 
 # Ids, severities, languages, weaknesses and patterns of the rules.
 RULES = [
-    _r("PY-001", "SubprocessShellInjection", "critical", "python", "CWE-78", _A03, (_SUB + r"[^)]*shell\s*=\s*True", "high"), (_SUB + r"""\s*f["']""", "high"), (_SUB + r"[^)]*\.format\s*\(", "high"), (_SUB + r"[^)]*%\s*[(\w]", "high"), (_SUB + r"""\s*(?:[a-zA-Z_]\w*\s*\+|"[^"]*"\s*\+)""", "high")),
+    _r("PY-001", "SubprocessShellInjection", "critical", "python", "CWE-78", _A03, (r"subprocess\.(?:Popen|call|run|check_output|check_call)\s*\([^)]*shell\s*=\s*True", "high"), (r"""subprocess\.(?:Popen|call|run|check_output|check_call)\s*\(\s*f["']""", "high"), (r"subprocess\.(?:Popen|call|run|check_output|check_call)\s*\([^)]*\.format\s*\(", "high"), (r"subprocess\.(?:Popen|call|run|check_output|check_call)\s*\([^)]*%\s*[(\w]", "high"), (r'subprocess\.(?:Popen|call|run|check_output|check_call)\s*\(\s*(?:[a-zA-Z_]\w*\s*\+|"[^"]*"\s*\+)', "high")),
     _r("PY-002", "PathTraversal", "high", "python", "CWE-22", _A01, (r"os\.path\.join\s*\(", "medium"), guards=[r"request\.|input\(|sys\.argv"], near=[{"pattern": r"request\.|user_input|filename|file_name|filepath|user_file", "before": 3, "after": 3}]),
     _r("PY-003", "JinjaAutoescapeDisabled", "high", "python", "CWE-79", _A03, (r"Environment\s*\([^)]*autoescape\s*=\s*(?:False|0)", "high"), (r"Environment\s*\(", "medium"), near_none=[{"pattern": r"autoescape\s*=\s*(?:True|select_autoescape|1)", "before": 3, "after": 3}], guards=[r"jinja2"]),
     _r("PY-004", "UnsafeYAMLLoad", "critical", "python", "CWE-502", _A08, (r"yaml\.(?:load|unsafe_load)\s*\(", "high"), near_none=[{"pattern": r"Loader\s*=\s*(?:yaml\.)?(?:SafeLoader|CSafeLoader|FullLoader|CFullLoader)", "before": 0, "after": 3}], line_none=[r"yaml\.safe_load\s*\("]),
@@ -40,7 +38,7 @@ RULES = [
     _r("CTR-009", "K8sNoResourceLimits", "medium", "yaml *", "CWE-770", _A05, (r"(?i)containers\s*:", "medium"), guards_none=[r"(?i)limits\s*:"], once=True),
     _r("CTR-010", "TerraformOpenIngress", "high", "terraform", "CWE-284", _A05, (r"""(?i)(?:cidr_blocks|cidr_ipv6)\s*=\s*\[\s*["'](?:0\.0\.0\.0/0|::/0)["']""", "high"), guards=[r"""(?i)(?:resource\s+["']aws_security_group|ingress\s*\{)"""]),
     _r("CRY-001", "WeakHashing", "high", "go python javascript typescript java", "CWE-328", _A02, (r"\bmd5\.(New|Sum)\b", "high"), (r"\bsha1\.(New|Sum)\b", "medium"), (r"\bhashlib\.(?:md5|sha1)\s*\(", "high"), (r"""\bhashlib\.new\s*\(\s*["'](?:md5|sha1)["']""", "high"), (r"""crypto\.createHash\s*\(\s*['"](?:md5|sha1)['"]""", "high"), (r"""MessageDigest\.getInstance\s*\(\s*"(?:MD5|SHA-?1)\"""", "high")),
-    _r("CRY-002", "InsecureRandom", "medium", "go python javascript typescript", "CWE-338", _A02, (r"\brand\.(Int|Intn|Float|Read|New)\b", "medium"), (r"\brandom\.(random|randint|choice|randrange|getrandbits)\s*\(", "medium"), (r"\bMath\.random\s*\(", "medium"), near=[{"pattern": _SECURITY, "before": 2, "after": 2}]),
+    _r("CRY-002", "InsecureRandom", "medium", "go python javascript typescript", "CWE-338", _A02, (r"\brand\.(Int|Intn|Float|Read|New)\b", "medium"), (r"\brandom\.(random|randint|choice|randrange|getrandbits)\s*\(", "medium"), (r"\bMath\.random\s*\(", "medium"), near=[{"pattern": r"(?i)(token|session|password|secret|nonce|otp|csrf|key|salt|iv|auth|uuid|encrypt|hash|credential|certificate)", "before": 2, "after": 2}]),
     _r("CRY-003", "WeakCipher", "high", "go python java", "CWE-327", _A02, (r"\bdes\.(NewCipher|NewTripleDESCipher)\b", "high"), (r"\brc4\.NewCipher\b", "high"), (r"\bDES(3)?\.new\s*\(", "high"), (r"\bARC4\.new\s*\(", "high"), (r"""Cipher\.getInstance\s*\(\s*"(?:DES|RC4|ARCFOUR)""", "high")),
     _r("CRY-004", "FixedIV", "high", "*", "CWE-329", _A02, (r"(?i)\b(iv|nonce)\s*[:=]+\s*\[\]byte\s*\{", "high"), (r"""(?i)\b(iv|nonce|initialization.?vector)\s*[:=]\s*["']""", "medium"), (r"(?i)\b(iv|nonce)\s*=\s*\[\s*0x", "high")),
     _r("CRY-005", "InsecureTLS", "high", "*", "CWE-295", _A02, (r"InsecureSkipVerify\s*:\s*true", "high"), (r"rejectUnauthorized\s*:\s*false", "high"), (r"""NODE_TLS_REJECT_UNAUTHORIZED\s*=\s*['"]?0['"]?""", "high"), (r"ssl\._create_unverified_context|CERT_NONE", "high")),
@@ -56,20 +54,15 @@ RULES = [
     _r("AUTH-001", "HardcodedCredentialCheck", "critical", "go python javascript typescript php ruby java csharp", "CWE-798", _A07, (r"""(?i)\b(?:password|passwd|pwd|secret)\s*(?:==|===|!=|!==)\s*["'][^"']{3,}["']""", "high")),
 ]
 
-_REQUEST_PHP = r"\$_(?:GET|POST|REQUEST|COOKIE)"
-_SHELL_PHP = r"\b(?:system|exec|passthru|shell_exec|popen|proc_open|pcntl_exec)\s*\(\s*\$(?:_GET|_POST|_REQUEST|_COOKIE|input|cmd|command|param|arg)"
-_QUERY_PHP = r"\b(?:mysqli_query|mysql_query|pg_query|pg_exec)\s*\("
-_HANDLER_GO = r"r\.(?:URL\.Query|FormValue|PostFormValue|Header\.Get|PathValue)\s*\(|mux\.Vars|chi\.URLParam|c\.(?:Param|Query|DefaultQuery|PostForm)"
-_SECURITY_WORDS = r"(?i)(token|key|secret|nonce|salt|password|session|otp|csrf|iv|encrypt|cipher|sign|hmac|auth|credential)"
 
 # Ids, severities, languages, weaknesses and patterns of the rules for single languages.
 RULES += [
     _r("PHP-001", "TypeJuggling", "high", "php", "CWE-697", _A07, (r"(?:password|token|secret|hash|key|auth|session|nonce|csrf|otp|pin|code|digest|signature|mac|hmac)\s*(?:==|!=)\s*", "high"), line_none=[r"===|!=="]),
-    _r("PHP-002", "SSRF", "high", "php", "CWE-918", "A10:2021", (r"\bfile_get_contents\s*\(\s*\$", "medium"), (r"\bfopen\s*\(\s*\$", "medium"), (r"\bcurl_setopt\s*\([^,]+,\s*CURLOPT_URL\s*,\s*\$", "medium"), near=[{"pattern": _REQUEST_PHP, "before": 15, "after": 4}], line_none=[r"__DIR__|dirname|__FILE__|realpath"]),
+    _r("PHP-002", "SSRF", "high", "php", "CWE-918", "A10:2021", (r"\bfile_get_contents\s*\(\s*\$", "medium"), (r"\bfopen\s*\(\s*\$", "medium"), (r"\bcurl_setopt\s*\([^,]+,\s*CURLOPT_URL\s*,\s*\$", "medium"), near=[{"pattern": r"\$_(?:GET|POST|REQUEST|COOKIE)", "before": 15, "after": 4}], line_none=[r"__DIR__|dirname|__FILE__|realpath"]),
     _r("PHP-003", "FileInclusion", "critical", "php", "CWE-98", _A03, (r"\b(?:include|include_once|require|require_once)\s*\(?\s*\$(?:_GET|_POST|_REQUEST|_COOKIE|input|param|file|page|path|dir|template|module|lang|language)", "high"), (r"""\b(?:include|include_once|require|require_once)\s*\(?\s*["'][^"']*["']\s*\.\s*\$""", "medium")),
     _r("PHP-004", "MailHeaderInjection", "high", "php", "CWE-93", _A03, (r"\bmail\s*\([^)]*\$_(?:GET|POST|REQUEST|COOKIE)", "high")),
-    _r("PHP-005", "CommandInjection", "critical", "php", "CWE-78", _A03, (_SHELL_PHP, "high"), (r"`[^`]*\$(?:_GET|_POST|_REQUEST|_COOKIE|input|cmd|command)", "high"), line_none=[r"escapeshellarg|escapeshellcmd"]),
-    _r("PHP-006", "RawSQLQuery", "critical", "php", "CWE-89", _A03, (_QUERY_PHP + r"""\s*\$\w+\s*,\s*(?:"[^"]*\$|'[^']*'\s*\.\s*\$)""", "high"), (_QUERY_PHP + r"""[^,]+,\s*"[^"]*"\s*\.\s*\$""", "high")),
+    _r("PHP-005", "CommandInjection", "critical", "php", "CWE-78", _A03, (r"\b(?:system|exec|passthru|shell_exec|popen|proc_open|pcntl_exec)\s*\(\s*\$(?:_GET|_POST|_REQUEST|_COOKIE|input|cmd|command|param|arg)", "high"), (r"`[^`]*\$(?:_GET|_POST|_REQUEST|_COOKIE|input|cmd|command)", "high"), line_none=[r"escapeshellarg|escapeshellcmd"]),
+    _r("PHP-006", "RawSQLQuery", "critical", "php", "CWE-89", _A03, (r"""\b(?:mysqli_query|mysql_query|pg_query|pg_exec)\s*\(\s*\$\w+\s*,\s*(?:"[^"]*\$|'[^']*'\s*\.\s*\$)""", "high"), (r'\b(?:mysqli_query|mysql_query|pg_query|pg_exec)\s*\([^,]+,\s*"[^"]*"\s*\.\s*\$', "high")),
     _r("PHP-007", "InsecureSessionCookie", "medium", "php", "CWE-614", _A05, (r"(?i)session\.cookie_(?:httponly|secure)\s*=\s*(?:0|false|off)", "high"), (r"""\bini_set\s*\(\s*["']session\.cookie_(?:httponly|secure)["']\s*,\s*["']?(?:0|false)""", "high")),
     _r("PHP-008", "SymfonyProcessInjection", "critical", "php", "CWE-78", _A03, (r"Process::fromShellCommandline\s*\(\s*\$", "high"), (r"new\s+Process\s*\(\s*\[?\s*\$", "medium")),
     _r("PHP-009", "TwigRawFilter", "high", "php *", "CWE-79", _A03, (r"\{\{[^}]*\|\s*raw\b", "medium"), (r"\{%[-\s]*autoescape\s+false\s*[-\s]*%\}", "high"), (r"'autoescape'\s*=>\s*false", "high")),
@@ -98,8 +91,8 @@ RULES += [
     _r("GO-001", "GORMSQLInjection", "critical", "go", "CWE-89", _A03, (r"\b(?:db|tx|gdb|gorm)\s*\.\s*(?:Raw|Exec|Where)\s*\(\s*fmt\.Sprintf\s*\(", "high"), (r"""\b(?:db|tx|gdb|gorm)\s*\.\s*(?:Raw|Exec)\s*\(\s*(?:"[^"]*"\s*\+|[a-zA-Z_]\w*\s*\+)""", "high")),
     _r("GO-002", "TemplateHTMLBypass", "high", "go", "CWE-79", _A03, (r"template\.(?:HTML|HTMLAttr|JS|CSS|URL)\s*\(", "medium"), line_none=["template\\.(?:HTML|HTMLAttr|JS|CSS|URL)\\s*\\(\\s*[\"`]"]),
     _r("GO-003", "ListenAndServeNoTLS", "medium", "go", "CWE-319", _A02, (r"\bhttp\.ListenAndServe\s*\(", "medium"), guards_none=[r"\bhttp\.ListenAndServeTLS\b", r"\btls\.Config\b"]),
-    _r("GO-005", "FilepathTraversal", "high", "go", "CWE-22", _A01, (r"filepath\.Join\s*\(", "medium"), guards=[_HANDLER_GO], near_none=[{"pattern": r"filepath\.Clean\s*\(|strings\.HasPrefix\s*\(", "before": 5, "after": 5}]),
-    _r("GO-006", "MathRandCrypto", "high", "go", "CWE-338", _A02, (r"\brand\.(?:Read|Int|Intn|Int63|Int31|Float64|Float32|Uint32|Uint64|New|NewSource)\s*\(", "medium"), guards=['"math/rand"'], near=[{"pattern": _SECURITY_WORDS, "before": 5, "after": 5}]),
+    _r("GO-005", "FilepathTraversal", "high", "go", "CWE-22", _A01, (r"filepath\.Join\s*\(", "medium"), guards=[r"r\.(?:URL\.Query|FormValue|PostFormValue|Header\.Get|PathValue)\s*\(|mux\.Vars|chi\.URLParam|c\.(?:Param|Query|DefaultQuery|PostForm)"], near_none=[{"pattern": r"filepath\.Clean\s*\(|strings\.HasPrefix\s*\(", "before": 5, "after": 5}]),
+    _r("GO-006", "MathRandCrypto", "high", "go", "CWE-338", _A02, (r"\brand\.(?:Read|Int|Intn|Int63|Int31|Float64|Float32|Uint32|Uint64|New|NewSource)\s*\(", "medium"), guards=['"math/rand"'], near=[{"pattern": r"(?i)(token|key|secret|nonce|salt|password|session|otp|csrf|iv|encrypt|cipher|sign|hmac|auth|credential)", "before": 5, "after": 5}]),
     _r("GO-009", "UnvalidatedRedirect", "high", "go", "CWE-601", _A01, (r"http\.Redirect\s*\(\s*\w+\s*,\s*\w+\s*,\s*r\.(?:URL\.Query\(\)\.Get|FormValue|PostFormValue|Header\.Get)\s*\(", "high"), (r"c\.Redirect\s*\(\s*\d+\s*,\s*c\.(?:Query|Param|PostForm|DefaultQuery|GetHeader)\s*\(", "high")),
     _r("GO-012", "PermissiveFileMode", "medium", "go", "CWE-732", _A01, (r"os\.Mkdir(?:All)?\s*\([^,]+,\s*0o?777\s*\)", "high"), (r"os\.(?:WriteFile|OpenFile)\s*\([^,]+,[^,]+,\s*0o?(?:777|766|776)\s*\)", "high")),
     _r("GO-013", "TrustedProxyMisconfig", "medium", "go", "CWE-348", _A05, (r"\.SetTrustedProxies\s*\(\s*nil\s*\)", "high"), (r"\.ForwardedByClientIP\s*=\s*true", "medium")),
@@ -108,25 +101,23 @@ RULES += [
     _r("PY-015", "JWTNoVerification", "critical", "python", "CWE-347", _A02, (r"""jwt\.decode\s*\([^)]*(?:verify\s*=\s*False|options\s*=\s*\{[^}]*"verify_signature"\s*:\s*False)""", "high"), (r"""jwt\.decode\s*\([^)]*algorithms\s*=\s*\[?\s*["']none["']""", "high")),
 ]
 
-_WORDS = "(SELECT|INSERT|UPDATE|DELETE|DROP|ALTER|CREATE|UNION|FROM|WHERE|SET|INTO|VALUES)"
 _WEB = "go python javascript typescript java php ruby csharp"
-_INTERPOLATED = r"(?i)(?:`[^`]*\$[{(]|\$\([^)]*\$[{(])"
 
 # Ids, severities, languages, weaknesses and patterns of the injection and deserialization rules; a pattern may hold for one language and have a severity of its own.
 RULES += [
     _r(
         "INJ-001", "SQL Injection", "critical", _WEB, "CWE-89", _A03,
-        (rf'(?i)fmt\.Sprintf\(\s*"[^"]*\b{_WORDS}\b[^"]*%[svdq]', "high", "go"),
-        (rf'(?i)(?:"[^"]*\b{_WORDS}\b[^"]*"\s*\+|\+\s*"[^"]*\b{_WORDS}\b)', "high"),
-        (rf"""(?i)f["'][^"']*\b{_WORDS}\b[^"']*\{{""", "high", "python"),
-        (rf"""(?i)["'][^"']*\b{_WORDS}\b[^"']*["']\s*%\s*[(\w]""", "high", "python"),
-        (rf"""(?i)["'][^"']*\b{_WORDS}\b[^"']*["']\s*\.format\(""", "high", "python"),
+        (r'(?i)fmt\.Sprintf\(\s*"[^"]*\b(SELECT|INSERT|UPDATE|DELETE|DROP|ALTER|CREATE|UNION|FROM|WHERE|SET|INTO|VALUES)\b[^"]*%[svdq]', "high", "go"),
+        (r'(?i)(?:"[^"]*\b(SELECT|INSERT|UPDATE|DELETE|DROP|ALTER|CREATE|UNION|FROM|WHERE|SET|INTO|VALUES)\b[^"]*"\s*\+|\+\s*"[^"]*\b(SELECT|INSERT|UPDATE|DELETE|DROP|ALTER|CREATE|UNION|FROM|WHERE|SET|INTO|VALUES)\b)', "high"),
+        (r"""(?i)f["'][^"']*\b(SELECT|INSERT|UPDATE|DELETE|DROP|ALTER|CREATE|UNION|FROM|WHERE|SET|INTO|VALUES)\b[^"']*\{""", "high", "python"),
+        (r"""(?i)["'][^"']*\b(SELECT|INSERT|UPDATE|DELETE|DROP|ALTER|CREATE|UNION|FROM|WHERE|SET|INTO|VALUES)\b[^"']*["']\s*%\s*[(\w]""", "high", "python"),
+        (r"""(?i)["'][^"']*\b(SELECT|INSERT|UPDATE|DELETE|DROP|ALTER|CREATE|UNION|FROM|WHERE|SET|INTO|VALUES)\b[^"']*["']\s*\.format\(""", "high", "python"),
         (r"""(?i)(?:cursor|conn|connection|db)\s*\.\s*execute\(\s*(?:f["']|["'][^"']*["']\s*%|["'][^"']*["']\s*\.format|[^"',)]+\+)""", "high", "python"),
-        (rf"""(?i)["'][^"']*\b{_WORDS}\b[^"']*["']\s*\+\s*\w""", "high"),
-        (rf"""(?i)\.(?:query|execute|exec|prepare)\(\s*["'][^"']*\b{_WORDS}\b[^"']*["']\s*\+""", "high"),
-        (rf"(?i)`[^`]*\b{_WORDS}\b[^`]*\$\{{", "high"),
-        (rf'(?i)"[^"]*\b{_WORDS}\b[^"]*\$\w+', "medium", "php"),
-        (rf'(?i)"[^"]*\b{_WORDS}\b[^"]*#\{{', "medium", "ruby"),
+        (r"""(?i)["'][^"']*\b(SELECT|INSERT|UPDATE|DELETE|DROP|ALTER|CREATE|UNION|FROM|WHERE|SET|INTO|VALUES)\b[^"']*["']\s*\+\s*\w""", "high"),
+        (r"""(?i)\.(?:query|execute|exec|prepare)\(\s*["'][^"']*\b(SELECT|INSERT|UPDATE|DELETE|DROP|ALTER|CREATE|UNION|FROM|WHERE|SET|INTO|VALUES)\b[^"']*["']\s*\+""", "high"),
+        (r"(?i)`[^`]*\b(SELECT|INSERT|UPDATE|DELETE|DROP|ALTER|CREATE|UNION|FROM|WHERE|SET|INTO|VALUES)\b[^`]*\$\{", "high"),
+        (r'(?i)"[^"]*\b(SELECT|INSERT|UPDATE|DELETE|DROP|ALTER|CREATE|UNION|FROM|WHERE|SET|INTO|VALUES)\b[^"]*\$\w+', "medium", "php"),
+        (r'(?i)"[^"]*\b(SELECT|INSERT|UPDATE|DELETE|DROP|ALTER|CREATE|UNION|FROM|WHERE|SET|INTO|VALUES)\b[^"]*#\{', "medium", "ruby"),
         (r'(?i)\.where\(\s*"[^"]*#\{', "high", "ruby"),
     ),
     _r(
@@ -137,7 +128,7 @@ RULES += [
         (r"""(?i)\bexec\.Command(?:Context)?\(\s*[^"'\s)][^,)]*[+]""", "medium"),
         (r"""(?i)\b(?:child_process\s*\.\s*)?(?:exec|execSync|spawn|spawnSync)\s*\(\s*(?:`[^`]*\$\{|[^"'\x60\s,)]+\s*[+]|f?["'][^"']*["']\s*\+)""", "high"),
         (r"""(?i)require\(\s*["']child_process["']\s*\)\s*\.exec\s*\(""", "medium"),
-        *[(_INTERPOLATED, "high", lang) for lang in "go python java php ruby shell csharp".split()],
+        *[(r"(?i)(?:`[^`]*\$[{(]|\$\([^)]*\$[{(])", "high", lang) for lang in "go python java php ruby shell csharp".split()],
         (r"""(?i)\bRuntime\s*\.\s*getRuntime\s*\(\s*\)\s*\.exec\s*\(\s*(?:["'][^"']*["']\s*\+|\w+[^"')]+\+)""", "high"),
         (r"(?i)\bnew\s+ProcessBuilder\s*\(", "low"),
         (r"(?i)\b(?:system|exec|passthru|shell_exec|popen|proc_open)\s*\(\s*\$", "high"),

@@ -27,7 +27,7 @@ def _ext(c: str) -> str:
 
 
 def _language(c: str) -> str:
-    whole = [(k, lang) for lang, keys in paths.LANGUAGE_OF.items() for k in keys]
+    whole = paths.LANGUAGE_OF.items()
     return f"CASE {' '.join(f'WHEN {_base(c)} = {_q(k)} THEN {_q(v)}' for k, v in whole)} {' '.join(f'WHEN {_ext(c)} = {_q(k)} THEN {_q(v)}' for k, v in whole)} ELSE '*' END"
 
 
