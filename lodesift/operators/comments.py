@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodesift.session import ship, spread
@@ -75,17 +75,35 @@ def spans(files: DataFrame, key: str) -> DataFrame:
     return spread(rows).mapInArrow(run, f"{key} {kind}, start int, end int, start_line int, end_line int")
 
 
+def with_spans(files: DataFrame, key: str, column: str = "comment_spans") -> DataFrame:
+    """``key, path, lang, content`` of ``files`` and the spans of their comments as an array, in one pass; files without content have none."""
+    ship(files.sparkSession)
+    kind = dict(files.dtypes)[key]
+    pairs = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [[{"start": a, "end": e} for a, e in comment_spans(text, lang)] if text and lang else [] for lang, text in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pairs)], [*b.schema.names, column])
+
+    return spread(files.select(key, "path", "lang", "content")).mapInArrow(run, f"{key} {kind}, path string, lang string, content string, {column} array<struct<start:int,end:int>>")
+
+
+def begins_in(content: str, comment_spans_: str, line: str, matched: str) -> Column:
+    """Whether a match begins in a comment, from the columns of its file's text and comments, its line and its text.
+
+    The match is looked for from its line on; where it isn't found, the start of the line counts. Without line it doesn't.
+    """
+    starts = F.char_length(F.expr(rf"substring_index({content}, '\n', {line} - 1)")) + F.when(F.col(line) > 1, 1).otherwise(0)
+    found = F.instr(F.substring(content, starts + 1, F.char_length(content)), F.coalesce(matched, F.lit("")))
+    place = starts + F.greatest(found, F.lit(1)) - 1
+    return F.coalesce(F.exists(comment_spans_, lambda s: (s["start"] <= place) & (place < s["end"])) & (F.col(line) > 0), F.lit(False))
+
+
 def outside(findings: DataFrame, files: DataFrame, key: str) -> DataFrame:
     """The findings whose match doesn't begin in a comment; of other files, and without line, they are kept.
 
-    The match is looked for from its line on; where it isn't found, the start of the line counts. The place and the test are one
-    expression over the file's text and its array of comment spans, so the join is by file only.
+    For findings that come from elsewhere; those of ``rules.apply`` are tested in the row of their file, without this join.
     """
-    per_file = spans(files, key).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans"))
-    texts = files.select(key, F.col("content").alias("__text")).join(per_file, key)
-    f = findings.join(texts, key, "left")
-    starts = F.char_length(F.expr(r"substring_index(__text, '\n', line_number - 1)")) + F.when(F.col("line_number") > 1, 1).otherwise(0)
-    found = F.instr(F.substring("__text", starts + 1, F.char_length("__text")), F.coalesce("matched_text", F.lit("")))
-    place = starts + F.greatest(found, F.lit(1)) - 1
-    inside = F.exists("__spans", lambda s: (s["start"] <= place) & (place < s["end"]))
-    return f.where(~F.coalesce(inside & (F.col("line_number") > 0), F.lit(False))).drop("__text", "__spans")
+    texts = with_spans(files, key).select(key, F.col("content").alias("__text"), F.col("comment_spans").alias("__spans"))
+    return findings.join(texts, key, "left").where(~begins_in("__text", "__spans", "line_number", "matched_text")).drop("__text", "__spans")

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from lodesift.functions.paths import COMMENT_STARTS
 from lodesift.functions.scoring import severity_label
 from lodesift.functions.text import truncated
+from lodesift.operators.comments import begins_in
 from lodesift.session import spread
 
 #: Rules per array column; one expression over all of a large table would be too deep. The files are read once.
@@ -232,18 +233,21 @@ def _hits(rule: Rule, number: int) -> str:
     return f"CASE WHEN {' AND '.join(wanted)} THEN {found} ELSE CAST(array() AS array<struct<rule:int,line_no:int,ord:int,text:string>>) END"
 
 
-def apply(files: DataFrame, rules: Sequence[Rule], key: str) -> DataFrame:
+def apply(files: DataFrame, rules: Sequence[Rule], key: str, comment_spans: str | None = None) -> DataFrame:
     """The findings of ``files`` (``key, path, lang, content``): a row per rule and matching line.
 
     ``key, path, lang, rule_id, severity, severity_label, title, line_number, matched_text, suggestion, cwe_id,
     owasp_category, confidence, tags``. Files without content have none; comment lines are skipped unless the rule wants
-    them; extra columns are ignored.
+    them; extra columns are ignored. With ``comment_spans``, the name of a column of ``comments.with_spans``, hits that begin in a comment are left out.
     """
     if not rules:
         raise ValueError("no rules")
-    base = spread(files.select(key, "path", "lang", "content").where(F.col("content").isNotNull())).withColumns({"__ls": F.split("content", "\n", -1), "__low": F.lower("content")})
+    base = spread(files.select(key, "path", "lang", "content", *([comment_spans] if comment_spans else [])).where(F.col("content").isNotNull())).withColumns({"__ls": F.split("content", "\n", -1), "__low": F.lower("content")})
     columns = {f"__h{at}": F.expr(f"flatten(array({', '.join(_hits(r, at + k) for k, r in enumerate(rules[at : at + BATCH]))}))") for at in range(0, len(rules), BATCH)}
-    rows = base.withColumns(columns).select(key, "path", "lang", F.explode(F.concat(*columns)).alias("x")).select(key, "path", "lang", "x.*")
+    kept = [key, "path", "lang", *(["content", comment_spans] if comment_spans else [])]
+    rows = base.withColumns(columns).select(*kept, F.explode(F.concat(*columns)).alias("x")).select(*kept, "x.*").withColumn("matched_text", truncated(F.col("text"), 120))
+    if comment_spans:
+        rows = rows.where(~begins_in("content", comment_spans, "line_no", "matched_text"))
 
     def listed(of: Iterable[str]) -> str:
         return f"array({', '.join(of)})"
@@ -262,7 +266,7 @@ def apply(files: DataFrame, rules: Sequence[Rule], key: str) -> DataFrame:
         severity.alias("severity"),
         value(_quoted(r.title or r.name) for r in rules).alias("title"),
         F.col("line_no").alias("line_number"),
-        truncated(F.col("text"), 120).alias("matched_text"),
+        "matched_text",
         value(_quoted(r.suggestion) for r in rules).alias("suggestion"),
         value(_quoted(r.cwe) for r in rules).alias("cwe_id"),
         value(_quoted(r.owasp) for r in rules).alias("owasp_category"),

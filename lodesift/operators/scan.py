@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodesift.functions.scoring import blocks
 from lodesift.operators import comments, fusion, interproc, pyast, pyflow, rules, suppress, taint
 from lodesift.operators.catalogs import CORE, Catalog
+from lodesift.session import cut
 
 #: Columns of a finding of any layer, besides the file's key.
 FINDING = ("file_path", "lang", "layer", "rule_id", "severity", "title", "line_number", "matched_text", "cwe_id", "confidence", "confidence_score", "tags")
@@ -20,8 +21,8 @@ def _shaped(df: DataFrame, key: str, layer: str) -> DataFrame:
 
 
 def text_layers(files: DataFrame, key: str, table: Sequence[rules.Rule]) -> DataFrame:
-    """The findings of the line rules and of the syntax tree of ``files`` (``key, path, lang, content``), in one shape: ``key`` and ``FINDING``."""
-    lines = rules.apply(files, table, key).withColumnRenamed("path", "file_path").withColumn("confidence_score", F.lit(0.0))
+    """The findings of the line rules, but for those that begin in a comment, and of the syntax tree of ``files`` (``key, path, lang, content``), in one shape: ``key`` and ``FINDING``."""
+    lines = rules.apply(comments.with_spans(files, key), table, key, "comment_spans").withColumnRenamed("path", "file_path").withColumn("confidence_score", F.lit(0.0))
     tree = pyast.findings(files, key).withColumn("confidence_score", F.lit(0.0))
     return _shaped(lines, key, "line").unionByName(_shaped(_placed(tree, files, key), key, "tree"))
 
@@ -43,11 +44,12 @@ def _placed(found: DataFrame, files: DataFrame, key: str) -> DataFrame:
 def findings(files: DataFrame, key: str, table: Sequence[rules.Rule], catalog: Catalog = CORE, keyword: str = suppress.KEYWORD) -> DataFrame:
     """The merged findings of every file, with ``suppressed``, ``suppress_reason`` and ``n_merged``.
 
-    In order: findings that begin in a comment are left out (the taint layers skip comments themselves), those of one line and weakness are merged, directives
+    In order: findings that begin in a comment are left out (tree and taint layers have none there), those of one line and weakness are merged, directives
     suppress, findings in test files are downgraded and labels follow the scores. Ties of a merge go to the first by rule, line and text.
     """
-    said = comments.outside(text_layers(files, key, table), files, key).unionByName(flow_layers(files, key, catalog))
-    numbered = said.withColumn("finding_id", F.xxhash64(key, "rule_id", "line_number", "matched_text", "layer"))
+    said = text_layers(files, key, table).unionByName(flow_layers(files, key, catalog))
+    # written once, since the merge reads them twice; they are few beside the files
+    numbered = cut(said.withColumn("finding_id", F.xxhash64(key, "rule_id", "line_number", "matched_text", "layer")))
     merged = fusion.merged(numbered, key, "finding_id")
     return fusion.downgraded(suppress.split(merged, suppress.covered(files, key, keyword), key)).drop("finding_id")
 
