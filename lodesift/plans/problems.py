@@ -122,6 +122,11 @@ def p5_entities(spark: SparkSession, d: str) -> DataFrame:
     return shred.entities(_raw_nodes(spark, d)).withColumn("fields", F.to_json("fields"))
 
 
+def p5_values(spark: SparkSession, d: str) -> DataFrame:
+    """The children that are scalars themselves, with their values."""
+    return shred.entities(_raw_nodes(spark, d)).where("value IS NOT NULL").select("record_id", "child_path", "pos_path", "value")
+
+
 def _entity_query(place: str, fields: tuple[str, ...]) -> Query:
     def query(spark: SparkSession, d: str) -> DataFrame:
         return shred.entity(_raw_nodes(spark, d), place, fields).withColumn("rest", F.to_json("rest"))
@@ -198,6 +203,7 @@ QUERIES: dict[str, Query] = {
     "p4_features": p4_features,
     "p5_found": p5_found,
     "p5_entities": p5_entities,
+    "p5_values": p5_values,
     **{f"p5_records_{kind}": _record_query(kind, fields) for kind, fields in RECORD_FIELDS.items()},
     **{f"p5_{place.replace('.', '_')}": _entity_query(place, fields) for place, fields in ENTITY_FIELDS.items()},
     "p5_node_columns": p5_node_columns,

@@ -128,8 +128,8 @@ _NODE_COLUMNS = " UNION ALL ".join(
 
 
 
-def _shredded() -> str:
-    """The children of ``raw_records`` by JSON functions: objects become lists of named members, parts sent as text are read."""
+def _shredded(values: bool = False) -> str:
+    """The children of ``raw_records`` by JSON functions: objects become lists of named members, parts sent as text are read. ``values``: those that are scalars, with their value."""
 
     def read(x: str) -> str:
         return f"CASE WHEN json_type({x}) = 'VARCHAR' AND json_valid({x}->>'$') AND json_type({x}->>'$') IN ('OBJECT', 'ARRAY', 'VARCHAR') THEN ({x}->>'$')::json ELSE {x} END"
@@ -165,19 +165,22 @@ def _shredded() -> str:
         entries("so", "source_params"),
         entries("tp0", "tainted_params"),
         "tp1 AS (SELECT record_id, k, CASE json_type(v) WHEN 'ARRAY' THEN json_extract(v, '$[*]') ELSE [v] END AS vs FROM tp0)",
-        "tp AS (SELECT record_id, k || '/' || i AS pre FROM (SELECT record_id, k, unnest(vs) AS v, unnest(range(0, len(vs))) AS i FROM tp1) WHERE json_type(v) <> 'NULL')",
+        "tp AS (SELECT record_id, k || '/' || i AS pre, v FROM (SELECT record_id, k, unnest(vs) AS v, unnest(range(0, len(vs))) AS i FROM tp1) WHERE json_type(v) <> 'NULL')",
         one("ti", "r", "tool_input"),
         parts("ed", "ti", "v", "edits", "pre"),
         one("tr", "r", "tool_response"),
     ]
     places = {"findings": "fi", "findings.tags": "ta", "findings.flow.steps": "st", "suppressed_rules": "su", "calls": "ca", "called_by": "cb", "taint_sig.sink_calls": "si", "taint_sig.suppressed_sinks": "ss", "taint_sig.sanitized_paths": "sp", "taint_sig.tainted_params": "tp", "tool_input.edits": "ed"}
-    rows = [f"SELECT record_id, '{p}' AS child_path, pre AS pos_path FROM {n}" for p, n in places.items()]
-    rows += [f"SELECT record_id, '{p}', '0' FROM {n}" for p, n in (("taint_sig", "sig"), ("tool_input", "ti"), ("tool_response", "tr"))] + ["SELECT record_id, 'taint_sig.source_params', k FROM so"]
+    places |= {"taint_sig": "sig", "tool_input": "ti", "tool_response": "tr", "taint_sig.source_params": "so"}
+    at = {"sig": "'0'", "ti": "'0'", "tr": "'0'", "so": "k"}
+    some, only = (", v->>'$' AS value", " WHERE json_type(v) NOT IN ('OBJECT', 'ARRAY')") if values else ("", "")
+    rows = [f"SELECT record_id, '{p}' AS child_path, {at.get(n, 'pre')} AS pos_path{some} FROM {n}{only}" for p, n in places.items()]
     return f"WITH {', '.join(steps)} {' UNION ALL '.join(rows)}"
 
 
 ORACLE = {
     "p5_found": _shredded(),
+    "p5_values": _shredded(values=True),
     "p2_survivors": _survivors(),
     "p5_node_columns": f"SELECT * FROM ({_NODE_COLUMNS}) AS t(source_table, record_id, child_path, pos_path)",
     "p2_found": f"WITH {_FINDINGS} SELECT first_id, finding_id AS best_id FROM r WHERE place = 1 AND n_members > 1",
