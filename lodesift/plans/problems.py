@@ -127,6 +127,12 @@ def p5_values(spark: SparkSession, d: str) -> DataFrame:
     return shred.entities(_raw_nodes(spark, d)).where("value IS NOT NULL").select("record_id", "child_path", "pos_path", "value")
 
 
+def p5_fields(spark: SparkSession, d: str) -> DataFrame:
+    """The scalar members of the children that are objects, a row each; those of objects within them are in the flat tables only."""
+    each = shred.entities(_raw_nodes(spark, d)).select("record_id", "child_path", "pos_path", F.explode("fields").alias("field", "scalar"))
+    return each.where(~F.col("field").rlike(r"[.\[~]") & ~F.col("scalar").isin("{}", "[]"))
+
+
 def _entity_query(place: str, fields: tuple[str, ...]) -> Query:
     def query(spark: SparkSession, d: str) -> DataFrame:
         return shred.entity(_raw_nodes(spark, d), place, fields).withColumn("rest", F.to_json("rest"))
@@ -204,6 +210,7 @@ QUERIES: dict[str, Query] = {
     "p5_found": p5_found,
     "p5_entities": p5_entities,
     "p5_values": p5_values,
+    "p5_fields": p5_fields,
     **{f"p5_records_{kind}": _record_query(kind, fields) for kind, fields in RECORD_FIELDS.items()},
     **{f"p5_{place.replace('.', '_')}": _entity_query(place, fields) for place, fields in ENTITY_FIELDS.items()},
     "p5_node_columns": p5_node_columns,

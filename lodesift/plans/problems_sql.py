@@ -128,8 +128,8 @@ _NODE_COLUMNS = " UNION ALL ".join(
 
 
 
-def _shredded(values: bool = False) -> str:
-    """The children of ``raw_records`` by JSON functions: objects become lists of named members, parts sent as text are read. ``values``: those that are scalars, with their value."""
+def _shredded(values: bool = False, fields: bool = False) -> str:
+    """The children of ``raw_records`` by JSON functions: objects become lists of named members, parts sent as text are read. ``values``: those that are scalars, with their value; ``fields``: the scalar members of those that are objects."""
 
     def read(x: str) -> str:
         return f"CASE WHEN json_type({x}) = 'VARCHAR' AND json_valid({x}->>'$') AND json_type({x}->>'$') IN ('OBJECT', 'ARRAY', 'VARCHAR') THEN ({x}->>'$')::json ELSE {x} END"
@@ -174,6 +174,11 @@ def _shredded(values: bool = False) -> str:
     places |= {"taint_sig": "sig", "tool_input": "ti", "tool_response": "tr", "taint_sig.source_params": "so"}
     at = {"sig": "'0'", "ti": "'0'", "tr": "'0'", "so": "k"}
     some, only = (", v->>'$' AS value", " WHERE json_type(v) NOT IN ('OBJECT', 'ARRAY')") if values else ("", "")
+    if fields:
+        inner = {"findings": "'tags', 'flow'", "taint_sig": "'sink_calls', 'suppressed_sinks', 'sanitized_paths', 'tainted_params', 'source_params'", "tool_input": "'edits'"}
+        own = [f"""SELECT record_id, '{p}' AS child_path, pos_path, m.n AS field, m.v->>'$' AS scalar FROM (SELECT record_id, {at.get(n, 'pre')} AS pos_path, unnest({members('v')}) AS m FROM {n})
+WHERE json_type(m.v) NOT IN ('OBJECT', 'ARRAY', 'NULL') AND m.n NOT IN ({inner.get(p, "''")})""" for p, n in places.items()]
+        return f"WITH {', '.join(steps)} {' UNION ALL '.join(own)}"
     rows = [f"SELECT record_id, '{p}' AS child_path, {at.get(n, 'pre')} AS pos_path{some} FROM {n}{only}" for p, n in places.items()]
     return f"WITH {', '.join(steps)} {' UNION ALL '.join(rows)}"
 
@@ -181,6 +186,7 @@ def _shredded(values: bool = False) -> str:
 ORACLE = {
     "p5_found": _shredded(),
     "p5_values": _shredded(values=True),
+    "p5_fields": _shredded(fields=True),
     "p2_survivors": _survivors(),
     "p5_node_columns": f"SELECT * FROM ({_NODE_COLUMNS}) AS t(source_table, record_id, child_path, pos_path)",
     "p2_found": f"WITH {_FINDINGS} SELECT first_id, finding_id AS best_id FROM r WHERE place = 1 AND n_members > 1",
