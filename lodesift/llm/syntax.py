@@ -55,13 +55,13 @@ def accepting(text: str) -> list[str]:
 
 
 def parsed(files: DataFrame) -> DataFrame:
-    """The other columns of ``files`` and ``accepted``, the languages that accept ``content``.
+    """The other columns of ``files`` and ``accepted``, the languages that accept ``content``; a column of that name is replaced.
 
     Rows with null or blank content are left out. Line ends are read as LF, a byte order mark is no fault. Repeated rows are
     judged each; whole texts are parsed, by every grammar.
     """
     ship(files.sparkSession)
-    keys = [c for c in files.columns if c != "content"]
+    keys = [c for c in files.columns if c not in ("content", "accepted")]
     rows = files.where(F.coalesce(F.trim("content", F.lit(BLANKS)) != "", F.lit(False))).select(*keys, "content")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -112,6 +112,8 @@ def test_verdicts_and_report(spark):
     rep = {(r.repo, r.lang): (r.n_files, r.n_invalid, r.invalid_rate) for r in syntax.report(v).collect()}
     assert rep == {("r", "json"): (2, 1, 0.5), ("r", "go"): (1, 1, 1.0), (None, "json"): (2, 0, 0.0)}
     assert syntax.verdicts(syntax.parsed(files.limit(0))).collect() == []
+    clash = syntax.parsed(files.where("input_id = 1").selectExpr("input_id", "repo", "lang", "content", "'x' AS accepted", "1 AS valid"))
+    assert [(r.valid, "json" in r.accepted) for r in clash.collect()] == [(1, True)]
 
 
 def test_written_files(spark):
